@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.fingerprints import compare_edited
 from corpusloom.llm.licenses import COPYRIGHT_LINE, KNOWN, MENTION, SPELLINGS, scan_licenses
 from corpusloom.llm.mixing import mix_sources
 
@@ -40,6 +41,11 @@ FROM docs d LEFT JOIN known k ON k.digest = d.digest LEFT JOIN hits h ON h.doc_i
 """
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return compare_edited(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its share of the mix."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -81,5 +87,5 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM ordered
 """
 
-QUERIES = {"op3_license_scan": op3_license_scan, "op9_source_mix": op9_source_mix}
+QUERIES = {"op3_license_scan": op3_license_scan, "op8_fingerprints": op8_fingerprints, "op9_source_mix": op9_source_mix}
 ORACLES = {"op3_license_scan": OP3_SQL, "op9_source_mix": OP9_SQL}
