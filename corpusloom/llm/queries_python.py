@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.ball_search import top_k_inner_product
+from corpusloom.llm.setsketch import near_duplicates
+
+
+def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: three-word shingles, 85 % alike."""
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
 
 
 def op2_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +34,5 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-QUERIES = {"op2_ball_search": op2_ball_search}
+QUERIES = {"op1_setsketch_dedup": op1_setsketch_dedup, "op2_ball_search": op2_ball_search}
 ORACLES = {"op2_ball_search": OP2_SQL}
