@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.ball_search import top_k_inner_product
 from corpusloom.llm.setsketch import near_duplicates
+from corpusloom.llm.suffix_dedup import repeated_spans
 
 
 def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,12 @@ def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings of 200 that occur again."""
+    spans = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=200)
+    return spans.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best partners of every vector whose id is divisible by 100."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -34,5 +41,5 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-QUERIES = {"op1_setsketch_dedup": op1_setsketch_dedup, "op2_ball_search": op2_ball_search}
+QUERIES = {"op1_setsketch_dedup": op1_setsketch_dedup, "op2_ball_search": op2_ball_search, "op7_suffix_dedup": op7_suffix_dedup}
 ORACLES = {"op2_ball_search": OP2_SQL}
