@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.ball_search import top_k_inner_product
 from corpusloom.llm.setsketch import near_duplicates
 from corpusloom.llm.suffix_dedup import repeated_spans
+from corpusloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,28 @@ def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
 
 
+def held_out(modulus: int) -> Column:
+    """Whether the row is kept from learning: crc32 of the id's text leaves 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
+
+
+TOXIC_FROM = 0.3
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labels of those not held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit_toxicity(docs, labels.where(~held_out(4)))
+    scored = score_toxicity(docs, model)
+    return scored.select(
+        "doc_id",
+        held_out(4).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without byte strings of 200 that occur again."""
     spans = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=200)
@@ -41,5 +64,5 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-QUERIES = {"op1_setsketch_dedup": op1_setsketch_dedup, "op2_ball_search": op2_ball_search, "op7_suffix_dedup": op7_suffix_dedup}
+QUERIES = {"op1_setsketch_dedup": op1_setsketch_dedup, "op2_ball_search": op2_ball_search, "op6_toxicity": op6_toxicity, "op7_suffix_dedup": op7_suffix_dedup}
 ORACLES = {"op2_ball_search": OP2_SQL}
