@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.ball_search import top_k_inner_product
 from corpusloom.llm.setsketch import near_duplicates
 from corpusloom.llm.suffix_dedup import repeated_spans
+from corpusloom.llm.token_counts import count_tokens
 from corpusloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -16,6 +17,11 @@ def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of pieces of all documents."""
+    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def held_out(modulus: int) -> Column:
     """Whether the row is kept from learning: crc32 of the id's text leaves 2."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
@@ -64,5 +70,5 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-QUERIES = {"op1_setsketch_dedup": op1_setsketch_dedup, "op2_ball_search": op2_ball_search, "op6_toxicity": op6_toxicity, "op7_suffix_dedup": op7_suffix_dedup}
+QUERIES = {"op1_setsketch_dedup": op1_setsketch_dedup, "op2_ball_search": op2_ball_search, "op5_token_counts": op5_token_counts, "op6_toxicity": op6_toxicity, "op7_suffix_dedup": op7_suffix_dedup}
 ORACLES = {"op2_ball_search": OP2_SQL}
