@@ -81,10 +81,10 @@ class Lattice:
         first = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         last = first + sizes
         joined = "\n".join(units) + "\n"
-        flat = np.fromiter((x for end, i in automaton.iter(joined) for x in (end, i)), np.int64).reshape(-1, 2)
+        flat = np.fromiter(automaton.iter(joined), np.dtype([("end", np.int64), ("piece", np.int64)]))
         lengths = np.array([len(p) for p in vocabulary.pieces], np.int64)
-        piece = flat[:, 1]
-        head = flat[:, 0] + 1
+        piece = flat["piece"]
+        head = flat["end"] + 1
         tail = head - lengths[piece]
         lone = np.ones(len(joined), bool)  # characters that are no piece themselves
         lone[tail[head - tail == 1]] = False
@@ -96,7 +96,8 @@ class Lattice:
         piece = np.concatenate([piece, -1 - width])
         unit = np.searchsorted(first, tail, "right") - 1
         depth = head - first[unit]
-        order = np.lexsort((tail, head, depth))
+        # by depth, head and start: a piece is at most a few bytes long, so the three fit one key
+        order = np.argsort((depth << 40) | (head << 8) | (255 - (head - tail)))
         depth = depth[order]
         cuts = np.searchsorted(depth, np.arange(1, (int(depth[-1]) if len(depth) else 0) + 2))
         return cls(first, last, tail[order], head[order], piece[order], score[order], list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.ball_search import top_k_inner_product
+from corpusloom.llm.sampled_pieces import sample_pieces
 from corpusloom.llm.setsketch import near_duplicates
 from corpusloom.llm.suffix_dedup import repeated_spans
 from corpusloom.llm.token_counts import count_tokens
@@ -70,5 +71,10 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-QUERIES = {"op1_setsketch_dedup": op1_setsketch_dedup, "op2_ball_search": op2_ball_search, "op5_token_counts": op5_token_counts, "op6_toxicity": op6_toxicity, "op7_suffix_dedup": op7_suffix_dedup}
+def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document."""
+    return sample_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2).drop("perturbed")
+
+
+QUERIES = {"op10_sampled_pieces": op10_sampled_pieces, "op1_setsketch_dedup": op1_setsketch_dedup, "op2_ball_search": op2_ball_search, "op5_token_counts": op5_token_counts, "op6_toxicity": op6_toxicity, "op7_suffix_dedup": op7_suffix_dedup}
 ORACLES = {"op2_ball_search": OP2_SQL}
