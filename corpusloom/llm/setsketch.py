@@ -6,13 +6,13 @@ parts merge by taking maxima, and two registers agree with a probability that fo
 
 1. Equal sets are one class. One row per class goes on.
 2. Bands of registers are hashed; classes that share a band are candidates.
-3. In every bucket the candidates meet hubs only: first the member that shares most bands with others, then in doubling
-   rounds further members, and only while the bucket still spans several components. A pair is never
-   tested twice. Every pair of a bucket is thus either tested or already in one component; no partner is capped.
-4. A joint maximum-likelihood estimate from the counts of larger, equal and smaller registers drops a pair only where the threshold
-   is less than e**-16 times as likely as the best similarity.
-5. The others are confirmed on full sets: 100 * intersection >= percent * union.
-6. Components come from the confirmed links.
+3. In every bucket the candidates first meet one hub, the member that shares most bands with others. A joint maximum-likelihood
+   estimate from the counts of larger, equal and smaller registers drops such a pair only where the threshold is less than
+   e**-16 times as likely as the best similarity; the others are confirmed on full sets: 100 * intersection >= percent * union.
+4. Where a bucket still spans several components, its members outside the hub's component meet all others (the hub excepted)
+   in blocks of a bounded number. A block counts all intersections with one matrix product and returns links between
+   different components only, as a forest: pairs are never listed, and no partner is capped.
+5. Components come from the confirmed links.
 
 A link of similarity s shares no band with probability (1 - s**4)**16 at most: 7e-6 at 0.85, 2e-4 at 0.8; bands can be
 raised. Defined results: see near_duplicates().
@@ -27,13 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.store import stage
 from corpusloom.llm.words import mix, shingle_sets, stream
 
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2  # b, a and q of the sketch
+CELLS = 4_000_000  # of an incidence matrix at once
 SLACK = 16.0  # nats below the best likelihood
 SKETCH = "doc_id long, n long, node long, regs binary, bands array<long>"
 
@@ -126,8 +126,88 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 16, rows: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, links for every row of ``docs``.
+def _open_blocks(members: DataFrame, hubs: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+    """task, node, component, far: which members of buckets that span components are still to meet, dealt into blocks."""
+    placed = members.select("band", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    core = hubs.join(parts.toDF("hub", "core"), "hub", "left").select("band", "hub", F.coalesce("core", "hub").alias("core"))
+    rest = placed.join(core, "band").where("node <> hub").withColumn("far", F.col("component") != F.col("core"))
+    # the hub has met all members; a pair is left only between two others of different components
+    crowd = (
+        rest.groupBy("band")
+        .agg(F.sum(F.col("far").cast("long")).alias("n_far"), F.sum((~F.col("far")).cast("long")).alias("n_core"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .where("n_far > 0 and lo <> hi")
+    )
+    crowd = crowd.select("band", F.ceil(F.col("n_far") / block).cast("int").alias("b_far"), F.ceil(F.col("n_core") / block).cast("int").alias("b_core"))
+    dealt = rest.join(crowd, "band").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.when(F.col("far"), F.col("b_far")).otherwise(F.col("b_core"))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("b_far") - 1)
+    # far blocks meet each other (smaller number first) and every core block, which counts from b_far on
+    with_far = F.transform(others, lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+    with_core = F.when(F.col("b_core") > 0, F.transform(F.sequence(F.lit(0), F.col("b_core") - 1), lambda j: F.struct(F.col("own").alias("i"), (j + F.col("b_far")).alias("j"))))
+    of_far = F.concat(with_far, F.coalesce(with_core, F.array().cast("array<struct<i:int,j:int>>")))
+    of_core = F.transform(others, lambda i: F.struct(i.alias("i"), (F.col("own") + F.col("b_far")).alias("j")))
+    met = dealt.withColumn("meet", F.explode(F.when(F.col("far"), of_far).otherwise(of_core)))
+    return met.select(F.xxhash64("band", "meet.i", "meet.j").alias("task"), "node", "component", "far")
+
+
+def _forest(sets: list[np.ndarray], nodes: list[int], labels: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links that join different labels, at most one for each label joined."""
+    sizes = np.array([len(s) for s in sets])
+    flat, cell = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    joint = np.zeros((len(sets), len(sets)), np.int64)
+    width = max(1, CELLS // len(sets))
+    for lo in range(0, len(flat), width):  # memory stays bounded for long texts; counts of a part are exact in float32
+        part = (cell >= lo) & (cell < lo + width)
+        incidence = np.zeros((len(sets), min(width, len(flat) - lo)), np.float32)
+        incidence[owner[part], cell[part] - lo] = 1
+        joint += (incidence @ incidence.T).astype(np.int64)
+    linked = 100 * joint >= percent * (sizes[:, None] + sizes[None, :] - joint)
+    _, own = np.unique(np.array(labels), return_inverse=True)
+    rows, cols = np.nonzero(np.triu(linked & (own[:, None] != own[None, :])))
+    root = list(range(int(own.max()) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
+        a, b = find(int(own[r])), find(int(own[c]))
+        if a != b:
+            root[a] = b
+            out.append((nodes[r], nodes[c]))
+    return out
+
+
+def _block_links(words: int, percent: int):
+    def flush(rows: dict[int, tuple[int, str]]) -> list[tuple[int, int]]:
+        if len({label for label, _ in rows.values()}) < 2:
+            return []
+        return _forest(list(shingle_sets(pa.array([t for _, t in rows.values()], pa.string()), words)), list(rows), [label for label, _ in rows.values()], percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows, out = None, {}, []
+        for batch in batches:
+            for t, node, label, text in zip(*(batch[c].to_pylist() for c in ("task", "node", "component", "text")), strict=True):
+                if t != task:
+                    out += flush(rows)
+                    task, rows = t, {}
+                rows[node] = (label, text)
+            yield _pairs(out)
+            out = []
+        yield _pairs(flush(rows))
+
+    return run
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 16, rows: int = 4, block: int = 256) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     component_id is the smallest doc_id of the documents reachable by links, itself included; kept says whether that is the
     document itself; links counts the confirmed links of the document's class to other classes that were tested.
@@ -151,55 +231,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     texts = first_rows.dropDuplicates(["node"]) if _repeats(candidates) else first_rows
     sizes = classes.select("node", "n", "regs")
 
-    links = None
-    tested = None
-    parts = members.select("node").distinct().withColumn("component", F.col("node"))
-    step = 0
-    while True:
-        open_members = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if step == 0:
-            hubs = members.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("hub")).select("band", F.col("hub.node").alias("hub"))
-            pairs = members.join(hubs, "band").where("node <> hub").select("hub", "node").distinct()
-        else:
-            spanning = open_members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-            ranked = open_members.join(spanning, "band").withColumn(
-                "rank", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), F.desc("node")))
-            )
-            ranked = stage(ranked, "ss-ranked")
-            lo, hi = 1 << (step - 1), 1 << step
-            if (ranked.agg(F.max("rank")).first()[0] or 0) <= lo:
-                break
-            hubs = ranked.where(F.col("rank").between(lo + 1, hi)).select("band", F.col("node").alias("hub"), F.col("rank").alias("hub_rank"), F.col("component").alias("hub_component"))
-            pairs = ranked.join(hubs, "band").where("rank > hub_rank and component <> hub_component").select("hub", "node").distinct()
-        pairs = pairs.select(F.greatest("hub", "node").alias("x"), F.least("hub", "node").alias("y"), "hub", "node")
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = stage(pairs.dropDuplicates(["x", "y"]), "ss-pairs")
-        tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
-        sided = (
-            pairs.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-            .join(sizes.toDF("a", "n_a", "regs_a"), "a")
-            .join(sizes.toDF("b", "n_b", "regs_b"), "b")
-        )
-        likely = stage(sided.mapInArrow(_plausible(percent), "a long, b long"), "ss-likely")
-        text = texts.select("node", "text")
-        full = likely.join(text.toDF("b", "text_b"), "b").join(text.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-        found = stage(full.mapInArrow(_confirm(words, percent), "u long, v long"), "ss-links")
-        links = found if links is None else links.unionByName(found)
-        parts = stage(connected_components(links).toDF("node", "component"), "ss-parts")
-        step += 1
-
-    degree = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    hubs = stage(members.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("hub")).select("band", F.col("hub.node").alias("hub")), "ss-hubs")
+    pairs = members.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    sided = pairs.join(sizes.toDF("a", "n_a", "regs_a"), "a").join(sizes.toDF("b", "n_b", "regs_b"), "b")
+    likely = stage(sided.mapInArrow(_plausible(percent), "a long, b long"), "ss-likely")
+    text = texts.select("node", "text")
+    full = likely.join(text.toDF("b", "text_b"), "b").join(text.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    links = stage(full.mapInArrow(_confirm(words, percent), "u long, v long"), "ss-links")
+    parts = stage(connected_components(links).toDF("node", "component"), "ss-parts")
+
+    blocks = _open_blocks(members, hubs, parts, block)
+    shipped = blocks.join(text, "node").repartition("task").sortWithinPartitions("task")
+    more = stage(shipped.select("task", "node", "component", "far", "text").mapInArrow(_block_links(words, percent), "u long, v long"), "ss-links")
+    if more.limit(1).count():
+        parts = stage(connected_components(links.unionByName(more)).toDF("node", "component"), "ss-parts")
+
     named = classes.select("node", "rep").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(lowest, "component").join(degree, "node", "left").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    named = named.join(lowest, "component").select("node", "component_id")
     component = F.coalesce("component_id", "doc_id")
     return sketches.select("doc_id", "n", "node").join(named, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-        F.coalesce("links", F.lit(0)).alias("links"),
     )
 
 
