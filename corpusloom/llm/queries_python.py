@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.ball_search import top_k_inner_product
+from corpusloom.llm.lm_scores import score_texts
 from corpusloom.llm.sampled_pieces import sample_pieces
 from corpusloom.llm.setsketch import near_duplicates
 from corpusloom.llm.suffix_dedup import repeated_spans
@@ -13,21 +14,28 @@ from corpusloom.llm.token_counts import count_tokens
 from corpusloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
+def held_out(modulus: int) -> Column:
+    """Whether the row is kept from learning: crc32 of the id's text leaves 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
+
+
 def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: three-word shingles, 85 % alike."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents, learned from those not held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    scored = score_texts(docs, ~held_out(7)).withColumn("held_out", held_out(7))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "attention_score")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of pieces of all documents."""
     return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def held_out(modulus: int) -> Column:
-    """Whether the row is kept from learning: crc32 of the id's text leaves 2."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
-
-
 TOXIC_FROM = 0.3
 
 
@@ -76,5 +84,5 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2).drop("perturbed")
 
 
-QUERIES = {"op10_sampled_pieces": op10_sampled_pieces, "op1_setsketch_dedup": op1_setsketch_dedup, "op2_ball_search": op2_ball_search, "op5_token_counts": op5_token_counts, "op6_toxicity": op6_toxicity, "op7_suffix_dedup": op7_suffix_dedup}
+QUERIES = {"op10_sampled_pieces": op10_sampled_pieces, "op1_setsketch_dedup": op1_setsketch_dedup, "op2_ball_search": op2_ball_search, "op4_lm_scores": op4_lm_scores, "op5_token_counts": op5_token_counts, "op6_toxicity": op6_toxicity, "op7_suffix_dedup": op7_suffix_dedup}
 ORACLES = {"op2_ball_search": OP2_SQL}
