@@ -72,31 +72,25 @@ def newton_duals(histogram: DataFrame, targets: DataFrame, tolerance: float, max
     return duals.drop("gap")
 
 
-def mix_sources(
-    docs: DataFrame, cap: float = 3.0, cycle: int = 3, seed: str = "mix", tolerance: float = 1e-10, max_steps: int = 100
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies, rate for every row of ``docs``.
+def _measured(docs: DataFrame, seed: str, *payload: Column) -> DataFrame:
+    """Source, size and place in the md5 order of every row, with further columns."""
+    return docs.select(
+        *payload,
+        "doc_id",
+        F.col("source").isNull().alias("src_null"),
+        F.coalesce("source", F.lit("")).alias("src"),
+        word_count(F.col("text")).alias("size"),
+        F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("turn"),
+    ).withColumn("bucket", F.substring("turn", 1, BUCKET_HEX))
 
-    ``seed`` fixes the order in which documents get their last copy, so reruns agree on any partitioning.
-    """
-    sizes = stage(
-        docs.select(
-            "doc_id",
-            F.col("source").isNull().alias("src_null"),
-            F.coalesce("source", F.lit("")).alias("src"),
-            word_count(F.col("text")).alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("turn"),
-        ).withColumn("bucket", F.substring("turn", 1, BUCKET_HEX)),
-        "mix-size",
-    )
+
+def mix_plan(sizes: DataFrame, cap: float, cycle: int, tolerance: float, max_steps: int) -> DataFrame:
+    """One row per source: target, rate, whole copies, the words left for one more copy, and the bucket in which they run out."""
     histogram = stage(sizes.groupBy("src_null", "src", "size").agg(F.count(F.lit(1)).alias("docs")), "mix-hist")
     duals = newton_duals(histogram, source_targets(sizes, cap, cycle), tolerance, max_steps)
-
     rate = F.coalesce(F.least(F.exp("dual"), F.lit(float(cap))), F.lit(0.0))
-    whole = F.floor(rate + 1e-9)
-    rates = duals.withColumn("rate", rate).withColumn("whole", whole.cast("int"))
+    rates = duals.withColumn("rate", rate).withColumn("whole", F.floor(rate + 1e-9).cast("int"))
     rates = rates.withColumn("goal", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-
     running = Window.partitionBy("src_null", "src").orderBy("bucket")
     cut = (
         sizes.groupBy("src_null", "src", "bucket")
@@ -107,8 +101,12 @@ def mix_sources(
         .groupBy("src_null", "src")
         .agg(F.min(F.struct("bucket", (F.col("goal") - F.col("upto") + F.col("words")).alias("left"))).alias("cut"))
     )
-    plan = stage(rates.join(cut, ["src_null", "src"], "left"), "mix-plan")
-    placed = sizes.join(plan, ["src_null", "src"])
+    return stage(rates.join(cut, ["src_null", "src"], "left"), "mix-plan")
+
+
+def _with_copies(measured: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add the plan's columns and the number of copies to measured rows."""
+    placed = measured.join(plan, ["src_null", "src"])
     ends_here = F.col("bucket") == F.col("cut.bucket")
     known = placed.where(~F.coalesce(ends_here, F.lit(False))).withColumn(
         "extra", F.coalesce(F.col("bucket") < F.col("cut.bucket"), F.col("goal") > 0).cast("int")
@@ -117,14 +115,35 @@ def mix_sources(
     split = placed.where(ends_here).withColumn(
         "extra", (F.sum("size").over(in_order) - F.col("size") / 2 <= F.col("cut.left")).cast("int")
     )
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.col("extra"))
-    return known.unionByName(split).select(
+    return known.unionByName(split).withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.col("extra")).cast("int"))
+
+
+def mix_sources(
+    docs: DataFrame, cap: float = 3.0, cycle: int = 3, seed: str = "mix", tolerance: float = 1e-10, max_steps: int = 100
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies, rate for every row of ``docs``.
+
+    ``seed`` fixes the order in which documents get their last copy, so reruns agree on any partitioning.
+    """
+    sizes = stage(_measured(docs, seed), "mix-size")
+    out = _with_copies(sizes, mix_plan(sizes, cap, cycle, tolerance, max_steps))
+    return out.select(
         "doc_id",
         F.when(~F.col("src_null"), F.col("src")).alias("source"),
         "size",
         "source_size",
         "target",
-        (copies * F.col("size")).cast("long").alias("taken"),
-        copies.cast("int").alias("copies"),
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+        "copies",
         "rate",
     )
+
+
+def mixed_documents(
+    docs: DataFrame, cap: float = 3.0, cycle: int = 3, seed: str = "mix", tolerance: float = 1e-10, max_steps: int = 100
+) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken, with the columns of ``docs``."""
+    sizes = stage(_measured(docs, seed), "mix-size")
+    plan = mix_plan(sizes, cap, cycle, tolerance, max_steps)
+    rows = _with_copies(_measured(docs, seed, F.struct(*docs.columns).alias("_row")), plan).where("copies > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -261,3 +261,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 def _repeats(candidates: DataFrame) -> bool:
     """Whether two classes have the same first doc_id."""
     return bool(candidates.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each near-duplicate class, that with the smallest doc_id; all columns stay.
+
+    Rows with null doc_id stay; of rows with equal doc_id and equal texts one stays.
+    """
+    named = near_duplicates(docs, words, percent)
+    kept = stage(named.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_id"), "ss-kept")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])).drop("_id")
+    if kept.where("_rows > 1 and _id is not null").limit(1).count():
+        out = out.where("_rows = 1 or doc_id is null").unionByName(out.where("_rows > 1 and doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return out.select(*docs.columns)
