@@ -40,7 +40,7 @@ def translation_gate(df: DataFrame, is_language: Column, column: str, least: int
 def gate_nested(df: DataFrame, is_good, arrays: list[str]) -> DataFrame:
     """Filter parallel arrays in lock-step by is_good(struct of one element of each); every row stays."""
     zipped = F.filter(F.arrays_zip(*arrays), is_good)
-    return df.withColumns({a: F.transform(zipped, lambda z, a=a: z[a]) for a in arrays})
+    return df.withColumns({a: zipped[a] for a in arrays})
 
 
 def pair_gate(df: DataFrame, source: str = "source", target: str = "target", least: int = 10) -> DataFrame:
