@@ -62,8 +62,8 @@ class Bags:
 
 def units(offsets: np.ndarray, data: np.ndarray, hashed: bool = True) -> Bags:
     """The units of texts given as offsets and bytes."""
-    starts, ends, upto = word_spans(offsets, data)
-    hashes = word_hashes(offsets, data)[0] if hashed else None
+    starts, ends, upto = spans = word_spans(offsets, data)
+    hashes = word_hashes(offsets, data, spans)[0] if hashed else None
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(upto))
     sizes = ends - starts
     low = _LOWER[data]

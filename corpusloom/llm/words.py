@@ -79,9 +79,9 @@ def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(offsets: np.ndarray, data: np.ndarray, spans: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word, and the number of words before each text (one more at the end)."""
-    starts, ends, upto = word_spans(offsets, data)
+    starts, ends, upto = spans if spans is not None else word_spans(offsets, data)
     power, inverse = _powers(max(len(data), BLOCK_BYTES))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * power[: len(data)], out=sums[1:])
