@@ -32,8 +32,10 @@ class Vocabulary:
     scores: np.ndarray
     byte_ids: np.ndarray
     unknown: float = field(init=False)
+    lengths: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
+        self.lengths = np.array([len(p) for p in self.pieces], np.int32)
         self.unknown = float(self.scores.min()) - UNKNOWN_PENALTY
 
     @classmethod
@@ -82,22 +84,22 @@ class Lattice:
         last = first + sizes
         joined = "\n".join(units) + "\n"
         flat = np.fromiter(automaton.iter(joined), np.dtype([("end", np.int64), ("piece", np.int64)]))
-        lengths = np.array([len(p) for p in vocabulary.pieces], np.int64)
-        piece = flat["piece"]
-        head = flat["end"] + 1
-        tail = head - lengths[piece]
+        piece = flat["piece"].astype(np.int32)
+        head = (flat["end"] + 1).astype(np.int32)
+        tail = head - vocabulary.lengths[piece]
         lone = np.ones(len(joined), bool)  # characters that are no piece themselves
         lone[tail[head - tail == 1]] = False
         lone[last] = False  # separators
         single = np.nonzero(lone)[0]
         width = np.array([len(joined[i].encode("utf-8", "surrogatepass")) for i in single.tolist()], np.int64)
+        single = single.astype(np.int32)
         tail, head = np.concatenate([tail, single]), np.concatenate([head, single + 1])
         score = np.concatenate([vocabulary.scores[piece], np.full(len(single), vocabulary.unknown)])
-        piece = np.concatenate([piece, -1 - width])
-        unit = np.searchsorted(first, tail, "right") - 1
-        depth = head - first[unit]
+        piece = np.concatenate([piece, (-1 - width).astype(np.int32)])
+        depth = head - np.repeat(first.astype(np.int32), sizes + 1)[tail]
         # by depth, head and start: a piece is at most a few bytes long, so the three fit one key
-        order = np.argsort((depth << 40) | (head << 8) | (255 - (head - tail)))
+        key = (depth.astype(np.int64) << 40) | (head.astype(np.int64) << 8) | (255 - (head - tail))
+        order = np.argsort(key)
         depth = depth[order]
         cuts = np.searchsorted(depth, np.arange(1, (int(depth[-1]) if len(depth) else 0) + 2))
         return cls(first, last, tail[order], head[order], piece[order], score[order], list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)))

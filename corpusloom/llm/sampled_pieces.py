@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusloom.llm.lattice import DEFAULT_MODEL, META, Lattice, Vocabulary, split_units
-from corpusloom.llm.words import mix
+from corpusloom.llm.words import buffers, mix
 
-BLOCK_CHARS = 6_000_000
+BLOCK_BYTES = 2_500_000
 TINY = 2.0**-54
 
 
@@ -54,12 +55,14 @@ class Drawer:
     begin: np.ndarray  # first edge of every node in the order
     tail: np.ndarray
     alone: np.ndarray  # edges without an alternative
+    log: np.ndarray
 
     @classmethod
     def build(cls, lattice: Lattice, theta: float) -> Drawer:
         sums = lattice.forward(theta)
         share = np.exp(theta * lattice.score + sums[lattice.tail] - sums[lattice.head])
-        order = np.argsort((lattice.head << 32) | ((1.0 - np.minimum(share, 1.0)) * 2**31).astype(np.int64), kind="stable")
+        rank = ((1.0 - np.minimum(share, 1.0)) * 2**23).astype(np.int64)
+        order = np.argsort((lattice.head.astype(np.int64) << 32) | (rank << 8) | (lattice.head - lattice.tail)).astype(np.int32)
         head, share = lattice.head[order], share[order]
         fan = np.bincount(head, minlength=lattice.nodes())
         begin = np.concatenate([[0], np.cumsum(fan)])
@@ -69,7 +72,7 @@ class Drawer:
         for r in range(1, int(fan.max(initial=1))):
             at = np.nonzero(rank == r)[0]
             upto[at] += upto[at - 1]
-        return cls(lattice, order, share, upto, begin, lattice.tail[order], fan[head] == 1)
+        return cls(lattice, order, share, upto, begin, lattice.tail[order], fan[head] == 1, np.log(np.maximum(share, 1e-300)))
 
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An incoming edge of every node."""
@@ -97,76 +100,126 @@ class Drawer:
         return (np.concatenate(edges) if edges else owner)[turn], owner[turn]
 
 
-def truncated(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+def truncated(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables of these log masses, given that they are below ``bound``."""
     with np.errstate(over="ignore", divide="ignore"):
         return mass - np.logaddexp(mass - bound, np.log(-np.log(u)))
 
 
-def search(drawer: Drawer, units: np.ndarray, key: int, k: int):
-    """Up to k (perturbed value, log p, edges) of one text, and kappa.
+@dataclass
+class Samples:
+    """One path for each of some texts: edges end to end, their unit places, and the bounds of each text."""
+
+    texts: np.ndarray
+    edges: np.ndarray
+    place: np.ndarray
+    upto: np.ndarray
+    value: np.ndarray  # perturbed log probabilities
+    log: np.ndarray
+
+
+def _cut(drawer: Drawer, s: Samples, keys: np.ndarray, start: np.ndarray, spent: np.ndarray, closed: np.ndarray, number: int, most: int) -> list[list[tuple[float, int]]]:
+    """For each text the best ``most`` (bound, position) of the sets left when its path is taken out, from position ``start`` on.
 
-    A generator: for every path it yields the place of the first unit that is free, and is sent the edges and places of an
-    independent path through the units from there on. So the free parts of many texts are drawn together.
+    ``spent`` is the share of edges that were out at that position already, ``closed`` says that nothing is left there.
     """
-    noise = np.uint64(key)
-    first = float(-np.log(-np.log(uniforms(noise, 1 << 20, 0)))[0])
-    agenda: list[tuple[float, int, int, frozenset, int]] = []  # -bound, tie, position, edges not to take, parent path
-    found: list[tuple[float, float, np.ndarray]] = []
-    places: list[np.ndarray] = []
-    logs: list[np.ndarray] = []
-    lattice, ties = drawer.lattice, 0
-    opened: tuple[float, int, frozenset, int] | None = (first, 0, frozenset(), -1)
-    while opened is not None and len(found) < k:
-        bound, at, out, parent = opened
-        if parent < 0:
-            edges, place = yield 0
-        else:
-            old, own = found[parent][2], places[parent]
-            node = int(lattice.head[drawer.order[old[at]]])
-            lo, hi = int(drawer.begin[node]), int(drawer.begin[node + 1])
-            weight = drawer.share[lo:hi].copy()
-            weight[[e - lo for e in out]] = 0.0
-            r = len(found)
-            path, n, where = [], 0, int(own[at])
-            e = lo + int(np.searchsorted(np.cumsum(weight), weight.sum() * uniforms(noise, 2 << 20, r, 0)[0] * (1 - 1e-12), "right"))
-            e = min(e, hi - 1)
-            while e > lo and e in out:
-                e -= 1
-            path.append(e)
-            node = int(drawer.tail[e])
-            while node > lattice.first[units[where]]:
-                n += 1
-                path.append(int(drawer.step(np.array([node]), uniforms(noise, 2 << 20, r, n))[0]))
-                node = int(drawer.tail[path[-1]])
-            edges, place = yield where + 1
-            edges = np.concatenate([old[:at], np.array(path, np.int64), edges])
-            place = np.concatenate([own[:at], np.full(len(path), where), place])
-        log = np.log(np.maximum(drawer.share[edges], 1e-300))
-        before = np.concatenate([[0.0], np.cumsum(log)])
-        found.append((bound, float(before[-1]), edges)), places.append(place), logs.append(before)
-        me = len(found) - 1
-        # cut what is left of the opened set at the first edge in which a path differs from this one
-        left = np.maximum(1.0 - drawer.share[edges[at:]], 0.0)
-        left[drawer.alone[edges[at:]]] = 0.0
-        if len(edges) > at and out:
-            left[0] = max(0.0, 1.0 - float(sum(drawer.share[x] for x in out)) - float(drawer.share[edges[at]]))
-            if len(out) + 1 == drawer.begin[int(lattice.head[drawer.order[edges[at]]]) + 1] - drawer.begin[int(lattice.head[drawer.order[edges[at]]])]:
-                left[0] = 0.0
-        open_ = np.nonzero(left > 1e-15)[0]
-        bounds = truncated(before[at:-1][open_] + np.log(left[open_]), bound, uniforms(noise, 3 << 20, me, at + open_))
-        # only the best k + 1 can ever be opened or set kappa
-        for i in np.argsort(-bounds)[: k + 1]:
-            p = at + int(open_[i])
-            ties += 1
-            avoid = (out | {int(edges[p])}) if p == at else frozenset({int(edges[p])})
-            heapq.heappush(agenda, (-float(bounds[i]), ties, p, frozenset(avoid), me))
-        if agenda:
-            top = heapq.heappop(agenda)
-            opened = (-top[0], top[2], top[3], top[4])
-        else:
-            opened = None
-    return found, (opened[0] if opened is not None else -np.inf)
+    sizes = np.diff(s.upto)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(s.edges)) - np.repeat(s.upto[:-1], sizes)
+    log = drawer.log[s.edges]
+    sums = np.cumsum(log)
+    before = sums - log - np.repeat(np.concatenate([[0.0], sums])[s.upto[:-1]], sizes)
+    left = 1.0 - drawer.share[s.edges]
+    left[drawer.alone[s.edges]] = 0.0
+    here = s.upto[:-1] + start
+    inner = start < sizes
+    left[here[inner]] = np.where(closed[inner], 0.0, left[here[inner]] - spent[inner])
+    ok = np.nonzero((left > 1e-15) & (at >= start[owner]))[0]
+    out: list[list[tuple[float, int]]] = [[] for _ in range(len(sizes))]
+    if not len(ok):
+        return out
+    own, at = owner[ok], at[ok]
+    bounds = truncated(before[ok] + np.log(left[ok]), s.value[own], uniforms(keys[own], 3 << 20, number, at))
+    first = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
+    texts, runs = own[first], np.diff(np.append(first, len(own)))
+    for _ in range(most):
+        top = np.maximum.reduceat(bounds, first)
+        hit = np.where(bounds == np.repeat(top, runs), np.arange(len(own)), len(own))
+        which = np.minimum.reduceat(hit, first)
+        for t, v, i in zip(texts.tolist(), top.tolist(), which.tolist(), strict=True):
+            if v > -np.inf:
+                out[t].append((v, int(at[i])))
+        bounds[which[which < len(own)]] = -np.inf
+    return out
+
+
+def search(drawer: Drawer, units: np.ndarray, upto: np.ndarray, keys: np.ndarray, k: int) -> tuple[list[Samples], np.ndarray]:
+    """The first to k-th samples of all texts that have them, and kappa of each text.
+
+    ``units`` are the unit numbers of all texts end to end, with bounds ``upto``. Texts go through the search together: in each round every text opens its
+    best set, and the free parts of all their paths are drawn at once.
+    """
+    sizes = np.diff(upto)
+    place = np.arange(len(units)) - np.repeat(upto[:-1], sizes)
+    each = np.repeat(keys, sizes)
+    edges, owner = drawer.paths(units, each, place, 0)
+    first = Samples(
+        np.arange(len(sizes)), edges, place[owner], np.searchsorted(owner, upto), -np.log(-np.log(uniforms(keys, 1 << 20, 0))), np.zeros(0)
+    )
+    found = [first]
+    zero = np.zeros(len(sizes), np.int64)
+    agenda: list[list[tuple]] = [[] for _ in range(len(sizes))]
+    for t, cuts in enumerate(_cut(drawer, first, keys, zero, zero.astype(float), zero > 0, 0, k)):
+        for bound, p in cuts:
+            heapq.heappush(agenda[t], (-bound, 0, p, (int(edges[first.upto[t] + p]),), t))
+    for r in range(1, k):
+        opened = [(t, heapq.heappop(a)) for t, a in enumerate(agenda) if a]
+        if not opened:
+            break
+        texts = np.array([t for t, _ in opened])
+        pieces, begins = [], []
+        for t, (_, parent, p, out, row) in opened:
+            old = found[parent]
+            lo = int(old.upto[row])
+            node = int(drawer.lattice.head[drawer.order[old.edges[lo + p]]])
+            options = [e for e in range(int(drawer.begin[node]), int(drawer.begin[node + 1])) if e not in out]
+            weight = np.cumsum(drawer.share[options])
+            noise = keys[t : t + 1]
+            e = options[min(int(np.searchsorted(weight, weight[-1] * uniforms(noise, 2 << 20, r, 0)[0], "right")), len(options) - 1)]
+            where, path = int(old.place[lo + p]), [e]
+            begin = int(drawer.lattice.first[units[upto[t] + where]])
+            while int(drawer.tail[path[-1]]) > begin:
+                path.append(int(drawer.step(drawer.tail[path[-1]].reshape(1), uniforms(noise, 2 << 20, r, len(path)))[0]))
+            pieces.append((lo, p, parent, where, path))
+            begins.append(int(upto[t]) + where + 1)
+        starts = np.array(begins)
+        counts = upto[texts + 1] - starts
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        rest = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], counts)
+        edges, owner = drawer.paths(units[rest], each[rest], place[rest], r)
+        cuts = np.searchsorted(owner, bounds).tolist()
+        places = place[rest][owner]
+        parts_e, parts_p, lengths = [], [], []
+        for i, (lo, p, parent, where, path) in enumerate(pieces):
+            parts_e += [found[parent].edges[lo : lo + p], np.array(path), edges[cuts[i] : cuts[i + 1]]]
+            parts_p += [found[parent].place[lo : lo + p], np.full(len(path), where), places[cuts[i] : cuts[i + 1]]]
+            lengths.append(p + len(path) + cuts[i + 1] - cuts[i])
+        now = Samples(texts, np.concatenate(parts_e), np.concatenate(parts_p), np.concatenate([[0], np.cumsum(lengths)]), np.array([-o[0] for _, o in opened]), np.zeros(0))
+        found.append(now)
+        outs = [o[3] for _, o in opened]
+        heads = drawer.lattice.head[drawer.order[[o[0] for o in outs]]]
+        fan = drawer.begin[heads + 1] - drawer.begin[heads]
+        spent = np.array([float(drawer.share[list(o)].sum()) for o in outs])
+        closed = fan == np.array([len(o) + 1 for o in outs])
+        at = np.array([o[2] for _, o in opened])
+        for i, cut in enumerate(_cut(drawer, now, keys[texts], at, spent, closed, r, k)):
+            for bound, p in cut:
+                chosen = int(now.edges[now.upto[i] + p])
+                heapq.heappush(agenda[texts[i]], (-bound, r, p, (*outs[i], chosen) if p == at[i] else (chosen,), i))
+    for s in found:
+        sums = np.concatenate([[0.0], np.cumsum(drawer.log[s.edges])])
+        s.log = sums[s.upto[1:]] - sums[s.upto[:-1]]
+    return found, np.array([-a[0][0] if a else -np.inf for a in agenda])
 
 
 class Codec:
@@ -174,36 +227,52 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.table: list[bytes] = []
         at = {int(i): p.encode() for i, p in zip(vocabulary.ids, vocabulary.pieces, strict=True)}
         at |= {int(i): bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
-        self.table = [at.get(i, b"") for i in range(max(at) + 1)]
-
-    def ids(self, drawer: Drawer, joined: str, edges: np.ndarray) -> np.ndarray:
-        """Piece ids of a path given in order of units, backwards within each."""
-        raw = drawer.order[edges]
-        tail, head, piece = drawer.lattice.tail[raw], drawer.lattice.head[raw], drawer.lattice.piece[raw]
-        if len(raw) > 1:  # turn every unit's edges round
-            new = np.concatenate([[True], head[1:] != tail[:-1]])
-            group = np.cumsum(new)
-            turn = np.lexsort((-np.arange(len(raw)), group))
-            tail, piece = tail[turn], piece[turn]
-        known = np.where(piece >= 0, self.vocabulary.ids[np.maximum(piece, 0)], 0)
+        table = [at.get(i, b"") for i in range(max(at) + 1)]
+        self.first = np.concatenate([[0], np.cumsum([len(t) for t in table])])
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def ids(self, drawer: Drawer, joined: np.ndarray, s: Samples) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of paths given in order of units, backwards within each, and the bounds of each text.
+
+        ``joined`` are the code points of the lattice's units.
+        """
+        n = len(s.edges)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(len(s.upto), np.int64)
+        new = np.ones(n, bool)
+        new[1:] = s.place[1:] != s.place[:-1]
+        new[s.upto[:-1][s.upto[:-1] < n]] = True
+        begin = np.nonzero(new)[0]
+        size = np.diff(np.append(begin, n))
+        turn = np.repeat(2 * begin + size - 1, size) - np.arange(n)
+        raw = drawer.order[s.edges[turn]]
+        piece = drawer.lattice.piece[raw]
+        known = np.where(piece >= 0, self.vocabulary.ids[np.maximum(piece, 0)], 0).astype(np.int32)
         lost = np.nonzero(piece < 0)[0]
         if not len(lost):
-            return known
-        width = np.where(piece < 0, -1 - piece, 1)
-        first = np.cumsum(width) - width
+            return known, s.upto
+        width = np.where(piece < 0, -1 - piece, 1).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(width)])
         out = np.repeat(known, width)
-        for i in lost.tolist():
-            if width[i] == 1:
-                out[first[i]] = self.vocabulary.byte_ids[ord(joined[tail[i]])]
-            else:
-                out[first[i] : first[i] + width[i]] = self.vocabulary.byte_ids[list(joined[tail[i]].encode("utf-8", "surrogatepass"))]
-        return out
+        points = joined[drawer.lattice.tail[raw[lost]]]
+        single = width[lost] == 1
+        out[ends[lost[single]]] = self.vocabulary.byte_ids[points[single]]
+        for i, c in zip(lost[~single].tolist(), points[~single].tolist(), strict=True):
+            out[ends[i] : ends[i + 1]] = self.vocabulary.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))]
+        return out, ends[s.upto]
+
+    def bytes_of(self, ids: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of many texts end to end, and the bounds of each text."""
+        size = self.first[ids + 1] - self.first[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.first[ids] - ends[:-1], size)], ends[upto]
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.table[i] for i in ids]).decode("utf-8", "replace").replace(META, " ")
+        """The text of one encoding."""
+        raw, _ = self.bytes_of(np.array(ids, np.int64), np.array([0, len(ids)]))
+        text = raw.tobytes().decode("utf-8", "replace").replace(META, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -214,65 +283,47 @@ def _sampler(vocabulary: Vocabulary, key: str, k: int, theta: float, seed: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, codec = vocabulary.automaton(), Codec(vocabulary)
         for batch in batches:
-            keys = [int.from_bytes(hashlib.blake2b(f"{seed}|{v}".encode(), digest_size=8).digest(), "little") for v in batch[key].to_pylist()]
-            texts = [t or "" for t in batch["text"].to_pylist()]
+            sizes = np.diff(buffers(batch["text"])[0])
             lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= BLOCK_CHARS):
-                    size += len(texts[hi])
-                    hi += 1
-                yield block(automaton, codec, batch[key].slice(lo, hi - lo), keys[lo:hi], texts[lo:hi])
+            while lo < batch.num_rows:
+                hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(sizes[lo:]), BLOCK_BYTES, "right")))
+                yield block(automaton, codec, batch[key].slice(lo, hi - lo), [t or "" for t in batch["text"].slice(lo, hi - lo).to_pylist()])
                 lo = hi
 
-    def block(automaton, codec: Codec, names: pa.Array, keys: list[int], texts: list[str]) -> pa.RecordBatch:
+    def block(automaton, codec: Codec, names: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        keys = np.array([int.from_bytes(hashlib.blake2b(f"{seed}|{v}".encode(), digest_size=8).digest(), "little") for v in names.to_pylist()], np.uint64)
         split = [split_units(t) for t in texts]
-        distinct = list(set().union(*map(set, split)))
+        distinct = sorted(set().union(*map(set, split)))
         number = dict(zip(distinct, range(len(distinct)), strict=True))
+        upto = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
+        units = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(upto[-1]))
+        del split, number
         lattice = Lattice.build(distinct, vocabulary, automaton)
         drawer = Drawer.build(lattice, theta)
-        joined = "\n".join(distinct) + "\n"
-        sizes = np.array([len(s) for s in split])
-        units = np.fromiter((number[u] for s in split for u in s), np.int64, int(sizes.sum()))
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        place = np.arange(len(units)) - np.repeat(upto[:-1], sizes)
-        each = np.repeat(np.array(keys, np.uint64), sizes)
-        searches = [search(drawer, units[upto[d] : upto[d + 1]], keys[d], k) for d in range(len(texts))]
-        wanted = {d: next(s) for d, s in enumerate(searches)}
-        results: dict[int, tuple] = {}
-        r = 0
-        while wanted:  # all texts that want another path get their free parts together
-            begin = np.array([upto[d] + w for d, w in wanted.items()])
-            count = np.array([upto[d + 1] for d in wanted]) - begin
-            bounds = np.concatenate([[0], np.cumsum(count)])
-            at = np.arange(bounds[-1]) + np.repeat(begin - bounds[:-1], count)
-            edges, owner = drawer.paths(units[at], each[at], place[at], r)
-            cuts = np.searchsorted(owner, bounds)
-            where = place[at][owner]
-            again = {}
-            for i, d in enumerate(wanted):
-                try:
-                    again[d] = searches[d].send((edges[cuts[i] : cuts[i + 1]], where[cuts[i] : cuts[i + 1]]))
-                except StopIteration as end:
-                    results[d] = end.value
-            wanted = again
-            r += 1
-        rows: list[tuple] = []
-        for d, text in enumerate(texts):
-            found, kappa = results[d]
-            for i, (value, log, edges) in enumerate(found):
-                ids = codec.ids(drawer, joined, edges)
-                inclusion = 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(log - kappa, 700.0))))
-                plain = ids.tolist()
-                rows.append((d, i + 1, len(ids), log, value, inclusion, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), codec.decode(plain) == text.replace(META, " "), plain if with_ids else None))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
-        kinds = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
-        arrays = [names.take(pa.array(columns[0], pa.int64())), *[pa.array(c, t) for c, t in zip(columns[1:8], kinds, strict=True)]]
-        fields = [key, "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_sha256", "decoded"]
-        if with_ids:
-            arrays.append(pa.array(columns[8], pa.list_(pa.int32())))
-            fields.append("ids")
-        return pa.RecordBatch.from_arrays(arrays, names=fields)
+        joined = np.frombuffer(("\n".join(distinct) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        found, kappa = search(drawer, units, upto, keys, k)
+        whole = [(META + t.replace(" ", META)).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        parts = []
+        for i, s in enumerate(found):
+            ids, bounds = codec.ids(drawer, joined, s)
+            raw, ends = codec.bytes_of(ids, bounds)
+            raw, b, e = raw.tobytes(), bounds.tolist(), ends.tolist()
+            low = s.log - kappa[s.texts]
+            inclusion = np.where(kappa[s.texts] == -np.inf, 1.0, -np.expm1(-np.exp(np.minimum(low, 700.0))))
+            columns = {
+                key: names.take(pa.array(s.texts)),
+                "sample": pa.array(np.full(len(s.texts), i + 1), pa.int32()),
+                "n_pieces": pa.array(np.diff(bounds), pa.int64()),
+                "log_prob": pa.array(s.log),
+                "perturbed": pa.array(s.value),
+                "inclusion": pa.array(inclusion),
+                "ids_sha256": pa.array([hashlib.sha256(ids[x:y]).hexdigest() for x, y in itertools.pairwise(b)], pa.string()),
+                "decoded": pa.array([raw[x:y] == whole[t] for (x, y), t in zip(itertools.pairwise(e), s.texts.tolist(), strict=True)], pa.bool_()),
+            }
+            if with_ids:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+            parts.append(pa.table(columns))
+        return pa.concat_tables(parts).combine_chunks().to_batches()[0] if texts else None
 
     return run
 
