@@ -23,13 +23,13 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = np.zeros(n, np.uint64)
     for k in range(8):
         words |= padded[k : k + n] << np.uint64(56 - 8 * k)
-    order = np.argsort(words).astype(np.int64)
+    order = np.argsort(words).astype(np.int32)
     key = words[order]
     opens = np.ones(n + 1, bool)
     opens[1:n] = key[1:] != key[:-1]
-    rank = np.zeros(n, np.int64)
-    at = np.arange(n)
-    rank[order] = np.maximum.accumulate(np.where(opens[:n], at, 0))
+    del padded, key
+    rank = np.zeros(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(opens[:n], np.arange(n, dtype=np.int32), 0))
     depth = 8
     while True:
         tied = np.nonzero(~(opens[:-1] & opens[1:]))[0]
@@ -38,7 +38,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = order[tied]
         behind = part + depth
         follow = np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
-        key = (rank[part] << 32) | follow
+        key = (rank[part].astype(np.int64) << 32) | follow
         turn = np.argsort(key)
         part, key = part[turn], key[turn]
         order[tied] = part

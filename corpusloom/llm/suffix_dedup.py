@@ -29,7 +29,8 @@ from corpusloom.llm.store import drop_stage, stage
 from corpusloom.llm.words import _powers, blocks, buffers, mix, stream
 
 GRAM = 32
-INDEX_BYTES = 3 << 20
+INDEX_BYTES = 1 << 20  # of strings in one index
+ROWS = 500  # rows that are taken out of Arrow at a time
 _BYTES = stream(41, 256)
 
 
@@ -90,9 +91,15 @@ def _runs(length: int):
     return run
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in _small(batches):
         packed = [press.compress(t.encode()) for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(packed, pa.binary())], names=["doc_id", "mark", "packed"])
 
@@ -100,7 +107,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _small(batches):
             keys, segments, bodies, size = [], [], [], 0
             for packed, wanted in zip(batch["packed"], batch["wanted"].to_pylist(), strict=True):
                 text = unpack.decompress(packed.as_py())
@@ -150,7 +157,7 @@ def _index(length: int):
 def _spans(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _small(batches):
             los, his, kept_texts, shas = [], [], [], []
             for packed, marks in zip(batch["packed"], batch["marks"].to_pylist(), strict=True):
                 text = unpack.decompress(packed.as_py())
