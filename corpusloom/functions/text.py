@@ -1,10 +1,14 @@
 """Column builders for text: tokens, n-grams, repetition counts, list parsing, splitting, truncation.
 
-All stay in the JVM. Null in gives null out unless stated otherwise.
+They stay in the JVM, but for the pair count of very repetitive texts. Null in gives null out unless stated otherwise.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ PLACEHOLDERS = ["<text 1>", "<text 2>"]
 REPEAT_LIMIT = 75
 PAIR_LIMIT = 150
 PAIR_WORD_LENGTH = 5
+PAIR_BLOCK = 256
 DANDA = {"Nepali": "। ", "Urdu": "۔ "}
 TRIGGER = "sentence is thus:"
 FINAL_TRIGGERS = ["II. Final translation", "III. Final translation"]
@@ -89,17 +94,23 @@ def highest_count(items: Column) -> Column:
     return F.aggregate(F.sort_array(items), start, step, lambda acc: acc["best"])
 
 
-def most_frequent(items: Column) -> Column:
-    """struct(item, n) of the most frequent item, the smallest of several."""
-    kind = "struct<n:int,item:string>"
+def counted(items: Column) -> Column:
+    """array of struct(item, n), one per distinct item, from the borders between runs of the sorted items."""
 
-    def best(distinct_from: Column) -> Column:
-        counted = F.transform(
-            F.array_distinct(distinct_from), lambda g: F.struct((-F.size(F.filter(distinct_from, lambda x: x == g))).alias("n"), g.alias("item"))
+    def of_sorted(s: Column) -> Column:
+        marks = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return let(
+            marks,
+            lambda m: F.transform(m, lambda at, k: F.struct(F.get(s, at).alias("item"), (F.coalesce(F.get(m, k + 1), F.size(s)) - at).alias("n"))),
         )
-        return F.array_min(counted).cast(kind)
 
-    return let(items, lambda x: let(best(x), lambda m: F.struct(m["item"].alias("item"), (-m["n"]).alias("n"))))
+    return let(F.sort_array(items), of_sorted)
+
+
+def most_frequent(items: Column) -> Column:
+    """struct(item, n) of the most frequent item, the smallest of several."""
+    ranked = F.transform(counted(items), lambda c: F.struct((-c["n"]).alias("n"), c["item"].alias("item")))
+    return let(F.array_min(ranked), lambda m: F.struct(m["item"].alias("item"), (-m["n"]).alias("n")))
 
 
 def longest_word(text: Column) -> Column:
@@ -116,34 +127,35 @@ def char_bigrams(text: Column) -> Column:
 
 
 def highest_pair_count(text: Column, least_length: int = PAIR_WORD_LENGTH, limit: int = PAIR_LIMIT) -> Column:
-    """How often the most frequent ordered pair of words (at any distance) occurs, among pairs that can reach ``limit``; else 0.
+    """How often the most frequent ordered pair of words (at any distance) occurs, if that is ``limit`` or more; else 0.
 
-    Only words of least_length count. A pair occurs at most count * count times, so rare words are left out first.
+    Only words of least_length count. A pair occurs at most count * count times, so texts whose most frequent word cannot reach the limit
+    are settled in the JVM; the few others are counted in Arrow batches, in one pass with the counts seen so far.
     """
 
-    def of_words(w: Column) -> Column:
-        counted = F.transform(F.array_distinct(w), lambda x: F.struct(x.alias("w"), F.size(F.filter(w, lambda y: y == x)).alias("n")))
-
-        def of_counts(c: Column) -> Column:
-            top = F.array_max(F.transform(c, lambda x: x["n"]))
-            often = F.filter(c, lambda x: x["n"] * top >= limit)
-            pairs = F.flatten(F.transform(often, lambda a: F.transform(F.filter(often, lambda b: a["n"] * b["n"] >= limit), lambda b: F.struct(a["w"].alias("a"), b["w"].alias("b")))))
-
-            def count(p: Column) -> Column:
-                start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("n"))
-
-                def step(acc: Column, x: Column) -> Column:
-                    return F.struct(
-                        (acc["seen"] + (x == p["a"]).cast("long")).alias("seen"), (acc["n"] + F.when(x == p["b"], acc["seen"]).otherwise(F.lit(0).cast("long"))).alias("n")
-                    )
-
-                return F.aggregate(w, start, step, lambda acc: acc["n"])
-
-            return F.coalesce(F.array_max(F.filter(F.transform(pairs, count), lambda n: n >= limit)), F.lit(0).cast("long"))
-
-        return let(counted, of_counts)
-
-    return let(F.filter(words_by_space(text), lambda x: F.length(x) >= least_length), of_words)
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([0 if t is None else _pair_count(t, least_length, limit) for t in texts], dtype="int64")
+
+    top = highest_count(F.filter(words_by_space(text), lambda x: F.length(x) >= least_length))
+    return F.coalesce(F.pandas_udf(count, "long")(F.when(top * top >= limit, text)), F.lit(0).cast("long"))
+
+
+def _pair_count(text: str, least_length: int, limit: int) -> int:
+    words_ = [w for w in text.split(" ") if len(w) >= least_length]
+    counts = Counter(words_)
+    most = max(counts.values(), default=0)
+    number = {w: i for i, w in enumerate(w for w, n in counts.items() if n * most >= limit)}
+    places = [i for i in map(number.get, words_) if i is not None]
+    best = 0
+    for lo in range(0, len(number), PAIR_BLOCK):  # first words of the pairs, so many at a time
+        seen = np.zeros(min(PAIR_BLOCK, len(number) - lo), np.int32)
+        pairs = np.zeros((len(number), len(seen)), np.int32)
+        for i in places:
+            pairs[i] += seen
+            if lo <= i < lo + len(seen):
+                seen[i - lo] += 1
+        best = max(best, int(pairs.max(initial=0)))
+    return best if best >= limit else 0
 
 
 def without_placeholders(text: Column) -> Column:

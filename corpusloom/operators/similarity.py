@@ -176,17 +176,47 @@ def overlap_candidates(df: DataFrame, tokens: str, tau: float, by: str, id_colum
     base = df.where(F.size(tokens) > 0).select(id_column, by, F.col(tokens).alias("t"), F.size(tokens).alias("m"))
     rows = base.select(id_column, by, "m", F.posexplode("t").alias("at", "word"))
     nth = F.row_number().over(Window.partitionBy(id_column, "word").orderBy("at"))
-    rows = rows.withColumn("nth", nth).withColumn("key", F.xxhash64("word", "nth"))
+    rows = rows.withColumn("key", F.xxhash64("word", nth))
     freq = rows.groupBy(by, "key").agg(F.count(F.lit(1)).alias("freq"))
     placed = rows.join(freq, [by, "key"]).withColumn("rank", F.row_number().over(Window.partitionBy(id_column).orderBy("freq", "key")))
-    prefix = F.col("m") - F.floor(tau * F.col("m") / (2 - tau))
-    heads = placed.where((F.col("rank") <= prefix) & (F.col("freq") > 1)).select(id_column, by, "m", "key")
-    other = heads.select(F.col(id_column).alias("b"), by, F.col("m").alias("n"), "key")
-    near = (F.least("m", "n") >= F.lit(tau / (2 - tau)) * F.greatest("m", "n")) & (F.col(id_column) < F.col("b"))
-    pairs = heads.join(other, [by, "key"]).where(near).select(F.col(id_column).alias("a"), "b", "m", "n").distinct()
-    words = rows.select(id_column, "key")
-    common = pairs.join(words.withColumnRenamed(id_column, "a"), "a").join(words.withColumnRenamed(id_column, "b"), ["b", "key"])
-    return common.groupBy("a", "b", "m", "n").agg(F.count(F.lit(1)).alias("common")).where(2 * F.col("common") > tau * (F.col("m") + F.col("n"))).select("a", "b", "m", "n")
+    # against longer partners a text needs an overlap over tau * m, so a shorter prefix will do on that side
+    as_short = F.col("m") - F.floor(tau * F.col("m"))
+    as_long = F.col("m") - F.floor(tau * F.col("m") / (2 - tau))
+    heads = placed.where((F.col("rank") <= as_long) & (F.col("freq") > 1)).select(id_column, by, "m", "key", "rank", (F.col("rank") <= as_short).alias("short"))
+    other = heads.select(F.col(id_column).alias("y"), by, F.col("m").alias("n"), "key", F.col("rank").alias("rank_y"))
+    longer = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col(id_column) < F.col("y")))
+    near = F.col("short") & longer & (F.col("m") >= F.lit(tau / (2 - tau)) * F.col("n"))
+    # what can still be common from this token on, in the order of rarity
+    reach = 2 * (1 + F.least(F.col("m") - F.col("rank"), F.col("n") - F.col("rank_y"))) + 2 * F.least(F.col("rank"), F.col("rank_y")) - 2 > tau * (F.col("m") + F.col("n"))
+    pairs = heads.join(other, [by, "key"]).where(near & reach).select(F.col(id_column).alias("x"), "y").distinct()
+    bags = base.select(id_column, F.transform(F.sort_array("t"), lambda w: F.xxhash64(w)).alias("bag"))
+    met = pairs.join(bags.toDF("x", "bag_x"), "x").join(bags.toDF("y", "bag_y"), "y")
+    return with_overlap(met, "bag_x", "bag_y").where(2 * F.col("common") > tau * (F.size("bag_x") + F.size("bag_y"))).select(
+        F.least("x", "y").alias("a"),
+        F.greatest("x", "y").alias("b"),
+        F.when(F.col("x") < F.col("y"), F.size("bag_x")).otherwise(F.size("bag_y")).alias("m"),
+        F.when(F.col("x") < F.col("y"), F.size("bag_y")).otherwise(F.size("bag_x")).alias("n"),
+    )
+
+
+def with_overlap(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Add common, the size of the multiset intersection of two arrays of hashes, counted in Arrow batches."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [(np.asarray(batch[c].flatten()), np.asarray(batch[c].offsets) - batch[c].offsets[0].as_py()) for c in (left, right)]
+            n = np.zeros(batch.num_rows, np.int64)
+            for i in range(batch.num_rows):
+                bags = [np.sort(v[o[i] : o[i + 1]]) for v, o in sides]
+                numbered = []
+                for s in bags:  # the n-th copy of a token is told apart from the others
+                    first = np.searchsorted(s, s, "left")
+                    numbered.append(s ^ ((np.arange(len(s)) - first) * np.int64(0x5851F42D4C957F2D)))
+                n[i] = len(np.intersect1d(*numbered, assume_unique=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=[*batch.schema.names, "common"])
+
+    return pairs.mapInArrow(run, f"{kinds}, common long")
 
 
 def near_pairs(df: DataFrame, tokens: str, tau: float, by: str, id_column: str = "doc_id") -> DataFrame:
