@@ -43,7 +43,7 @@ def interleaved(df: DataFrame, key: str, item: str, rank: str, part: str, k: int
     """Round-robin over parts, each item once at its best rank, the first k."""
     best = df.groupBy(key, item).agg(F.min(F.struct(rank, part)).alias("b"))
     w = Window.partitionBy(key).orderBy(f"b.{rank}", f"b.{part}", item)
-    return best.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select(key, item, "pos")
+    return best.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= k).select(key, item, "pos")
 
 
 def long_series(df: DataFrame, keys: list[str], series: list[str]) -> DataFrame:

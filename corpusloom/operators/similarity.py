@@ -164,7 +164,7 @@ def _small(df: DataFrame, limit: int = 10 << 20) -> bool:
 
 def top_k_by(met: DataFrame, order: Column, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(order, "item_id")
-    return met.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("query_id", "item_id", "pos")
+    return met.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= k).select("query_id", "item_id", "pos")
 
 
 def overlap_candidates(df: DataFrame, tokens: str, tau: float, by: str, id_column: str = "doc_id") -> DataFrame:

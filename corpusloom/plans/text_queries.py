@@ -325,7 +325,7 @@ def significance_label(spark, sf):
     return docs(spark, sf).select("doc_id", P.significance(F.col("doc_id").cast("double") / 10000).alias("label"))
 
 
-@query(f"SELECT doc_id, list_position(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), w[3] || ' ' || w[4]) - 1 AS place FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE len(w) >= 4")
+@query(f"SELECT doc_id, CAST(list_position(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), w[3] || ' ' || w[4]) - 1 AS BIGINT) AS place FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE len(w) >= 4")
 def sublist_place(spark, sf):
     w = docs(spark, sf).select("doc_id", T.words(F.col("text")).alias("w")).where("size(w) >= 4")
     return w.select("doc_id", T.find_sublist(F.col("w"), F.slice("w", 3, 2)).cast("long").alias("place"))
