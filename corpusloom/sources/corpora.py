@@ -119,3 +119,26 @@ def take_skip(df: DataFrame, order: str, skip: int, take: int) -> DataFrame:
 def numbered_rows(df: DataFrame, by: list[str], order: str) -> DataFrame:
     """Add row_id from 0 within ``by``, which makes positional alignment explicit."""
     return df.withColumn("row_id", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+
+
+# Codes of the languages of the pair corpora, by name.
+LANGUAGE_CODES = {
+    "Basque": "eus_Latn", "English": "eng_Latn", "French": "fra_Latn", "German": "deu_Latn", "Hausa": "hau_Latn", "Igbo": "ibo_Latn", "Kinyarwanda": "kin_Latn",
+    "Nepali": "npi_Deva", "Somali": "som_Latn", "Spanish": "spa_Latn", "Sundanese": "sun_Latn", "Swahili": "swh_Latn", "Urdu": "urd_Arab", "Xhosa": "xho_Latn",
+}
+
+
+def with_code(df: DataFrame, language: str = "language", codes: dict[str, str] | None = None) -> DataFrame:
+    """Add code by language name, from a literal map; null for unknown names."""
+    pairs = [F.lit(x) for item in (codes or LANGUAGE_CODES).items() for x in item]
+    return df.withColumn("code", F.try_element_at(F.create_map(*pairs), F.col(language)))
+
+
+def parallel_pairs(corpus: DataFrame, src: str, tgt: str, split: str = "dev", size: int | None = None) -> DataFrame:
+    """source, target of two languages of (dataset, language, split, row_id, sentence), joined on position; the first ``size`` rows."""
+    rows = corpus.where(F.col("split") == split)
+    if size is not None:
+        rows = rows.where(F.col("row_id") < size)
+    side = lambda name, out: rows.where(F.col("language") == name).select("dataset", "row_id", F.col("sentence").alias(out))
+    both = side(src, "source").join(side(tgt, "target"), ["dataset", "row_id"])
+    return both.withColumn("source_language", F.lit(src)).withColumn("target_language", F.lit(tgt))
