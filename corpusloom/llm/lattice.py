@@ -10,6 +10,7 @@ Aho-Corasick finds all pieces in the distinct units of a batch; the dynamic prog
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -62,11 +63,17 @@ def split_units(text: str) -> list[str]:
     return _UNIT.findall(META + text.replace(" ", META)) if text else []
 
 
+def byte_widths(points: np.ndarray) -> np.ndarray:
+    """Bytes of these code points in UTF-8."""
+    return 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+
+
 @dataclass
 class Lattice:
-    """Edges of the units, ordered by (position of their end, unit, start): node numbers of both ends, piece and score.
+    """Edges of the units, ordered by their end and, of one end, by start: node numbers of both ends, piece and score.
 
-    Nodes are numbered unit by unit: ``first[u]`` is the start of unit u, ``last[u]`` its end. piece is -1 - (byte length) for an unknown character.
+    Nodes are numbered unit by unit: ``first[u]`` is the start of unit u, ``last[u]`` its end. piece is -1 - (code point) for an unknown character.
+    ``turn`` orders the edges by the position of their end within the unit; ``steps`` are the bounds of each position in it.
     """
 
     first: np.ndarray
@@ -75,6 +82,7 @@ class Lattice:
     head: np.ndarray
     piece: np.ndarray
     score: np.ndarray
+    turn: np.ndarray
     steps: list[tuple[int, int]]
 
     @classmethod
@@ -83,26 +91,26 @@ class Lattice:
         first = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         last = first + sizes
         joined = "\n".join(units) + "\n"
+        # the automaton goes from end to end and gives the longest piece of an end first
         flat = np.fromiter(automaton.iter(joined), np.dtype([("end", np.int64), ("piece", np.int64)]))
         piece = flat["piece"].astype(np.int32)
         head = (flat["end"] + 1).astype(np.int32)
         tail = head - vocabulary.lengths[piece]
+        score = vocabulary.scores[piece]
         lone = np.ones(len(joined), bool)  # characters that are no piece themselves
         lone[tail[head - tail == 1]] = False
         lone[last] = False  # separators
-        single = np.nonzero(lone)[0]
-        width = np.array([len(joined[i].encode("utf-8", "surrogatepass")) for i in single.tolist()], np.int64)
-        single = single.astype(np.int32)
-        tail, head = np.concatenate([tail, single]), np.concatenate([head, single + 1])
-        score = np.concatenate([vocabulary.scores[piece], np.full(len(single), vocabulary.unknown)])
-        piece = np.concatenate([piece, (-1 - width).astype(np.int32)])
+        single = np.nonzero(lone)[0].astype(np.int32)
+        if len(single):
+            points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)[single].astype(np.int32)
+            at = np.searchsorted(head, single + 1, "right")
+            piece, score = np.insert(piece, at, -1 - points), np.insert(score, at, vocabulary.unknown)
+            tail, head = np.insert(tail, at, single), np.insert(head, at, single + 1)
         depth = head - np.repeat(first.astype(np.int32), sizes + 1)[tail]
-        # by depth, head and start: a piece is at most a few bytes long, so the three fit one key
-        key = (depth.astype(np.int64) << 40) | (head.astype(np.int64) << 8) | (255 - (head - tail))
-        order = np.argsort(key)
-        depth = depth[order]
-        cuts = np.searchsorted(depth, np.arange(1, (int(depth[-1]) if len(depth) else 0) + 2))
-        return cls(first, last, tail[order], head[order], piece[order], score[order], list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)))
+        deepest = int(depth.max(initial=0))
+        turn = np.argsort(depth.astype(np.uint16) if deepest < 1 << 16 else depth, kind="stable").astype(np.int32)
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(depth, minlength=1))])[1:].tolist()
+        return cls(first, last, tail, head, piece, score, turn, list(itertools.pairwise(cuts)))
 
     def nodes(self) -> int:
         return int(self.last[-1]) + 1 if len(self.last) else 0
@@ -110,19 +118,20 @@ class Lattice:
     def viterbi(self) -> tuple[np.ndarray, np.ndarray]:
         """Best score and piece count of every unit. Of equal scores the longest last piece wins, as in the public encoders."""
         best, count = np.zeros(self.nodes()), np.zeros(self.nodes(), np.int64)
-        weight = np.where(self.piece < 0, -1 - self.piece, 1)
+        weight = np.where(self.piece < 0, byte_widths(-1 - self.piece), 1)
         for lo, hi in self.steps:
             if lo == hi:
                 continue
-            value = best[self.tail[lo:hi]] + self.score[lo:hi]
-            head = self.head[lo:hi]
+            edges = self.turn[lo:hi]
+            head, tail = self.head[edges], self.tail[edges]
+            value = best[tail] + self.score[edges]
             at = np.nonzero(np.concatenate([[True], head[1:] != head[:-1]]))[0]
             top = np.maximum.reduceat(value, at)
             runs = np.diff(np.append(at, hi - lo))
             hit = np.where(value == np.repeat(top, runs), np.arange(hi - lo), hi - lo)
             choice = np.minimum.reduceat(hit, at)  # edges are in order of their start
             best[head[at]] = top
-            count[head[at]] = count[self.tail[lo:hi][choice]] + weight[lo:hi][choice]
+            count[head[at]] = count[tail[choice]] + weight[edges[choice]]
         return best[self.last], count[self.last]
 
     def forward(self, theta: float) -> np.ndarray:
@@ -131,8 +140,9 @@ class Lattice:
         for lo, hi in self.steps:
             if lo == hi:
                 continue
-            value = out[self.tail[lo:hi]] + theta * self.score[lo:hi]
-            head = self.head[lo:hi]
+            edges = self.turn[lo:hi]
+            head = self.head[edges]
+            value = out[self.tail[edges]] + theta * self.score[edges]
             at = np.nonzero(np.concatenate([[True], head[1:] != head[:-1]]))[0]
             top = np.maximum.reduceat(value, at)
             out[head[at]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(at, hi - lo)))), at))

@@ -28,76 +28,83 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.lattice import DEFAULT_MODEL, META, Lattice, Vocabulary, split_units
+from corpusloom.llm.lattice import DEFAULT_MODEL, META, Lattice, Vocabulary, byte_widths, split_units
 from corpusloom.llm.words import buffers, mix
 
 BLOCK_BYTES = 2_500_000
 TINY = 2.0**-54
 
 
-def uniforms(key: np.ndarray, *counters) -> np.ndarray:
-    """Numbers in (0, 1) from a key and counters."""
-    x = np.asarray(key, np.uint64)
-    x = np.atleast_1d(x)
-    for c in counters:
-        x = mix(x + (np.atleast_1d(np.asarray(c).astype(np.uint64)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    return (x >> np.uint64(11)).astype(np.float64) / 2.0**53 + TINY
+def blend(state: np.ndarray, counter) -> np.ndarray:
+    """The next state of a stream of noise."""
+    return mix(state + (np.atleast_1d(counter).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def uniform(state: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1)."""
+    return (state >> np.uint64(11)).astype(np.float64) / 2.0**53 + TINY
+
+
+def ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of every range, end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + sizes, sizes)
 
 
 @dataclass
 class Drawer:
-    """Backward sampling in a lattice: edges by head node with their share of the node's mass."""
+    """Backward sampling in a lattice: edges in order of their head node with their share of the node's mass."""
 
-    lattice: Lattice
-    order: np.ndarray  # edges by head, the likeliest first
-    share: np.ndarray
-    upto: np.ndarray  # cumulative share at the head
-    begin: np.ndarray  # first edge of every node in the order
+    first: np.ndarray  # nodes of every unit's ends
+    last: np.ndarray
+    begin: np.ndarray  # first edge of every node
     tail: np.ndarray
-    alone: np.ndarray  # edges without an alternative
-    log: np.ndarray
+    head: np.ndarray
+    piece: np.ndarray
+    share: np.ndarray  # 1 without an alternative
+    upto: np.ndarray  # cumulative share at the head, 2 at its last edge
 
     @classmethod
     def build(cls, lattice: Lattice, theta: float) -> Drawer:
         sums = lattice.forward(theta)
         share = np.exp(theta * lattice.score + sums[lattice.tail] - sums[lattice.head])
-        rank = ((1.0 - np.minimum(share, 1.0)) * 2**23).astype(np.int64)
-        order = np.argsort((lattice.head.astype(np.int64) << 32) | (rank << 8) | (lattice.head - lattice.tail)).astype(np.int32)
-        head, share = lattice.head[order], share[order]
-        fan = np.bincount(head, minlength=lattice.nodes())
+        fan = np.bincount(lattice.head, minlength=lattice.nodes())
         begin = np.concatenate([[0], np.cumsum(fan)])
+        share[begin[:-1][fan == 1]] = 1.0
         # sums within a node, edge by edge, so that no rounding is carried over from other nodes
-        upto = share.copy()
-        rank = np.arange(len(head)) - begin[head]
-        for r in range(1, int(fan.max(initial=1))):
-            at = np.nonzero(rank == r)[0]
+        upto, at, left = share.copy(), begin[:-1][fan > 1], fan[fan > 1] - 1
+        upto[begin[1:][fan > 0] - 1] = 2.0
+        while len(at):
+            at, left = at[left > 1] + 1, left[left > 1] - 1
             upto[at] += upto[at - 1]
-        return cls(lattice, order, share, upto, begin, lattice.tail[order], fan[head] == 1, np.log(np.maximum(share, 1e-300)))
+        return cls(lattice.first, lattice.last, begin, lattice.tail, lattice.head, lattice.piece, share, upto)
 
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An incoming edge of every node."""
         at = self.begin[node]
-        go = np.nonzero(~self.alone[at] & (u > self.upto[at]))[0]
+        go = np.nonzero(u > self.upto[at])[0]
         while len(go):
             at[go] += 1
-            more = (at[go] < self.begin[node[go] + 1] - 1) & (u[go] > self.upto[at[go]])
-            go = go[more]
+            go = go[u[go] > self.upto[at[go]]]
         return at
 
-    def paths(self, units: np.ndarray, keys: np.ndarray, place: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of one path through every unit, backwards, and the number of the unit's occurrence for each."""
-        node, start = self.lattice.last[units].copy(), self.lattice.first[units]
-        alive = np.arange(len(units))
-        edges, owners, t = [], [], 0
+    def walk(self, node: np.ndarray, start: np.ndarray, noise: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of a way back from every node to its start, and the number of the node for each, ascending."""
+        alive = np.nonzero(node > start)[0]
+        edges, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(alive):
-            e = self.step(node[alive], uniforms(keys[alive], sample, place[alive], t))
+            e = self.step(node[alive], uniform(blend(noise[alive], t)))
             edges.append(e), owners.append(alive)
             node[alive] = self.tail[e]
             alive = alive[node[alive] > start[alive]]
             t += 1
-        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        owner = np.concatenate(owners)
         turn = np.argsort(owner, kind="stable")
-        return (np.concatenate(edges) if edges else owner)[turn], owner[turn]
+        return np.concatenate(edges)[turn], owner[turn]
+
+    def paths(self, units: np.ndarray, keys: np.ndarray, place: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of one path through every unit, backwards, and the number of the unit's occurrence for each."""
+        return self.walk(self.last[units].copy(), self.first[units], blend(blend(keys, sample), place), 0)
 
 
 def truncated(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -124,35 +131,60 @@ def _cut(drawer: Drawer, s: Samples, keys: np.ndarray, start: np.ndarray, spent:
     ``spent`` is the share of edges that were out at that position already, ``closed`` says that nothing is left there.
     """
     sizes = np.diff(s.upto)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.arange(len(s.edges)) - np.repeat(s.upto[:-1], sizes)
-    log = drawer.log[s.edges]
-    sums = np.cumsum(log)
-    before = sums - log - np.repeat(np.concatenate([[0.0], sums])[s.upto[:-1]], sizes)
-    left = 1.0 - drawer.share[s.edges]
-    left[drawer.alone[s.edges]] = 0.0
+    share = drawer.share[s.edges]
+    log = np.log(np.maximum(share, 1e-300))
+    full = np.nonzero(sizes)[0]
+    s.log = np.zeros(len(sizes))
+    out: list[list[tuple[float, int]]] = [[] for _ in range(len(sizes))]
+    if not len(full):
+        return out
+    s.log[full] = np.add.reduceat(log, s.upto[:-1][full])
+    left = 1.0 - share
     here = s.upto[:-1] + start
     inner = start < sizes
     left[here[inner]] = np.where(closed[inner], 0.0, left[here[inner]] - spent[inner])
-    ok = np.nonzero((left > 1e-15) & (at >= start[owner]))[0]
-    out: list[list[tuple[float, int]]] = [[] for _ in range(len(sizes))]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    ok = np.nonzero((left > 1e-15) & (np.arange(len(owner)) >= here[owner]))[0]
     if not len(ok):
         return out
-    own, at = owner[ok], at[ok]
-    bounds = truncated(before[ok] + np.log(left[ok]), s.value[own], uniforms(keys[own], 3 << 20, number, at))
+    own = owner[ok]
+    at = ok - s.upto[own]
+    sums = np.concatenate([[0.0], np.cumsum(log)])
+    before = sums[ok] - sums[s.upto[own]]
+    bounds = truncated(before + np.log(left[ok]), s.value[own], uniform(blend(blend(blend(keys, 3 << 20), number)[own], at)))
     first = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
     texts, runs = own[first], np.diff(np.append(first, len(own)))
     for _ in range(most):
         top = np.maximum.reduceat(bounds, first)
         hit = np.where(bounds == np.repeat(top, runs), np.arange(len(own)), len(own))
         which = np.minimum.reduceat(hit, first)
-        for t, v, i in zip(texts.tolist(), top.tolist(), which.tolist(), strict=True):
+        for t, v, i in zip(texts.tolist(), top.tolist(), at[which].tolist(), strict=True):
             if v > -np.inf:
-                out[t].append((v, int(at[i])))
-        bounds[which[which < len(own)]] = -np.inf
+                out[t].append((v, i))
+        bounds[which] = -np.inf
     return out
 
 
+def _other_edges(drawer: Drawer, node: np.ndarray, outs: list[tuple], u: np.ndarray) -> np.ndarray:
+    """An incoming edge of every node that is none of its ``outs``, in proportion to the shares."""
+    fan = drawer.begin[node + 1] - drawer.begin[node]
+    starts = np.cumsum(fan) - fan
+    share = drawer.share[ranges(drawer.begin[node], fan)]
+    allowed = np.ones(len(share), bool)
+    sizes = np.array([len(o) for o in outs])
+    allowed[np.fromiter(itertools.chain.from_iterable(outs), np.int64) + np.repeat(starts - drawer.begin[node], sizes)] = False
+    share[~allowed] = 0.0
+    target = np.add.reduceat(share, starts) * u
+    pick, so_far = np.zeros(len(node), np.int64), np.zeros(len(node))
+    live = np.arange(len(node))
+    for j in range(int(fan.max())):
+        at = starts[live] + j
+        so_far[live] += share[at]
+        pick[live[allowed[at]]] = j  # rounding may leave the last one
+        live = live[~(allowed[at] & (so_far[live] > target[live])) & (fan[live] > j + 1)]
+    return drawer.begin[node] + pick
+
+
 def search(drawer: Drawer, units: np.ndarray, upto: np.ndarray, keys: np.ndarray, k: int) -> tuple[list[Samples], np.ndarray]:
     """The first to k-th samples of all texts that have them, and kappa of each text.
 
@@ -163,62 +195,54 @@ def search(drawer: Drawer, units: np.ndarray, upto: np.ndarray, keys: np.ndarray
     place = np.arange(len(units)) - np.repeat(upto[:-1], sizes)
     each = np.repeat(keys, sizes)
     edges, owner = drawer.paths(units, each, place, 0)
-    first = Samples(
-        np.arange(len(sizes)), edges, place[owner], np.searchsorted(owner, upto), -np.log(-np.log(uniforms(keys, 1 << 20, 0))), np.zeros(0)
-    )
-    found = [first]
+    value = -np.log(-np.log(uniform(blend(blend(keys, 1 << 20), 0))))
+    found = [Samples(np.arange(len(sizes)), edges, place[owner], np.searchsorted(owner, upto), value, np.zeros(0))]
     zero = np.zeros(len(sizes), np.int64)
     agenda: list[list[tuple]] = [[] for _ in range(len(sizes))]
-    for t, cuts in enumerate(_cut(drawer, first, keys, zero, zero.astype(float), zero > 0, 0, k)):
+    for t, cuts in enumerate(_cut(drawer, found[0], keys, zero, zero.astype(float), zero > 0, 0, k)):
         for bound, p in cuts:
-            heapq.heappush(agenda[t], (-bound, 0, p, (int(edges[first.upto[t] + p]),), t))
+            heapq.heappush(agenda[t], (-bound, 0, p, (int(edges[found[0].upto[t] + p]),), t))
     for r in range(1, k):
         opened = [(t, heapq.heappop(a)) for t, a in enumerate(agenda) if a]
         if not opened:
             break
         texts = np.array([t for t, _ in opened])
-        pieces, begins = [], []
-        for t, (_, parent, p, out, row) in opened:
-            old = found[parent]
-            lo = int(old.upto[row])
-            node = int(drawer.lattice.head[drawer.order[old.edges[lo + p]]])
-            options = [e for e in range(int(drawer.begin[node]), int(drawer.begin[node + 1])) if e not in out]
-            weight = np.cumsum(drawer.share[options])
-            noise = keys[t : t + 1]
-            e = options[min(int(np.searchsorted(weight, weight[-1] * uniforms(noise, 2 << 20, r, 0)[0], "right")), len(options) - 1)]
-            where, path = int(old.place[lo + p]), [e]
-            begin = int(drawer.lattice.first[units[upto[t] + where]])
-            while int(drawer.tail[path[-1]]) > begin:
-                path.append(int(drawer.step(drawer.tail[path[-1]].reshape(1), uniforms(noise, 2 << 20, r, len(path)))[0]))
-            pieces.append((lo, p, parent, where, path))
-            begins.append(int(upto[t]) + where + 1)
-        starts = np.array(begins)
+        outs = [o[3] for _, o in opened]
+        at = np.array([o[2] for _, o in opened])
+        # the part before the cut is the parent's
+        bases = np.cumsum([0] + [len(s.edges) for s in found])
+        old = np.array([int(bases[o[1]] + found[o[1]].upto[o[4]]) for _, o in opened])
+        old_edges, old_place = np.concatenate([s.edges for s in found]), np.concatenate([s.place for s in found])
+        where, node = old_place[old + at], drawer.head[old_edges[old + at]].astype(np.int64)
+        # the unit of the cut goes on with another edge
+        noise = blend(blend(keys[texts], 2 << 20), r)
+        turned = _other_edges(drawer, node, outs, uniform(blend(noise, 0)))
+        on, on_owner = drawer.walk(drawer.tail[turned].astype(np.int64), drawer.first[units[upto[texts] + where]], noise, 1)
+        # the units after it are drawn anew
+        starts = upto[texts] + where + 1
         counts = upto[texts + 1] - starts
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        rest = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], counts)
+        rest = ranges(starts, counts)
         edges, owner = drawer.paths(units[rest], each[rest], place[rest], r)
-        cuts = np.searchsorted(owner, bounds).tolist()
-        places = place[rest][owner]
-        parts_e, parts_p, lengths = [], [], []
-        for i, (lo, p, parent, where, path) in enumerate(pieces):
-            parts_e += [found[parent].edges[lo : lo + p], np.array(path), edges[cuts[i] : cuts[i + 1]]]
-            parts_p += [found[parent].place[lo : lo + p], np.full(len(path), where), places[cuts[i] : cuts[i + 1]]]
-            lengths.append(p + len(path) + cuts[i + 1] - cuts[i])
-        now = Samples(texts, np.concatenate(parts_e), np.concatenate(parts_p), np.concatenate([[0], np.cumsum(lengths)]), np.array([-o[0] for _, o in opened]), np.zeros(0))
+        n_on = np.bincount(on_owner, minlength=len(texts))
+        n_new = np.diff(np.searchsorted(owner, np.concatenate([[0], np.cumsum(counts)])))
+        bounds = np.concatenate([[0], np.cumsum(at + 1 + n_on + n_new)])
+        all_edges, all_place = np.empty(bounds[-1], np.int64), np.empty(bounds[-1], np.int64)
+        into, source = ranges(bounds[:-1], at), ranges(old, at)
+        all_edges[into], all_place[into] = old_edges[source], old_place[source]
+        all_edges[bounds[:-1] + at] = turned
+        all_edges[ranges(bounds[:-1] + at + 1, n_on)] = on
+        all_place[ranges(bounds[:-1] + at, n_on + 1)] = np.repeat(where, n_on + 1)
+        into = ranges(bounds[1:] - n_new, n_new)
+        all_edges[into], all_place[into] = edges, place[rest][owner]
+        now = Samples(texts, all_edges, all_place, bounds, np.array([-o[0] for _, o in opened]), np.zeros(0))
         found.append(now)
-        outs = [o[3] for _, o in opened]
-        heads = drawer.lattice.head[drawer.order[[o[0] for o in outs]]]
-        fan = drawer.begin[heads + 1] - drawer.begin[heads]
+        fan = drawer.begin[node + 1] - drawer.begin[node]
         spent = np.array([float(drawer.share[list(o)].sum()) for o in outs])
         closed = fan == np.array([len(o) + 1 for o in outs])
-        at = np.array([o[2] for _, o in opened])
-        for i, cut in enumerate(_cut(drawer, now, keys[texts], at, spent, closed, r, k)):
+        for i, cut in enumerate(_cut(drawer, now, keys[texts], at, spent, closed, r, k - r)):
             for bound, p in cut:
                 chosen = int(now.edges[now.upto[i] + p])
                 heapq.heappush(agenda[texts[i]], (-bound, r, p, (*outs[i], chosen) if p == at[i] else (chosen,), i))
-    for s in found:
-        sums = np.concatenate([[0.0], np.cumsum(drawer.log[s.edges])])
-        s.log = sums[s.upto[1:]] - sums[s.upto[:-1]]
     return found, np.array([-a[0][0] if a else -np.inf for a in agenda])
 
 
@@ -233,11 +257,8 @@ class Codec:
         self.first = np.concatenate([[0], np.cumsum([len(t) for t in table])])
         self.flat = np.frombuffer(b"".join(table), np.uint8)
 
-    def ids(self, drawer: Drawer, joined: np.ndarray, s: Samples) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of paths given in order of units, backwards within each, and the bounds of each text.
-
-        ``joined`` are the code points of the lattice's units.
-        """
+    def ids(self, drawer: Drawer, s: Samples) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of paths given in order of units, backwards within each, and the bounds of each text."""
         n = len(s.edges)
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(s.upto), np.int64)
@@ -247,17 +268,17 @@ class Codec:
         begin = np.nonzero(new)[0]
         size = np.diff(np.append(begin, n))
         turn = np.repeat(2 * begin + size - 1, size) - np.arange(n)
-        raw = drawer.order[s.edges[turn]]
-        piece = drawer.lattice.piece[raw]
+        piece = drawer.piece[s.edges[turn]]
         known = np.where(piece >= 0, self.vocabulary.ids[np.maximum(piece, 0)], 0).astype(np.int32)
         lost = np.nonzero(piece < 0)[0]
         if not len(lost):
             return known, s.upto
-        width = np.where(piece < 0, -1 - piece, 1).astype(np.int64)
+        points = -1 - piece[lost]
+        width = np.ones(n, np.int64)
+        width[lost] = byte_widths(points)
         ends = np.concatenate([[0], np.cumsum(width)])
         out = np.repeat(known, width)
-        points = joined[drawer.lattice.tail[raw[lost]]]
-        single = width[lost] == 1
+        single = points < 0x80
         out[ends[lost[single]]] = self.vocabulary.byte_ids[points[single]]
         for i, c in zip(lost[~single].tolist(), points[~single].tolist(), strict=True):
             out[ends[i] : ends[i + 1]] = self.vocabulary.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))]
@@ -293,19 +314,18 @@ def _sampler(vocabulary: Vocabulary, key: str, k: int, theta: float, seed: int,
     def block(automaton, codec: Codec, names: pa.Array, texts: list[str]) -> pa.RecordBatch:
         keys = np.array([int.from_bytes(hashlib.blake2b(f"{seed}|{v}".encode(), digest_size=8).digest(), "little") for v in names.to_pylist()], np.uint64)
         split = [split_units(t) for t in texts]
-        distinct = sorted(set().union(*map(set, split)))
+        distinct = list(set(itertools.chain.from_iterable(split)))
         number = dict(zip(distinct, range(len(distinct)), strict=True))
         upto = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
         units = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(upto[-1]))
         del split, number
         lattice = Lattice.build(distinct, vocabulary, automaton)
         drawer = Drawer.build(lattice, theta)
-        joined = np.frombuffer(("\n".join(distinct) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         found, kappa = search(drawer, units, upto, keys, k)
         whole = [(META + t.replace(" ", META)).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         parts = []
         for i, s in enumerate(found):
-            ids, bounds = codec.ids(drawer, joined, s)
+            ids, bounds = codec.ids(drawer, s)
             raw, ends = codec.bytes_of(ids, bounds)
             raw, b, e = raw.tobytes(), bounds.tolist(), ends.tolist()
             low = s.log - kappa[s.texts]
