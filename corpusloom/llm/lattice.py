@@ -5,7 +5,8 @@ the meta symbol, one is put in front of the text, and an unknown character falls
 No piece goes on from a letter to a meta symbol and none holds a line break, so a text falls into units that are segmented
 independently: a run of meta symbols with what follows up to the next one, or a line break.
 
-Aho-Corasick finds all pieces in the distinct units of a batch; the dynamic programmes then run over all units in step, by position.
+Aho-Corasick, or a trie of the reversed pieces walked at all places in step, finds all pieces in the distinct units of a batch; the dynamic
+programmes then run over all units in step, by position.
 """
 
 from __future__ import annotations
@@ -58,6 +59,64 @@ class Vocabulary:
         return a
 
 
+class Backwards:
+    """All pieces that end at each place of a string, found for all places in step: a trie of the reversed pieces, one level per character.
+
+    The trie is a table of states by character class; a class is a character of some piece of two characters or more, and class 0 is any other.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        alphabet = sorted({c for p in vocabulary.pieces if len(p) > 1 for c in p})
+        alone = sorted({p for p in vocabulary.pieces if len(p) == 1} - set(alphabet))
+        number = {c: i + 1 for i, c in enumerate([*alphabet, *alone])}
+        self.classes = np.zeros(0x110000, np.int32)
+        self.classes[[ord(c) for c in number]] = list(number.values())
+        states: dict[tuple[int, int], int] = {}
+        final: list[int] = [-1]
+        self.one = np.full(len(number) + 1, -1, np.int32)
+        for i, p in enumerate(vocabulary.pieces):
+            if "\n" in p or META in p.lstrip(META):
+                raise ValueError(f"piece {p!r} would join two units")
+            if len(p) == 1:
+                self.one[number[p]] = i
+                continue
+            state = 0
+            for c in reversed(p):
+                state = states.setdefault((state, number[c]), len(final))
+                if state == len(final):
+                    final.append(-1)
+            final[state] = i
+        self.final = np.array(final, np.int32)
+        self.width = len(alphabet) + 1
+        self.next = np.zeros((len(final), self.width), np.int32)  # 0: none
+        for (state, c), to in states.items():
+            self.next[state, c] = to
+        self.next = self.next.ravel()
+
+    def matches(self, points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For every length from 1 the ends of the pieces found, ascending, and the pieces."""
+        classes = self.classes[points]
+        one = self.one[classes]
+        hit = np.nonzero(one >= 0)[0]
+        out = [(hit + 1, one[hit])]
+        classes[classes >= self.width] = 0
+        end = np.nonzero(classes)[0]
+        state = self.next[classes[end]]
+        end, state, size = end[state > 0] + 1, state[state > 0], 1
+        while len(end):
+            size += 1
+            if end[0] < size:
+                inside = end >= size
+                end, state = end[inside], state[inside]
+            state = self.next[state * np.int32(self.width) + classes[end - size]]
+            alive = np.nonzero(state)[0]
+            end, state = end[alive], state[alive]
+            piece = self.final[state]
+            hit = np.nonzero(piece >= 0)[0]
+            out.append((end[hit], piece[hit]))
+        return out
+
+
 def split_units(text: str) -> list[str]:
     """The units of a text; the empty text has none."""
     return _UNIT.findall(META + text.replace(" ", META)) if text else []
@@ -86,15 +145,26 @@ class Lattice:
     steps: list[tuple[int, int]]
 
     @classmethod
-    def build(cls, units: list[str], vocabulary: Vocabulary, automaton: ahocorasick.Automaton) -> Lattice:
+    def build(cls, units: list[str], vocabulary: Vocabulary, finder: ahocorasick.Automaton | Backwards) -> Lattice:
         sizes = np.array([len(u) for u in units], np.int64)
         first = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         last = first + sizes
         joined = "\n".join(units) + "\n"
-        # the automaton goes from end to end and gives the longest piece of an end first
-        flat = np.fromiter(automaton.iter(joined), np.dtype([("end", np.int64), ("piece", np.int64)]))
-        piece = flat["piece"].astype(np.int32)
-        head = (flat["end"] + 1).astype(np.int32)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        if isinstance(finder, Backwards):
+            found = finder.matches(points)
+            fan = np.zeros(len(points) + 1, np.int32)
+            for end, _ in found:
+                fan[end] += 1
+            into = np.cumsum(fan) - fan
+            head = np.repeat(np.arange(len(fan), dtype=np.int32), fan)
+            piece = np.empty(len(head), np.int32)
+            for end, matched in reversed(found):
+                piece[into[end]] = matched
+                into[end] += 1
+        else:  # the automaton goes from end to end and gives the longest piece of an end first
+            flat = np.fromiter(itertools.chain.from_iterable(finder.iter(joined)), np.int64).reshape(-1, 2)
+            head, piece = (flat[:, 0] + 1).astype(np.int32), flat[:, 1].astype(np.int32)
         tail = head - vocabulary.lengths[piece]
         score = vocabulary.scores[piece]
         lone = np.ones(len(joined), bool)  # characters that are no piece themselves
@@ -102,9 +172,8 @@ class Lattice:
         lone[last] = False  # separators
         single = np.nonzero(lone)[0].astype(np.int32)
         if len(single):
-            points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)[single].astype(np.int32)
             at = np.searchsorted(head, single + 1, "right")
-            piece, score = np.insert(piece, at, -1 - points), np.insert(score, at, vocabulary.unknown)
+            piece, score = np.insert(piece, at, -1 - points[single]), np.insert(score, at, vocabulary.unknown)
             tail, head = np.insert(tail, at, single), np.insert(head, at, single + 1)
         depth = head - np.repeat(first.astype(np.int32), sizes + 1)[tail]
         deepest = int(depth.max(initial=0))

@@ -28,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.lattice import DEFAULT_MODEL, META, Lattice, Vocabulary, byte_widths, split_units
+from corpusloom.llm.lattice import DEFAULT_MODEL, META, Backwards, Lattice, Vocabulary, byte_widths, split_units
 from corpusloom.llm.words import buffers, mix
 
-BLOCK_BYTES = 2_500_000
+BLOCK_BYTES = 1_000_000
+CACHE_EDGES = 3_000_000
 TINY = 2.0**-54
 
 
@@ -79,6 +80,21 @@ class Drawer:
             upto[at] += upto[at - 1]
         return cls(lattice.first, lattice.last, begin, lattice.tail, lattice.head, lattice.piece, share, upto)
 
+    def joined(self, other: Drawer) -> Drawer:
+        """The units of both, the other's after these."""
+        nodes, edges = np.int32(len(self.begin) - 1), len(self.tail)
+        pairs = [
+            (self.first, other.first + nodes), (self.last, other.last + nodes), (self.begin[:-1], other.begin + edges), (self.tail, other.tail + nodes),
+            (self.head, other.head + nodes), (self.piece, other.piece), (self.share, other.share), (self.upto, other.upto),
+        ]
+        return Drawer(*(np.concatenate(p) for p in pairs))
+
+    def leading(self, n: int) -> Drawer:
+        """The first n units."""
+        nodes = int(self.last[n - 1]) + 1 if n else 0
+        edges = int(self.begin[nodes])
+        return Drawer(self.first[:n], self.last[:n], self.begin[: nodes + 1], *(x[:edges] for x in (self.tail, self.head, self.piece, self.share, self.upto)))
+
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An incoming edge of every node."""
         at = self.begin[node]
@@ -246,6 +262,44 @@ def search(drawer: Drawer, units: np.ndarray, upto: np.ndarray, keys: np.ndarray
     return found, np.array([-a[0][0] if a else -np.inf for a in agenda])
 
 
+class Units:
+    """Drawers of the units of one block of texts after another.
+
+    Units that a block holds more than once stay known for the next ones. Beyond ``CACHE_EDGES`` all are forgotten, and found again when they come up: the
+    samples do not depend on it.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, theta: float):
+        self.vocabulary, self.theta, self.finder = vocabulary, theta, Backwards(vocabulary)
+        self.known: dict[str, int] = {}
+        self.drawer: Drawer | None = None
+
+    def of(self, flat: list[str]) -> tuple[Drawer, np.ndarray]:
+        """A drawer that has these units, and the number of each."""
+        if self.drawer is not None and len(self.drawer.tail) > CACHE_EDGES:
+            self.known, self.drawer = {}, None
+        old = len(self.known)
+        fresh = [u for u in set(flat) if u not in self.known]
+        self.known.update(zip(fresh, range(old, old + len(fresh)), strict=True))
+        units = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        if self.drawer is not None and not fresh:
+            return self.drawer, units
+        once = np.bincount(units, minlength=old + len(fresh))[old:] == 1
+        order = np.argsort(once, kind="stable")
+        number = np.arange(old + len(fresh))
+        number[old + order] = np.arange(old, old + len(fresh))
+        fresh = [fresh[i] for i in order.tolist()]
+        kept = len(fresh) - int(once.sum())
+        self.known.update(zip(fresh[:kept], range(old, old + kept), strict=True))
+        for u in fresh[kept:]:
+            del self.known[u]
+        drawer = Drawer.build(Lattice.build(fresh, self.vocabulary, self.finder), self.theta)
+        if self.drawer is not None:
+            drawer = self.drawer.joined(drawer)
+        self.drawer = drawer.leading(old + kept)
+        return drawer, number[units]
+
+
 class Codec:
     """Ids of paths, and texts of ids."""
 
@@ -302,25 +356,21 @@ OUT = "sample int, n_pieces long, log_prob double, perturbed double, inclusion d
 
 def _sampler(vocabulary: Vocabulary, key: str, k: int, theta: float, seed: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, codec = vocabulary.automaton(), Codec(vocabulary)
+        seen, codec = Units(vocabulary, theta), Codec(vocabulary)
         for batch in batches:
             sizes = np.diff(buffers(batch["text"])[0])
             lo = 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(sizes[lo:]), BLOCK_BYTES, "right")))
-                yield block(automaton, codec, batch[key].slice(lo, hi - lo), [t or "" for t in batch["text"].slice(lo, hi - lo).to_pylist()])
+                yield block(seen, codec, batch[key].slice(lo, hi - lo), [t or "" for t in batch["text"].slice(lo, hi - lo).to_pylist()])
                 lo = hi
 
-    def block(automaton, codec: Codec, names: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    def block(seen: Units, codec: Codec, names: pa.Array, texts: list[str]) -> pa.RecordBatch:
         keys = np.array([int.from_bytes(hashlib.blake2b(f"{seed}|{v}".encode(), digest_size=8).digest(), "little") for v in names.to_pylist()], np.uint64)
         split = [split_units(t) for t in texts]
-        distinct = list(set(itertools.chain.from_iterable(split)))
-        number = dict(zip(distinct, range(len(distinct)), strict=True))
         upto = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
-        units = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(upto[-1]))
-        del split, number
-        lattice = Lattice.build(distinct, vocabulary, automaton)
-        drawer = Drawer.build(lattice, theta)
+        drawer, units = seen.of(list(itertools.chain.from_iterable(split)))
+        del split
         found, kappa = search(drawer, units, upto, keys, k)
         whole = [(META + t.replace(" ", META)).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         parts = []
