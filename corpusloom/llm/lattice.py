@@ -149,7 +149,7 @@ class Lattice:
         sizes = np.array([len(u) for u in units], np.int64)
         first = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         last = first + sizes
-        joined = "\n".join(units) + "\n"
+        joined = "".join([u + "\n" for u in units])
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
         if isinstance(finder, Backwards):
             found = finder.matches(points)

@@ -22,7 +22,7 @@ import hashlib
 import heapq
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from corpusloom.llm.words import buffers, mix
 
 BLOCK_BYTES = 1_000_000
 CACHE_EDGES = 3_000_000
+KINDS = {"first": "i8", "last": "i8", "begin": "i8", "tail": "i4", "head": "i4", "piece": "i4", "share": "f8", "upto": "f8"}
 TINY = 2.0**-54
 
 
@@ -80,21 +81,6 @@ class Drawer:
             upto[at] += upto[at - 1]
         return cls(lattice.first, lattice.last, begin, lattice.tail, lattice.head, lattice.piece, share, upto)
 
-    def joined(self, other: Drawer) -> Drawer:
-        """The units of both, the other's after these."""
-        nodes, edges = np.int32(len(self.begin) - 1), len(self.tail)
-        pairs = [
-            (self.first, other.first + nodes), (self.last, other.last + nodes), (self.begin[:-1], other.begin + edges), (self.tail, other.tail + nodes),
-            (self.head, other.head + nodes), (self.piece, other.piece), (self.share, other.share), (self.upto, other.upto),
-        ]
-        return Drawer(*(np.concatenate(p) for p in pairs))
-
-    def leading(self, n: int) -> Drawer:
-        """The first n units."""
-        nodes = int(self.last[n - 1]) + 1 if n else 0
-        edges = int(self.begin[nodes])
-        return Drawer(self.first[:n], self.last[:n], self.begin[: nodes + 1], *(x[:edges] for x in (self.tail, self.head, self.piece, self.share, self.upto)))
-
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An incoming edge of every node."""
         at = self.begin[node]
@@ -262,44 +248,6 @@ def search(drawer: Drawer, units: np.ndarray, upto: np.ndarray, keys: np.ndarray
     return found, np.array([-a[0][0] if a else -np.inf for a in agenda])
 
 
-class Units:
-    """Drawers of the units of one block of texts after another.
-
-    Units that a block holds more than once stay known for the next ones. Beyond ``CACHE_EDGES`` all are forgotten, and found again when they come up: the
-    samples do not depend on it.
-    """
-
-    def __init__(self, vocabulary: Vocabulary, theta: float):
-        self.vocabulary, self.theta, self.finder = vocabulary, theta, Backwards(vocabulary)
-        self.known: dict[str, int] = {}
-        self.drawer: Drawer | None = None
-
-    def of(self, flat: list[str]) -> tuple[Drawer, np.ndarray]:
-        """A drawer that has these units, and the number of each."""
-        if self.drawer is not None and len(self.drawer.tail) > CACHE_EDGES:
-            self.known, self.drawer = {}, None
-        old = len(self.known)
-        fresh = [u for u in set(flat) if u not in self.known]
-        self.known.update(zip(fresh, range(old, old + len(fresh)), strict=True))
-        units = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        if self.drawer is not None and not fresh:
-            return self.drawer, units
-        once = np.bincount(units, minlength=old + len(fresh))[old:] == 1
-        order = np.argsort(once, kind="stable")
-        number = np.arange(old + len(fresh))
-        number[old + order] = np.arange(old, old + len(fresh))
-        fresh = [fresh[i] for i in order.tolist()]
-        kept = len(fresh) - int(once.sum())
-        self.known.update(zip(fresh[:kept], range(old, old + kept), strict=True))
-        for u in fresh[kept:]:
-            del self.known[u]
-        drawer = Drawer.build(Lattice.build(fresh, self.vocabulary, self.finder), self.theta)
-        if self.drawer is not None:
-            drawer = self.drawer.joined(drawer)
-        self.drawer = drawer.leading(old + kept)
-        return drawer, number[units]
-
-
 class Codec:
     """Ids of paths, and texts of ids."""
 
@@ -351,21 +299,84 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+class Units:
+    """Drawers of the units of one block of texts after another.
+
+    Units that a block holds more than once stay known for the next ones, their drawer at the front of arrays that grow; those that it holds once are written
+    behind them and over again. Beyond ``CACHE_EDGES`` all are forgotten, and found again when they come up: the samples do not depend on it.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, theta: float):
+        self.vocabulary, self.theta, self.finder, self.codec = vocabulary, theta, Backwards(vocabulary), Codec(vocabulary)
+        self.known: dict[str, int] = {}
+        self.room = {f.name: np.zeros(1, KINDS[f.name]) for f in fields(Drawer)}
+        self.nodes = self.edges = 0
+
+    def write(self, fresh: Drawer, units: int) -> Drawer:
+        """The known units, of this number, and the fresh ones after them."""
+        parts = {
+            "first": (units, fresh.first + self.nodes), "last": (units, fresh.last + self.nodes), "begin": (self.nodes, fresh.begin + self.edges),
+            "tail": (self.edges, fresh.tail + np.int32(self.nodes)), "head": (self.edges, fresh.head + np.int32(self.nodes)),
+            "piece": (self.edges, fresh.piece), "share": (self.edges, fresh.share), "upto": (self.edges, fresh.upto),
+        }
+        for name, (at, values) in parts.items():
+            if len(self.room[name]) < at + len(values):
+                grown = np.empty((at + len(values)) * 5 // 4, KINDS[name])
+                grown[:at] = self.room[name][:at]
+                self.room[name] = grown
+            self.room[name][at : at + len(values)] = values
+        return Drawer(*(self.room[name][: at + len(values)] for name, (at, values) in parts.items()))
+
+    def of(self, flat: list[str]) -> tuple[Drawer, np.ndarray]:
+        """A drawer that has these units, and the number of each."""
+        if self.edges > CACHE_EDGES:
+            self.known, self.nodes, self.edges = {}, 0, 0
+        old = len(self.known)
+        fresh = [u for u in set(flat) if u not in self.known]
+        self.known.update(zip(fresh, range(old, old + len(fresh)), strict=True))
+        units = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        once = np.bincount(units, minlength=old + len(fresh))[old:] == 1
+        order = np.argsort(once, kind="stable")
+        number = np.arange(old + len(fresh))
+        number[old + order] = np.arange(old, old + len(fresh))
+        fresh = [fresh[i] for i in order.tolist()]
+        kept = len(fresh) - int(once.sum())
+        self.known.update(zip(fresh[:kept], range(old, old + kept), strict=True))
+        for u in fresh[kept:]:
+            del self.known[u]
+        drawer = self.write(Drawer.build(Lattice.build(fresh, self.vocabulary, self.finder), self.theta), old)
+        self.nodes = int(drawer.last[old + kept - 1]) + 1 if old + kept else 0
+        self.edges = int(drawer.begin[self.nodes])
+        return drawer, number[units]
+
+
+_seen: dict[tuple, Units] = {}
+
+
+def _units(vocabulary: Vocabulary, theta: float) -> Units:
+    """What the tasks of one worker share: the tables of the latest vocabulary, and the units known."""
+    sign = (tuple(vocabulary.pieces), vocabulary.scores.tobytes(), vocabulary.ids.tobytes(), vocabulary.byte_ids.tobytes(), theta)
+    if sign not in _seen:
+        _seen.clear()
+        _seen[sign] = Units(vocabulary, theta)
+    return _seen[sign]
+
+
 OUT = "sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, decoded boolean"
 
 
 def _sampler(vocabulary: Vocabulary, key: str, k: int, theta: float, seed: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, codec = Units(vocabulary, theta), Codec(vocabulary)
+        seen = _units(vocabulary, theta)
         for batch in batches:
             sizes = np.diff(buffers(batch["text"])[0])
             lo = 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(sizes[lo:]), BLOCK_BYTES, "right")))
-                yield block(seen, codec, batch[key].slice(lo, hi - lo), [t or "" for t in batch["text"].slice(lo, hi - lo).to_pylist()])
+                yield block(seen, batch[key].slice(lo, hi - lo), [t or "" for t in batch["text"].slice(lo, hi - lo).to_pylist()])
                 lo = hi
 
-    def block(seen: Units, codec: Codec, names: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    def block(seen: Units, names: pa.Array, texts: list[str]) -> pa.RecordBatch:
         keys = np.array([int.from_bytes(hashlib.blake2b(f"{seed}|{v}".encode(), digest_size=8).digest(), "little") for v in names.to_pylist()], np.uint64)
         split = [split_units(t) for t in texts]
         upto = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
@@ -375,8 +386,8 @@ def _sampler(vocabulary: Vocabulary, key: str, k: int, theta: float, seed: int,
         whole = [(META + t.replace(" ", META)).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         parts = []
         for i, s in enumerate(found):
-            ids, bounds = codec.ids(drawer, s)
-            raw, ends = codec.bytes_of(ids, bounds)
+            ids, bounds = seen.codec.ids(drawer, s)
+            raw, ends = seen.codec.bytes_of(ids, bounds)
             raw, b, e = raw.tobytes(), bounds.tolist(), ends.tolist()
             low = s.log - kappa[s.texts]
             inclusion = np.where(kappa[s.texts] == -np.inf, 1.0, -np.expm1(-np.exp(np.minimum(low, 700.0))))

@@ -6,6 +6,7 @@ from collections import Counter
 import pyarrow as pa
 from tokenizers import models
 
+from corpusloom.llm import sampled_pieces
 from corpusloom.llm.lattice import Lattice, Vocabulary, split_units
 from corpusloom.llm.sampled_pieces import Codec, _sampler, sample_pieces
 from corpusloom.llm.token_counts import count_tokens
@@ -101,3 +102,15 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert count_tokens(none).count() == sample_pieces(none).count() == 0
     assert split_units("") == []
+
+
+def test_only_empty_texts_and_known_units(spark):
+    rows = sample_pieces(frame(spark, [(1, ""), (2, None)]).coalesce(1), k=2).collect()
+    assert sorted((r.doc_id, r["sample"], r.n_pieces, r.inclusion) for r in rows) == [(1, 1, 0, 1.0), (2, 1, 0, 1.0)]
+    # units seen before, or forgotten, give the same samples
+    run, texts = _sampler(V, "doc_id", 2, 1.0, 0, True), ["a to to b", "to", "to b c to", "\n", "c漢 漢 a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["doc_id", "text"])
+    whole = {(r["doc_id"], r["sample"]): r["ids"] for b in run(iter([batch])) for r in b.to_pylist()}
+    sampled_pieces._seen.clear()
+    parts = {(r["doc_id"], r["sample"]): r["ids"] for i in (3, 1, 4, 0, 2) for b in run(iter([batch.slice(i, 1)])) for r in b.to_pylist()}
+    assert whole == parts
