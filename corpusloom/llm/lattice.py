@@ -22,7 +22,7 @@ import sentencepiece
 META = "▁"
 UNKNOWN_PENALTY = 10.0
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_UNIT = re.compile(f"{META}*[^{META}\n]+|{META}+|\n")
+UNIT = re.compile(f"{META}*[^{META}\n]+|{META}+|\n")
 
 
 @dataclass
@@ -119,7 +119,7 @@ class Backwards:
 
 def split_units(text: str) -> list[str]:
     """The units of a text; the empty text has none."""
-    return _UNIT.findall(META + text.replace(" ", META)) if text else []
+    return UNIT.findall(META + text.replace(" ", META)) if text else []
 
 
 def byte_widths(points: np.ndarray) -> np.ndarray:
@@ -168,7 +168,7 @@ class Lattice:
         tail = head - vocabulary.lengths[piece]
         score = vocabulary.scores[piece]
         lone = np.ones(len(joined), bool)  # characters that are no piece themselves
-        lone[tail[head - tail == 1]] = False
+        lone[found[0][0] - 1 if isinstance(finder, Backwards) else tail[head - tail == 1]] = False
         lone[last] = False  # separators
         single = np.nonzero(lone)[0].astype(np.int32)
         if len(single):

@@ -28,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.lattice import DEFAULT_MODEL, META, Backwards, Lattice, Vocabulary, byte_widths, split_units
+from corpusloom.llm.lattice import DEFAULT_MODEL, META, UNIT, Backwards, Lattice, Vocabulary, byte_widths
 from corpusloom.llm.words import buffers, mix
 
 BLOCK_BYTES = 1_000_000
-CACHE_EDGES = 3_000_000
+CACHE_EDGES = 4_000_000
 KINDS = {"first": "i8", "last": "i8", "begin": "i8", "tail": "i4", "head": "i4", "piece": "i4", "share": "f8", "upto": "f8"}
 TINY = 2.0**-54
 
@@ -158,8 +158,8 @@ def _cut(drawer: Drawer, s: Samples, keys: np.ndarray, start: np.ndarray, spent:
     texts, runs = own[first], np.diff(np.append(first, len(own)))
     for _ in range(most):
         top = np.maximum.reduceat(bounds, first)
-        hit = np.where(bounds == np.repeat(top, runs), np.arange(len(own)), len(own))
-        which = np.minimum.reduceat(hit, first)
+        hit = np.nonzero(bounds == np.repeat(top, runs))[0]
+        which = hit[np.searchsorted(hit, first)]  # the first of equal ones
         for t, v, i in zip(texts.tolist(), top.tolist(), at[which].tolist(), strict=True):
             if v > -np.inf:
                 out[t].append((v, i))
@@ -256,7 +256,7 @@ class Codec:
         at = {int(i): p.encode() for i, p in zip(vocabulary.ids, vocabulary.pieces, strict=True)}
         at |= {int(i): bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
         table = [at.get(i, b"") for i in range(max(at) + 1)]
-        self.first = np.concatenate([[0], np.cumsum([len(t) for t in table])])
+        self.first = np.concatenate([[0], np.cumsum([len(t) for t in table])]).astype(np.int32)
         self.flat = np.frombuffer(b"".join(table), np.uint8)
 
     def ids(self, drawer: Drawer, s: Samples) -> tuple[np.ndarray, np.ndarray]:
@@ -288,9 +288,11 @@ class Codec:
 
     def bytes_of(self, ids: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of many texts end to end, and the bounds of each text."""
-        size = self.first[ids + 1] - self.first[ids]
+        begin = self.first[ids]
+        size = self.first[ids + 1] - begin
         ends = np.concatenate([[0], np.cumsum(size)])
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.first[ids] - ends[:-1], size)], ends[upto]
+        # a text is far below 2 GB, and so is a block
+        return self.flat[np.arange(ends[-1], dtype=np.int32) + np.repeat((begin - ends[:-1]).astype(np.int32), size)], ends[upto]
 
     def decode(self, ids: list[int]) -> str:
         """The text of one encoding."""
@@ -378,12 +380,13 @@ def _sampler(vocabulary: Vocabulary, key: str, k: int, theta: float, seed: int,
 
     def block(seen: Units, names: pa.Array, texts: list[str]) -> pa.RecordBatch:
         keys = np.array([int.from_bytes(hashlib.blake2b(f"{seed}|{v}".encode(), digest_size=8).digest(), "little") for v in names.to_pylist()], np.uint64)
-        split = [split_units(t) for t in texts]
+        marked = [META + t.replace(" ", META) if t else "" for t in texts]
+        split = [UNIT.findall(t) for t in marked]
         upto = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
         drawer, units = seen.of(list(itertools.chain.from_iterable(split)))
         del split
         found, kappa = search(drawer, units, upto, keys, k)
-        whole = [(META + t.replace(" ", META)).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        whole = [t.encode("utf-8", "surrogatepass") for t in marked]
         parts = []
         for i, s in enumerate(found):
             ids, bounds = seen.codec.ids(drawer, s)
