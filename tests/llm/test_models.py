@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from corpusloom.llm import attention
+from corpusloom.llm import attention, lm_scores
 from corpusloom.llm.lm_scores import score_texts
 from corpusloom.llm.toxicity import fit_toxicity, score_toxicity
 from tests.llm.helpers import SCHEMA, frame, hard_rows, prose
@@ -86,6 +88,39 @@ def test_counts_and_base_are_exact_and_the_model_beats_it(spark):
     assert sum(r.score for r in fresh) > 1.3 * sum(r.base_score for r in fresh)
 
 
+def test_full_chunks_train_on_every_window_and_count_every_word():
+    ranks = lm_scores.read_ranks(lm_scores.DEFAULT_RANKS)
+    enc, rng = lm_scores.encoder(ranks), random.Random(4)
+    texts = [prose(rng, 300) for _ in range(300)]
+    assert sum(len(t.split()) for t in texts) > 3 * lm_scores.REPEAT_WORDS
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "train": [i % 3 > 0 for i in range(300)], "text": texts})
+    parts = [r for b in lm_scores._chunker(2, ranks, 3)(iter([batch])) for r in b.to_pylist()]
+    want = Counter(tuple(i for w in t.lower().split() for i in enc.encode_ordinary(" " + w)) for n, t in enumerate(texts) if n % 3)
+    got, counts = Counter(), Counter()
+    for r in parts:
+        if r["kind"] == 2:
+            ids, bounds = np.frombuffer(zstandard.decompress(r["ids"]), np.int32), np.frombuffer(r["bounds"], np.int64)
+            got.update(tuple(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+        if r["kind"] == 3:
+            counts.update(dict(zip(np.frombuffer(r["ids"], np.int32).tolist(), np.frombuffer(r["counts"], np.int64).tolist(), strict=True)))
+    assert got == want
+    assert counts == Counter(i for t, n in want.items() for i in t * n)
+
+
+def test_training_uses_every_window(monkeypatch):
+    rng = np.random.default_rng(2)
+    upto = np.array([0, 0, 17, 40, 700, 715, 731, 5000])
+    data = attention.to_blocks(rng.integers(1, attention.SLOTS, 5000), upto)[:5]
+    y, opens = data[3].astype(np.int16), data[4]
+    for a, b in zip(data, attention.windows(y, opens, np.arange(len(y))), strict=True):
+        assert (a == b).all()
+    drawn = []
+    real = attention.windows
+    monkeypatch.setattr(attention, "windows", lambda y, opens, rows: (drawn.extend(rows.tolist()), real(y, opens, rows))[1])
+    attention.train(attention.start(np.ones(attention.SLOTS)), y, opens, 2, 0.01, 0, batch=32)
+    assert set(drawn) == set(range(len(y)))
+
+
 def test_lm_without_rows_or_training_rows(spark):
     assert score_texts(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
     r = score_texts(frame(spark, [(1, "a b"), (2, None)]), F.lit(False), rounds=1, steps=1).orderBy("doc_id").collect()
