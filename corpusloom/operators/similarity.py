@@ -5,10 +5,12 @@ All scores are rounded to six places before ranking and ties go to the smaller i
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -109,12 +111,18 @@ def _lcs(a: list, b: list) -> int:
     where: dict = {}
     for i, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << i
-    v = (1 << len(b)) - 1
+    return _lcs_of_masks(a, where, len(b))
+
+
+def _lcs_of_masks(a: list, where: dict, n: int) -> int:
+    """``where`` has the places of each word in the other text of n words as bits."""
+    v = (1 << n) - 1
     full = v
     for x in a:
         m = where.get(x, 0) & v
-        v = ((v + m) | (v - m)) & full
-    return len(b) - bin(v).count("1")
+        if m:
+            v = ((v + m) | (v - m)) & full
+    return n - v.bit_count()
 
 
 def with_lcs(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -129,6 +137,64 @@ def with_lcs(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.mapInArrow(run, f"{kinds}, lcs long")
 
 
+def lcs_top_k(queries: DataFrame, pool: DataFrame, k: int, least: int = 1, exclude_self: bool = False, block: int = 256, shard: int = 1024) -> DataFrame:
+    """query_id, item_id, score, pos by common subsequence, exact. ``queries`` has query_id, tokens; ``pool`` has item_id, tokens; scores are ``least`` at least.
+
+    Blocks of queries meet shards of the pool, of which only the k best per query leave. The overlap of two bags of words bounds their common
+    subsequence, which is counted where the bound exceeds the k-th score so far; items come in order of id, so a tie cannot win later.
+    """
+    blocks, shards = max(1, -(-queries.count() // block)), max(1, -(-pool.count() // shard))
+    hashed = F.transform("tokens", lambda w: F.xxhash64(w)).alias("t")
+    q = queries.select("query_id", hashed).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    p = pool.select("item_id", hashed).withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for c in column.chunks:
+            values, cuts = c.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(c).to_numpy(zero_copy_only=False)))]).astype(int)
+            out += [values[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("item_id")
+        asked, best = lists(left["t"]), [[] for _ in range(left.num_rows)]
+        ids_q = left["query_id"].to_numpy()
+        vocabulary = np.unique(np.concatenate([np.zeros(1, np.int64), *asked]))
+        counts = np.zeros((len(vocabulary), len(asked)), np.int32)
+        coded = [np.searchsorted(vocabulary, x) for x in asked]
+        for i, c in enumerate(coded):
+            np.add.at(counts, (c, i), 1)
+        coded = [c.tolist() for c in coded]
+        bar = np.full(len(asked), least - 1)
+        for item, words in zip(right["item_id"].to_pylist(), lists(right["t"]), strict=True):
+            at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+            own = at[vocabulary[at] == words]  # words of no query change no common subsequence
+            kinds, times = np.unique(own, return_counts=True)
+            bound = np.minimum(counts[kinds], times[:, None]).sum(axis=0)
+            if exclude_self:
+                bound[ids_q == item] = -1
+            open_to = np.nonzero(bound > bar)[0].tolist()
+            if not open_to:
+                continue
+            where: dict = {}
+            for i, x in enumerate(own.tolist()):
+                where.setdefault(x, []).append(i)
+            masks = {x: sum(1 << i for i in where[x]) for x in where}
+            for i in open_to:
+                n = _lcs_of_masks(coded[i], masks, len(own))
+                if n > bar[i]:
+                    heapq.heappush(best[i], (n, -item))
+                    if len(best[i]) > k:
+                        heapq.heappop(best[i])
+                    if len(best[i]) == k:
+                        bar[i] = best[i][0][0]
+        rows = [(int(a), -item, n) for a, b in zip(ids_q, best, strict=True) for n, item in b]
+        return pa.table({c: pa.array([r[j] for r in rows], pa.int64()) for j, c in enumerate(("query_id", "item_id", "score"))})
+
+    met = q.groupBy("shard", "block").cogroup(p.groupBy("shard", "block")).applyInArrow(meet, "query_id long, item_id long, score long")
+    return top_k(met, "query_id", "item_id", "score", k)
+
+
 def histogram_kernel(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """Top k by the inner product of label histograms; both sides have id columns query_id / item_id and label."""
     a = left.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("m"))

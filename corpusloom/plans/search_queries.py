@@ -113,13 +113,8 @@ def lcs_topk(spark, sf):
 
 @query("")
 def lcs_topk_long(spark, sf):
-    t = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.words(F.col("text")).alias("qw"))
-    d = docs(spark, sf).select(F.col("doc_id").alias("item_id"), T.words(F.col("text")).alias("w"))
-    shared = t.select("query_id", F.explode("qw").alias("x")).distinct().join(d.select("item_id", F.explode("w").alias("x")).distinct(), "x")
-    near = shared.groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("common"))
-    best = S.top_k(near, "query_id", "item_id", "common", 20)
-    full = best.join(t, "query_id").join(d, "item_id").select("query_id", "item_id", "qw", "w")
-    return S.top_k(S.with_lcs(full, "qw", "w").select("query_id", "item_id", F.col("lcs").alias("score")), "query_id", "item_id", "score", 5)
+    t = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.words(F.col("text")).alias("tokens"))
+    return S.lcs_top_k(t, docs(spark, sf).select(F.col("doc_id").alias("item_id"), T.words(F.col("text")).alias("tokens")), 5)
 
 
 def two_rankings(spark, sf):

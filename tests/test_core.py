@@ -23,7 +23,7 @@ from corpusloom.operators import reshape as R
 from corpusloom.operators import selection as S
 from corpusloom.operators import similarity as SIM
 from corpusloom.operators import trees as TR
-from corpusloom.plans import rounds
+from corpusloom.plans import rounds, search_queries
 from corpusloom.sources import corpora
 
 
@@ -154,6 +154,38 @@ def test_common_subsequences(spark):
     assert got == [(lcs(a, b),) * 2 for a, b in rows] and got[0] == (4, 4)
 
 
+def best_lcs(queries, pool, k, least, exclude_self):
+    want = set()
+    for q, x in queries:
+        scored = sorted((-lcs(x or [], y or []), i) for i, y in pool if not (exclude_self and i == q))
+        best = [(i, -n) for n, i in scored if -n >= least][:k]
+        want |= {(q, i, n, len(best) - r) for r, (i, n) in enumerate(best)}
+    return want
+
+
+def test_lcs_queries_rank_every_document(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(14)]
+    items = [[rng.choice(words) for _ in range(rng.randint(0, 30))] for _ in range(25)]
+    # documents with all words of an item in other order come first in shared words, not in common subsequences
+    texts = [rng.sample(words, 14) + ["x"] * rng.randint(0, 9) for _ in range(60)] + [rng.choice(items)[:12] for _ in range(40)] + [[], ["w0"]]
+    b, d = list(enumerate(items)), list(enumerate(texts))
+    as_text = lambda rows: [(i, " ".join(x)) for i, x in rows]
+    spark.createDataFrame(as_text(b), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(as_text(d), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda df: {(r.query_id, r.item_id, r.score, r.pos) for r in df.collect()}
+    assert found(search_queries.lcs_topk_long(spark, str(tmp_path))) == best_lcs(b, d, 5, 1, False)
+
+
+def test_lcs_top_k_in_blocks_equals_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, None if i == 3 else [rng.choice("abcde") for _ in range(rng.randint(0, 12))]) for i in range(50)]
+    df = spark.createDataFrame(rows, "item_id long, tokens array<string>")
+    for least, exclude in ((0, True), (1, False)):
+        got = SIM.lcs_top_k(df.withColumnRenamed("item_id", "query_id"), df, 3, least, exclude, block=7, shard=9)
+        assert {(r.query_id, r.item_id, r.score, r.pos) for r in got.collect()} == best_lcs(rows, rows, 3, least, exclude)
+
+
 def test_near_pairs_lose_nothing_and_greedy_equals_the_loop(spark):
     rng = random.Random(2)
     base = [rng.choices("abcdefghij", k=rng.randint(1, 25)) for _ in range(25)]
