@@ -105,10 +105,8 @@ r AS (SELECT query_id, item_id, CAST(row[len(row)] AS BIGINT) AS score, row_numb
 SELECT query_id, item_id, score, 4 - r AS pos FROM r WHERE r <= 3
 """)
 def lcs_topk(spark, sf):
-    t = table(spark, sf, "benchmark").where("item_id < 20").select("item_id", F.slice(T.words_by_space(F.col("text")), 1, 12).alias("w"))
-    met = t.toDF("query_id", "qw").crossJoin(t).where("query_id <> item_id")
-    scored = met.withColumn("score", S.lcs_length(F.col("qw"), F.col("w")).cast("long")).select("query_id", "item_id", "score")
-    return S.top_k(scored, "query_id", "item_id", "score", 3)
+    t = table(spark, sf, "benchmark").select("item_id", T.words_by_space(F.col("text")).alias("tokens"))
+    return S.lcs_top_k(t.withColumnRenamed("item_id", "query_id"), t, 3, least=0, exclude_self=True)
 
 
 @query("")

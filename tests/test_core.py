@@ -175,6 +175,10 @@ def test_lcs_queries_rank_every_document(spark, tmp_path):
     spark.createDataFrame(as_text(d), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = lambda df: {(r.query_id, r.item_id, r.score, r.pos) for r in df.collect()}
     assert found(search_queries.lcs_topk_long(spark, str(tmp_path))) == best_lcs(b, d, 5, 1, False)
+    # whole texts: the first twelve words are the same everywhere, and items from 20 on count
+    b = [(i, [f"h{j}" for j in range(12)] + x) for i, x in b]
+    spark.createDataFrame(as_text(b), "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    assert found(search_queries.lcs_topk(spark, str(tmp_path))) == best_lcs(b, b, 3, 0, True)
 
 
 def test_lcs_top_k_in_blocks_equals_brute_force(spark):
