@@ -200,7 +200,7 @@ def _clip_sql(name: str, chars: bool, most: int) -> str:
 
 def mt_pairs(spark, sf):
     """Pairs whose target is an edited source, so that overlaps are not trivial."""
-    d = docs(spark, sf).where("n_chars < 3000")
+    d = docs(spark, sf)
     return d.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("source"), F.replace(F.col("text"), F.lit(" the "), F.lit(" of the ")).alias("target"))
 
 

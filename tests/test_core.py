@@ -4,6 +4,7 @@ import json
 import math
 import random
 import statistics
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -238,6 +239,25 @@ def test_metrics(spark):
     assert {r.g: r.text for r in M.best_candidate(c, "g", F.col("s"), "pos", "text").collect()} == {1: "a", 2: ""}
 
 
+def clipped(pairs, n, split):
+    counts = [(Counter(tuple(h[i : i + n]) for i in range(len(h) - n + 1)), Counter(tuple(r[i : i + n]) for i in range(len(r) - n + 1))) for h, r in ((split(h), split(r)) for h, r in pairs)]
+    return sum(sum(h.values()) for h, _ in counts), sum(sum(r.values()) for _, r in counts), sum(sum((h & r).values()) for h, r in counts)
+
+
+def test_corpus_scores_cover_long_texts_and_unknown_lengths(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(["the", "a", "cat", "dog", "sat", "ran"]) for _ in range(n))
+    rows = [(i, t, None if i == 1 else len(t)) for i, t in enumerate([text(30), text(40), text(1500), text(900), ""])]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = [(t.replace(" the ", " of the "), t) for _, t, _ in rows]
+    by_word = [clipped(pairs, n, str.split) for n in range(1, 5)]
+    hyp, ref, _ = by_word[0]
+    want = 100 * math.exp(sum(math.log(m / h) for h, _, m in by_word) / 4 + (0 if hyp >= ref else 1 - ref / hyp))
+    assert search_queries.bleu_corpus(spark, str(tmp_path)).first().bleu == pytest.approx(want, abs=2e-6)
+    f = [5 * (m / h) * (m / r) / (4 * m / h + m / r) for h, r, m in [clipped(pairs, n, lambda t: list("".join(t.split()))) for n in range(1, 7)] + by_word[:2]]
+    assert search_queries.chrf_corpus(spark, str(tmp_path)).first().chrf == pytest.approx(100 * sum(f) / 8, abs=2e-6)
+
+
 def test_prompts_and_chat(spark):
     f = PR.Format.numbered(9, "English", "French")
     df = spark.createDataFrame([([("a", "b")], "c")], "d array<struct<x:string,y:string>>, e string")
