@@ -146,7 +146,7 @@ SELECT query_id, item_id, score, 6 - r AS pos FROM r WHERE r <= 5
 """)
 def histogram_topk(spark, sf):
     rows = table(spark, sf, "benchmark").select("item_id", F.explode(F.split("text", " ")).alias("w")).select("item_id", F.substring("w", 1, 1).alias("label"))
-    return S.histogram_kernel(rows.where("item_id < 10").withColumnRenamed("item_id", "query_id"), rows, 5)
+    return S.histogram_kernel(rows.withColumnRenamed("item_id", "query_id"), rows, 5)
 
 
 @query("""
@@ -230,7 +230,7 @@ SELECT CAST(resample AS BIGINT) AS resample, round(avg(v), 6) AS mean FROM d JOI
 """)
 def bootstrap_means(spark, sf):
     rows = corpora.numbered_rows(table(spark, sf, "labels").withColumn("g", F.lit(1)), ["g"], "doc_id").withColumn("v", F.col("quality").cast("double"))
-    return M.bootstrap_means(rows, "row_id", "v", 30, 200, 122).select("resample", F.round("mean", 6).alias("mean"))
+    return M.bootstrap_means(rows, "row_id", "v", 300, 500, 122).select("resample", F.round("mean", 6).alias("mean"))
 
 
 @query("""
@@ -308,7 +308,7 @@ SELECT CAST(doc_id AS VARCHAR) || '.' || CAST(p AS VARCHAR) || '.' || CAST(q AS
 """)
 def tree_root(spark, sf):
     splits = iter([lambda c: F.split(c, "\n"), lambda c: F.split(c, r"\. ")])
-    nodes = TR.decompose(TR.roots(docs(spark, sf).where("doc_id < 200"), "doc_id"), lambda c: next(splits)(c), 2)
+    nodes = TR.decompose(TR.roots(docs(spark, sf), "doc_id"), lambda c: next(splits)(c), 2)
     return nodes.where("level = 2").select("node_id", "parent_id", "root_id", "text")
 
 
@@ -362,6 +362,6 @@ WITH r AS (SELECT doc_id, 'L' || CAST(doc_id % 3 AS VARCHAR) AS src, doc_id % 5
 SELECT src, CAST(k AS INTEGER) AS k, CAST(min(depth) AS INTEGER) AS depth_a, CAST(max(depth) AS INTEGER) AS depth_b FROM r GROUP BY src, k HAVING count(DISTINCT depth) = 2
 """)
 def run_pairing(spark, sf):
-    d = docs(spark, sf).where("doc_id < 60")
+    d = docs(spark, sf)
     name = F.concat(F.lit("L"), (F.col("doc_id") % 3).cast("string"), F.lit("_to_English_"), (F.col("doc_id") % 5).cast("string"), F.lit("_shot_seed_122_llm_vanilla_0_"), (F.col("doc_id") % 2).cast("string"), F.lit("_0"))
     return corpora.paired_runs(corpora.run_settings(d.select(name.alias("name"))), ["src", "k"], "depth")

@@ -1,5 +1,6 @@
 """Small goldens and properties of the core operators."""
 
+import hashlib
 import json
 import math
 import random
@@ -24,7 +25,7 @@ from corpusloom.operators import reshape as R
 from corpusloom.operators import selection as S
 from corpusloom.operators import similarity as SIM
 from corpusloom.operators import trees as TR
-from corpusloom.plans import rounds, search_queries
+from corpusloom.plans import rounds, search_queries, select_queries
 from corpusloom.sources import corpora
 
 
@@ -258,6 +259,26 @@ def test_corpus_scores_cover_long_texts_and_unknown_lengths(spark, tmp_path):
     assert search_queries.chrf_corpus(spark, str(tmp_path)).first().chrf == pytest.approx(100 * sum(f) / 8, abs=2e-6)
 
 
+def test_queries_cover_all_rows(spark, tmp_path):
+    sf = str(tmp_path)
+    docs = [(i, f"one {i}. two\nthree") for i in [*range(5), *range(1000, 1040)]]
+    items = [(i, f"a{i} b c") for i in range(40)] + [(1000, "z z")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    nodes = {(r.node_id, r.text) for r in search_queries.tree_root(spark, sf).collect()}
+    assert nodes == {x for i, _ in docs for x in ((f"{i}.0.0", f"one {i}"), (f"{i}.0.1", "two"), (f"{i}.1.0", "three"))}
+    assert {r.query_id for r in search_queries.histogram_topk(spark, sf).collect()} == {i for i, _ in items}
+    depths = {}
+    for i, _ in docs:
+        depths.setdefault((f"L{i % 3}", i % 5), set()).add(i % 2)
+    assert {(r.src, r.k) for r in search_queries.run_pairing(spark, sf).collect()} == {k for k, v in depths.items() if len(v) == 2}
+    assert {r.row_id for r in select_queries.zip_pairs(spark, sf).collect()} == {i for i, _ in docs} & {i for i, _ in items}
+    draw = lambda b, i: int(hashlib.md5(f"122|{b}|{i}".encode()).hexdigest()[:8], 16) % 20 % 2
+    got = {r.resample: r["mean"] for r in search_queries.bootstrap_means(spark, sf).collect()}
+    assert got == {b: round(sum(draw(b, i) for i in range(500)) / 500, 6) for b in range(300)}
+
+
 def test_prompts_and_chat(spark):
     f = PR.Format.numbered(9, "English", "French")
     df = spark.createDataFrame([([("a", "b")], "c")], "d array<struct<x:string,y:string>>, e string")
