@@ -144,10 +144,24 @@ def best_candidate(df: DataFrame, group: str, score: Column, pos: str, text: str
     return best.select(group, F.when(F.col("k.ok"), F.col(f"b.{text}")).otherwise("").alias(text), F.col(f"b.{pos}").alias(pos))
 
 
-def mutual_scores(df: DataFrame, group: str, pos: str, text: str) -> DataFrame:
-    """group, pos, score: the summed word-overlap F of each candidate with the others of its group (groups are small by construction)."""
-    w = F.array_distinct(words(F.col(text)))
-    a = df.select(group, F.col(pos).alias("i"), w.alias("x"))
-    b = df.select(group, F.col(pos).alias("j"), w.alias("y"))
-    f = 2 * F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x") + F.size("y"), F.lit(1))
-    return a.join(b, group).where("i <> j").groupBy(group, F.col("i").alias(pos)).agg(F.round(F.sum(f), 6).alias("score"))
+def mutual_scores(df: DataFrame, group: str, pos: str, text: str, most: int = 4) -> DataFrame:
+    """group, pos, score: the summed sentence BLEU (0 to 100) of the others of the group against each candidate (groups are small by construction).
+
+    An order without a match counts as half, then a quarter and so on of a match; without any match, or with a hypothesis shorter than ``most`` words, BLEU is 0.
+    """
+    kept = df.select(F.col(group).alias("_group"), pos, F.coalesce(text, F.lit("")).alias("_t"))
+    grams = gram_counts(kept, ["_group", pos], "c", words(F.col("_t")), range(1, most + 1))
+    h = grams.select("_group", F.col(pos).alias("j"), "n", "g", F.col("c").alias("h"))
+    r = grams.select("_group", F.col(pos).alias("i"), "n", "g", F.col("c").alias("r"))
+    orders = [F.sum(F.when(F.col("n") == n, F.least("h", "r")).otherwise(0)).alias(f"m{n}") for n in range(1, most + 1)]
+    met = h.join(r, ["_group", "n", "g"]).where("i <> j").groupBy("_group", "i", "j").agg(*orders)
+    sizes = kept.select("_group", pos, F.size(words(F.col("_t"))).alias("size"))
+    pairs = sizes.toDF("_group", "i", "ref").join(sizes.toDF("_group", "j", "hyp"), "_group").where("i <> j").join(met, ["_group", "i", "j"], "left")
+    logs, missed = F.lit(0.0), F.lit(0)
+    for n in range(1, most + 1):
+        m = F.coalesce(f"m{n}", F.lit(0))
+        missed = missed + (m == 0).cast("int")
+        logs = logs + F.log(F.when(m == 0, F.pow(F.lit(0.5), missed)).otherwise(m) / (F.col("hyp") - (n - 1)))
+    penalty = F.when(F.col("hyp") >= F.col("ref"), 0.0).otherwise(1 - F.col("ref") / F.col("hyp"))
+    bleu = F.when((F.col("hyp") < most) | (F.coalesce("m1", F.lit(0)) == 0), 0.0).otherwise(100 * F.exp(logs / most + penalty))
+    return pairs.groupBy(F.col("_group").alias(group), F.col("i").alias(pos)).agg(F.round(F.sum(bleu), 6).alias("score"))

@@ -279,6 +279,31 @@ def test_queries_cover_all_rows(spark, tmp_path):
     assert got == {b: round(sum(draw(b, i) for i in range(500)) / 500, 6) for b in range(300)}
 
 
+def sentence_bleu(hyp, ref):
+    counts = [clipped([(hyp, ref)], n, str.split) for n in range(1, 5)]
+    size, other, hits = counts[0]
+    if size < 4 or not hits:
+        return 0.0
+    logs, miss = 0.0, 1.0
+    for total, _, m in counts:
+        miss = miss / 2 if not m else miss
+        logs += math.log((m or miss) / total)
+    return 100 * math.exp(logs / 4 + (0 if size >= other else 1 - other / size))
+
+
+def test_candidates_are_chosen_by_mutual_bleu(spark):
+    texts = ["the cat sat on the mat", "the cat sat on the mat today", "mat the on sat cat the", "mat mat the the on sat cat", " ", "a b c", "", "the cat sat on a mat"]
+    rng = random.Random(3)
+    rows = [(0, i, t) for i, t in enumerate(["mat the on sat cat the", *texts[:2], "on the mat the cat sat"])] + [(1, i, t) for i, t in enumerate(texts)]
+    rows += [(g, i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))) for g in range(2, 12) for i in range(4)]
+    df = spark.createDataFrame(rows, "g long, pos long, text string")
+    scores = M.mutual_scores(df, "g", "pos", "text")
+    want = {(g, i): sum(sentence_bleu(u, t) for h, j, u in rows if h == g and j != i) for g, i, t in rows}
+    assert {(r.g, r.pos): r.score for r in scores.collect()} == pytest.approx(want, abs=2e-6)
+    best = M.best_candidate(df.join(scores, ["g", "pos"]), "g", F.col("score"), "pos", "text").where("g = 0").first()
+    assert best.pos == max(range(4), key=lambda i: (round(want[0, i], 6), -i)) and best.pos in (1, 2)
+
+
 def test_prompts_and_chat(spark):
     f = PR.Format.numbered(9, "English", "French")
     df = spark.createDataFrame([([("a", "b")], "c")], "d array<struct<x:string,y:string>>, e string")
