@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.mixing import mixed_documents
+from corpusloom.llm.queries_python import TOXIC_FROM
 from corpusloom.llm.sampled_pieces import sample_pieces
 from corpusloom.llm.setsketch import keep_one
 from corpusloom.llm.store import stage
 from corpusloom.llm.suffix_dedup import remove_repeats
 from corpusloom.llm.toxicity import fit_toxicity, score_toxicity
 
-TOXIC_FROM = 0.5
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the model, learned from the labelled ones, finds toxic."""

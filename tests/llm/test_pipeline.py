@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.suffix_dedup import repeated_spans
@@ -34,3 +36,10 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert Counter(r.doc_id for r in after[4].where("sample = 1").collect()) == copies
     assert all(r.decoded for r in after[4].collect())
     assert pipeline.run(spark, str(tmp_path)).count() == after[4].count()
+
+
+def test_what_op6_calls_toxic_leaves_the_corpus(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(pipeline, "fit_toxicity", lambda docs, labels: None)
+    monkeypatch.setattr(pipeline, "score_toxicity", lambda docs, model: docs.withColumn("_score", F.col("doc_id") / 10))
+    assert [r.doc_id for r in pipeline.drop_toxic(spark, spark.range(8).toDF("doc_id"), str(tmp_path)).orderBy("doc_id").collect()] == [0, 1, 2]
