@@ -6,6 +6,7 @@ All scores are rounded to six places before ranking and ties go to the smaller i
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -294,17 +295,18 @@ def near_pairs(df: DataFrame, tokens: str, tau: float, by: str, id_column: str =
     return scored.where(2 * F.col("lcs") > tau * (F.col("m") + F.col("n"))).select("a", "b", "f")
 
 
-def greedy_kept(df: DataFrame, pairs: DataFrame, id_column: str = "doc_id", max_rounds: int = 100) -> DataFrame:
+def greedy_kept(df: DataFrame, pairs: DataFrame, id_column: str = "doc_id", max_rounds: int | None = None) -> DataFrame:
     """Rows that stay if each row in order of id is dropped when an earlier kept row is near it.
 
     Rounds decide all rows whose earlier neighbours are decided: dropped if one of them is kept, kept if all are dropped. Each round is checkpointed.
+    Rounds go on until all is decided, as each decides a row at least; it is an error if ``max_rounds`` are not enough.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/corpusloom-core")
     edges = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     dropped = None
-    for _ in range(max_rounds):
+    for n in itertools.count(1):
         # first of what is left: no earlier neighbour any more, so kept; its later neighbours go
         later = edges.select(F.col("b").alias("a")).distinct()
         first = edges.select("a").distinct().join(later, "a", "left_anti")
@@ -314,5 +316,7 @@ def greedy_kept(df: DataFrame, pairs: DataFrame, id_column: str = "doc_id", max_
         edges = left.select("a", "b").checkpoint()
         if not edges.limit(1).count():
             break
+        if n == max_rounds:
+            raise RuntimeError(f"greedy_kept: rows are undecided after {n} rounds")
     return df.join(dropped.withColumnRenamed("a", id_column), id_column, "left_anti")
 

@@ -1,6 +1,7 @@
 """Small goldens and properties of the core operators."""
 
 import hashlib
+import inspect
 import json
 import math
 import random
@@ -208,6 +209,14 @@ def test_near_pairs_lose_nothing_and_greedy_equals_the_loop(spark):
     assert sorted(r.doc_id for r in SIM.greedy_kept(df, pairs).collect()) == kept
 
 
+def test_long_chains_are_decided_or_refused(spark):
+    df, pairs = spark.range(12).toDF("doc_id"), spark.createDataFrame([(i, i + 1) for i in range(11)], "a long, b long")
+    assert {r.doc_id for r in SIM.greedy_kept(df, pairs).collect()} == set(range(0, 12, 2))
+    with pytest.raises(RuntimeError):
+        SIM.greedy_kept(df, pairs, max_rounds=2)
+    assert inspect.signature(SIM.greedy_kept).parameters["max_rounds"].default is None
+
+
 def test_fusion_and_dense(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 20, 2)], "query_id long, item_id long, pos long")
     b = spark.createDataFrame([(1, 20, 1), (1, 30, 2)], "query_id long, item_id long, pos long")
