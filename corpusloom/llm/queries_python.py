@@ -28,7 +28,7 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of all documents, learned from those not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored = score_texts(docs, ~held_out(7)).withColumn("held_out", held_out(7))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "attention_score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +44,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels.where(~held_out(4)))
-    scored = score_toxicity(docs, model)
+    scored = score_toxicity(docs, model, "score")
     return scored.select(
         "doc_id",
         held_out(4).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= TOXIC_FROM).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
     )
 
 

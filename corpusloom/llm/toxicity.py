@@ -8,34 +8,43 @@ A text is a bag of units: its words, overlapping parts of very long words, and r
 is trained on labelled texts as bags: the best unit of a toxic text is its witness, the best units of clean texts are the hardest
 negatives, and witnesses are chosen anew in every round. Units become vectors of kernel values with m landmark words (Nystrom
 features), in which a squared-hinge support vector machine is fitted. Its decision function is linear in the subsequences of the unit, so
-it is folded into one table of weights, and scoring costs one look-up per subsequence. A text scores as its best unit, through a fitted
-logistic curve.
+it is folded into one table of weights, and scoring costs one look-up per subsequence. A text scores by the decision values of its three
+best distinct units, through a fitted logistic curve: one insult may be a chance string, several are not.
 
-The model is fitted in one task on at most ``max_toxic + max_clean`` labelled rows (the first in md5 order of doc_id); this bound keeps
-that task's memory fixed. Scoring covers all whole texts.
+The model is fitted in one task on at most ``max_toxic + max_clean`` labelled rows and ``max_bytes`` of their texts (the first in md5 order
+of doc_id); these bounds keep that task's memory fixed. Scoring covers all whole texts.
 
-Defined results: null and empty texts have no unit and get the score of the bias alone; labels that are null are not used, and of repeated
-labels the highest counts; repeated rows are scored alike; without toxic or without clean labels every score is 0; extra columns are ignored.
+Defined results: null and empty texts have no unit and get the score of missing units; labels that are null are not used, and of repeated
+labels the highest counts; of rows with equal ids the least text is learned; repeated rows are scored alike, and so are texts with equal units;
+texts of any length are scored whole; without toxic or without clean labels every score is 0; an empty table gives an empty result; extra columns
+stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import pickle
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from corpusloom.llm.store import frugal, frugal_group, numbered, plain, small_batches
 from corpusloom.llm.words import _LOWER, blocks, buffers, word_hashes, word_spans
 
 DECAY = 0.6
 WIDTHS = (4, 6, 8, 10, 12, 16, 24)  # words are padded to one of these lengths
 LONGEST = WIDTHS[-1]
+CELLS = 1 << 20  # subsequences that are looked up at once
+TOP = 3  # units by which a text is scored
+MISSING = -2.0  # decision value of a unit that a text does not have; values are cut to MISSING..-MISSING
+OWN, SHARED = 63, 8  # bytes with a symbol of their own, the most frequent ones of the landmarks, and symbols that all others share
 
 
 def _triples(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,13 +66,13 @@ class Bags:
     sizes: np.ndarray
     fresh: np.ndarray
     owner: np.ndarray
-    hashes: np.ndarray | None
+    hashes: np.ndarray  # equal units have equal hashes
 
 
-def units(offsets: np.ndarray, data: np.ndarray, hashed: bool = True) -> Bags:
+def units(offsets: np.ndarray, data: np.ndarray) -> Bags:
     """The units of texts given as offsets and bytes."""
     starts, ends, upto = spans = word_spans(offsets, data)
-    hashes = word_hashes(offsets, data, spans)[0] if hashed else None
+    hashes = word_hashes(offsets, data, spans)[0]
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(upto))
     sizes = ends - starts
     low = _LOWER[data]
@@ -88,10 +97,16 @@ def units(offsets: np.ndarray, data: np.ndarray, hashed: bool = True) -> Bags:
         np.concatenate([sizes[keep], more[:, 1]]),
         np.concatenate([np.ones(int(keep.sum()), bool), more[:, 2].astype(bool)]),
         np.concatenate([owner[keep], more[:, 3]]),
-        hashes[keep] if hashed else None,
+        np.concatenate([hashes[keep], _part_hashes(low, parts, extra_bytes, extra)]),
     )
 
 
+def _part_hashes(low: np.ndarray, parts: list, extra_bytes: list[np.ndarray], extra: list) -> np.ndarray:
+    """Hashes of units that are no whole words: the same bytes, the same hash."""
+    raw = [(low[s : s + n].tobytes(), fresh) for s, n, fresh, _ in parts] + [(b.tobytes(), e[2]) for b, e in zip(extra_bytes, extra, strict=True)]
+    return np.array([int.from_bytes(hashlib.blake2b(b, digest_size=8, person=bytes([fresh])).digest(), "little") for b, fresh in raw], np.uint64)
+
+
 @dataclass
 class Model:
     """Symbol numbers of bytes, the folded table of weights, the bias, and the logistic curve."""
@@ -99,7 +114,7 @@ class Model:
     symbols: np.ndarray
     table: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray  # of the best unit, the second best and so on
     shift: float
 
     def decide(self, bags: Bags, which: np.ndarray) -> np.ndarray:
@@ -112,8 +127,9 @@ class Model:
             chosen = np.nonzero((sizes > before) & (sizes <= width))[0]
             before = width
             i, j, k, weight = TRIPLES[width]
-            for lo in range(0, len(chosen), 4096):
-                part = chosen[lo : lo + 4096]
+            step = max(16, CELLS // len(i))
+            for lo in range(0, len(chosen), step):
+                part = chosen[lo : lo + step]
                 at = bags.starts[which[part]]
                 cells = np.zeros((len(part), width + 1), np.int32)
                 cells[:, 0] = bags.fresh[which[part]]
@@ -124,23 +140,25 @@ class Model:
         return out + self.bias
 
     def best(self, bags: Bags, texts: int) -> tuple[np.ndarray, np.ndarray]:
-        """The highest decision value of every text, and its unit (-1 without units)."""
+        """The highest decision values of every text's distinct units, and the units (MISSING and -1 where there are none)."""
         n = len(bags.starts)
-        if bags.hashes is not None:
-            keep = len(bags.hashes)
-            _, first, back = np.unique(bags.hashes, return_index=True, return_inverse=True)
-            values = np.concatenate([self.decide(bags, first)[back], self.decide(bags, np.arange(keep, n))])
-        else:
-            values = self.decide(bags, np.arange(n))
-        top = np.full(texts, self.bias)
-        witness = np.full(texts, -1)
-        order = np.argsort(values, kind="stable")  # the last assignment is the highest value
-        top[bags.owner[order]] = values[order]
-        witness[bags.owner[order]] = order
+        top, witness = np.full((texts, TOP), MISSING), np.full((texts, TOP), -1)
+        if not n:
+            return top, witness
+        _, first, back = np.unique(bags.hashes, return_index=True, return_inverse=True)
+        value = np.round(np.clip(self.decide(bags, first), MISSING, -MISSING), 4)  # the same in any batch
+        pairs = np.unique(bags.owner * len(first) + back)  # a unit counts once in a text
+        owner, unit = pairs // len(first), pairs % len(first)
+        order = np.lexsort((unit, -value[unit], owner))
+        owner, unit = owner[order], unit[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        few = place < TOP
+        top[owner[few], place[few]] = value[unit[few]]
+        witness[owner[few], place[few]] = first[unit[few]]
         return top, witness
 
-    def probability(self, value: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -60, 60)))
+    def probability(self, top: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(top @ self.slopes + self.shift, -60, 60)))
 
 
 def _subsequences(word: bytes, symbols: np.ndarray, side: int) -> Counter:
@@ -166,54 +184,70 @@ def _fit_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     return w[:-1], float(w[-1])
 
 
-def _fit_curve(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic curve through (value, 0/1) by damped Newton steps."""
-    x = np.stack([value, np.ones(len(value))], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
+def _fit_curve(value: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic curve through (values, 0/1) by damped Newton steps; slopes are not negative, and units after the best one count only as far as they tell more."""
+    x = np.hstack([value, np.ones((len(value), 1))])
+    w = np.zeros(x.shape[1])
+    ridge = np.where((np.arange(len(w)) > 0) & (np.arange(len(w)) < len(w) - 1), 1.0, 0.1)
+    for _ in range(80):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        h = x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + 1e-2 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
+        h = x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + np.diag(ridge)
+        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
         w = w + step / max(1.0, np.abs(step).max() / 5)
-    return float(w[0]), float(w[1])
+        w[:-1] = np.maximum(w[:-1], 0)
+    return w[:-1], float(w[-1])
 
 
 def train(texts: list[str], toxic: np.ndarray, landmarks: int = 96, rounds: int = 4, seed: int = 5) -> Model:
     """Fit the machine on labelled texts."""
     rng = np.random.default_rng(seed)
-    none = Model(np.zeros(256, np.int32), np.zeros(8, np.float32), 0.0, 0.0, -60.0)
+    none = Model(np.zeros(256, np.int32), np.zeros(8, np.float32), 0.0, np.zeros(TOP), -60.0)
     if not len(texts) or toxic.all() or not toxic.any():
         return none
-    offsets, data = buffers(pa.array(texts, pa.string()))
-    bags = units(offsets, data, hashed=False)
+    bags = _all_units(texts)
     if not len(bags.starts):
         return none
     raw = bags.data.tobytes()
-    names = [raw[s : s + n] for s, n in zip(bags.starts.tolist(), bags.sizes.tolist(), strict=True)]
-    seen: dict[bytes, list[int]] = {}
-    for pair in set(zip(names, bags.owner.tolist(), strict=True)):
-        seen.setdefault(pair[0], [0, 0])[int(toxic[pair[1]])] += 1
+    _, at, unit = np.unique(bags.hashes, return_index=True, return_inverse=True)  # from here on units are distinct ones
+    pairs = np.unique(bags.owner * len(at) + unit)
+    owner, which = pairs // len(at), pairs % len(at)
+    in_toxic = np.bincount(which[toxic[owner]], minlength=len(at))
+    in_clean = np.bincount(which[~toxic[owner]], minlength=len(at))
     n1, n0 = toxic.sum(), (~toxic).sum()
+    # whether a unit is in toxic texts far more often, one more clean text granted
+    marked = in_toxic / n1 > 4 * (in_clean + 1) / n0
+
+    def name(i: int) -> bytes:
+        return raw[bags.starts[at[i]] : bags.starts[at[i]] + bags.sizes[at[i]]]
+
     # how much more often a word is in toxic texts, and its first letters' share of that
-    gain = {w: t / n1 - 3 * c / n0 for w, (c, t) in seen.items() if t >= 2}
+    gain = in_toxic / n1 - 3 * in_clean / n0
+    often = np.nonzero(in_toxic >= 2)[0]
+    ranked = sorted(often.tolist(), key=lambda i: (-gain[i], name(i)))
     stems: Counter = Counter()
-    for w, (c, t) in seen.items():
+    for i in often.tolist():
+        w = name(i)
+        for k in range(3, min(len(w), 8) + 1):
+            stems[w[:k]] = 0
+    for i in range(len(at)):
+        w = name(i)
         for k in range(3, min(len(w), 8) + 1):
-            stems[w[:k]] += t / n1 - 2 * c / n0
-    ranked = sorted(gain, key=lambda w: (-gain[w], w))
+            if w[:k] in stems:
+                stems[w[:k]] += in_toxic[i] / n1 - 2 * in_clean[i] / n0
     frames = sorted((s for s in stems if stems[s] > 0), key=lambda s: (-stems[s] * len(s) ** 0.5, s))
     marks: list[bytes] = []
-    for w in [x for pair in itertools.zip_longest(ranked[: landmarks], frames[: landmarks]) for x in pair if x]:
+    for w in [x for pair in itertools.zip_longest(map(name, ranked[:landmarks]), frames[:landmarks]) for x in pair if x]:
         if w not in marks and len(marks) < landmarks * 3 // 4:
             marks.append(w[:12])
-    usual = sorted((w for w, (c, t) in seen.items() if c > 5 and len(w) > 2), key=lambda w: (-seen[w][0], w))[: landmarks * 4]
+    usual = sorted(np.nonzero((in_clean > 5) & (bags.sizes[at] > 2))[0].tolist(), key=lambda i: (-in_clean[i], name(i)))[: landmarks * 4]
     if usual:
-        marks += [usual[i][:12] for i in rng.permutation(len(usual))[: landmarks - len(marks)]]
+        marks += [name(usual[i])[:12] for i in rng.permutation(len(usual))[: landmarks - len(marks)]]
     marks = sorted(set(marks))
-    letters = sorted({b for w in marks for b in w})[:60]
+    used = Counter(b for w in marks for b in w)
+    letters = sorted(used, key=lambda b: (-used[b], b))
     symbols = np.zeros(256, np.int32)
-    symbols[letters] = np.arange(2, len(letters) + 2)
-    side = len(letters) + 2
+    symbols[letters] = np.where(np.arange(len(letters)) < OWN, np.arange(len(letters)), OWN + np.array(letters, int) % SHARED) + 2
+    side = int(symbols.max()) + 1
     phi = np.zeros((len(marks), side**3), np.float32)
     for r, w in enumerate(marks):
         for cell, value in _subsequences(w, symbols, side).items():
@@ -222,45 +256,61 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 96, rounds: int
     values, vectors = np.linalg.eigh(gram + 1e-3 * np.eye(len(marks)))
     half = vectors / np.sqrt(np.maximum(values, 1e-6))  # Nystrom map: K(x, landmarks) @ half
 
-    where = {w: i for i, w in enumerate(names)}
-    pos = Counter({w: seen[w][1] for w in ranked[: 6 * landmarks] if seen[w][1] / n1 > 4 * seen[w][0] / n0})
-    calm = [w for w, (_, t) in seen.items() if t == 0]
-    neg = {calm[i] for i in rng.permutation(len(calm))[:6000]} | {w for w in seen if seen[w][0] > 20 and w not in pos}
+    pos = {i: int(in_toxic[i]) for i in ranked[: 6 * landmarks] if marked[i]}
+    calm = np.nonzero(in_toxic == 0)[0]
+    neg = set(calm[rng.permutation(len(calm))[:6000]].tolist()) | {i for i in np.nonzero(in_clean > 20)[0].tolist() if i not in pos}
     model = none
     for _ in range(rounds):
         if not pos:
             return none
         words = sorted(pos) + sorted(neg - set(pos))
-        at = np.array([where[w] for w in words])
-        k = np.stack([Model(symbols, phi[r], 0.0, 1.0, 0.0).decide(bags, at) for r in range(len(marks))], axis=1)
+        k = np.stack([Model(symbols, phi[r], 0.0, np.zeros(TOP), 0.0).decide(bags, at[words]) for r in range(len(marks))], axis=1)
         y = np.where(np.arange(len(words)) < len(pos), 1.0, -1.0)
         share = np.array([np.sqrt(pos[w]) for w in sorted(pos)])
         weight = np.concatenate([share / share.sum(), np.full(len(words) - len(pos), 1.0 / max(1, len(words) - len(pos)))])
         w, bias = _fit_hinge(k @ half, y, weight)
-        model = Model(symbols, (half @ w).astype(np.float32) @ phi, bias, 1.0, 0.0)
+        model = Model(symbols, (half @ w).astype(np.float32) @ phi, bias, np.zeros(TOP), 0.0)
         top, witness = model.best(bags, len(texts))
-        pos = Counter(names[i] for i in witness[toxic] if i >= 0)
-        pos = Counter({w: n for w, n in pos.items() if n > 1 or seen[w][1] / n1 > 4 * seen[w][0] / n0})
-        worst = np.nonzero(~toxic)[0][np.argsort(-top[~toxic])[: len(texts) // 4]]
-        neg |= {names[i] for i in witness[worst] if i >= 0}
-        neg -= {w for w in pos if seen[w][0] == 0}
-    model.slope, model.shift = _fit_curve(top, toxic.astype(float))
+        chosen = np.where(witness >= 0, unit[witness], -1)
+        pos = {i: n for i, n in Counter(chosen[toxic, :2].ravel().tolist()).items() if i >= 0 and marked[i]}
+        worst = np.nonzero(~toxic)[0][np.argsort(-top[~toxic, 0], kind="stable")[: len(texts) // 4]]
+        neg |= set(chosen[worst, :2].ravel().tolist()) - {-1}
+        neg -= {i for i in pos if in_clean[i] == 0}
+    model.slopes, model.shift = _fit_curve(top, toxic.astype(float))
     return model
 
 
+def _all_units(texts: list[str]) -> Bags:
+    """The units of all texts, block by block."""
+    offsets, data = buffers(pa.array(texts, pa.string()))
+    bags, moved = [], 0
+    for a, b in blocks(offsets):
+        own = offsets[a : b + 1]
+        bag = units(own - own[0], data[own[0] : own[-1]])
+        bags.append(Bags(bag.data, bag.starts + moved, bag.sizes, bag.fresh, bag.owner + a, bag.hashes))
+        moved += len(bag.data)
+    return Bags(*(np.concatenate([getattr(x, f.name) for x in bags]) for f in fields(Bags)))
+
+
 def _train_task(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("turn")
     model = train(rows["text"].to_pylist(), rows["toxic"].to_numpy(zero_copy_only=False).astype(bool))
     return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 2500) -> Model:
-    """The model learned from labelled documents (doc_id, text) and labels (doc_id, toxic), at most so many of each kind."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 2500, max_bytes: int = 24 << 20) -> Model:
+    """The model learned from labelled documents (doc_id, text) and labels (doc_id, toxic): so many of each kind and so many bytes at most."""
+    labels = plain(labels, "doc_id", "toxic")
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     marked = marked.withColumn("turn", F.md5(F.col("doc_id").cast("string")))
     some = marked.where("toxic").orderBy("turn").limit(max_toxic).unionByName(marked.where("not toxic").orderBy("turn").limit(max_clean))
-    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")  # bounded by the parameters
-    found = chosen.dropDuplicates(["doc_id"]).select(F.lit(0).alias("g"), "turn", "text", "toxic").groupBy("g").applyInArrow(_train_task, "model binary").collect()
+    texts = plain(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(F.broadcast(some), "doc_id")  # bounded by the parameters
+    sizes = sizes.groupBy("doc_id", "turn", "toxic").agg(F.max("bytes").alias("bytes"))
+    fitting = sizes.withColumn("upto", F.sum("bytes").over(Window.orderBy("turn", "doc_id"))).where(F.col("upto") <= max_bytes)
+    chosen = texts.join(F.broadcast(fitting.select("doc_id", "turn", "toxic")), "doc_id").groupBy("doc_id", "turn", "toxic").agg(F.min("text").alias("text"))
+    task = frugal_group(_train_task)
+    found = chosen.select(F.lit(0).alias("g"), "turn", "text", "toxic").groupBy("g").applyInArrow(task, "model binary").collect()
     return pickle.loads(found[0][0]) if found else train([], np.zeros(0, bool))
 
 
@@ -273,13 +323,18 @@ def _scorer(model: Model):
                 own = offsets[a : b + 1]
                 top, _ = model.best(units(own - own[0], data[own[0] : own[-1]]), b - a)
                 scores[a:b] = model.probability(top)
-            keep = [batch[c] for c in batch.schema.names if c != "_score"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(scores)], names=[*batch.schema.names, "_score"])
+            keep = batch.schema.names[:-1]  # the text stands once more at the end
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(scores)], names=[*keep, "score"])
 
-    return run
+    return frugal(run)
 
 
-def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with _score, the probability that a text is toxic (0 to 1)."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_scorer(model), f"{kinds}, _score double")
+def score_toxicity(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """``docs`` with ``name``, the probability that a text is toxic (0 to 1), as its last column; a column that has the name gives way."""
+    small_batches(docs.sparkSession)
+    held = [c for c in docs.columns if c != name]
+    base = numbered(docs)
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    carried = base.select(*[at[c] for c in held], F.col(at["text"]).alias("text"))
+    kinds = ", ".join([*(f"{at[c]} {docs.schema[docs.columns.index(c)].dataType.simpleString()}" for c in held), "score double"])
+    return carried.mapInArrow(_scorer(model), kinds).toDF(*held, name)

@@ -38,12 +38,17 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n + 1:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n + 1, base & _MASK, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps)
-    return _POWERS[0], _POWERS[1]
+    """The first n + 1 powers of the base and of its inverse, or more; those of some blocks' length are kept, those of longer texts are not."""
+    if len(_POWERS[0]) > n:
+        return _POWERS[0], _POWERS[1]
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n + 1, base & _MASK, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, out=steps))
+    if n <= 2 * BLOCK_BYTES:
+        _POWERS[:] = out
+    return out[0], out[1]
 
 
 def buffers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
