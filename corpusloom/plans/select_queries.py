@@ -150,7 +150,7 @@ def ntrex_split(spark, sf):
     return positional_split(docs(spark, sf).select("doc_id"), "doc_id", 600)
 
 
-@query("SELECT d.doc_id AS row_id, d.text AS source, b.text AS target FROM documents d JOIN benchmark b ON b.item_id = d.doc_id WHERE d.doc_id < 30")
+@query("SELECT d.doc_id AS row_id, d.text AS source, b.text AS target FROM documents d JOIN benchmark b ON b.item_id = d.doc_id")
 def zip_pairs(spark, sf):
     left = docs(spark, sf).select(F.col("doc_id").alias("row_id"), F.col("text").alias("sentence"))
     right = table(spark, sf, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("sentence"))
