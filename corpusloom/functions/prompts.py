@@ -161,3 +161,10 @@ def judge_prompt(source: Column, a: Column, b: Column) -> Column:
 def metric_input(candidate: Column, other: Column, kind: str = "reference") -> Column:
     """'candidate: ... reference: ...' (or source)."""
     return F.concat(F.lit("candidate: "), candidate, F.lit(f" {kind}: "), other)
+
+
+def sample_text(source: Column, target: Column | None = None, src: str = "English", tgt: str = "French") -> Column:
+    """Fixed form of a training example: an instruction with both sides, or the source alone."""
+    if target is None:
+        return source
+    return F.concat(F.lit(f"Translate this from {src} to {tgt}:\n{src}: "), source, F.lit(f"\n{tgt}: "), target)

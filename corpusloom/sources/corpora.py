@@ -142,3 +142,34 @@ def parallel_pairs(corpus: DataFrame, src: str, tgt: str, split: str = "dev", si
     side = lambda name, out: rows.where(F.col("language") == name).select("dataset", "row_id", F.col("sentence").alias(out))
     both = side(src, "source").join(side(tgt, "target"), ["dataset", "row_id"])
     return both.withColumn("source_language", F.lit(src)).withColumn("target_language", F.lit(tgt))
+
+
+def aligned_benchmark(pairs: DataFrame, language: str, pivot: str = "English", through: str = "Bengali") -> DataFrame:
+    """split, row_id, sentence of one side of an aligned corpus (language, split, row_id, source, target), trimmed; validation is dev and test is devtest.
+
+    The source side is the pivot's and is always read through the pair with ``through``, so that it is the same for every target.
+    """
+    side, name = ("source", through) if language == pivot else ("target", language)
+    split = F.when(F.col("split") == "validation", "dev").when(F.col("split") == "test", "devtest").otherwise(F.col("split"))
+    return pairs.where(F.col("language") == name).select(split.alias("split"), "row_id", F.regexp_replace(side, r"^\s+|\s+$", "").alias("sentence"))
+
+
+def curated_benchmark(pairs: DataFrame, benchmark: DataFrame, side: str) -> DataFrame:
+    """split, row_id, sentence: curated pairs (row_id, source, target) as dev, and the devtest rows of a benchmark (split, row_id, sentence, ...)."""
+    dev = pairs.select(F.lit("dev").alias("split"), "row_id", F.col(side).alias("sentence"))
+    return dev.unionByName(benchmark.where("split = 'devtest'").select("split", "row_id", "sentence"))
+
+
+def contexts(rows: DataFrame, order: str, text: str = "context") -> DataFrame:
+    """row_id, text of a reading-comprehension table, where each context stands once per run of questions on it."""
+    w = Window.orderBy(order)
+    changed = rows.withColumn("_before", F.lag(text).over(w)).where(F.col("_before").isNull() | (F.col("_before") != F.col(text)))
+    return changed.select(F.col(order).alias("row_id"), F.col(text).alias("text"))
+
+
+def sentence_pairs(corpus: DataFrame, languages: list[str], codes: dict[str, str], src: str = "English") -> DataFrame:
+    """source, target, source_language, target_language of the languages' pairs in a corpus (code, src, trg); a KeyError for a language without code."""
+    names = {codes[name]: name for name in languages}
+    table = corpus.sparkSession.createDataFrame(list(names.items()), "code string, target_language string")
+    picked = corpus.join(F.broadcast(table), "code")  # a handful of languages
+    return picked.select(F.col("src").alias("source"), F.col("trg").alias("target"), F.lit(src).alias("source_language"), "target_language")
