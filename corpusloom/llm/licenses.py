@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.store import stage
+from corpusloom.llm.store import plain, stage
 
 # Public short licence texts and header lines, by SPDX id.
 KNOWN = [
@@ -59,11 +59,84 @@ KNOWN = [
         "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
         "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
+    (
+        "0BSD",
+        "text",
+        "Zero-Clause BSD\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n"
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "BSD-2-Clause",
+        "text",
+        "BSD 2-Clause License\n\nCopyright (c) <year>, <holders>\n\nRedistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT "
+        'HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND '
+        "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; "
+        "OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "text",
+        "BSD 3-Clause License\n\nCopyright (c) <year>, <holders>\n\nRedistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor "
+        "the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+        "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+        "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+        "DAMAGE.",
+    ),
+    (
+        "Zlib",
+        "text",
+        "zlib License\n\nCopyright (c) <year> <holders>\n\nThis software is provided 'as-is', without any express or implied warranty. In no event will the "
+        "authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, "
+        "including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software "
+        "must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
+        "product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be "
+        "misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "Unlicense",
+        "text",
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions "
+        "that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We "
+        "make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt "
+        "act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT "
+        "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to "
+        "<https://unlicense.org>",
+    ),
+    (
+        "BSL-1.0",
+        "text",
+        "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy "
+        'of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the '
+        "Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the "
+        "following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following "
+        "disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative "
+        "works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT "
+        "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND "
+        "NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
 ]
 # Equivalent spellings, applied in this order to lower-case text.
-SPELLINGS = [("licence", "license"), ("sublicence", "sublicense"), ("https?://", ""), ("(?:\\(c\\)|©)", "c")]
+SPELLINGS = [("licence", "license"), ("https?://", ""), ("(?:\\(c\\)|©)", "c")]
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|\x{A9})[^\n]*(?:\n|$)"
-MENTION = r"(?i)licen[cs]e|public domain|permission"
+MENTION = r"(?i)licen[cs]e|public domain|permission"  # every text of KNOWN has one of these; lines without are not looked up there
 
 
 def canonical(text: Column) -> Column:
@@ -84,16 +157,18 @@ def catalogue(spark: SparkSession) -> DataFrame:
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest (of the whole canonical text), text_license, header_licenses, n_header_lines.
 
-    ``known`` has columns license and digest (see canonical()); by default the built-in catalogue.
+    ``known`` has columns license and digest (see canonical()), and is looked up for every line; by default the built-in catalogue, for lines that can be in it.
     """
+    docs = plain(docs, "doc_id", "text")
+    mentions = (lambda x: F.lit(True)) if known is not None else (lambda x: x.rlike(MENTION))
     known = known if known is not None else catalogue(docs.sparkSession)
     by_digest = known.where(F.col("digest") != F.md5(F.lit(""))).groupBy("digest").agg(F.min("license").alias("license"))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(MENTION))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), mentions)
     units = stage(
         docs.select(
             "doc_id",
             F.md5(canonical(F.col("text"))).alias("digest"),
-            F.when(F.col("text").rlike(MENTION), F.transform(lines, lambda x: F.md5(canonical(x)))).alias("lines"),
+            F.when(mentions(F.col("text")), F.transform(lines, lambda x: F.md5(canonical(x)))).alias("lines"),
         ).withColumn("row", F.monotonically_increasing_id()),
         "license-units",
     )

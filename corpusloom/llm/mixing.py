@@ -12,8 +12,9 @@ md5 order until the source's remaining words are used up. Only the one md5 bucke
 ordered exactly, so no source is ever gathered in one task.
 
 Defined results: null texts and texts without words have size 0 and are never taken; null sources form one
-group, last in order; equal rows are separate documents; an empty table gives an empty result; columns other
-than doc_id, text and source are ignored.
+group, last in order; equal rows are separate documents; rows with equal ids come together in the md5 order, ties by size; texts of any
+length are counted whole; an empty table gives an empty result; columns other than doc_id, text and source are ignored, whatever
+their names, and go along in mixed_documents().
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.store import stage
+from corpusloom.llm.store import numbered, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_HEX = 3  # 4096 buckets of the md5 order
+BUCKET_ROWS = 65_536  # of the md5 order in one bucket, about
 
 
 def word_count(text: Column) -> Column:
@@ -56,7 +57,7 @@ def source_targets(sizes: DataFrame, cap: float, cycle: int) -> DataFrame:
 def newton_duals(histogram: DataFrame, targets: DataFrame, tolerance: float, max_steps: int) -> DataFrame:
     """The dual of every source, by Newton steps over the histogram until the worst relative gap is below tolerance."""
     duals = stage(targets.withColumn("dual", F.when(F.col("target") > 0, F.lit(0.0))), "mix-dual")
-    for _ in range(max_steps):
+    for _ in range(max_steps):  # Newton steps for this dual shrink the gap quadratically; reaching the limit is an error, not a result
         tilted = (
             histogram.join(duals.select("src_null", "src", "dual"), ["src_null", "src"])
             .groupBy("src_null", "src")
@@ -69,19 +70,30 @@ def newton_duals(histogram: DataFrame, targets: DataFrame, tolerance: float, max
         if (duals.agg(F.max("gap")).first()[0] or 0.0) < tolerance:
             break
         duals = duals.drop("gap")
+    else:
+        raise ArithmeticError(f"the duals have not converged to {tolerance} after {max_steps} steps")
     return duals.drop("gap")
 
 
-def _measured(docs: DataFrame, seed: str, *payload: Column) -> DataFrame:
-    """Source, size and place in the md5 order of every row, with further columns."""
-    return docs.select(
-        *payload,
-        "doc_id",
-        F.col("source").isNull().alias("src_null"),
-        F.coalesce("source", F.lit("")).alias("src"),
-        word_count(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("turn"),
-    ).withColumn("bucket", F.substring("turn", 1, BUCKET_HEX))
+def _measured(docs: DataFrame, seed: str, whole_rows: bool = False) -> DataFrame:
+    """Source, size and place in the md5 order of every row, and the row itself if asked for."""
+    at = {n: F.col(f"c{i}") for i, n in enumerate(docs.columns)}
+    return numbered(docs).select(
+        *([F.struct(*at.values()).alias("whole_row")] if whole_rows else []),
+        at["doc_id"].alias("doc_id"),
+        at["source"].isNull().alias("src_null"),
+        F.coalesce(at["source"], F.lit("")).alias("src"),
+        word_count(at["text"]).alias("size"),
+        F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(at["doc_id"].cast("string"), F.lit("")))).alias("turn"),
+    )
+
+
+def _bucketed(measured: DataFrame, rows: int) -> DataFrame:
+    """Add the md5 bucket; their number grows with the number of rows."""
+    digits = 3
+    while 16**digits * BUCKET_ROWS < rows:
+        digits += 1
+    return measured.withColumn("bucket", F.substring("turn", 1, digits))
 
 
 def mix_plan(sizes: DataFrame, cap: float, cycle: int, tolerance: float, max_steps: int) -> DataFrame:
@@ -126,6 +138,7 @@ def mix_sources(
     ``seed`` fixes the order in which documents get their last copy, so reruns agree on any partitioning.
     """
     sizes = stage(_measured(docs, seed), "mix-size")
+    sizes = _bucketed(sizes, sizes.count())
     out = _with_copies(sizes, mix_plan(sizes, cap, cycle, tolerance, max_steps))
     return out.select(
         "doc_id",
@@ -144,6 +157,7 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with the columns of ``docs``."""
     sizes = stage(_measured(docs, seed), "mix-size")
-    plan = mix_plan(sizes, cap, cycle, tolerance, max_steps)
-    rows = _with_copies(_measured(docs, seed, F.struct(*docs.columns).alias("_row")), plan).where("copies > 0")
-    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    n = sizes.count()
+    plan = mix_plan(_bucketed(sizes, n), cap, cycle, tolerance, max_steps)
+    rows = _with_copies(_bucketed(_measured(docs, seed, whole_rows=True), n), plan).where("copies > 0")
+    return rows.select("whole_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole_row.*").toDF(*docs.columns)

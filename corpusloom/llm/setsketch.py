@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.store import stage
+from corpusloom.llm.store import frugal, numbered, plain, stage
 from corpusloom.llm.words import mix, shingle_sets, stream
 
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2  # b, a and q of the sketch
+STEP = 16_384  # hashes whose registers are computed at once
 CELLS = 4_000_000  # of an incidence matrix at once
 SLACK = 16.0  # nats below the best likelihood
 SKETCH = "doc_id long, n long, node long, regs binary, bands array<long>"
@@ -40,7 +41,9 @@ SKETCH = "doc_id long, n long, node long, regs binary, bands array<long>"
 
 def registers(sets: np.ndarray, salts: np.ndarray) -> np.ndarray:
     """SetSketch registers of one set of hashes."""
-    low = ((sets[:, None] ^ salts[None, :]) * np.uint64(0xD6E8FEB86659FD93)).min(axis=0)
+    low = np.full(len(salts), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(sets), STEP):  # parts merge by their minima; a very long text takes no more memory than a long one
+        np.minimum(low, ((sets[at : at + STEP, None] ^ salts[None, :]) * np.uint64(0xD6E8FEB86659FD93)).min(axis=0), out=low)
     uniform = (low >> np.uint64(11)).astype(np.float64) / 2.0**53
     exponential = np.maximum(-np.log1p(-uniform), 1e-300) / RATE
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, LIMIT + 1).astype(np.uint16)
@@ -210,11 +213,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     component_id is the smallest doc_id of the documents reachable by links, itself included; kept says whether that is the
-    document itself; links counts the confirmed links of the document's class to other classes that were tested.
-    Texts that are null or have no words have an empty set and stand alone. Rows with equal doc_id are one node if
-    their sets are equal. Equal sets are always linked. Extra columns are ignored; an empty table gives an empty result.
+    document itself.
+    Defined results: texts that are null or have no words have an empty set and stand alone; rows with equal doc_id are one node if
+    their sets are equal; equal sets are always linked; a similarity of exactly ``percent`` links; of equal ids in a class each row is kept;
+    null doc_ids take part and stand for themselves if nothing else is linked; texts of any length are taken whole; extra columns, whatever
+    their names, are ignored; an empty table gives an empty result.
     """
-    sketches = stage(docs.select("doc_id", "text").mapInArrow(_sketcher(words, bands, rows), SKETCH), "ss-sketch")
+    docs = plain(docs, "doc_id", "text")
+    sketches = stage(docs.mapInArrow(frugal(_sketcher(words, bands, rows)), SKETCH), "ss-sketch")
     classes = stage(
         sketches.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")),
         "ss-class",
@@ -227,22 +233,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     candidates = members.select("node").distinct().join(classes.select("node", "rep"), "node")
     # a doc_id may repeat with other texts: the text is taken from a row of the class itself
-    first_rows = stage(docs.select("doc_id", "text").join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id"), "ss-text")
+    first_rows = stage(docs.join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id"), "ss-text")
     texts = first_rows.dropDuplicates(["node"]) if _repeats(candidates) else first_rows
     sizes = classes.select("node", "n", "regs")
 
     hubs = stage(members.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("hub")).select("band", F.col("hub.node").alias("hub")), "ss-hubs")
     pairs = members.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     sided = pairs.join(sizes.toDF("a", "n_a", "regs_a"), "a").join(sizes.toDF("b", "n_b", "regs_b"), "b")
-    likely = stage(sided.mapInArrow(_plausible(percent), "a long, b long"), "ss-likely")
+    likely = stage(sided.mapInArrow(frugal(_plausible(percent)), "a long, b long"), "ss-likely")
     text = texts.select("node", "text")
     full = likely.join(text.toDF("b", "text_b"), "b").join(text.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-    links = stage(full.mapInArrow(_confirm(words, percent), "u long, v long"), "ss-links")
+    links = stage(full.mapInArrow(frugal(_confirm(words, percent)), "u long, v long"), "ss-links")
     parts = stage(connected_components(links).toDF("node", "component"), "ss-parts")
 
     blocks = _open_blocks(members, hubs, parts, block)
     shipped = blocks.join(text, "node").repartition("task").sortWithinPartitions("task")
-    more = stage(shipped.select("task", "node", "component", "far", "text").mapInArrow(_block_links(words, percent), "u long, v long"), "ss-links")
+    more = stage(shipped.select("task", "node", "component", "far", "text").mapInArrow(frugal(_block_links(words, percent)), "u long, v long"), "ss-links")
     if more.limit(1).count():
         parts = stage(connected_components(links.unionByName(more)).toDF("node", "component"), "ss-parts")
 
@@ -264,13 +270,16 @@ def _repeats(candidates: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each near-duplicate class, that with the smallest doc_id; all columns stay.
+    """``docs`` with one document of each near-duplicate class, that with the smallest doc_id; all columns stay, whatever their names.
 
-    Rows with null doc_id stay; of rows with equal doc_id and equal texts one stays.
+    Rows with null doc_id stay; of rows with equal doc_id and equal texts one stays; an empty table stays empty.
     """
     named = near_duplicates(docs, words, percent)
-    kept = stage(named.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_id"), "ss-kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])).drop("_id")
-    if kept.where("_rows > 1 and _id is not null").limit(1).count():
-        out = out.where("_rows = 1 or doc_id is null").unionByName(out.where("_rows > 1 and doc_id is not null").dropDuplicates(["doc_id", "text"]))
-    return out.select(*docs.columns)
+    kept = stage(named.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept_rows")).withColumnRenamed("doc_id", "kept_id"), "ss-kept")
+    place = {n: f"c{i}" for i, n in enumerate(docs.columns)}
+    doc_id, text = place["doc_id"], place["text"]
+    out = numbered(docs).join(kept, F.col(doc_id).eqNullSafe(F.col("kept_id")))
+    if kept.where("kept_rows > 1 and kept_id is not null").limit(1).count():
+        again = (F.col("kept_rows") > 1) & F.col(doc_id).isNotNull()
+        out = out.where(~again).unionByName(out.where(again).dropDuplicates([doc_id, text]))
+    return out.select(*place.values()).toDF(*docs.columns)

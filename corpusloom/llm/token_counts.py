@@ -4,7 +4,8 @@ Aho-Corasick enumerates the vocabulary's matches; the dynamic programme carries
 the pieces. Ties go to the longest last piece, unknown characters cost the lowest score less 10 and count one piece per byte (byte
 fallback). Each distinct unit of a batch is searched once.
 
-Defined results: null and empty texts have 0 tokens and score 0; repeated rows are counted alike; extra columns are ignored.
+Defined results: null and empty texts have 0 tokens and score 0; repeated rows are counted alike; among segmentations of equal score that with the
+longest last piece counts; texts of any length are counted whole; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusloom.llm.lattice import DEFAULT_MODEL, Lattice, Vocabulary, split_units
+from corpusloom.llm.store import frugal, plain, small_batches
 
 CACHE_UNITS = 400_000
 
@@ -55,4 +57,5 @@ def _counter(vocabulary: Vocabulary):
 def count_tokens(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     """doc_id, n_units, n_tokens, best_score of every row; the vocabulary (of fixed size) goes along with the tasks."""
     vocabulary = Vocabulary.load(model_path)
-    return docs.select("doc_id", "text").mapInArrow(_counter(vocabulary), "doc_id long, n_units long, n_tokens long, best_score double")
+    small_batches(docs.sparkSession)
+    return plain(docs, "doc_id", "text").mapInArrow(frugal(_counter(vocabulary)), "doc_id long, n_units long, n_tokens long, best_score double")

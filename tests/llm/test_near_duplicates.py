@@ -100,3 +100,32 @@ def test_no_pair_growth_for_equal_sets(spark):
     got = near_duplicates(frame(spark, rows)).collect()
     assert {r.component_id for r in got} == {0}
     assert defaultdict(int, {True: 1})[True] == sum(r.kept for r in got)
+
+
+def test_very_long_texts_and_odd_names(spark):
+    import random
+
+    from corpusloom.llm import setsketch
+
+    rng = random.Random(8)
+    sets = np.unique(np.array([rng.getrandbits(64) for _ in range(3 * setsketch.STEP + 7)], np.uint64))
+    parts = [registers(p, stream(23, 64)) for p in np.array_split(sets, 5)]
+    whole = registers(sets, stream(23, 64))
+    for p in parts[1:]:
+        parts[0] = merge_registers(parts[0], p)
+    assert (parts[0] == whole).all()
+    words = prose(rng, 40_000).split()
+    edited = [w if i % 400 else "x" for i, w in enumerate(words)]
+    rows = [(5, " ".join(words)), (6, " ".join(edited)), (7, "short text of six words here")]
+    odd = frame(spark, rows).selectExpr("*", "1 as kept_id", "2 as kept_rows", "3 as `a.b`", "4 as _id", "5 as node")
+    assert {r.doc_id: r.component_id for r in near_duplicates(odd).collect()} == {5: 5, 6: 5, 7: 7}
+    out = keep_one(odd)
+    assert out.columns == odd.columns and sorted(r.doc_id for r in out.collect()) == [5, 7]
+
+
+def test_components_of_a_long_chain_and_of_nothing(spark):
+    from corpusloom.llm.components import connected_components
+
+    chain = spark.range(300).selectExpr("id as u", "id + 1 as v", "1 as w").union(spark.createDataFrame([(7, 7, 1), (9, 8, 1), (None, 3, 1)], "u long, v long, w int"))
+    assert {(r.node, r.component) for r in connected_components(chain).collect()} == {(i, 0) for i in range(301)}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
