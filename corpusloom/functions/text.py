@@ -51,9 +51,9 @@ def words_by_space(text: Column) -> Column:
 
 
 def normalised_tokens(text: Column) -> Column:
-    """Lower-case letters, digits and underscores in runs, accents (U+0300-036F after decomposition) removed."""
+    """Lower-case letters, digits and underscores in runs, without marks that take no space (after decomposition)."""
     plain = F.reflect(F.lit("org.apache.commons.lang3.StringUtils"), F.lit("stripAccents"), text)
-    return F.regexp_extract_all(F.lower(plain), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(F.regexp_replace(plain, r"\p{Mn}+", "")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
 def ascii_tokens(text: Column) -> Column:

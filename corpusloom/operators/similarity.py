@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -295,15 +295,22 @@ def near_pairs(df: DataFrame, tokens: str, tau: float, by: str, id_column: str =
     return scored.where(2 * F.col("lcs") > tau * (F.col("m") + F.col("n"))).select("a", "b", "f")
 
 
+def use_shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder of spark.checkpoint.dir; only a session of local mode has one of our own without it."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or "/tmp/checkpoints/corpusloom-core")
+
+
 def greedy_kept(df: DataFrame, pairs: DataFrame, id_column: str = "doc_id", max_rounds: int | None = None) -> DataFrame:
     """Rows that stay if each row in order of id is dropped when an earlier kept row is near it.
 
     Rounds decide all rows whose earlier neighbours are decided: dropped if one of them is kept, kept if all are dropped. Each round is checkpointed.
     Rounds go on until all is decided, as each decides a row at least; it is an error if ``max_rounds`` are not enough.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/corpusloom-core")
+    use_shared_checkpoints(df.sparkSession)
     edges = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     dropped = None
     for n in itertools.count(1):

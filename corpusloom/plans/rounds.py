@@ -35,6 +35,7 @@ def new_paragraphs(seeds: DataFrame, kept: DataFrame, prompt: Column, n: int, fa
 
 def run_rounds(seeds: DataFrame, kept: DataFrame, make_prompt: Callable[[int], Column], n: int, wanted: int, most_empty: int = 50, save: Callable[[DataFrame], DataFrame] | None = None, factory: Callable[[], Backend] = EchoBackend) -> DataFrame:
     """Rounds until ``wanted`` rows are kept or ``most_empty`` rounds in a row bring none. ``save`` writes a round and returns what is kept so far, read back."""
+    S.use_shared_checkpoints(kept.sparkSession)
     empty, r = 0, 0
     while kept.count() < wanted and empty < most_empty:
         fresh = new_paragraphs(seeds, kept, make_prompt(r), n, factory)

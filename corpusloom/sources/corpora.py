@@ -66,22 +66,26 @@ def as_validation(df: DataFrame) -> DataFrame:
 
 
 def read_vectors(spark: SparkSession, path: str, dimension: int) -> DataFrame:
-    """row_id, embedding of raw little-endian float32 files, decoded in Arrow batches per file block."""
+    """row_id, embedding of raw little-endian float32 files, decoded in Arrow batches; rows are numbered through all files in order of path."""
 
     def decode(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for content in batch["content"]:
+            for content, offset in zip(batch["content"], batch["offset"].to_pylist(), strict=True):
                 flat = np.frombuffer(content.as_buffer(), "<f4")
                 rows = flat.reshape(-1, dimension)
                 for lo in range(0, len(rows), 4096):
                     part = rows[lo : lo + 4096]
                     values = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, dimension), pa.int32()), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), values], names=["row_id", "embedding"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part)) + offset), values], names=["row_id", "embedding"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "row_id long, embedding array<float>")
+    files = spark.read.format("binaryFile").load(path)
+    rows = F.floor(F.col("length") / (4 * dimension))
+    before = F.sum(rows).over(Window.orderBy("path")) - rows  # one row per file; contents are not read for it
+    offsets = files.select("path", before.alias("offset"))
+    return files.select("path", "content").join(F.broadcast(offsets), "path").select("content", "offset").mapInArrow(decode, "row_id long, embedding array<float>")
 
 
 def write_vectors(df: DataFrame, path: str) -> None:

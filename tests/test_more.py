@@ -236,3 +236,23 @@ def test_codes_and_aligned_corpora(spark):
     assert [tuple(r) for r in corpora.contexts(ctx, "i").orderBy("row_id").collect()] == [(0, "a"), (2, "b"), (4, "a")]
     text = spark.createDataFrame([("hi", "salut")], "s string, t string").select(PR.sample_text(F.col("s"), F.col("t")), PR.sample_text(F.col("s"))).first()
     assert text[0] == "Translate this from English to French:\nEnglish: hi\nFrench: salut" and text[1] == "hi"
+
+
+def test_vectors_of_several_files_have_numbers_of_their_own(spark, tmp_path):
+    import numpy as np
+
+    for name, rows in (("b", 3), ("a", 2), ("c", 4)):
+        (tmp_path / name).write_bytes(np.full((rows, 4), ord(name), "<f4").tobytes())
+    got = corpora.read_vectors(spark, str(tmp_path), 4).orderBy("row_id").collect()
+    assert [r.row_id for r in got] == list(range(9)) and [chr(int(r.embedding[0])) for r in got] == list("aabbbcccc")
+
+
+def test_marks_of_all_scripts_go(spark):
+    import unicodedata
+
+    from corpusloom.functions import text as T
+
+    texts = ["Été naïve x_1", "हिन्दी में नमस्ते", "עִבְרִית", "العَرَبِيَّة ١٢", "ไทยที่", "한국어"]
+    want = [[w for w in __import__("regex").findall(r"[\p{L}\p{N}_]+", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").lower())] for t in texts]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalised_tokens(F.col("t"))).collect()]
+    assert got == want
