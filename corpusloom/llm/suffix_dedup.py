@@ -7,10 +7,12 @@ texts would not be distributed, so the corpus is cut so that each index sees eve
    equal keys. The windows of one minimizer form a run of starts, and the bytes under it a segment.
 2. Keys that occur once in the corpus cannot hold a repeated window; they are dropped by counting.
 3. Equal segments are counted and represented once. If a key has several different segments, they go to one
-   run-length index (corpusloom.llm.run_index), which marks the starts of repeated windows in each of them.
+   run-length index (corpusloom.llm.run_index), which marks the starts of repeated windows in each of them. The segments of a
+   key beyond ``hot_bytes`` (a very common string in ever-changing surroundings) would be one task's burden; their windows are hashed to
+   128 bits and counted instead, which spreads them over all tasks.
 4. The marks are joined back to all occurrences, and every text is cut once.
 
-Equal whole texts are represented by one of them. Windows never span two texts. Only texts that hold a repeated key are moved.
+Equal segments of a key, and equal keys, are equal 64-bit hashes, that is 128 bits for a segment. Equal whole texts are represented by one of them. Windows never span two texts. Only texts that hold a repeated key are moved.
 """
 
 from __future__ import annotations
@@ -25,13 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.run_index import repeated_starts
-from corpusloom.llm.store import drop_stage, stage
+from corpusloom.llm.store import by_bytes, drop_stage, frugal, numbered, plain, stage
 from corpusloom.llm.words import _powers, blocks, buffers, mix, stream
 
 GRAM = 32
 INDEX_BYTES = 1 << 20  # of strings in one index
-ROWS = 500  # rows that are taken out of Arrow at a time
+HOT_BYTES = 2 << 20  # a minimizer with more bytes of different segments is not indexed but counted window by window
+PLACE_BITS = 24  # of a position; the same for every block, so that equal windows choose equal minimizers
+PIECE = 1 << 22  # longer texts are looked at in overlapping pieces
+UNPACKED = 4 << 20  # bytes of texts that a task holds at a time
 _BYTES = stream(41, 256)
+_SECOND = stream(43, 256)
 
 
 def _window_minima(x: np.ndarray, w: int) -> np.ndarray:
@@ -56,8 +62,10 @@ def minimizer_runs(offsets: np.ndarray, data: np.ndarray, length: int, gram: int
     np.cumsum(_BYTES[data] * power[:n], out=sums[1:])
     m = n - gram + 1
     key = mix((sums[gram:] - sums[:m]) * inverse[:m])
-    bits = np.uint64(int(m).bit_length())
-    # the smallest key and, among equal ones, the leftmost position
+    if m >> PLACE_BITS:
+        raise ValueError("a block is longer than positions can say")
+    bits = np.uint64(PLACE_BITS)
+    # the smallest key and, among those that begin alike, the leftmost position
     packed = ((key >> bits) << bits) | np.arange(m, dtype=np.uint64)
     chosen = (_window_minima(packed, length - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: n - length + 1]
@@ -75,55 +83,91 @@ def minimizer_runs(offsets: np.ndarray, data: np.ndarray, length: int, gram: int
     return which, key[pick[first]].view(np.int64), lo - offsets[which], hi - offsets[which], segment.view(np.int64)
 
 
+def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of texts and of bytes in the first of them; a long text comes in pieces that overlap by a window less one byte."""
+    for a, b in blocks(offsets):
+        n = int(offsets[b] - offsets[a])
+        if b - a == 1 and n > PIECE:
+            for lo in range(0, n - length + 1, PIECE - length + 1):
+                yield a, b, lo, min(n, lo + PIECE)
+        else:
+            yield a, b, 0, n
+
+
 def _runs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = buffers(batch["text"])
-            for a, b in blocks(offsets):
-                own = offsets[a : b + 1]
-                which, key, lo, hi, segment = minimizer_runs(own - own[0], data[own[0] : own[-1]], length)
+            for a, b, at, stop in _pieces(offsets, length):
+                own = np.array([0, stop - at]) if at or stop < offsets[b] - offsets[a] else offsets[a : b + 1] - offsets[a]
+                which, key, lo, hi, segment = minimizer_runs(own, data[offsets[a] + at : offsets[a] + stop], length)
                 take = pa.array(which + a, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), batch["doc_id"].take(take), batch["mark"].take(take), pa.array(segment), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
+                    [pa.array(key), batch["doc_id"].take(take), batch["mark"].take(take), pa.array(segment), pa.array(lo + at, pa.int32()), pa.array(hi + at, pa.int32())],
                     names=["key", "doc_id", "mark", "segment", "lo", "hi"],
                 )
 
-    return run
+    return frugal(run)
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        for lo in range(0, batch.num_rows, ROWS):
-            yield batch.slice(lo, ROWS)
+        sizes = np.diff(buffers(batch["text"])[0]).tolist()
+        for lo, hi in by_bytes(sizes, UNPACKED):
+            packed = [press.compress(t.encode()) for t in batch["text"].slice(lo, hi - lo).to_pylist()]
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays(
+                [part["doc_id"], part["mark"], pa.array(sizes[lo:hi], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "mark", "size", "packed"]
+            )
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in _small(batches):
-        packed = [press.compress(t.encode()) for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(packed, pa.binary())], names=["doc_id", "mark", "packed"])
+def _lists(column: pa.ListArray, *names: str) -> tuple[np.ndarray, ...]:
+    """Bounds of the lists of structs, and their fields end to end."""
+    flat = column.flatten()
+    ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
+    return ends, *(flat.field(n).to_numpy(zero_copy_only=False) for n in names)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Bounded parts of batches with the texts of their rows."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for lo, hi in by_bytes(batch["size"].to_pylist(), UNPACKED):
+            part = batch.slice(lo, hi - lo)
+            yield part, [unpack.decompress(p.as_py()) for p in part["packed"]]
 
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in _small(batches):
-            keys, segments, bodies, size = [], [], [], 0
-            for packed, wanted in zip(batch["packed"], batch["wanted"].to_pylist(), strict=True):
-                text = unpack.decompress(packed.as_py())
-                for w in wanted:
-                    keys.append(w["key"]), segments.append(w["segment"]), bodies.append(text[w["lo"] : w["hi"] + length])
-                    size += len(bodies[-1])
-                if size > 8 << 20:
-                    yield _segments(keys, segments, bodies)
-                    keys, segments, bodies, size = [], [], [], 0
-            yield _segments(keys, segments, bodies)
+        for part, texts in _unpacked(batches):
+            ends, keys, segments, los, his = _lists(part["wanted"], "key", "segment", "lo", "hi")
+            spans = list(zip(np.repeat(np.arange(len(texts)), np.diff(ends)).tolist(), los.tolist(), his.tolist(), strict=True))
+            for a, b in by_bytes([hi - lo + length for _, lo, hi in spans], UNPACKED):
+                bodies = [texts[t][lo : hi + length] for t, lo, hi in spans[a:b]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(segments[a:b]), pa.array(bodies, pa.binary())], names=["key", "segment", "body"])
 
-    return run
+    return frugal(run)
 
 
-def _segments(keys: list, segments: list, bodies: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(segments, pa.int64()), pa.array(bodies, pa.binary())], names=["key", "segment", "body"])
+def _windows(length: int):
+    """Two hashes of every window of the wanted segments: 128 bits stand for a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _unpacked(batches):
+            ends, los, his = _lists(part["wanted"], "lo", "hi")
+            for t, text in enumerate(texts):
+                for lo, hi in zip(los[ends[t] : ends[t + 1]].tolist(), his[ends[t] : ends[t + 1]].tolist(), strict=True):
+                    body = np.frombuffer(text[lo : hi + length], np.uint8)
+                    power, inverse = _powers(len(body))
+                    n, hashes = hi - lo + 1, []
+                    for table in (_BYTES, _SECOND):
+                        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[body] * power[: len(body)])])
+                        hashes.append(pa.array(mix((sums[length:] - sums[:n]) * inverse[:n]).view(np.int64)))
+                    same = [part[c].take(pa.array(np.full(n, t))) for c in ("doc_id", "mark")]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(lo, hi + 1), pa.int32()), *hashes], names=["doc_id", "mark", "lo", "h1", "h2"])
+
+    return frugal(run)
 
 
 def _index(length: int):
@@ -151,34 +195,31 @@ def _index(length: int):
         if rows:
             yield answer(rows)
 
-    return run
+    return frugal(run)
 
 
-def _spans(length: int):
+def _spans(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in _small(batches):
+        ints = pa.list_(pa.int32())
+        for part, texts in _unpacked(batches):
+            ends, lo_all, hi_all = _lists(part["marks"], "lo", "hi")
             los, his, kept_texts, shas = [], [], [], []
-            for packed, marks in zip(batch["packed"], batch["marks"].to_pylist(), strict=True):
-                text = unpack.decompress(packed.as_py())
-                kept, at, lo, hi = [], 0, [], []
-                for m in sorted((m["lo"], m["hi"]) for m in marks):
-                    if hi and m[0] <= hi[-1]:
-                        hi[-1] = max(hi[-1], m[1] + length)
-                    else:
-                        lo.append(m[0]), hi.append(m[1] + length)
-                for a, b in zip(lo, hi, strict=True):
-                    kept.append(text[at:a])
-                    at = b
-                rest = b"".join([*kept, text[at:]])
-                los.append(lo), his.append(hi), shas.append(hashlib.sha256(rest).hexdigest()), kept_texts.append(rest)
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["mark"], pa.array(los, ints), pa.array(his, ints), pa.array(shas, pa.string()), pa.array([_text(t) for t in kept_texts], pa.string())],
-                names=["doc_id", "mark", "los", "his", "kept_sha256", "kept_text"],
-            )
-
-    return run
+            for t, text in enumerate(texts):
+                lo, hi = lo_all[ends[t] : ends[t + 1]], hi_all[ends[t] : ends[t + 1]] + length
+                turn = np.argsort(lo, kind="stable")
+                lo, upto = lo[turn], np.maximum.accumulate(hi[turn])
+                first = np.nonzero(np.concatenate([[True], lo[1:] > upto[:-1]]))[0]
+                lo, hi = lo[first].tolist(), upto[np.append(first[1:], len(upto)) - 1].tolist()
+                rest = b"".join(text[a:b] for a, b in zip([0, *hi], [*lo, len(text)], strict=True))
+                los.append(lo), his.append(hi), shas.append(hashlib.sha256(rest).hexdigest())
+                if with_text:
+                    kept_texts.append(_text(rest))
+            columns = {"doc_id": part["doc_id"], "mark": part["mark"], "los": pa.array(los, ints), "his": pa.array(his, ints), "kept_sha256": pa.array(shas, pa.string())}
+            if with_text:
+                columns["kept_text"] = pa.array(kept_texts, pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return frugal(run)
 
 
 def _text(kept: bytes) -> str:
@@ -186,56 +227,70 @@ def _text(kept: bytes) -> str:
     return kept.decode("utf-8", errors="ignore")
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, with_text: bool = False, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, mark (hash of its text), n_bytes, n_removed, n_spans, los, his, kept_sha256.
 
     los and his are the removed byte ranges [lo, hi), maximal and in order. With ``with_text`` there is also kept_text for texts
     of which a part goes (null for texts that stay whole or go as a whole).
 
     Defined results: null texts count as empty; texts shorter than ``length`` stay; a text that occurs twice goes as a whole in both
-    rows; repeated rows count as separate occurrences; extra columns are ignored; an empty table gives an empty result.
+    rows; repeated rows count as separate occurrences; of tied strings (equal ones) all go, none is kept; texts of any length are looked at
+    whole, in pieces of 4 MB; null doc_ids are allowed; extra columns, whatever their names, are ignored; an empty table gives an empty result.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    no_id = F.lit(-(1 << 63))
+    own = plain(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     facts = own.select("doc_id", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    facts = stage(facts, "sx-facts")
-    copies = facts.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"))
-    facts = stage(facts.join(copies, "sha"), "sx-facts")
+    first = stage(facts, "sx-facts")
+    copies = first.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("doc_id", no_id)).alias("rep"))
+    facts = stage(first.join(copies, "sha"), "sx-facts")
+    drop_stage(first)
 
     runs = stage(
         own.where(F.octet_length("text") >= length).mapInArrow(_runs(length), "key long, doc_id long, mark long, segment long, lo int, hi int"), "sx-runs"
     )
     counts = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("segment") != F.max("segment")).alias("varied")).where("n > 1")
-    hits = runs.join(stage(counts.select("key", "varied"), "sx-keys"), "key")
+    keys = stage(counts.select("key", "varied"), "sx-keys")
     # of equal texts one stands for all
-    stands = facts.where((F.col("copies") == 1) | F.coalesce("doc_id", F.lit(-(1 << 63))).eqNullSafe(F.col("rep"))).select("doc_id", "mark", "copies").distinct()
-    hits = stage(_on_row(hits, stands), "sx-hits")
-    drop_stage(runs)
-    texts = stage(_on_row(own, hits.select("doc_id", "mark").distinct()).dropDuplicates(["doc_id", "mark"]).mapInArrow(_pack, "doc_id long, mark long, packed binary"), "sx-text")
+    stands = facts.where((F.col("copies") == 1) | F.coalesce("doc_id", no_id).eqNullSafe(F.col("rep"))).select("doc_id", "mark", "copies").distinct()
+    hits = stage(_on_row(runs.join(keys, "key"), stands), "sx-hits")
+    drop_stage(runs, keys)
+    packed = "doc_id long, mark long, size long, packed binary"
+    texts = stage(_on_row(own, hits.select("doc_id", "mark").distinct()).dropDuplicates(["doc_id", "mark"]).mapInArrow(frugal(_pack), packed), "sx-text")
 
     varied = (
         hits.where("varied")
         .groupBy("key", "segment")
-        .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("row"), "doc_id", "mark", "lo", "hi")).alias("r"), F.count(F.lit(1)).alias("times"))
+        .agg(F.min(F.struct(F.coalesce("doc_id", no_id).alias("row"), "doc_id", "mark", "lo", "hi")).alias("r"), F.count(F.lit(1)).alias("times"))
     )
     varied = stage(varied.select("key", "segment", "times", "r.doc_id", "r.mark", "r.lo", "r.hi"), "sx-varied")
-    wanted = varied.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("key", "segment", "lo", "hi")).alias("wanted"))
-    bodies = _on_row(texts, wanted).select("packed", "wanted").mapInArrow(_cut(length), "key long, segment long, body binary")
+    weights = varied.groupBy("key").agg(F.sum(F.col("hi") - F.col("lo") + length).alias("bytes"))
+    hot = stage(weights.where(F.col("bytes") > hot_bytes).select("key"), "sx-hot")
+    some_hot = bool(hot.limit(1).count())
+    usual = varied.join(hot, "key", "left_anti") if some_hot else varied
+    wanted = usual.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("key", "segment", "lo", "hi")).alias("wanted"))
+    bodies = _on_row(texts, wanted).select("size", "packed", "wanted").mapInArrow(_cut(length), "key long, segment long, body binary")
     found = bodies.repartition("key").sortWithinPartitions("key").mapInArrow(_index(length), "key long, segment long, los array<int>, his array<int>")
     found = stage(found, "sx-found")
 
-    verdict = varied.select("key", "segment", "times").join(found, ["key", "segment"])
-    plain = hits.where("not varied").select("doc_id", "mark", "lo", "hi")
-    split = hits.where("varied").select("doc_id", "mark", "key", "segment", "lo", "hi").join(verdict, ["key", "segment"])
-    again = split.where("times > 1").select("doc_id", "mark", "lo", "hi")
-    partly = split.where("times = 1").select("doc_id", "mark", F.col("lo").alias("base"), F.explode(F.arrays_zip("los", "his")).alias("z"))
+    # a segment that occurs again is repeated as a whole; for the others the index says where; rows of theirs are found by place, not by key
+    alone = varied.where("times = 1").select("key", "segment", "doc_id", "mark", "lo")
+    sole = alone.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("lo").alias("_lo"))
+    many = hits.where("varied").select("doc_id", "mark", "lo", "hi")
+    again = many.join(sole, many["doc_id"].eqNullSafe(sole["_id"]) & (many["mark"] == sole["_mark"]) & (many["lo"] == sole["_lo"]), "left_anti")
+    partly = alone.join(found, ["key", "segment"]).select("doc_id", "mark", F.col("lo").alias("base"), F.explode(F.arrays_zip("los", "his")).alias("z"))
     partly = partly.select("doc_id", "mark", (F.col("base") + F.col("z.los")).alias("lo"), (F.col("base") + F.col("z.his")).alias("hi"))
-    marks = plain.unionByName(again).unionByName(partly).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    marks = hits.where("not varied").select("doc_id", "mark", "lo", "hi").unionByName(again).unionByName(partly)
+    if some_hot:
+        crowd = varied.join(hot, "key").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("wanted"))
+        windows = stage(_on_row(texts, crowd).mapInArrow(_windows(length), "doc_id long, mark long, lo int, h1 long, h2 long"), "sx-windows")
+        repeated = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+        marks = marks.unionByName(windows.join(repeated, ["h1", "h2"]).select("doc_id", "mark", "lo", F.col("lo").alias("hi")))
+    marks = marks.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     # copies go as a whole; only single texts are cut
     single = stands.where("copies = 1").select("doc_id", "mark")
-    cut = _on_row(_on_row(texts, marks), single).mapInArrow(
-        _spans(length), "doc_id long, mark long, los array<int>, his array<int>, kept_sha256 string, kept_text string"
-    )
-    cut = stage(cut if with_text else cut.drop("kept_text"), "sx-cut")
+    kinds = "doc_id long, mark long, los array<int>, his array<int>, kept_sha256 string" + (", kept_text string" if with_text else "")
+    cut = stage(_on_row(_on_row(texts, marks), single).mapInArrow(_spans(length, with_text), kinds), "sx-cut")
+    drop_stage(hits, texts, varied, hot, found)
 
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     left = facts.alias("f").join(cut.alias("c"), F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("f.mark") == F.col("c.mark")), "left")
@@ -259,14 +314,15 @@ def _on_row(left: DataFrame, right: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """``docs`` with the repeated strings cut out of text, and n_chars set anew; all other columns and all rows stay.
 
-    Where a cut leaves a part of a character, that part goes too. A text that goes as a whole becomes empty; null stays null.
+    Where a cut leaves a part of a character, that part goes too. A text that goes as a whole becomes empty; null stays null; other columns may have any names.
     """
     spans = repeated_spans(docs, length, with_text=True).where("n_removed > 0").select("doc_id", "mark", "kept_text")
-    spans = spans.dropDuplicates(["doc_id", "mark"]).toDF("_id", "_mark", "_kept")
-    hashed = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = hashed.join(spans, hashed["doc_id"].eqNullSafe(spans["_id"]) & (hashed["_own"] == spans["_mark"]), "left")
-    text = F.when(F.col("_mark").isNotNull(), F.coalesce("_kept", F.lit(""))).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_mark").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    spans = spans.dropDuplicates(["doc_id", "mark"]).toDF("sid", "smark", "kept")
+    place = {n: f"c{i}" for i, n in enumerate(docs.columns)}
+    doc_id, text = F.col(place["doc_id"]), F.col(place["text"])
+    joined = numbered(docs).join(spans, doc_id.eqNullSafe(F.col("sid")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("smark")), "left")
+    cut = F.col("smark").isNotNull()
+    joined = joined.withColumn(place["text"], F.when(cut, F.coalesce("kept", F.lit(""))).otherwise(text))
+    if "n_chars" in place:
+        joined = joined.withColumn(place["n_chars"], F.when(cut, F.length(place["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(place["n_chars"])))
+    return joined.select(*place.values()).toDF(*docs.columns)

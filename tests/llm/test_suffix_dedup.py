@@ -76,3 +76,36 @@ def test_removal_changes_only_texts(spark):
 
 def test_empty_table(spark):
     assert repeated_spans(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hot_minimizers_are_counted_window_by_window(spark):
+    rows = rows_with_passages()
+    got = repeated_spans(frame(spark, rows), hot_bytes=0).collect()
+    want = Counter((i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows], 200), strict=True))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
+def test_long_texts_are_looked_at_in_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    body, passage = prose(rng, 3000), prose(rng, 100)
+    rows = [(1, body + passage + body[:5000]), (2, "x" + passage), (3, prose(rng, 300)), (4, body[8000:9000])]
+    import corpusloom.llm.suffix_dedup as module
+
+    data = np.frombuffer(rows[0][1].encode(), np.uint8)
+    monkeypatch.setattr(module, "PIECE", 1000)
+    pieces = list(module._pieces(np.array([0, len(data)]), 200))
+    starts = [s for _, _, lo, hi in pieces for s in range(lo, hi - 200 + 1)]
+    assert starts == list(range(len(data) - 200 + 1))
+    got = repeated_spans(frame(spark, rows)).collect()
+    want = Counter((i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows], 200), strict=True))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
+def test_columns_may_have_any_names(spark):
+    rows = [r for r in rows_with_passages() if r[0] is not None]
+    docs = frame(spark, rows)
+    named = docs.selectExpr("*", "1 as _id", "2 as _mark", "3 as _kept", "4 as `a.b`", "5 as mark", "6 as c0", "7 as sid")
+    out = remove_repeats(named)
+    assert out.columns == named.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((r.doc_id, r.text) for r in remove_repeats(docs).collect())
+    assert repeated_spans(named).count() == len(rows)
