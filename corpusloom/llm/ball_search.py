@@ -4,18 +4,19 @@ Vectors are dealt into shards of a bounded number of rows. In each shard a ball
 the axis of greatest spread); a query visits nodes in the order of their upper bound
 ``q . centre + |q| * radius`` and stops when the best bound left cannot beat its current k-th score. The k-th score is shared:
 every query first searches its home shard, and that score is its starting bound in all others.
-Queries meet the other shards in blocks of a bounded number, so nothing that grows is broadcast or gathered.
+Queries go past the other shards' trees as a stream, each tree being built once, so nothing that grows is broadcast or gathered.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as queries or as candidates;
-vectors are compared only with those of their own length; rows with equal ids are separate candidates, and only the
+vectors, of any length, are compared only with those of their own length; rows with equal ids are separate candidates, and only the
 query's own row is left out; fewer candidates than k give fewer rows; scores are integers, exact up to 64 bits (larger ones stop
-at the largest 64-bit number); ties go to the smaller id; an empty table gives an empty result.
+at the largest 64-bit number); ties go to the smaller id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.store import stage
+from corpusloom.llm.store import frugal, small_batches, stage
 
 LEAF = 48
 FOUND = "query_row long, query_id long, row long, vec_id long, score long"
@@ -138,25 +139,39 @@ def _search_home(k: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _search_away(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
-        if not shard.num_rows or not queries.num_rows:
-            return _answers([])
-        shard = shard.sort_by("row")
-        tree, rows = BallTree(shard["vec_id"].to_numpy(), _matrix(shard["v"])), shard["row"].to_numpy()
-        scores, ids = queries["kth_score"].to_pylist(), queries["kth_id"].to_pylist()
-        out = []
-        for n, q in enumerate(_matrix(queries["v"])):
-            bound = None if scores[n] is None else (scores[n], ids[n])
-            ask = (queries["row"][n].as_py(), queries["vec_id"][n].as_py())
-            out += [(*ask, rows[p], i, s) for s, i, p in tree.search(q, k, bound, None)]
-        return _answers(out)
+def _search_away(k: int):
+    """Rows sorted by shard, the shard's vectors before the queries: one tree is built per shard, and the queries go past it batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, tree, rows = None, [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(batch["dim"].to_pylist(), batch["shard"].to_pylist(), batch["asks"].to_pylist(), strict=True))
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for lo, hi in itertools.pairwise(cuts):
+                part = pa.Table.from_batches([batch.slice(lo, hi - lo)])
+                if keys[lo][:2] != shard:
+                    shard, held, tree = keys[lo][:2], [], None
+                if not keys[lo][2]:
+                    held.append(part)
+                    continue
+                if tree is None:
+                    own = pa.concat_tables(held).sort_by("row") if held else part.slice(0, 0)
+                    tree, rows, held = BallTree(own["vec_id"].to_numpy(), _matrix(own["v"])), own["row"].to_numpy(), []
+                scores, ids = part["kth_score"].to_pylist(), part["kth_id"].to_pylist()
+                out = []
+                for n, q in enumerate(_matrix(part["v"])):
+                    bound = None if scores[n] is None else (scores[n], ids[n])
+                    ask = (part["row"][n].as_py(), part["vec_id"][n].as_py())
+                    out += [(*ask, rows[p], i, s) for s, i, p in tree.search(q, k, bound, None)]
+                yield from _answers(out).to_batches()
 
     return run
 
 
 def top_k_inner_product(
-    vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, shard_rows: int = 4096, query_block: int = 2048
+    vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, shard_rows: int = 4096
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of every query against all other rows.
 
@@ -165,13 +180,11 @@ def top_k_inner_product(
     base = vectors.select("vec_id", quantised(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     base = base.where(F.col("v").isNotNull() & F.col("vec_id").isNotNull()).withColumn("dim", F.size("v"))
     base = stage(base.withColumn("row", F.monotonically_increasing_id()), "ball-vectors")
-    sizes = {r["dim"]: (r["n"], r["q"]) for r in base.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("long")).alias("q")).collect()}
+    sizes = {r["dim"]: r["n"] for r in base.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = vectors.sparkSession
-    n_all = max([1, *(n for n, _ in sizes.values())])
+    n_all = max([1, *sizes.values()])
     per_shard = min(max(shard_rows, n_all // 4096), 262_144)
-    plan = spark.createDataFrame(
-        [(d, -(-n // per_shard), -(-q // query_block) or 1) for d, (n, q) in sizes.items()] or [(0, 1, 1)], "dim int, shards int, blocks int"
-    )
+    plan = spark.createDataFrame([(d, -(-n // per_shard)) for d, n in sizes.items()] or [(0, 1)], "dim int, shards int")
     dealt = base.join(F.broadcast(plan), "dim")  # one row per vector length
     shard = F.pmod(F.xxhash64("row"), F.col("shards")).cast("int")
     dealt = dealt.withColumn("shard", shard)
@@ -181,19 +194,19 @@ def top_k_inner_product(
     kth = home.groupBy("query_row").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))).alias("best")
     ).select("query_row", (-F.get("best", F.lit(k - 1))["s"]).alias("kth_score"), F.get("best", F.lit(k - 1))["i"].alias("kth_id"))
-    queries = stage(
+    queries = (
         dealt.where("is_query")
         .join(kth.withColumnRenamed("query_row", "row"), "row", "left")
-        .withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).cast("int"))
         .withColumn("home", F.col("shard"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
         .where(F.col("shard") != F.col("home"))
-        .select("dim", "shard", "block", "row", "vec_id", "v", "kth_score", "kth_id"),
-        "ball-queries",
+        .select("dim", "shard", F.lit(True).alias("asks"), "row", "vec_id", "v", "kth_score", "kth_id")
     )
-    spread = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("dim", "shard", "block", "row", "vec_id", "v")
-    keys = ["dim", "shard", "block"]
-    away = spread.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_search_away(k), FOUND)
+    none = F.lit(None).cast("long")
+    stock = dealt.select("dim", "shard", F.lit(False).alias("asks"), "row", "vec_id", "v", none.alias("kth_score"), none.alias("kth_id"))
+    small_batches(spark)
+    met = stock.unionByName(queries).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "asks")
+    away = met.mapInArrow(frugal(_search_away(k)), FOUND)
     ranked = home.unionByName(away).withColumn(
         "rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     )

@@ -8,7 +8,8 @@ equal digits corrected for chance: (E - 1/16) / (1 - 1/16), cut to 0..1.
 
 Defined results: words are runs of non-blank characters, ASCII lower-cased; a text with fewer words than a shingle is one
 shingle; a text without words has the empty fingerprint, which is like another empty one (1.0) and unlike all others (0.0);
-null texts count as empty; equal texts have equal fingerprints.
+null texts count as empty; equal texts, and so repeated rows, have equal fingerprints; rows follow one another by id, ties by text, null ids first;
+texts of any length are taken whole; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.store import stage
+from corpusloom.llm.store import plain, stage
 
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
@@ -102,7 +103,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprint_documents(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, fingerprint of every row."""
-    return docs.select("doc_id", fingerprint(F.col("text"), words).alias("fingerprint"))
+    return plain(docs, "doc_id", "text").select("doc_id", fingerprint(F.col("text"), words).alias("fingerprint"))
 
 
 def _range_bucket(docs: DataFrame, rows_per_bucket: int, cells: int = 64) -> Column:
@@ -130,40 +131,28 @@ def _range_bucket(docs: DataFrame, rows_per_bucket: int, cells: int = 64) -> Col
     return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(tree(0, len(edges) - 1)).cast("long")
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_per_bucket: int = 2000) -> DataFrame:
-    """Add next_<column> of the following row in (doc_id, text) order; the last row is followed by the first.
+def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None, rows_per_bucket: int = 500) -> DataFrame:
+    """Add next_<column> of the following row in (doc_id, columns) order; the last row is followed by the first.
 
-    Rows are dealt by ranges of doc_id and looked at within a range; the first row of each range is passed on by a
-    join over ranges, so no task sees more than its range.
+    ``derived`` columns are made of the others once per row, and have a next_<column> too. Rows are dealt by ranges of doc_id and looked at within a
+    range; the first row of each range is passed on by a join over ranges, so no task sees more than its range. Of all rows only the first of
+    each range, found without the derived columns, are derived a second time.
     """
+    derived = derived or {}
     dealt = docs.withColumn("bucket", _range_bucket(docs, rows_per_bucket))
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    seen = dealt
-    for c in columns:
-        seen = seen.withColumn(f"next_{c}", F.lead(c).over(order))
-    seen = seen.withColumn("last", F.lead(F.lit(True)).over(order).isNull())
-
-    lows = stage(
-        dealt.groupBy("bucket").agg(F.min("doc_id").alias("doc_id")), "fp-lows"
-    )
-    heads = (
-        dealt.select("bucket", "doc_id", *columns)
-        .join(lows.withColumnRenamed("bucket", "low_bucket").withColumnRenamed("doc_id", "low_id"),
-              (F.col("bucket") == F.col("low_bucket")) & F.col("doc_id").eqNullSafe(F.col("low_id")))
-        .groupBy("bucket").agg(F.min(F.struct(*columns)).alias("head"))
-    )
-    heads = stage(heads, "fp-heads")
+    order = Window.partitionBy("bucket").orderBy("doc_id", *columns)
+    seen = dealt.withColumns(derived)
+    seen = seen.withColumns({f"next_{c}": F.lead(c).over(order) for c in [*columns, *derived]} | {"last": F.lead(F.lit(True)).over(order).isNull()})
+
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", *columns))  # null ids have a range of their own
+    heads = stage(dealt.groupBy("bucket").agg(first.alias("head")), "fp-heads")
     ring = Window.partitionBy(F.lit(1)).orderBy("bucket")
     whole = Window.partitionBy(F.lit(1))
-    follow = lows.select(
-        "bucket", F.coalesce(F.lead("bucket").over(ring), F.min("bucket").over(whole)).alias("next_bucket")
-    )
-    passed = follow.join(heads.withColumnRenamed("bucket", "next_bucket"), "next_bucket").select("bucket", "head")
-    passed = stage(passed, "fp-passed")
+    follow = heads.select("bucket", F.coalesce(F.lead("bucket").over(ring), F.min("bucket").over(whole)).alias("next_bucket"))
+    rows = heads.select(F.col("bucket").alias("next_bucket"), *[F.col(f"head.{c}").alias(c) for c in columns]).withColumns(derived)
+    passed = stage(follow.join(rows.select("next_bucket", F.struct(*columns, *derived).alias("head")), "next_bucket").select("bucket", "head"), "fp-passed")
     out = seen.join(passed, "bucket", "left")
-    for c in columns:
-        out = out.withColumn(f"next_{c}", F.when(F.col("last"), F.col(f"head.{c}")).otherwise(F.col(f"next_{c}")))
-    return out.drop("bucket", "last", "head")
+    return out.withColumns({f"next_{c}": F.when(F.col("last"), F.col(f"head.{c}")).otherwise(F.col(f"next_{c}")) for c in [*columns, *derived]}).drop("bucket", "last", "head")
 
 
 def compare_edited(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -171,9 +160,8 @@ def compare_edited(docs: DataFrame, words: int = 5) -> DataFrame:
 
     The edited text has its last floor(n_chars / 4) characters replaced by the first as many of the next document.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("fingerprint", fingerprint(F.col("text"), words))
-    pairs = with_next(base, ["text", "fingerprint"]).withColumn("n_chars", F.length("text").cast("long"))
+    base = plain(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = with_next(base, ["text"], {"fingerprint": fingerprint(F.col("text"), words)}).withColumn("n_chars", F.length("text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.col("next_text"), F.lit(1), quarter)

@@ -13,7 +13,9 @@ exceeds it; kappa is -inf and the score 1 if no path is left.
 Decoding joins the pieces, turns bytes back into characters, meta symbols into blanks, and drops the one put in front.
 
 Defined results: null and empty texts have one segmentation, the empty one; a text with fewer than k segmentations has fewer
-samples; meta symbols in a text decode as blanks; repeated rows (equal keys and texts) get equal samples; extra columns are ignored.
+samples; meta symbols in a text decode as blanks; repeated rows (equal keys and texts) get equal samples, and null keys share one noise; segmentations
+of equal probability are told apart by their noise alone; a text of any length is searched whole, in a block of its own; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusloom.llm.lattice import DEFAULT_MODEL, META, UNIT, Backwards, Lattice, Vocabulary, byte_widths
+from corpusloom.llm.store import frugal, plain, small_batches
 from corpusloom.llm.words import buffers, mix
 
-BLOCK_BYTES = 1_000_000
-CACHE_EDGES = 4_000_000
+BLOCK_BYTES = 400_000
+CACHE_EDGES = 2_000_000
 KINDS = {"first": "i8", "last": "i8", "begin": "i8", "tail": "i4", "head": "i4", "piece": "i4", "share": "f8", "upto": "f8"}
 TINY = 2.0**-54
 
@@ -308,8 +311,8 @@ class Units:
     behind them and over again. Beyond ``CACHE_EDGES`` all are forgotten, and found again when they come up: the samples do not depend on it.
     """
 
-    def __init__(self, vocabulary: Vocabulary, theta: float):
-        self.vocabulary, self.theta, self.finder, self.codec = vocabulary, theta, Backwards(vocabulary), Codec(vocabulary)
+    def __init__(self, vocabulary: Vocabulary, theta: float, finder: Backwards | None = None, codec: Codec | None = None):
+        self.vocabulary, self.theta, self.finder, self.codec = vocabulary, theta, finder or Backwards(vocabulary), codec or Codec(vocabulary)
         self.known: dict[str, int] = {}
         self.room = {f.name: np.zeros(1, KINDS[f.name]) for f in fields(Drawer)}
         self.nodes = self.edges = 0
@@ -352,16 +355,16 @@ class Units:
         return drawer, number[units]
 
 
-_seen: dict[tuple, Units] = {}
+_tables: dict[tuple, tuple[Backwards, Codec]] = {}
 
 
 def _units(vocabulary: Vocabulary, theta: float) -> Units:
-    """What the tasks of one worker share: the tables of the latest vocabulary, and the units known."""
-    sign = (tuple(vocabulary.pieces), vocabulary.scores.tobytes(), vocabulary.ids.tobytes(), vocabulary.byte_ids.tobytes(), theta)
-    if sign not in _seen:
-        _seen.clear()
-        _seen[sign] = Units(vocabulary, theta)
-    return _seen[sign]
+    """The store of a task. The tables of the latest vocabulary, whose size is fixed, are shared by the tasks of a worker; units known are not."""
+    sign = (tuple(vocabulary.pieces), vocabulary.scores.tobytes(), vocabulary.ids.tobytes(), vocabulary.byte_ids.tobytes())
+    if sign not in _tables:
+        _tables.clear()
+        _tables[sign] = (Backwards(vocabulary), Codec(vocabulary))
+    return Units(vocabulary, theta, *_tables[sign])
 
 
 OUT = "sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, decoded boolean"
@@ -420,6 +423,7 @@ def sample_pieces(
     decoded says that decoding the ids gives the text back.
     """
     vocabulary = Vocabulary.load(model_path)
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, {OUT}" + (", ids array<int>" if with_ids else "")
-    return docs.select(key, "text").mapInArrow(_sampler(vocabulary, key, k, theta, seed, with_ids), schema)
+    return plain(docs, key, "text").mapInArrow(frugal(_sampler(vocabulary, key, k, theta, seed, with_ids)), schema)

@@ -1,12 +1,15 @@
 import hashlib
+import random
+import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm.fingerprints import compare_edited, fingerprint, likeness
-from corpusloom.llm.licenses import KNOWN, scan_licenses
+from corpusloom.llm.fingerprints import _attempts, compare_edited, fingerprint, likeness
+from corpusloom.llm.licenses import KNOWN, MENTION, canonical, scan_licenses
 from corpusloom.llm.mixing import mix_sources, mixed_documents
-from tests.llm.helpers import SCHEMA, frame, hard_rows
+from tests.llm.helpers import SCHEMA, frame, hard_rows, prose
 
 
 def targets(sizes, cap=3):
@@ -100,3 +103,70 @@ def test_licences(spark):
     assert [r.text_license for r in got] == ["MIT", "MIT", None, None, None, None, None]
     assert [r.header_licenses for r in got if r.doc_id == 3] == ["", "MIT"]
     assert scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def print_by_definition(text, n=5):
+    """The fingerprint of a text, bin by bin."""
+    signed = lambda u: u - (1 << 64) if u >> 63 else u
+
+    def chain(values):  # hashes of longs, each seeded with the one before
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest((v & (2**64 - 1)).to_bytes(8, "little"), h)
+        return signed(h)
+
+    words = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split()
+    single = [signed(xxhash.xxh64_intdigest(w, 42)) for w in words]
+    if not single:
+        return ""
+    hashes = [chain(single[i : i + n]) for i in range(len(single) - n + 1)] or [chain(single)]
+    first = {}
+    for h in sorted(hashes):
+        first.setdefault((h >> 57) + 64, h)
+    digits = []
+    for j in range(128):
+        tried = [j, *(t[j] for t in _attempts())]
+        h = next((first[b] for b in tried if b in first), None)
+        if h is None:  # the non-empty bin with the smallest hash of the pair
+            h = min((signed(xxhash.xxh64_intdigest(((b + (1 << 64)) % (1 << 64)).to_bytes(8, "little"), xxhash.xxh64_intdigest(j.to_bytes(4, "little"), 42))), first[b]) for b in first)[1]
+        digits.append(f"{h & 15:x}")
+    return "".join(digits)
+
+
+def test_fingerprints_match_their_definition(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, n) for n in (1, 3, 5, 6, 9, 40, 300, 3000)] + ["", " \n", "É é Ünï 漢字 🙂 x"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", fingerprint(F.col("text")).alias("p")).collect()
+    for r in got:
+        want = print_by_definition(texts[r.i])
+        assert r.p == want, (r.i, len(texts[r.i].split()))
+
+
+def test_rows_follow_one_another_by_id_then_text(spark):
+    rows = [(2, "b b b b"), (2, "a a a a"), (1, "z z z z"), (None, "n n n n"), (9, "y y y y"), (2, "a a a a")]
+    docs = frame(spark, rows).selectExpr("*", "1 as bucket", "2 as last", "3 as head", "4 as `a.b`", "5 as next_text")
+    order = [(None, "n n n n"), (1, "z z z z"), (2, "a a a a"), (2, "a a a a"), (2, "b b b b"), (9, "y y y y")]
+    want = []
+    for i, (d, t) in enumerate(order):
+        edited = t[: len(t) - len(t) // 4] + order[(i + 1) % len(order)][1][: len(t) // 4]
+        want.append((d, hashlib.sha256(edited.encode()).hexdigest()))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.edited_sha256) for r in compare_edited(docs).collect()), key=key) == sorted(want, key=key)
+
+
+def test_licences_of_own_tables_and_whole_catalogue(spark):
+    assert all(re.search(MENTION, body) for _, _, body in KNOWN)  # so no line that is known is passed over
+    rows = [(i, body) for i, (_, _, body) in enumerate(KNOWN)] * 2
+    docs = frame(spark, rows).selectExpr("*", "1 as digest", "2 as `row`", "3 as license", "4 as `a.b`")
+    assert {(r.doc_id, r.text_license) for r in scan_licenses(docs).collect()} == {(i, name) for i, (name, _, _) in enumerate(KNOWN)}
+    own = spark.createDataFrame([("House-1", "Use it as you like."), ("Also-1", "USE it as you like")], "license string, body string")
+    known = own.select("license", F.md5(canonical(F.col("body"))).alias("digest"))
+    got = scan_licenses(frame(spark, [(1, "one\nuse it, as you like!\nUse it as you like.")]), known).first()
+    assert (got.header_licenses, got.n_header_lines) == ("Also-1", 2)
+
+
+def test_mix_with_names_that_clash(spark):
+    docs = frame(spark, mix_rows())
+    odd = docs.selectExpr("*", "1 as size", "2 as src", "3 as turn", "4 as `a.b`", "5 as copies", "6 as whole_row")
+    out = mixed_documents(odd)
+    assert out.columns == odd.columns and sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in mixed_documents(docs).collect())

@@ -10,7 +10,7 @@ from corpusloom.llm import sampled_pieces
 from corpusloom.llm.lattice import Lattice, Vocabulary, split_units
 from corpusloom.llm.sampled_pieces import Codec, _sampler, sample_pieces
 from corpusloom.llm.token_counts import count_tokens
-from tests.llm.helpers import SCHEMA, frame, hard_rows
+from tests.llm.helpers import SCHEMA, frame, hard_rows, prose
 
 V = Vocabulary.load()
 
@@ -111,6 +111,17 @@ def test_only_empty_texts_and_known_units(spark):
     run, texts = _sampler(V, "doc_id", 2, 1.0, 0, True), ["a to to b", "to", "to b c to", "\n", "c漢 漢 a"]
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["doc_id", "text"])
     whole = {(r["doc_id"], r["sample"]): r["ids"] for b in run(iter([batch])) for r in b.to_pylist()}
-    sampled_pieces._seen.clear()
+    sampled_pieces._tables.clear()
     parts = {(r["doc_id"], r["sample"]): r["ids"] for i in (3, 1, 4, 0, 2) for b in run(iter([batch.slice(i, 1)])) for r in b.to_pylist()}
     assert whole == parts
+
+
+def test_names_that_clash_and_long_texts(spark):
+    rng = random.Random(3)
+    rows = [(1, prose(rng, 30_000)), (2, "a b"), (2, "a b"), (None, "x"), (3, "")]
+    docs = frame(spark, rows)
+    odd = docs.selectExpr("*", "1 as sample", "2 as n_pieces", "3 as `a.b`", "4 as n_tokens", "5 as c0")
+    for run in (lambda d: count_tokens(d), lambda d: sample_pieces(d, k=2)):
+        a, b = run(docs).collect(), run(odd.repartition(3)).collect()
+        assert sorted(map(str, a)) == sorted(map(str, b))
+    assert all(r.decoded for r in sample_pieces(odd).collect())

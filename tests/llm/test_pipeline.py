@@ -41,5 +41,5 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
 def test_what_op6_calls_toxic_leaves_the_corpus(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     monkeypatch.setattr(pipeline, "fit_toxicity", lambda docs, labels: None)
-    monkeypatch.setattr(pipeline, "score_toxicity", lambda docs, model: docs.withColumn("_score", F.col("doc_id") / 10))
+    monkeypatch.setattr(pipeline, "score_toxicity", lambda docs, model, name: docs.withColumn(name, F.col("doc_id") / 10))
     assert [r.doc_id for r in pipeline.drop_toxic(spark, spark.range(8).toDF("doc_id"), str(tmp_path)).orderBy("doc_id").collect()] == [0, 1, 2]
