@@ -11,24 +11,39 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 
 
-def ngram_rows(df: DataFrame, id_column: str, text_column: str = "text", n: int = 10) -> DataFrame:
-    """One row per distinct n-gram of normalised tokens, with its 64-bit hash. Short texts are left out before tokenising."""
-    long_enough = df.where(F.length(text_column) >= 2 * n - 1)
-    return long_enough.select(id_column, F.explode(T.ngrams(T.normalised_tokens(F.col(text_column)), n)).alias("ngram")).withColumn("gram", F.xxhash64("ngram"))
+def _hashed(tokens, n: int):
+    """Distinct 64-bit hashes of the runs of n tokens: tokens are hashed once, runs by the hashes of their tokens."""
+    single = F.transform(tokens, lambda w: F.xxhash64(w))
+
+    def grams(h):
+        at = F.sequence(F.lit(0), F.size(h) - n)
+        return F.when(F.size(h) >= n, F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)])))).otherwise(F.array().cast("array<bigint>"))
+
+    return T.let(single, grams)
+
+
+def _long_enough(df: DataFrame, text_column: str, n: int) -> DataFrame:
+    """Without texts that cannot hold n tokens; they are not tokenised."""
+    return df.where(F.length(text_column) >= 2 * n - 1)
 
 
 def ngram_index(bench: DataFrame, id_column: str = "item_id", text_column: str = "text", n: int = 10) -> DataFrame:
-    """n-gram to the last item that holds it."""
-    return ngram_rows(bench, id_column, text_column, n).groupBy("gram", "ngram").agg(F.max(id_column).alias(id_column))
+    """n-gram and its hash to the last item that holds it."""
+    grams = F.explode(T.ngrams(T.normalised_tokens(F.col(text_column)), n)).alias("ngram")
+    rows = _long_enough(bench, text_column, n).select(id_column, grams).groupBy("ngram").agg(F.max(id_column).alias(id_column))
+    return rows.withColumn("gram", F.get(_hashed(F.split("ngram", " "), n), F.lit(0)))
 
 
 def contamination(df: DataFrame, index: DataFrame, id_column: str = "doc_id", text_column: str = "text", item: str = "item_id", n: int = 10) -> DataFrame:
     """id, ngram, item of every text that shares an n-gram: its first shared n-gram in byte order.
 
-    The join runs on fixed-width hashes (whichever side is small enough is broadcast by the planner) and compares the n-grams themselves on matches.
+    Only fixed-width hashes of the corpus's n-grams are made and joined (whichever side is small enough is broadcast by the planner); the n-grams
+    themselves are looked for in the texts that match.
     """
-    rows = ngram_rows(df, id_column, text_column, n)
-    hits = rows.join(index.withColumnRenamed("ngram", "_ngram"), "gram").where("ngram = _ngram")
+    rows = _long_enough(df, text_column, n).select(id_column, F.explode(_hashed(T.normalised_tokens(F.col(text_column)), n)).alias("gram"))
+    found = rows.join(index, "gram").select(id_column, "ngram", item)
+    said = df.select(id_column, F.concat(F.lit(" "), F.array_join(T.normalised_tokens(F.col(text_column)), " "), F.lit(" ")).alias("_said"))
+    hits = found.join(said, id_column).where(F.contains("_said", F.concat(F.lit(" "), F.col("ngram"), F.lit(" "))))
     return hits.groupBy(id_column).agg(F.min(F.struct("ngram", item)).alias("hit")).select(id_column, "hit.ngram", f"hit.{item}")
 
 
