@@ -205,6 +205,12 @@ def histogram_kernel(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     return top_k(scored, "query_id", "item_id", "score", k)
 
 
+def edge_labels(labels: Column, heads: Column) -> Column:
+    """Labels of a parse's edges, 'head>word', from the words' labels and the index of each word's head (its own for the root, which has no edge)."""
+    pairs = F.transform(F.arrays_zip(labels.alias("label"), heads.alias("head")), lambda z, i: F.struct(z["label"].alias("label"), z["head"].alias("head"), i.alias("at")))
+    return F.transform(F.filter(pairs, lambda z: z["head"] != z["at"]), lambda z: F.concat(F.get(labels, z["head"]), F.lit(">"), z["label"]))
+
+
 def borda(first: DataFrame, second: DataFrame, k: int, bonus: float = 1.5) -> DataFrame:
     """Fuse two rankings (query_id, item_id, pos from least to most similar): positions add up, items in both gain a bonus once.
 

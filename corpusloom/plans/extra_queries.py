@@ -10,8 +10,9 @@ from corpusloom.operators import gates as G
 from corpusloom.operators import judging as J
 from corpusloom.operators import language as L
 from corpusloom.operators import retriever as R
+from corpusloom.operators import similarity as S
 from corpusloom.plans import self_instruct as SI
-from corpusloom.plans.search_queries import CANDS, candidates
+from corpusloom.plans.search_queries import CANDS, bm25_sql, candidates
 from corpusloom.plans.select_queries import PAIRS, pairs, table
 from corpusloom.plans.text_queries import WORDS, WS, docs, strip_sql
 from corpusloom.sources import codes, corpora
@@ -172,6 +173,37 @@ def structural_bm25(spark, sf):
     return R.structural_top_k(part.select("query_id", "part", "tokens"), pool, 4, 3)
 
 
+@query("""
+WITH w AS (SELECT item_id, list_transform(string_split(text, ' '), lambda x: substring(x, 1, 1)) AS l FROM benchmark),
+e AS (SELECT item_id, unnest(list_transform(range(2, len(l) + 1), lambda i: l[i - 1] || '>' || l[i])) AS label FROM w),
+h AS (SELECT item_id, label, count(*) AS n FROM e GROUP BY item_id, label),
+s AS (SELECT a.item_id AS query_id, b.item_id, CAST(sum(a.n * b.n) AS DOUBLE) AS score FROM h a JOIN h b USING (label) GROUP BY a.item_id, b.item_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r, count(*) OVER (PARTITION BY query_id) AS c FROM s)
+SELECT query_id, item_id, score, least(c, 5) - r + 1 AS pos FROM r WHERE r <= 5
+""")
+def edge_histogram_topk(spark, sf):
+    """The kernel of edges, with each word's predecessor as its head and first letters as labels."""
+    b = table(spark, sf, "benchmark").select("item_id", F.transform(F.split("text", " "), lambda w: F.substring(w, 1, 1)).alias("l"))
+    heads = F.transform(F.col("l"), lambda x, i: F.greatest(i - 1, F.lit(0)))
+    rows = b.select("item_id", F.explode(S.edge_labels(F.col("l"), heads)).alias("label"))
+    return S.histogram_kernel(rows.withColumnRenamed("item_id", "query_id"), rows, 5)
+
+
+FUSED = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, late DESC, came DESC, item_id) AS r, count(*) OVER (PARTITION BY query_id) AS c FROM s) SELECT query_id, item_id, score, least(c, 5) - r + 1 AS pos FROM r WHERE r <= 5"
+
+
+@query(f"""
+WITH one AS ({bm25_sql(False)}), two AS ({bm25_sql(True)}),
+f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.item_id, b.item_id) AS item_id, a.pos AS p1, b.pos AS p2 FROM one a FULL OUTER JOIN two b ON a.query_id = b.query_id AND a.item_id = b.item_id),
+s AS (SELECT query_id, item_id, CAST(coalesce(p1, 0) + coalesce(p2, 0) + CASE WHEN p1 IS NOT NULL AND p2 IS NOT NULL THEN 1.5 ELSE 0 END AS DOUBLE) AS score, CASE WHEN p2 IS NULL THEN 1 ELSE 0 END AS late, coalesce(p2, p1) AS came FROM f),
+{FUSED}
+""")
+def fused_bm25(spark, sf):
+    """Both forms of BM25 over the documents, fused."""
+    q, p = (df.select(F.col(c).alias(n), R.index_tokens(F.col("text")).alias("tokens")) for df, c, n in ((table(spark, sf, "benchmark"), "item_id", "query_id"), (docs(spark, sf), "doc_id", "item_id")))
+    return S.borda(S.bm25_top_k(q, p, 5), S.bm25_top_k(q, p, 5, b=0.75, okapi=True), 5)
+
+
 @query(f"WITH {PAIRS} SELECT pair_id, md5('Translate this from English to French:' || chr(10) || 'English: ' || source || chr(10) || 'French: ' || target) AS text FROM p")
 def sample_texts(spark, sf):
     return pairs(spark, sf).select("pair_id", F.md5(PR.sample_text(F.col("source"), F.col("target"))).alias("text"))

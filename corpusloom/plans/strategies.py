@@ -132,4 +132,67 @@ def _tree(heads: list[int], root: int) -> set[int]:
     return out
 
 
-STRATEGIES = {"vanilla": vanilla, "cot": reasoned, "maps": with_knowledge, "step_by_step": step_by_step, "tear": estimate_and_refine}
+def seq2seq(df: DataFrame, src: str, tgt: str, factory: Factory = EchoBackend, beams: int = 5) -> DataFrame:
+    """The sentence itself is the prompt of a translation model, which knows both languages."""
+    return ask(df, F.col("sentence"), "translation", factory, Sampling(num_beams=beams))
+
+
+# What an analysis of each kind tells, for the prompt.
+ANALYSES = {"pos": "Parts of speech", "morph": "Morphology", "dep": "Dependencies", "ner": "Names"}
+
+
+def analysed(df: DataFrame, kind: str, src: str, tgt: str, parser: Callable[[Column], Column] | None = None, factory: Factory = EchoBackend) -> DataFrame:
+    """Translate with one kind of linguistic analysis, made of the sentence by ``parser``; kind 'none' shows no analysis."""
+    if kind == "none":
+        return ask(df, F.concat(F.lit(f"Translate from {src} to {tgt}.\n"), F.col("sentence")), "translation", factory)
+    if parser is None:
+        raise ValueError(f"an analysis of kind {kind} needs a parser")
+    return with_analysis(df, F.concat(F.lit(f"{ANALYSES[kind]}: "), parser(F.col("sentence"))), src, tgt, factory)
+
+
+def best_of(df: DataFrame, src: str, tgt: str, n: int, factory: Factory = EchoBackend, id_column: str = "id") -> DataFrame:
+    """Reason n times, read a translation off each, and keep the one with the best quality score; the first of several."""
+    first = F.concat(F.lit(f"Think step by step about how to translate this {src} sentence into {tgt}.\n"), F.col("sentence"))
+    asked = df.withColumn("_prompt", first)
+    thoughts = generate(asked, "_prompt", factory, Sampling(num_return_sequences=n, temperature=1.0 if n > 1 else 0.0))
+    rows = asked.join(thoughts.select(F.col("prompt").alias("_prompt"), "candidates"), "_prompt").select(id_column, "sentence", F.posexplode("candidates").alias("pos", "_thought"))
+    rows = ask(rows, F.concat(F.lit(f"Give only the final {tgt} translation found in this reasoning.\n"), F.col("_thought")), "candidate", factory)
+    best = score(rows, "sentence", "candidate", factory=factory).groupBy(id_column).agg(F.max_by("candidate", F.struct("score", (-F.col("pos")).alias("p"))).alias("translation"))
+    return df.join(best, id_column)
+
+
+def merged(parents: DataFrame, children: DataFrame, src: str, tgt: str, good: Callable[[Column], Column] | None = None, factory: Factory = EchoBackend) -> DataFrame:
+    """Add translation to parents (id, sentence) from those of their parts: children (id, pos, text, translation).
+
+    Parts whose translation is blank or not ``good`` are left out; a parent without any is translated by itself. The answer ends at its first blank line.
+    """
+    usable = T.strip(F.coalesce("translation", F.lit(""))) != ""
+    kept = children.where(usable & good(F.col("translation")) if good else usable)
+    lists = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "translation"))).alias("_parts"))
+    plain = F.concat(F.lit(f"Translate from {src} to {tgt}.\n"), F.col("sentence"))
+    prompt = F.when(F.col("_parts").isNull(), plain).otherwise(PR.merge_prompt(F.col("sentence"), F.col("_parts")["text"], F.col("_parts")["translation"], src, tgt))
+    out = ask(parents.join(lists, "id", "left"), prompt, "translation", factory).drop("_parts")
+    return out.withColumn("translation", T.strip(F.get(F.split("translation", "\n\n"), F.lit(0))))
+
+
+def quality(df: DataFrame, source: str, candidate: str, reference: str | None = None, low: float | None = None, high: float | None = None, lower_is_better: bool = False, factory: Factory = EchoBackend) -> DataFrame:
+    """Add score, cut to low..high, and quality, which is higher for better candidates whatever the direction of the score; both are null without a candidate."""
+    out = score(df, source, candidate, reference, factory)
+    value = F.col("score")
+    if low is not None:
+        value = F.when(value < low, F.lit(float(low))).otherwise(value)
+    if high is not None:
+        value = F.when(value > high, F.lit(float(high))).otherwise(value)
+    return out.withColumn("score", value).withColumn("quality", -F.col("score") if lower_is_better else F.col("score"))
+
+
+STRATEGIES = {"vanilla": vanilla, "cot": reasoned, "maps": with_knowledge, "step_by_step": step_by_step, "tear": estimate_and_refine, "nllb": seq2seq}
+
+
+def translate(df: DataFrame, method: str, src: str, tgt: str, factory: Factory = EchoBackend, **settings) -> DataFrame:
+    """Translate by the method's name: those of STRATEGIES, the kinds of ANALYSES, or 'none'."""
+    if method in STRATEGIES:
+        return STRATEGIES[method](df, src, tgt, factory=factory, **settings)
+    if method in ANALYSES or method == "none":
+        return analysed(df, method, src, tgt, factory=factory, **settings)
+    raise ValueError(f"unknown method {method}")
