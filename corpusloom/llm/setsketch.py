@@ -4,7 +4,7 @@ A document's set is that of its distinct word shingles. Register i of its sketch
 minimum ``clip(floor(1 - log_b(min_x h_i(x))), 0, q + 1)`` of exponential hashes with rate a: sketches of
 parts merge by taking maxima, and two registers agree with a probability that follows the Jaccard similarity.
 
-1. Equal sets are one class. One row per class goes on.
+1. Equal sets (by 128 bits of digest) are one class. One row per class goes on.
 2. Bands of registers are hashed; classes that share a band are candidates.
 3. In every bucket the candidates first meet one hub, the member that shares most bands with others. A joint maximum-likelihood
    estimate from the counts of larger, equal and smaller registers drops such a pair only where the threshold is less than
@@ -36,7 +36,7 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2  # b, a and q of the sketch
 STEP = 16_384  # hashes whose registers are computed at once
 CELLS = 4_000_000  # of an incidence matrix at once
 SLACK = 16.0  # nats below the best likelihood
-SKETCH = "doc_id long, n long, node long, regs binary, bands array<long>"
+SKETCH = "doc_id long, n long, node long, check long, regs binary, bands array<long>"
 
 
 def registers(sets: np.ndarray, salts: np.ndarray) -> np.ndarray:
@@ -70,25 +70,26 @@ def similarity_likelihood(k_a: np.ndarray, k_b: np.ndarray, n_a: np.ndarray, n_b
     return more * np.log(np.maximum(up, tiny)) + less * np.log(np.maximum(down, tiny)) + same * np.log(np.maximum(1 - up - down, tiny))
 
 
-def _sketcher(words: int, bands: int, rows: int):
+def _sketcher(words: int, bands: int, rows: int, node_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = stream(23, bands * rows)
         mult = (stream(29, rows) | np.uint64(1))[None, :]
         turn = stream(31, bands)
         for batch in batches:
-            n, node, regs, keys = [], [], [], []
+            n, node, check, regs, keys = [], [], [], [], []
             for s in shingle_sets(batch["text"], words):
                 n.append(len(s))
                 if not len(s):
-                    node.append(None), regs.append(None), keys.append([])
+                    node.append(None), check.append(None), regs.append(None), keys.append([])
                     continue
-                node.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                node.append(int.from_bytes(digest[:node_bytes], "little", signed=True)), check.append(int.from_bytes(digest[8:], "little", signed=True))
                 k = registers(s, salts)
                 regs.append(k.tobytes())
                 keys.append(mix((k.reshape(bands, rows).astype(np.uint64) * mult).sum(axis=1, dtype=np.uint64) + turn).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "node", "regs", "bands"],
+                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "node", "check", "regs", "bands"],
             )
 
     return run
@@ -209,7 +210,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 16, rows: int = 4, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 16, rows: int = 4, block: int = 256, node_bytes: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     component_id is the smallest doc_id of the documents reachable by links, itself included; kept says whether that is the
@@ -220,11 +221,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     their names, are ignored; an empty table gives an empty result.
     """
     docs = plain(docs, "doc_id", "text")
-    sketches = stage(docs.mapInArrow(frugal(_sketcher(words, bands, rows)), SKETCH), "ss-sketch")
+    sketches = stage(docs.mapInArrow(frugal(_sketcher(words, bands, rows, node_bytes)), SKETCH), "ss-sketch")
     classes = stage(
-        sketches.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")),
+        sketches.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")),
         "ss-class",
     )
+    sketches, classes = _told_apart(sketches, classes)
     shared = classes.select("node", F.explode("bands").alias("band"))
     crowded = shared.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = stage(shared.join(crowded, "band"), "ss-members")
@@ -264,6 +266,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     )
 
 
+def _told_apart(sketches: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes are equal in 128 bits of digest; where their first 64, the node, are those of another class as well, all but one get another node."""
+    twins = classes.groupBy("node").agg(F.min("check").alias("first"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("node", "first")
+    if not twins.limit(1).count():
+        return sketches, classes
+
+    def apart(df: DataFrame) -> DataFrame:
+        other = F.col("first").isNotNull() & (F.col("check") != F.col("first"))
+        return df.join(twins, "node", "left").withColumn("node", F.when(other, F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("first")
+
+    return stage(apart(sketches), "ss-sketch"), stage(apart(classes), "ss-class")
+
+
 def _repeats(candidates: DataFrame) -> bool:
     """Whether two classes have the same first doc_id."""
     return bool(candidates.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())

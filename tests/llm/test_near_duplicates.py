@@ -129,3 +129,9 @@ def test_components_of_a_long_chain_and_of_nothing(spark):
     chain = spark.range(300).selectExpr("id as u", "id + 1 as v", "1 as w").union(spark.createDataFrame([(7, 7, 1), (9, 8, 1), (None, 3, 1)], "u long, v long, w int"))
     assert {(r.node, r.component) for r in connected_components(chain).collect()} == {(i, 0) for i in range(301)}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_classes_with_equal_nodes_are_told_apart(spark):
+    rows = [r for r in hard_rows(4) if r[0] is not None]
+    got = near_duplicates(frame(spark, rows), 3, 85, node_bytes=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(dict(rows).items(), 3, 85) and len(got) == len(rows)
