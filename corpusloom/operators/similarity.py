@@ -226,19 +226,21 @@ def borda(first: DataFrame, second: DataFrame, k: int, bonus: float = 1.5) -> Da
     return best.withColumn("pos", F.count(F.lit(1)).over(Window.partitionBy("query_id")) - F.col("_r") + 1).select("query_id", "item_id", "score", "pos")
 
 
-def random_k(queries: DataFrame, pool: DataFrame, k: int, seed: int) -> DataFrame:
-    """k items per query in md5 order of (seed, query, item)."""
-    met = queries.select("query_id").crossJoin(F.broadcast(pool.select("item_id")) if _small(pool) else pool.select("item_id"))
-    return top_k_by(met, F.md5(F.concat_ws("|", F.lit(str(seed)), "query_id", "item_id")), k)
-
+STRIDE = 1_000_000_007  # a prime beyond any pool of demonstrations, so the steps of a query never meet
 
-def _small(df: DataFrame, limit: int = 10 << 20) -> bool:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < limit
 
+def random_k(queries: DataFrame, pool: DataFrame, k: int, seed: int) -> DataFrame:
+    """query_id, item_id, pos: k different items per query (all, if there are fewer), from a place that the md5 of (seed, query) names on in steps of a prime.
 
-def top_k_by(met: DataFrame, order: Column, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(order, "item_id")
-    return met.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= k).select("query_id", "item_id", "pos")
+    Items are numbered in order of id and found by number; queries and items never meet as a product.
+    """
+    numbered = pool.select("item_id").withColumn("number", F.row_number().over(Window.orderBy("item_id")).cast("long") - 1)
+    n = numbered.agg(F.count(F.lit(1)).alias("n"))
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "query_id")), 1, 8), 16, 10).cast("long")
+    asked = queries.select("query_id", start.alias("start")).crossJoin(n).where("n > 0")  # one row
+    draws = asked.select("query_id", "n", "start", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(k), F.col("n")))).alias("pos"))
+    number = (F.col("start") + (F.col("pos") - 1) * STRIDE) % F.col("n")
+    return draws.select("query_id", "pos", number.alias("number")).join(numbered, "number").select("query_id", "item_id", "pos")
 
 
 KEY_CELLS = 1 << 18  # of the table of token frequencies

@@ -150,8 +150,9 @@ def histogram_topk(spark, sf):
 
 
 @query("""
-WITH r AS (SELECT a.item_id AS query_id, b.item_id, row_number() OVER (PARTITION BY a.item_id ORDER BY md5('3|' || CAST(a.item_id AS VARCHAR) || '|' || CAST(b.item_id AS VARCHAR)), b.item_id) AS pos FROM benchmark a CROSS JOIN benchmark b)
-SELECT query_id, item_id, pos FROM r WHERE pos <= 3
+WITH i AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS number, count(*) OVER () AS n FROM benchmark),
+d AS (SELECT item_id AS query_id, CAST(p AS BIGINT) AS pos, (CAST(('0x' || substring(md5('3|' || CAST(item_id AS VARCHAR)), 1, 8)) AS BIGINT) + (p - 1) * 1000000007) % n AS number FROM i, (SELECT unnest([1, 2, 3]) AS p))
+SELECT query_id, i.item_id, pos FROM d JOIN i USING (number)
 """)
 def random_retrieval(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id")
