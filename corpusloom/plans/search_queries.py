@@ -323,9 +323,10 @@ def tree_merge(spark, sf):
     return TR.merge_up(nodes, lambda c: F.lower(c), lambda text, parts, results: F.array_join(results, " "), 1)
 
 
-@query("")
+@query("SELECT DISTINCT 'Translate:' || chr(10) || lang AS prompt, sha256('Translate:' || chr(10) || lang) AS prompt_hash, lang AS candidate FROM documents")
 def generate_echo(spark, sf):
-    return I.generate(docs(spark, sf).select(F.concat(F.lit("Translate:\n"), F.col("lang")).alias("prompt")), "prompt")
+    out = I.generate(docs(spark, sf).select(F.concat(F.lit("Translate:\n"), F.col("lang")).alias("prompt")), "prompt")
+    return out.select("prompt", "prompt_hash", F.get("candidates", F.lit(0)).alias("candidate"))
 
 
 @query("")

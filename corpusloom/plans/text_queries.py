@@ -198,7 +198,23 @@ def char_split(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(T.regrouped(T.words_by_space(F.col("text")), 3), "\n").alias("groups"))
 
 
-@query("")
+def _cut_sql(n: int) -> str:
+    """Ends e1, e2, ... of the first n - 1 parts, each the first word that makes its part long enough."""
+    out, before = [], "(SELECT doc_id, 0 AS e, 0 AS c FROM documents)"
+    for k in range(1, n):
+        out.append(f"e{k} AS (SELECT w.doc_id, min(w.i) AS e, min(w.c) AS c FROM w JOIN {before} b ON b.doc_id = w.doc_id AND w.i > b.e AND w.c - b.c - 1 >= w.size GROUP BY w.doc_id)")
+        before = f"e{k}"
+    return ", ".join(out)
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS size, {WORDS} AS l FROM documents),
+u AS (SELECT doc_id, size, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM t),
+w AS (SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM u), {_cut_sql(4)},
+p AS (SELECT w.doc_id, w.i, w.word, CAST(coalesce(w.i > e1.e, false) AS INTEGER) + CAST(coalesce(w.i > e2.e, false) AS INTEGER) + CAST(coalesce(w.i > e3.e, false) AS INTEGER) AS pos
+  FROM w LEFT JOIN e1 USING (doc_id) LEFT JOIN e2 USING (doc_id) LEFT JOIN e3 USING (doc_id))
+SELECT doc_id, pos, string_agg(word, ' ' ORDER BY i) AS part FROM p GROUP BY doc_id, pos
+""")
 def equal_split(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(T.equal_parts(F.col("text"), 4)).alias("pos", "part"))
 
