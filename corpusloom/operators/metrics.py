@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,17 +32,59 @@ def _grams(tokens: Column, n: int) -> Column:
     )
 
 
-def _clip(df: DataFrame, keys: list[str], hyp: Column, ref: Column, orders: range, kind: str) -> DataFrame:
-    """kind, n, and the sums of hypothesis grams, reference grams and clipped matches."""
-    h, r = gram_counts(df, keys, "h", hyp, orders, kind), gram_counts(df, keys, "r", ref, orders, kind)
-    both = h.join(r, [*keys, "kind", "n", "g"], "full")
-    match = F.when(F.col("h").isNotNull() & F.col("r").isNotNull(), F.least("h", "r")).otherwise(0)
-    return both.groupBy("kind", "n").agg(F.sum(F.coalesce("h", F.lit(0))).alias("hyp"), F.sum(F.coalesce("r", F.lit(0))).alias("ref"), F.sum(match).alias("match"))
+CLIP_TOKENS = 200_000  # of both sides, counted at a time
+_PLACES = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+
+
+def _gram_keys(values: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """64-bit keys of (row, n-gram) of token lists laid end to end."""
+    rows = np.repeat(np.arange(len(ends) - 1, dtype=np.uint64), np.diff(ends))
+    m = max(0, len(values) - n + 1)
+    grams = rows[:m] * np.uint64(0x8EBC6AF09C88C6E3)
+    for k in range(n):
+        grams = (grams ^ (grams >> np.uint64(29))) * _PLACES[1] + values[k : k + m] * _PLACES[k]
+    return grams[rows[:m] == rows[n - 1 :]] if m else grams
+
+
+def _clip(df: DataFrame, hyp: Column, ref: Column, orders: range, kind: str) -> DataFrame:
+    """kind, n, and the sums of hypothesis grams, reference grams and clipped matches.
+
+    Both sides of a pair stand in one row, so its grams are counted there, many rows at a time in Arrow batches; a few sums per batch are all that moves.
+    ``hyp`` and ``ref`` are token arrays, or texts of which the characters that are no blanks are the tokens.
+    """
+    rows = df.select(F.coalesce(hyp, F.array().cast("array<string>")).alias("h"), F.coalesce(ref, F.array().cast("array<string>")).alias("r")) if kind == "w" else df.select(F.coalesce(hyp, F.lit("")).alias("h"), F.coalesce(ref, F.lit("")).alias("r"))
+    if kind == "w":
+        rows = rows.select(*[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("h", "r")])
+
+    def side(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if kind == "w":
+            return np.asarray(column.flatten()).view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+        points = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in column.to_pylist()]
+        return np.concatenate([np.zeros(0, np.uint64), *points]).astype(np.uint64) + np.uint64(1), np.concatenate([[0], np.cumsum([len(x) for x in points])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(orders), 3), np.int64)
+        for batch in batches:
+            lengths = [pc.list_value_length(batch[c]) if kind == "w" else pc.utf8_length(batch[c]) for c in ("h", "r")]
+            upto = np.cumsum(lengths[0].to_numpy() + lengths[1].to_numpy().astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CLIP_TOKENS, "right")))
+                h, r = (side(batch[c].slice(lo, hi - lo)) for c in ("h", "r"))
+                for i, n in enumerate(orders):
+                    (x, cx), (y, cy) = (np.unique(_gram_keys(*s, n), return_counts=True) for s in (h, r))
+                    _, at, of = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                    sums[i] += [cx.sum(), cy.sum(), np.minimum(cx[at], cy[of]).sum()]
+                lo = hi
+        yield pa.RecordBatch.from_arrays([pa.array(list(orders), pa.int32()), *(pa.array(sums[:, j]) for j in range(3))], names=["n", "h", "r", "m"])
+
+    done = rows.mapInArrow(run, "n int, h long, r long, m long").groupBy("n").agg(F.sum("h").alias("hyp"), F.sum("r").alias("ref"), F.sum("m").alias("match"))
+    return done.where("hyp > 0 or ref > 0").select(F.lit(kind).alias("kind"), "n", "hyp", "ref", "match")
 
 
 def corpus_bleu(df: DataFrame, id_column: str, hyp: str, ref: str, most: int = 4) -> DataFrame:
     """One row: bleu (0 to 100) of word n-grams with brevity penalty; 0 if an order has no match."""
-    counts = _clip(df, [id_column], words(F.col(hyp)), words(F.col(ref)), range(1, most + 1), "w")
+    counts = _clip(df, words(F.col(hyp)), words(F.col(ref)), range(1, most + 1), "w")
     wide = counts.agg(
         F.sum(F.when(F.col("match") > 0, F.log(F.col("match") / F.col("hyp"))).otherwise(float("-inf"))).alias("logs"),
         F.count(F.lit(1)).alias("orders"),
@@ -54,10 +99,10 @@ def corpus_chrf(df: DataFrame, id_column: str, hyp: str, ref: str, characters: i
     """One row: chrf (0 to 100), the mean F-beta over character and word orders that occur."""
 
     def letters(c: str) -> Column:
-        return F.split(F.regexp_replace(F.col(c), r"[ \t\n\x0B\f\r]+", ""), "")
+        return F.regexp_replace(F.col(c), r"[ \t\n\x0B\f\r]+", "")
 
-    chars = _clip(df, [id_column], F.filter(letters(hyp), lambda x: x != ""), F.filter(letters(ref), lambda x: x != ""), range(1, characters + 1), "c")
-    word = _clip(df, [id_column], words(F.col(hyp)), words(F.col(ref)), range(1, word_order + 1), "w")
+    chars = _clip(df, letters(hyp), letters(ref), range(1, characters + 1), "c")
+    word = _clip(df, words(F.col(hyp)), words(F.col(ref)), range(1, word_order + 1), "w")
     b2 = beta * beta
     p, r = F.col("match") / F.col("hyp"), F.col("match") / F.col("ref")
     f = F.when((F.col("hyp") == 0) | (F.col("ref") == 0) | (F.col("match") == 0), 0.0).otherwise((1 + b2) * p * r / (b2 * p + r))
@@ -113,8 +158,6 @@ def vendi(df: DataFrame, vector: str) -> float:
 
     The kernel's spectrum is that of the d x d second-moment matrix of the unit vectors, which is summed in Arrow batches; only d x d numbers reach the driver.
     """
-    import pyarrow as pa
-
     def moments(batches):
         for batch in batches:
             x = np.array(batch[vector].to_pylist(), np.float64)
