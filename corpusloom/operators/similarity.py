@@ -382,3 +382,14 @@ def greedy_kept(df: DataFrame, pairs: DataFrame, id_column: str = "doc_id", max_
             raise RuntimeError(f"greedy_kept: rows are undecided after {n} rounds")
     return df.join(dropped.withColumnRenamed("a", id_column), id_column, "left_anti")
 
+
+def greedy_unlike(df: DataFrame, tokens: str, tau: float, by: str, id_column: str = "doc_id") -> DataFrame:
+    """Rows that stay if each row of a group, in order of id, is dropped when an earlier kept row has a common-subsequence F score over tau with it.
+
+    Of equal token arrays only the first can stay, and all of them are near the same rows, so one stands for all: a crowd of copies is never paired.
+    Rows without tokens or without a group are near nothing and stay.
+    """
+    told = F.col(by).isNotNull() & (F.coalesce(F.size(tokens), F.lit(0)) > 0)
+    first = df.where(told).groupBy(by, tokens).agg(F.min(id_column).alias(id_column))
+    kept = greedy_kept(first, near_pairs(first, tokens, tau, by, id_column), id_column).select(id_column)
+    return df.where(told).join(kept, id_column, "left_semi").unionByName(df.where(~told))

@@ -30,7 +30,7 @@ def new_paragraphs(seeds: DataFrame, kept: DataFrame, prompt: Column, n: int, fa
     # what is kept already comes first; new rows follow in md5 order
     ranked = both.withColumn("doc_id", F.concat(F.col("new").cast("string"), F.md5(F.concat_ws("|", "language", "text"))))
     ranked = ranked.dropDuplicates(["language", "text"]).withColumn("t", T.ascii_tokens(F.col("text")))
-    return S.greedy_kept(ranked, S.near_pairs(ranked, "t", tau, "language")).where("new = 1").select("language", "topic", "text")
+    return S.greedy_unlike(ranked, "t", tau, "language").where("new = 1").select("language", "topic", "text")
 
 
 def run_rounds(seeds: DataFrame, kept: DataFrame, make_prompt: Callable[[int], Column], n: int, wanted: int, most_empty: int = 50, save: Callable[[DataFrame], DataFrame] | None = None, factory: Callable[[], Backend] = EchoBackend) -> DataFrame:

@@ -180,7 +180,7 @@ def rouge_pairs(spark, sf):
 @query("")
 def rouge_greedy(spark, sf):
     d = docs(spark, sf).select("doc_id", "lang", T.ascii_tokens(F.col("text")).alias("t"))
-    return S.greedy_kept(d, S.near_pairs(d, "t", 0.7, "lang")).select("doc_id", "lang")
+    return S.greedy_unlike(d, "t", 0.7, "lang").select("doc_id", "lang")
 
 
 def _grams_sql(side: str, most: int) -> str:

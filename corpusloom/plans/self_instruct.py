@@ -85,7 +85,7 @@ def one_round(asked: DataFrame, seeds: DataFrame, made: DataFrame, n: int, synth
     both = seeds.select("language", "text").unionByName(made.select("language", "text")).withColumn("new", F.lit(0)).unionByName(clean.withColumn("new", F.lit(1)))
     ranked = both.withColumn("doc_id", F.concat(F.col("new").cast("string"), F.md5(F.concat_ws("|", "language", "text")))).groupBy("language", "text").agg(F.min("doc_id").alias("doc_id"), F.min("new").alias("new"))
     ranked = ranked.withColumn("t", T.ascii_tokens(F.col("text")))
-    return S.greedy_kept(ranked, S.near_pairs(ranked, "t", tau, "language")).where("new = 1").select("language", "text")
+    return S.greedy_unlike(ranked, "t", tau, "language").where("new = 1").select("language", "text")
 
 
 def self_instruct(seeds: DataFrame, wanted: int, n: int, synthetic: int, prompts: int, save: Callable[[DataFrame, int], DataFrame], seed: int = 122, most_empty: int = 50, factory: Callable[[], Backend] = EchoBackend) -> DataFrame:

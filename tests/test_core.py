@@ -207,6 +207,8 @@ def test_near_pairs_lose_nothing_and_greedy_equals_the_loop(spark):
         if all(f(t, rows[k][2]) <= 0.7 for k in kept):
             kept.append(i)
     assert sorted(r.doc_id for r in SIM.greedy_kept(df, pairs).collect()) == kept
+    again = df.union(df.selectExpr("doc_id + 1000", "g", "t").where("doc_id % 3 = 0")).union(spark.createDataFrame([(5000, None, ["a"]), (5001, None, ["a"]), (5002, "g", None)], df.schema))
+    assert sorted(r.doc_id for r in SIM.greedy_unlike(again, "t", 0.7, "g").collect()) == sorted([*kept, *(i + 1000 for i, _, t in rows if not t and i % 3 == 0), 5000, 5001, 5002])
 
 
 def test_long_chains_are_decided_or_refused(spark):
