@@ -163,6 +163,12 @@ def metric_input(candidate: Column, other: Column, kind: str = "reference") -> C
     return F.concat(F.lit("candidate: "), candidate, F.lit(f" {kind}: "), other)
 
 
+def metric_tokens(ids: Column, most: int = 1024, end: int = 1) -> Column:
+    """Token ids as a learned metric takes them: at most ``most``, and without an end token behind them."""
+    cut = F.slice(ids, 1, most)
+    return F.when(F.element_at(cut, -1) == end, F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut)
+
+
 def sample_text(source: Column, target: Column | None = None, src: str = "English", tgt: str = "French") -> Column:
     """Fixed form of a training example: an instruction with both sides, or the source alone."""
     if target is None:

@@ -56,6 +56,11 @@ def normalised_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.regexp_replace(plain, r"\p{Mn}+", "")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
+def unicode_tokens(text: Column) -> Column:
+    """Runs of letters, marks and digits of any script of the lower-case text: the tokens of the overlap score where ASCII ones would be none."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))
+
+
 def ascii_tokens(text: Column) -> Column:
     """Runs of a-z and 0-9 of the lower-case text: the tokens of the overlap score for Latin script."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
@@ -253,9 +258,23 @@ def danda_sentences(text: Column, mark: str) -> Column:
     return F.transform(parts, lambda x: F.when(F.endswith(x, F.lit(end)), x).otherwise(F.concat(x, F.lit(end))))
 
 
-def sentences(text: Column) -> Column:
-    """Split behind . ! ? where blanks and an upper-case letter follow, and at line breaks."""
+# Abbreviations after which a sentence goes on although a capital follows, by language. Callers may pass their own.
+ABBREVIATIONS = {
+    "English": ["Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Jr", "Sr", "Gen", "Col", "Sen", "Rep", "No", "vs", "Fig", "Mt"],
+    "French": ["M", "MM", "Mme", "Mlle", "Dr", "St", "Ste", "av", "env", "cf", "art"],
+    "German": ["Dr", "Prof", "Hr", "Fr", "Nr", "Str", "St", "Abb", "bzw", "ca", "usw"],
+    "Spanish": ["Sr", "Sra", "Srta", "Dr", "Dra", "Ud", "Uds", "Lic", "Ing", "pág", "núm"],
+}
+HELD = "\x01"  # stands for the blanks behind an abbreviation while a text is split
+
+
+def sentences(text: Column, abbreviations: list[str] | None = None) -> Column:
+    """Split behind . ! ? where blanks and an upper-case letter follow, and at line breaks; not behind an abbreviation, whose blanks become one."""
+    if abbreviations:
+        text = F.regexp_replace(text, rf"(^|[^\p{{L}}])({'|'.join(abbreviations)})\.[ \t]+", f"$1$2.{HELD}")
     marked = F.regexp_replace(text, r"([.!?])[ \t]+(\p{Lu})", "$1\n$2")
+    if abbreviations:
+        marked = F.replace(marked, F.lit(HELD), F.lit(" "))
     return F.filter(F.transform(F.split(marked, "\n"), strip), lambda x: x != "")
 
 

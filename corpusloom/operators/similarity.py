@@ -70,11 +70,12 @@ def dense_top_k(queries: DataFrame, pool: DataFrame, k: int, exclude_self: bool
     return top_k(met, "query_id", "item_id", "score", k)
 
 
-def bm25_top_k(queries: DataFrame, pool: DataFrame, k: int, k1: float = 1.5, b: float = 0.7, okapi: bool = False, epsilon: float = 0.25) -> DataFrame:
+def bm25_top_k(queries: DataFrame, pool: DataFrame, k: int, k1: float = 1.5, b: float = 0.7, okapi: bool = False, epsilon: float = 0.25, delta: float = 0.0) -> DataFrame:
     """query_id, item_id, score, pos. ``queries`` has query_id, tokens; ``pool`` has item_id, tokens.
 
     score = sum over query tokens (repeats count) of idf * tf * (k1 + 1 if okapi else 1) / (tf + k1 * (1 - b + b * dl / avgdl)), with
-    idf = ln(max(1, (N - df + 0.5) / (df + 0.5))); okapi: ln of the plain ratio, and epsilon * mean idf where that is negative.
+    idf = ln(max(1, (N - df + 0.5) / (df + 0.5))); okapi: ln of the plain ratio, and epsilon * mean idf where that is negative. ``delta`` is added to
+    the share of every term that an item has, which keeps long items from losing it all.
     """
     post = pool.select("item_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = pool.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))  # one row
@@ -89,7 +90,7 @@ def bm25_top_k(queries: DataFrame, pool: DataFrame, k: int, k1: float = 1.5, b:
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     hits = asked.join(idf.select("term", "idf", "avgdl"), "term").join(post, "term")
     gain = F.col("tf") * F.lit(k1 + 1 if okapi else 1.0) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * gain), PLACES).alias("score"))
+    scored = hits.groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * (gain + F.lit(delta))), PLACES).alias("score"))
     return top_k(scored, "query_id", "item_id", "score", k)
 
 

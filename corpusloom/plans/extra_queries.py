@@ -221,6 +221,44 @@ def listed_passages(spark, sf):
     return d.select("doc_id", F.size("l").alias("n"), F.md5(F.array_join("l", "\x01")).alias("passages"))
 
 
+ABBREVIATED = "|".join(["of", "and", *T.ABBREVIATIONS["English"]])
+
+
+@query(rf"""
+WITH h AS (SELECT doc_id, regexp_replace(replace(text, ' of ', ' of. '), '(^|[^\p{{L}}])({ABBREVIATED})\.[ \t]+', '\1\2.' || chr(1), 'g') AS t FROM documents),
+s AS (SELECT doc_id, list_filter(list_transform(string_split(replace(regexp_replace(t, '([.!?])[ \t]+(\p{{Lu}})', '\1' || chr(10) || '\2', 'g'), chr(1), ' '), chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '') AS p FROM h)
+SELECT doc_id, CAST(len(p) AS INTEGER) AS n, md5(array_to_string(p, chr(10))) AS sentences FROM s
+""")
+def split_abbreviations(spark, sf):
+    """Sentences of texts in which some full stops belong to abbreviations."""
+    d = docs(spark, sf).select("doc_id", T.sentences(F.replace(F.col("text"), F.lit(" of "), F.lit(" of. ")), ["of", "and", *T.ABBREVIATIONS["English"]]).alias("p"))
+    return d.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "\n")).alias("sentences"))
+
+
+@query("SELECT doc_id % 50 AS row_id, string_agg(source, ',' ORDER BY source, text) AS models, md5(string_agg(text, chr(1) ORDER BY source, text)) AS candidates FROM documents GROUP BY doc_id % 50")
+def candidate_sets(spark, sf):
+    d = docs(spark, sf).select((F.col("doc_id") % 50).alias("row_id"), "source", "text")
+    return corpora.candidate_sets(d, "row_id", "source", "text").select("row_id", F.array_join("models", ",").alias("models"), F.md5(F.array_join("candidates", "\x01")).alias("candidates"))
+
+
+@query("""
+WITH r AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS b FROM documents)
+SELECT doc_id, b * 100 + row_number() OVER (PARTITION BY b ORDER BY md5('7|' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS turn FROM r
+""")
+def buffered_shuffle(spark, sf):
+    return corpora.buffered_shuffle(docs(spark, sf).select("doc_id"), "doc_id", 100, 7)
+
+
+@query("""
+WITH t AS (SELECT doc_id, list_transform(string_split(text, ' ')[1:60], lambda x: length(x)) AS l FROM documents), c AS (SELECT doc_id, l[1:40] AS l FROM t)
+SELECT doc_id, array_to_string(CASE WHEN l[len(l)] = 3 THEN l[1 : len(l) - 1] ELSE l END, ',') AS ids FROM c
+""")
+def metric_tokens(spark, sf):
+    """Word lengths as token ids, of which 3 is the end."""
+    ids = F.transform(F.slice(F.split("text", " "), 1, 60), lambda x: F.length(x))
+    return docs(spark, sf).select("doc_id", F.array_join(PR.metric_tokens(ids, 40, 3), ",").alias("ids"))
+
+
 @query("SELECT doc_id AS row_id, lang AS text FROM (SELECT doc_id, lang, lag(lang) OVER (ORDER BY doc_id) AS before FROM documents) WHERE before IS NULL OR before <> lang")
 def context_rows(spark, sf):
     return corpora.contexts(docs(spark, sf), "doc_id", "lang")

@@ -5,8 +5,9 @@ Each strategy takes rows with an id and a sentence and returns them with a trans
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,6 +123,18 @@ def dependency_parts(words: list[str], heads: list[int], most: int = 4) -> list[
     return [" ".join(words[i] for i in p) for p in sorted(found)]
 
 
+def split_by_dependencies(df: DataFrame, words: str, heads: str, most: int = 4) -> DataFrame:
+    """Add parts array<string>: dependency_parts() of every parsed row, in Arrow batches; null where the parse is."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [None if w is None or h is None else dependency_parts(w, h, most) for w, h in zip(batch[words].to_pylist(), batch[heads].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.string()))], names=[*batch.schema.names, "parts"])
+
+    return df.mapInArrow(run, f"{kinds}, parts array<string>")
+
+
 def _tree(heads: list[int], root: int) -> set[int]:
     out = {root}
     grown = True

@@ -148,6 +148,33 @@ def parallel_pairs(corpus: DataFrame, src: str, tgt: str, split: str = "dev", si
     return both.withColumn("source_language", F.lit(src)).withColumn("target_language", F.lit(tgt))
 
 
+def line_benchmark(spark: SparkSession, folder: str, code: str, splits: tuple[str, ...] = ("dev", "devtest")) -> DataFrame:
+    """split, row_id, sentence of a benchmark laid out as <folder>/<split>/<code>.<split>, one sentence a line; files of local languages have the same layout.
+
+    A file (some thousand lines) is read as a whole, so a line's number is its own; blank lines at the end are none.
+    """
+    rows = [spark.read.text(f"{folder}/{s}/{code}.{s}", wholetext=True).select(F.lit(s).alias("split"), F.regexp_replace("value", r"\n+$", "").alias("value")) for s in splits]
+    whole = rows[0]
+    for other in rows[1:]:
+        whole = whole.unionByName(other)
+    lines = whole.where("value <> ''").select("split", F.posexplode(F.split("value", "\n")).alias("row_id", "sentence"))
+    return lines.withColumn("row_id", F.col("row_id").cast("long"))
+
+
+def buffered_shuffle(df: DataFrame, order: str, size: int, seed: int) -> DataFrame:
+    """Add turn: rows in order, shuffled within buffers of ``size`` neighbours by the md5 of (seed, row), as a stream of bounded memory can be."""
+    at = F.row_number().over(Window.orderBy(order)) - 1
+    placed = df.withColumn("_buffer", F.floor(at / size)).withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(order).cast("string"))))
+    inside = F.row_number().over(Window.partitionBy("_buffer").orderBy("_key", order)) - 1
+    return placed.withColumn("turn", (F.col("_buffer") * size + inside).cast("long")).drop("_buffer", "_key")
+
+
+def candidate_sets(df: DataFrame, row: str, model: str, text: str) -> DataFrame:
+    """row, models, candidates: the predictions of all models for a row, in order of the models' names; models that miss a row are left out of it."""
+    lists = df.groupBy(row).agg(F.array_sort(F.collect_list(F.struct(F.col(model).alias("m"), F.col(text).alias("t")))).alias("_c"))
+    return lists.select(row, F.col("_c")["m"].alias("models"), F.col("_c")["t"].alias("candidates"))
+
+
 def aligned_benchmark(pairs: DataFrame, language: str, pivot: str = "English", through: str = "Bengali") -> DataFrame:
     """split, row_id, sentence of one side of an aligned corpus (language, split, row_id, source, target), trimmed; validation is dev and test is devtest.
 

@@ -256,3 +256,35 @@ def test_marks_of_all_scripts_go(spark):
     want = [[w for w in __import__("regex").findall(r"[\p{L}\p{N}_]+", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").lower())] for t in texts]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalised_tokens(F.col("t"))).collect()]
     assert got == want
+
+
+def test_sentences_after_abbreviations_and_tokens_of_any_script(spark):
+    from corpusloom.functions import text as T
+
+    one = spark.createDataFrame([("Mr. Smith met Dr.  Who. They spoke. St. Ives!",)], "t string")
+    assert one.select(T.sentences(F.col("t"), T.ABBREVIATIONS["English"])).first()[0] == ["Mr. Smith met Dr. Who.", "They spoke.", "St. Ives!"]
+    assert one.select(F.size(T.sentences(F.col("t")))).first()[0] == 6
+    assert spark.createDataFrame([("नमस्ते दुनिया, Été 5!",)], "t string").select(T.unicode_tokens(F.col("t"))).first()[0] == ["नमस्ते", "दुनिया", "été", "5"]
+
+
+def test_line_benchmarks_and_dependency_splits(spark, tmp_path):
+    from corpusloom.plans import strategies
+
+    for split, text in (("dev", "a\n\nb\n"), ("devtest", "c")):
+        (tmp_path / split).mkdir()
+        (tmp_path / split / f"nqo_Nkoo.{split}").write_text(text)
+    got = corpora.line_benchmark(spark, str(tmp_path), "nqo_Nkoo").collect()
+    assert sorted(map(tuple, got)) == [("dev", 0, "a"), ("dev", 1, ""), ("dev", 2, "b"), ("devtest", 0, "c")]
+    rows = [(1, "the old man saw a very big dog".split(), [2, 2, 3, 3, 7, 6, 7, 3]), (2, ["hi"], [0]), (3, None, None)]
+    df = spark.createDataFrame(rows, "id int, w array<string>, h array<int>")
+    assert [r.parts for r in strategies.split_by_dependencies(df, "w", "h").orderBy("id").collect()] == [["the old man", "saw", "a very big dog"], ["hi"], None]
+
+
+def test_a_share_of_its_own_for_long_items(spark):
+    from corpusloom.operators import similarity as S
+
+    pool = spark.createDataFrame([(1, ["x"] + ["y"] * 200), (2, ["z"]), (3, ["z"]), (4, ["w"])], "item_id long, tokens array<string>")
+    q = spark.createDataFrame([(1, ["x"])], "query_id long, tokens array<string>")
+    plain, plus = (S.bm25_top_k(q, pool, 1, delta=d).first().score for d in (0.0, 1.5))
+    idf = __import__("math").log((4 - 1 + 0.5) / 1.5)
+    assert plus - plain == pytest.approx(1.5 * idf, abs=1e-5)
