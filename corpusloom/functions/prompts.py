@@ -174,3 +174,83 @@ def sample_text(source: Column, target: Column | None = None, src: str = "Englis
     if target is None:
         return source
     return F.concat(F.lit(f"Translate this from {src} to {tgt}:\n{src}: "), source, F.lit(f"\n{tgt}: "), target)
+
+
+MERGES = ("vanilla", "refine", "norefine", "zero-shot")
+
+
+def merge_task(kind: str, sentence: Column, parts: Column, translations: Column, src: str, tgt: str) -> Column:
+    """Asks for a translation of a sentence from those of its parts, in one of four forms.
+
+    'vanilla' shows the parts' translations as examples; 'norefine' asks to combine them, in section II of the answer; 'refine' asks for a draft in section II and a
+    better one in section III; 'zero-shot' shows no parts. final_line() reads the answers.
+    """
+    if kind not in MERGES:
+        raise ValueError(f"unknown merge {kind}")
+    pairs = F.array_join(F.zip_with(parts, translations, lambda a, b: F.concat(F.lit(f"{src}: "), a, F.lit(f"\n{tgt}: "), b)), "\n\n")
+    last = F.concat(F.lit(f"{src}: "), sentence, F.lit(f"\n{tgt}:"))
+    if kind == "zero-shot":
+        return F.concat(F.lit(f"Translate from {src} to {tgt}.\n\n"), last)
+    if kind == "vanilla":
+        return F.concat(pairs, F.lit("\n\n"), last)
+    steps = "Write under 'I. Parts' which parts help, and under 'II. Final translation' the translation made of them."
+    if kind == "refine":
+        steps = "Write under 'I. Parts' which parts help, under 'II. Final translation' a draft made of them, and under 'III. Final translation' a better one."
+    return F.concat(F.lit(f"These are parts of a {src} sentence with {tgt} translations, some of which may be wrong.\n\n"), pairs, F.lit(f"\n\n{steps}\n\n"), last)
+
+
+DIVISIONS = {
+    "vanilla": "Divide this sentence into short propositions of its own words that say what it says, one a line and numbered.",
+    "French": "Divise cette phrase en courtes propositions faites de ses propres mots, une par ligne et num\u00e9rot\u00e9es.",
+    "paraphrase": "Write short sentences that each say a part of this sentence in other words, one a line and numbered.",
+    "paraphrase-3": "Write three paraphrases of this sentence, one a line and numbered.",
+}
+
+
+def division_task(kind: str, sentence: Column, demonstrations: list[tuple[str, list[str]]] = ()) -> Column:
+    """Asks to divide a sentence, in one of four forms, after demonstrations of (sentence, parts)."""
+    shown = "".join(f"Sentence: {s}\n" + "".join(f"{i}. {p}\n" for i, p in enumerate(parts, 1)) + "\n" for s, parts in demonstrations)
+    return F.concat(F.lit(f"{DIVISIONS[kind]}\n\n{shown}Sentence: "), sentence, F.lit("\n1."))
+
+
+_SCALE = "from 0 (no meaning kept) to 100 (perfect meaning and grammar)"
+_STARS = "with one to five stars"
+_CLASSES = "as one of: No meaning preserved, Some meaning preserved but not understandable, Some meaning preserved and understandable, Most meaning preserved, Perfect translation"
+# Judges by name: what they ask for, and whether they see a reference.
+JUDGES = {
+    "score": (f"Score the translation {_SCALE}. Answer with the number.", False),
+    "score-ref": (f"Score the translation against the reference {_SCALE}. Answer with the number.", True),
+    "quality": (f"Say how good the translation is {_SCALE}, where 33 keeps some meaning and 66 most of it. Answer with the number.", False),
+    "quality-ref": (f"Say how good the translation is next to the reference {_SCALE}, where 33 keeps some meaning and 66 most of it. Answer with the number.", True),
+    "stars": (f"Rate the translation {_STARS}.", False),
+    "stars-ref": (f"Rate the translation against the reference {_STARS}.", True),
+    "class": (f"Classify the translation {_CLASSES}.", False),
+    "class-ref": (f"Classify the translation against the reference {_CLASSES}.", True),
+}
+
+
+def judge_task(name: str, source: Column, translation: Column, src: str, tgt: str, reference: Column | None = None) -> Column:
+    """Asks a judge by name; those that end in '-ref' need a reference, the others see none. The parsers of scores, stars and classes read the answers."""
+    task, wants = JUDGES[name]
+    if wants and reference is None:
+        raise ValueError(f"the judge {name} needs a reference")
+    shown = [F.lit(f"{task}\n\n{src} source: "), source]
+    if wants:
+        shown += [F.lit(f"\n{tgt} reference: "), reference]
+    return F.concat(*shown, F.lit(f"\n{tgt} translation: "), translation, F.lit("\nAnswer:"))
+
+
+def rubric_task(instruction: Column, a: Column, b: Column, rubric: Column, reference: Column | None = None) -> Column:
+    """Asks for feedback by a rubric and the better of two responses; the answer ends in [RESULT] A or B."""
+    middle = [F.lit("\n\nReference:\n"), reference] if reference is not None else []
+    return F.concat(
+        F.lit("Compare two responses by the rubric alone. Write feedback, then '[RESULT] A' or '[RESULT] B', and nothing else.\n\nInstruction:\n"), instruction, F.lit("\n\nResponse A:\n"), a,
+        F.lit("\n\nResponse B:\n"), b, *middle, F.lit("\n\nRubric:\n"), rubric, F.lit("\n\nFeedback:"),
+    )
+
+
+def topic_task(language: Column, topic: Column, examples: Column, phrases: Column, n: int, most_paragraphs: int = 3) -> Column:
+    """Asks for n numbered texts of at most so many paragraphs on a topic, after examples in other languages and numbered phrases in the language itself, if there are any."""
+    told = F.when(F.size(phrases) > 0, F.concat(F.lit("Phrases in "), language, F.lit(":\n"), numbered(phrases), F.lit("\n\n"))).otherwise(F.lit(""))
+    shown = F.when(F.size(examples) > 0, F.concat(F.lit("Examples:\n"), F.array_join(examples, "\n\n"), F.lit("\n\n"))).otherwise(F.lit(""))
+    return F.concat(F.lit(f"Write {n} texts of one to {most_paragraphs} paragraphs in "), language, F.lit(" about "), topic, F.lit(". Number them and write nothing else.\n\n"), shown, told, F.lit("1."))

@@ -288,3 +288,22 @@ def test_a_share_of_its_own_for_long_items(spark):
     plain, plus = (S.bm25_top_k(q, pool, 1, delta=d).first().score for d in (0.0, 1.5))
     idf = __import__("math").log((4 - 1 + 0.5) / 1.5)
     assert plus - plain == pytest.approx(1.5 * idf, abs=1e-5)
+
+
+def test_tasks_of_every_kind(spark):
+    df = spark.createDataFrame([("s", ["a", "b"], ["x", "y"], "t")], "s string, p array<string>, q array<string>, t string")
+    said = {k: df.select(PR.merge_task(k, F.col("s"), F.col("p"), F.col("q"), "English", "French")).first()[0] for k in PR.MERGES}
+    assert said["vanilla"] == "English: a\nFrench: x\n\nEnglish: b\nFrench: y\n\nEnglish: s\nFrench:"
+    assert "a\n" not in said["zero-shot"] and "III. Final translation" in said["refine"] and "III." not in said["norefine"] and len(set(said.values())) == 4
+    for k in PR.DIVISIONS:
+        out = df.select(PR.division_task(k, F.col("s"), [("one two", ["one", "two"])])).first()[0]
+        assert out.endswith("Sentence: one two\n1. one\n2. two\n\nSentence: s\n1.")
+    for name, (_, wants) in PR.JUDGES.items():
+        out = df.select(PR.judge_task(name, F.col("s"), F.col("t"), "English", "French", F.lit("ref") if wants else None)).first()[0]
+        assert out.endswith("French translation: t\nAnswer:") and ("reference: ref" in out) == wants
+    with pytest.raises(ValueError):
+        PR.judge_task("score-ref", F.col("s"), F.col("t"), "English", "French")
+    with pytest.raises(ValueError):
+        PR.merge_task("other", F.col("s"), F.col("p"), F.col("q"), "English", "French")
+    out = df.select(PR.rubric_task(F.col("s"), F.lit("A1"), F.lit("B1"), F.lit("R1"), F.lit("ref")), PR.topic_task(F.lit("Hausa"), F.lit("rain"), F.col("p"), F.array().cast("array<string>"), 3)).first()
+    assert "Reference:\nref" in out[0] and out[0].endswith("Feedback:") and "Phrases" not in out[1] and "a\n\nb" in out[1] and out[1].endswith("1.")
