@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import heapq
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -244,48 +243,22 @@ def random_k(queries: DataFrame, pool: DataFrame, k: int, seed: int) -> DataFram
     return draws.select("query_id", "pos", number.alias("number")).join(numbered, "number").select("query_id", "item_id", "pos")
 
 
-KEY_CELLS = 1 << 18  # of the table of token frequencies
-
-
-def _keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each row its token hashes, repeats told apart by their number, and their cells in the table of frequencies."""
-    ends = np.asarray(batch["t"].offsets)
-    flat = np.asarray(batch["t"].values)
-    for i, group in enumerate(batch["group"].to_pylist()):
-        own = np.sort(flat[ends[i] : ends[i + 1]])
-        key = own ^ ((np.arange(len(own)) - np.searchsorted(own, own, "left")) * np.int64(0x5851F42D4C957F2D))
-        yield key, ((key ^ group) & (KEY_CELLS - 1))
-
-
-def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(KEY_CELLS, np.int64)
-    for batch in batches:
-        for _, cell in _keys(batch):
-            np.add.at(counts, cell, 1)
-    used = np.nonzero(counts)[0]
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], names=["cell", "n"])
-
-
-def _rarest_keys(weight: np.ndarray, tau: float, id_column: str, by: str):
-    """The prefix of every row in order of rarity (by cell, then by key: one order for all rows)."""
+def _keys(id_column: str, by: str):
+    """A row for every token: its hash, repeats told apart by their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, keys, ranks, short, sizes = [], [], [], [], []
-            for i, (key, cell) in enumerate(_keys(batch)):
-                m = len(key)
-                # against longer partners a text needs an overlap over tau * m, so a shorter prefix will do on that side
-                as_short, as_long = m - math.floor(tau * m), m - math.floor(tau * m / (2 - tau))
-                first = np.lexsort((key, weight[cell]))[:as_long]
-                rank = np.arange(1, len(first) + 1)
-                shared = weight[cell[first]] > 1
-                at.append(np.full(int(shared.sum()), i)), keys.append(key[first][shared]), ranks.append(rank[shared])
-                short.append(rank[shared] <= as_short), sizes.append(np.full(int(shared.sum()), m))
-            cat = lambda x, kind: np.concatenate([np.zeros(0, kind), *x]).astype(kind)
-            take = pa.array(cat(at, np.int64))
+            sizes = pc.list_value_length(batch["t"]).to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            flat = np.asarray(batch["t"].flatten())
+            order = np.lexsort((flat, owner))
+            own = flat[order]
+            first = np.ones(len(own), bool)
+            first[1:] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])  # owners are in order already
+            nth = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
+            take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [batch[id_column].take(take), batch[by].take(take), pa.array(cat(sizes, np.int32)), pa.array(cat(keys, np.int64)), pa.array(cat(ranks, np.int32)), pa.array(cat(short, bool))],
-                names=[id_column, by, "m", "key", "rank", "short"],
+                [batch[id_column].take(take), batch[by].take(take), pa.array(sizes[owner], pa.int32()), pa.array(own ^ (nth * np.int64(0x5851F42D4C957F2D)))], names=[id_column, by, "m", "key"]
             )
 
     return run
@@ -295,17 +268,19 @@ def overlap_candidates(df: DataFrame, tokens: str, tau: float, by: str, id_colum
     """Pairs (a < b) of one group whose common-subsequence F score can exceed tau; no such pair is lost.
 
     F > tau needs a token overlap over tau * (m + n) / 2. A text's rarest tokens (repeats numbered) form its prefix, of a length that leaves too few
-    others for that overlap with the shortest possible partner, so such pairs share a prefix token. Rarity is read off a table of a fixed size that
-    all tokens are counted into; any order common to all texts is right, a good one is fast. The overlap itself is then counted.
+    others for that overlap with the shortest possible partner, so such pairs share a prefix token. The overlap itself is then counted.
     """
     base = df.where(F.size(tokens) > 0).select(id_column, by, F.transform(tokens, lambda w: F.xxhash64(w)).alias("t"), F.size(tokens).alias("m"))
     kinds = f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, `{by}` {df.schema[by].dataType.simpleString()}"
-    grouped = base.withColumn("group", F.xxhash64(by))
-    seen = grouped.select("group", "t").mapInArrow(_count_keys, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    weight = np.zeros(KEY_CELLS, np.int64)
-    for r in seen.collect():  # a table of a fixed size
-        weight[r["cell"]] = r["n"]
-    heads = grouped.mapInArrow(_rarest_keys(weight, tau, id_column, by), f"{kinds}, m int, key long, rank int, short boolean")
+    rows = base.mapInArrow(_keys(id_column, by), f"{kinds}, m int, key long")
+    freq = rows.groupBy(by, "key").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    # tokens that no other text of the group has come first in a text's order, and find no partner
+    placed = rows.join(freq, [by, "key"]).withColumn("late", F.row_number().over(Window.partitionBy(id_column).orderBy(F.desc("freq"), F.desc("key"))))
+    placed = placed.withColumn("rank", F.col("m") - F.col("late") + 1)
+    # against longer partners a text needs an overlap over tau * m, so a shorter prefix will do on that side
+    as_short = F.col("m") - F.floor(tau * F.col("m"))
+    as_long = F.col("m") - F.floor(tau * F.col("m") / (2 - tau))
+    heads = placed.where(F.col("rank") <= as_long).select(id_column, by, "m", "key", "rank", (F.col("rank") <= as_short).alias("short"))
     other = heads.select(F.col(id_column).alias("y"), by, F.col("m").alias("n"), "key", F.col("rank").alias("rank_y"))
     longer = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col(id_column) < F.col("y")))
     near = F.col("short") & longer & (F.col("m") >= F.lit(tau / (2 - tau)) * F.col("n"))
