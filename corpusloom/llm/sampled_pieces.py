@@ -34,8 +34,8 @@ from corpusloom.llm.lattice import DEFAULT_MODEL, META, UNIT, Backwards, Lattice
 from corpusloom.llm.store import frugal, plain, small_batches
 from corpusloom.llm.words import buffers, mix
 
-BLOCK_BYTES = 400_000
-CACHE_EDGES = 2_000_000
+BLOCK_BYTES = 700_000
+CACHE_EDGES = 3_000_000
 KINDS = {"first": "i8", "last": "i8", "begin": "i8", "tail": "i4", "head": "i4", "piece": "i4", "share": "f8", "upto": "f8"}
 TINY = 2.0**-54
 
