@@ -70,9 +70,9 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
-def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word in ``data``, and the number of words before each text (one more at the end)."""
-    solid = ~_BLANK[data]
+def word_spans(offsets: np.ndarray, data: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word in ``data``, and the number of words before each text (one more at the end); ``blank`` says which bytes are in none."""
+    solid = ~blank[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
