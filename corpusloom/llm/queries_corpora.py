@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.decontaminate import contaminated
+from corpusloom.llm.prefix_trie import prefix_trie, prefixes, share_heads
 
 
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,5 +44,55 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(a.n, 0) AS BIGIN
 FROM docs LEFT JOIN hit_words a USING (r) LEFT JOIN hit_items b USING (r)
 """
 
-QUERIES = {"op12_decontamination": op12_decontamination}
-ORACLES = {"op12_decontamination": OP12_SQL}
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each with up to five first turns of the conversation that leads its hundred."""
+    turns = prefixes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    members, convs = share_heads(turns, head, F.col("conv_id") - F.col("conv_id") % 100, most=5)
+    return prefix_trie(members, convs).drop("k1", "k2")
+
+
+def _crc32_sql(data: str) -> str:
+    """CRC-32 of a BLOB, bit by bit."""
+    one_byte = f"(16 * (strpos('0123456789ABCDEF', substr(hex({data}), 2 * k - 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(hex({data}), 2 * k, 1)) - 1)"
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(range(1, octet_length({data}) + 1), lambda k: {one_byte})"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+OP13_SQL = f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS pos, role, text
+  FROM said),
+own AS (SELECT conv_id, {_crc32_sql("encode(CAST(conv_id AS VARCHAR))")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT o.conv_id, t.pos AS place, 0 AS later, t.role, t.text FROM own o JOIN turns t ON t.conv_id = o.conv_id - o.conv_id % 100 AND t.pos <= o.h
+  UNION ALL
+  SELECT o.conv_id, t.pos, 1, t.role, t.text FROM own o JOIN turns t ON t.conv_id = o.conv_id AND t.pos > o.h),
+placed AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS n,
+         sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER w) AS node
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY later, place ROWS UNBOUNDED PRECEDING)),
+members AS (
+  SELECT conv_id, depth, n, node, lag(node, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM own),
+sizes AS (SELECT conv_id, max(depth) AS depth FROM members GROUP BY 1),
+nodes AS (SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(n) AS n, min(parent) AS parent FROM members GROUP BY node),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+below AS (
+  SELECT m.node, sum((c.node IS NULL)::BIGINT) AS n_leaves, sum((x.n_convs - 1) * x.n) AS saved_tokens
+  FROM nodes x JOIN members m ON m.conv_id = x.conv_id AND m.depth <= x.depth LEFT JOIN children c ON c.node = x.node GROUP BY 1),
+ends AS (
+  SELECT m.node, string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) AS ids FROM members m JOIN sizes s USING (conv_id, depth) GROUP BY 1)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(x.n_convs AS BIGINT) AS n_convs,
+       CAST(coalesce(c.n_children, 0) AS BIGINT) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes x JOIN below b USING (node) LEFT JOIN nodes p ON p.node = x.parent LEFT JOIN children c ON c.node = x.node LEFT JOIN ends e ON e.node = x.node
+"""
+
+QUERIES = {"op12_decontamination": op12_decontamination, "op13_prefix_trie": op13_prefix_trie}
+ORACLES = {"op12_decontamination": OP12_SQL, "op13_prefix_trie": OP13_SQL}
