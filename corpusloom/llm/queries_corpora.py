@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.decontaminate import contaminated
 from corpusloom.llm.prefix_trie import prefix_trie, prefixes, share_heads
+from corpusloom.llm.spellings import count_words, spelling_forms
+
+
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among all words of seven letters or more that occur twice; one word in 31 is misspelt on purpose."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spelling_forms(count_words(docs, least=7, drop_one_in=31).where("n >= 2"), ratio=10)
 
 
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,5 +101,32 @@ SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id,
 FROM nodes x JOIN below b USING (node) LEFT JOIN nodes p ON p.node = x.parent LEFT JOIN children c ON c.node = x.node LEFT JOIN ends e ON e.node = x.node
 """
 
-QUERIES = {"op12_decontamination": op12_decontamination, "op13_prefix_trie": op13_prefix_trie}
-ORACLES = {"op12_decontamination": OP12_SQL, "op13_prefix_trie": OP13_SQL}
+OP11_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT *, {_crc32_sql("encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h FROM counted),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+less AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT a.word, w.word FROM less a JOIN words w ON a.d = w.word
+  UNION SELECT w.word, a.word FROM less a JOIN words w ON a.d = w.word),
+best AS (
+  SELECT r.word, count(*) AS n_near, first(near ORDER BY w.n DESC, near) AS near, max(w.n) AS near_n FROM near r JOIN words w ON w.word = r.near GROUP BY 1),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 10 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 10 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+chain AS (
+  SELECT word, word AS last FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.last WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.last AS root FROM chain c JOIN forms f ON f.word = c.last WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+QUERIES = {"op11_spelling_groups": op11_spelling_groups, "op12_decontamination": op12_decontamination, "op13_prefix_trie": op13_prefix_trie}
+ORACLES = {"op11_spelling_groups": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_prefix_trie": OP13_SQL}
