@@ -4,10 +4,12 @@ A text is put in canonical form: lower case, "copyright" lines dropped, equivale
 (licence/license, web addresses with http or https, typographic quotes), everything that is not a letter or
 digit turned into single blanks. Its md5 is hash-joined to the digests of known licence texts, canonicalised by the
 same expressions. Two kinds of units are looked up, always as entire texts: the whole document and each line
-of it that mentions a licence word. The licence table is a fixed catalogue (or the caller's own table).
+of it (a line ends at a line feed or a carriage return). The licence table is a fixed catalogue (or the caller's own table). A line of another canonical length than all
+of the fixed catalogue's is not in it and is not hashed.
 
-Defined results: null and empty texts have no licence; repeated rows are reported separately; a line that
-occurs several times counts once per licence; extra columns are ignored.
+Defined results: null and empty texts have no licence; repeated rows are reported separately; every known line counts, each licence is named once;
+if two licences have one digest (a tie), the smallest name is reported; texts of any length are canonicalised whole; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -136,42 +138,45 @@ KNOWN = [
 # Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = [("licence", "license"), ("https?://", ""), ("(?:\\(c\\)|©)", "c")]
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|\x{A9})[^\n]*(?:\n|$)"
-MENTION = r"(?i)licen[cs]e|public domain|permission"  # every text of KNOWN has one of these; lines without are not looked up there
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; empty for null. ASCII case, so that every engine agrees."""
+def canonical_lines(text: Column) -> Column:
+    """The canonical forms of a text's lines, still joined by line feeds; empty for null. ASCII case, so that every engine agrees."""
     out = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\r", "abcdefghijklmnopqrstuvwxyz\n")
     out = F.regexp_replace(out, COPYRIGHT_LINE, "")
     for pattern, instead in SPELLINGS:
         out = F.regexp_replace(out, pattern, instead)
-    return F.trim(F.regexp_replace(out, r"[^a-z0-9]+", " "))
+    return F.regexp_replace(out, r"[^a-z0-9\n]+", " ")
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text; empty for null."""
+    return F.trim(F.regexp_replace(canonical_lines(text), r"[ \n]+", " "))
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
-    """license, kind, digest of the fixed catalogue."""
+    """license, kind, digest, size (length of the canonical text) of the fixed catalogue."""
     known = spark.createDataFrame(KNOWN, "license string, kind string, body string")
-    return known.select("license", "kind", F.md5(canonical(F.col("body"))).alias("digest"))
+    body = canonical(F.col("body"))
+    return known.select("license", "kind", F.md5(body).alias("digest"), F.length(body).alias("size"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest (of the whole canonical text), text_license, header_licenses, n_header_lines.
 
-    ``known`` has columns license and digest (see canonical()), and is looked up for every line; by default the built-in catalogue, for lines that can be in it.
+    ``known`` has columns license and digest (see canonical()); by default the built-in catalogue.
     """
     docs = plain(docs, "doc_id", "text")
-    mentions = (lambda x: F.lit(True)) if known is not None else (lambda x: x.rlike(MENTION))
-    known = known if known is not None else catalogue(docs.sparkSession)
+    possible = None
+    if known is None:
+        known = catalogue(docs.sparkSession)
+        possible = sorted(r["size"] for r in known.select("size").distinct().collect())  # of a fixed list
     by_digest = known.where(F.col("digest") != F.md5(F.lit(""))).groupBy("digest").agg(F.min("license").alias("license"))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), mentions)
-    units = stage(
-        docs.select(
-            "doc_id",
-            F.md5(canonical(F.col("text"))).alias("digest"),
-            F.when(mentions(F.col("text")), F.transform(lines, lambda x: F.md5(canonical(x)))).alias("lines"),
-        ).withColumn("row", F.monotonically_increasing_id()),
-        "license-units",
-    )
+    lines = F.transform(F.split("by_lines", "\n"), lambda x: F.trim(x))
+    lines = F.filter(lines, (lambda x: x != "") if possible is None else (lambda x: F.length(x).isin(possible)))
+    units = docs.select("doc_id", canonical_lines(F.col("text")).alias("by_lines"), F.monotonically_increasing_id().alias("row"))
+    whole_text = F.trim(F.regexp_replace("by_lines", r"[ \n]+", " "))
+    units = stage(units.select("doc_id", F.md5(whole_text).alias("digest"), F.transform(lines, F.md5).alias("lines"), "row"), "license-units")
     whole = units.select("row", "digest").join(by_digest, "digest").select("row", F.col("license").alias("text_license"))
     hits = (
         units.select("row", F.explode("lines").alias("digest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.fingerprints import compare_edited
-from corpusloom.llm.licenses import COPYRIGHT_LINE, KNOWN, MENTION, SPELLINGS, scan_licenses
+from corpusloom.llm.licenses import COPYRIGHT_LINE, KNOWN, SPELLINGS, scan_licenses
 from corpusloom.llm.mixing import mix_sources
 
 
@@ -14,11 +14,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _canonical_sql(text: str) -> str:
+def _canonical_lines_sql(text: str) -> str:
     out = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13), 'abcdefghijklmnopqrstuvwxyz' || chr(10))"
-    for pattern, instead in [(COPYRIGHT_LINE, ""), *SPELLINGS, ("[^a-z0-9]+", " ")]:
+    for pattern, instead in [(COPYRIGHT_LINE, ""), *SPELLINGS, ("[^a-z0-9\\n]+", " ")]:
         out = f"regexp_replace({out}, '{pattern}', '{instead}', 'g')"
-    return f"trim({out})"
+    return out
+
+
+def _canonical_sql(text: str) -> str:
+    return f"trim(regexp_replace({_canonical_lines_sql(text)}, '[ \\n]+', ' ', 'g'))"
 
 
 def _quoted(x: str) -> str:
@@ -30,11 +34,10 @@ WITH known AS (
   SELECT md5({_canonical_sql("body")}) AS digest, min(license) AS license
   FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(c)})" for a, _, c in KNOWN)}) v(license, body) GROUP BY 1),
 docs AS (SELECT doc_id, text, md5({_canonical_sql("text")}) AS digest FROM documents),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+lines AS (SELECT doc_id, trim(unnest(string_split({_canonical_lines_sql("text")}, chr(10)))) AS line FROM documents),
 hits AS (
   SELECT l.doc_id, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS header_licenses, count(*) AS n
-  FROM lines l JOIN known k ON k.digest = md5({_canonical_sql("l.line")})
-  WHERE regexp_matches(l.line, '{MENTION}') GROUP BY l.doc_id)
+  FROM lines l JOIN known k ON k.digest = md5(l.line) GROUP BY l.doc_id)
 SELECT d.doc_id, d.digest, k.license AS text_license, coalesce(h.header_licenses, '') AS header_licenses,
        CAST(coalesce(h.n, 0) AS BIGINT) AS n_header_lines
 FROM docs d LEFT JOIN known k ON k.digest = d.digest LEFT JOIN hits h ON h.doc_id = d.doc_id

@@ -36,7 +36,7 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2  # b, a and q of the sketch
 STEP = 16_384  # hashes whose registers are computed at once
 CELLS = 4_000_000  # of an incidence matrix at once
 SLACK = 16.0  # nats below the best likelihood
-SKETCH = "doc_id long, n long, node long, check long, regs binary, bands array<long>"
+SKETCH = "doc_id long, mark long, n long, node long, check long, regs binary, bands array<long>"
 
 
 def registers(sets: np.ndarray, salts: np.ndarray) -> np.ndarray:
@@ -88,8 +88,8 @@ def _sketcher(words: int, bands: int, rows: int, node_bytes: int):
                 regs.append(k.tobytes())
                 keys.append(mix((k.reshape(bands, rows).astype(np.uint64) * mult).sum(axis=1, dtype=np.uint64) + turn).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "node", "check", "regs", "bands"],
+                [batch["doc_id"], batch["mark"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "mark", "n", "node", "check", "regs", "bands"],
             )
 
     return run
@@ -217,13 +217,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     document itself.
     Defined results: texts that are null or have no words have an empty set and stand alone; rows with equal doc_id are one node if
     their sets are equal; equal sets are always linked; a similarity of exactly ``percent`` links; of equal ids in a class each row is kept;
-    null doc_ids take part and stand for themselves if nothing else is linked; texts of any length are taken whole; extra columns, whatever
-    their names, are ignored; an empty table gives an empty result.
+    null doc_ids take part and stand for themselves if nothing with an id is linked; rows of one doc_id with different texts are judged each by its own
+    text; texts of any length are taken whole; extra columns, whatever their names, are ignored; an empty table gives an empty result.
     """
-    docs = plain(docs, "doc_id", "text")
+    return _near_classes(docs, words, percent, bands, rows, block, node_bytes).drop("mark")
+
+
+def _near_classes(docs: DataFrame, words: int, percent: int, bands: int = 16, rows: int = 4, block: int = 256, node_bytes: int = 8) -> DataFrame:
+    """near_duplicates() with mark, the hash of the row's text."""
+    docs = plain(docs, "doc_id", "text").withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
     sketches = stage(docs.mapInArrow(frugal(_sketcher(words, bands, rows, node_bytes)), SKETCH), "ss-sketch")
     classes = stage(
-        sketches.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")),
+        sketches.where("n > 0")
+        .groupBy("node", "check")
+        .agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("pick"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")),
         "ss-class",
     )
     sketches, classes = _told_apart(sketches, classes)
@@ -233,10 +240,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     weights = members.groupBy("node").agg(F.sum("members").alias("weight"))
     members = stage(members.select("band", "node").join(weights, "node"), "ss-members")
 
-    candidates = members.select("node").distinct().join(classes.select("node", "rep"), "node")
-    # a doc_id may repeat with other texts: the text is taken from a row of the class itself
-    first_rows = stage(docs.join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id"), "ss-text")
-    texts = first_rows.dropDuplicates(["node"]) if _repeats(candidates) else first_rows
+    # the text is taken from a row of the class itself: a doc_id may repeat with other texts, or be null
+    picks = classes.select("node", F.col("pick.doc_id").alias("pick_id"), F.col("pick.mark").alias("pick_mark"))
+    picks = members.select("node").distinct().join(picks, "node")
+    own = docs["doc_id"].eqNullSafe(F.col("pick_id")) & (docs["mark"] == F.col("pick_mark"))
+    first_rows = stage(docs.join(picks, own).select("node", "text"), "ss-text")
+    again = first_rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    texts = first_rows.dropDuplicates(["node"]) if again.limit(1).count() else first_rows
     sizes = classes.select("node", "n", "regs")
 
     hubs = stage(members.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("hub")).select("band", F.col("hub.node").alias("hub")), "ss-hubs")
@@ -258,11 +268,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(lowest, "component").select("node", "component_id")
     component = F.coalesce("component_id", "doc_id")
-    return sketches.select("doc_id", "n", "node").join(named, "node", "left").select(
+    return sketches.select("doc_id", "mark", "n", "node").join(named, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        "mark",
     )
 
 
@@ -279,21 +290,18 @@ def _told_apart(sketches: DataFrame, classes: DataFrame) -> tuple[DataFrame, Dat
     return stage(apart(sketches), "ss-sketch"), stage(apart(classes), "ss-class")
 
 
-def _repeats(candidates: DataFrame) -> bool:
-    """Whether two classes have the same first doc_id."""
-    return bool(candidates.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
-
-
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, that with the smallest doc_id; all columns stay, whatever their names.
 
     Rows with null doc_id stay; of rows with equal doc_id and equal texts one stays; an empty table stays empty.
     """
-    named = near_duplicates(docs, words, percent)
-    kept = stage(named.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept_rows")).withColumnRenamed("doc_id", "kept_id"), "ss-kept")
+    named = _near_classes(docs, words, percent)
+    kept = named.where("kept").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("kept_rows"))
+    kept = stage(kept.toDF("kept_id", "kept_mark", "kept_rows"), "ss-kept")
     place = {n: f"c{i}" for i, n in enumerate(docs.columns)}
     doc_id, text = place["doc_id"], place["text"]
-    out = numbered(docs).join(kept, F.col(doc_id).eqNullSafe(F.col("kept_id")))
+    own = F.col(doc_id).eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("kept_mark"))
+    out = numbered(docs).join(kept, own)
     if kept.where("kept_rows > 1 and kept_id is not null").limit(1).count():
         again = (F.col("kept_rows") > 1) & F.col(doc_id).isNotNull()
         out = out.where(~again).unionByName(out.where(again).dropDuplicates([doc_id, text]))

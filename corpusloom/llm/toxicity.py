@@ -11,8 +11,8 @@ features), in which a squared-hinge support vector machine is fitted. Its decisi
 it is folded into one table of weights, and scoring costs one look-up per subsequence. A text scores by the decision values of its three
 best distinct units, through a fitted logistic curve: one insult may be a chance string, several are not.
 
-The model is fitted in one task on at most ``max_toxic + max_clean`` labelled rows and ``max_bytes`` of their texts (the first in md5 order
-of doc_id); these bounds keep that task's memory fixed. Scoring covers all whole texts.
+The model is fitted in one task on at most ``max_toxic + max_clean`` labelled rows and ``max_bytes`` of their texts (half of them for each kind; the first in md5
+order of doc_id, those longer than ``text_bytes`` passed over); these bounds keep that task's memory fixed. Scoring covers all whole texts.
 
 Defined results: null and empty texts have no unit and get the score of missing units; labels that are null are not used, and of repeated
 labels the highest counts; of rows with equal ids the least text is learned; repeated rows are scored alike, and so are texts with equal units;
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.store import frugal, frugal_group, numbered, plain, small_batches
+from corpusloom.llm.store import drop_stage, frugal, frugal_group, numbered, plain, small_batches, stage
 from corpusloom.llm.words import _LOWER, blocks, buffers, word_hashes, word_spans
 
 DECAY = 0.6
@@ -298,16 +298,25 @@ def _train_task(rows: pa.Table) -> pa.Table:
     return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 2500, max_bytes: int = 24 << 20) -> Model:
-    """The model learned from labelled documents (doc_id, text) and labels (doc_id, toxic): so many of each kind and so many bytes at most."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 2500, max_bytes: int = 24 << 20, text_bytes: int = 1 << 20) -> Model:
+    """The model learned from labelled documents (doc_id, text) and labels (doc_id, toxic): so many of each kind, and half of ``max_bytes`` of each kind, at most.
+
+    Labelled texts of more than ``text_bytes`` are passed over, and only they: the next in order takes their place. If some documents are labelled toxic and none of them
+    is left, that is an error; if none is labelled toxic, the model finds nothing toxic.
+    """
     labels = plain(labels, "doc_id", "toxic")
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     marked = marked.withColumn("turn", F.md5(F.col("doc_id").cast("string")))
-    some = marked.where("toxic").orderBy("turn").limit(max_toxic).unionByName(marked.where("not toxic").orderBy("turn").limit(max_clean))
     texts = plain(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(F.broadcast(some), "doc_id")  # bounded by the parameters
-    sizes = sizes.groupBy("doc_id", "turn", "toxic").agg(F.max("bytes").alias("bytes"))
-    fitting = sizes.withColumn("upto", F.sum("bytes").over(Window.orderBy("turn", "doc_id"))).where(F.col("upto") <= max_bytes)
+    sizes = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(marked, "doc_id")
+    sizes = stage(sizes.groupBy("doc_id", "turn", "toxic").agg(F.max("bytes").alias("bytes")), "tx-sizes")
+    short = sizes.where(F.col("bytes") <= text_bytes)
+    some = short.where("toxic").orderBy("turn", "doc_id").limit(max_toxic).unionByName(short.where("not toxic").orderBy("turn", "doc_id").limit(max_clean))
+    order = Window.partitionBy("toxic").orderBy("turn", "doc_id")  # of a bounded number of rows
+    fitting = stage(some.withColumn("upto", F.sum("bytes").over(order)).where(F.col("upto") <= max_bytes // 2), "tx-labels")
+    if not fitting.where("toxic").limit(1).count() and sizes.where("toxic").limit(1).count():
+        raise ValueError(f"no text labelled toxic has at most {text_bytes} bytes")
+    drop_stage(sizes)
     chosen = texts.join(F.broadcast(fitting.select("doc_id", "turn", "toxic")), "doc_id").groupBy("doc_id", "turn", "toxic").agg(F.min("text").alias("text"))
     task = frugal_group(_train_task)
     found = chosen.select(F.lit(0).alias("g"), "turn", "text", "toxic").groupBy("g").applyInArrow(task, "model binary").collect()

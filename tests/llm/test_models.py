@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -238,6 +239,13 @@ def test_toxicity_edge_cases(spark):
     rows, labels = toxic_rows(2, 40)
     docs = frame(spark, rows).withColumnRenamed("lang", "score")
     one_class = spark.createDataFrame([(1, 0), (1, None)], "doc_id long, toxic int")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    with pytest.raises(ValueError, match="no text labelled toxic"):
+        fit_toxicity(docs, marks, text_bytes=0)
+    first = min((i for i, _ in labels), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())  # a long labelled text ends nothing
+    long = frame(spark, [(i, t + " calm" * 3000 if i == first else t) for i, t in rows])
+    rest = fit_toxicity(docs, marks.where(F.col("doc_id") != first))
+    assert np.array_equal(fit_toxicity(long, marks, text_bytes=2000).table, rest.table) and rest.slopes.any()
     out = score_toxicity(docs, fit_toxicity(docs, one_class))
     assert out.columns == [*docs.columns, "_score"] and max(r._score for r in out.collect()) < 1e-6
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -84,6 +84,18 @@ def test_keep_one_keeps_one_of_each_class(spark):
     assert twice == 1
 
 
+def test_one_id_with_two_texts_and_texts_without_id(spark):
+    import random
+
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, b), (9, a + " more"), (11, b + " more"), (None, c), (None, c + " more"), (12, c + " less")]
+    got = sorted(((r.doc_id or 0, r.component_id, r.kept) for r in near_duplicates(frame(spark, rows), 3, 85).collect()), key=str)
+    assert got == sorted([(5, 5, True), (5, 5, True), (9, 5, False), (11, 5, False), (0, 12, True), (0, 12, True), (12, 12, True)], key=str)  # rows without id stay
+    kept = keep_one(frame(spark, [(3, b + " first"), *rows]), 3, 85)
+    assert sorted(r.text for r in kept.collect()) == sorted([b + " first", a, c, c + " more", c + " less"])
+
+
 def test_registers_merge_and_likelihood_finds_the_similarity():
     salts = stream(23, 512)
     items = stream(99, 900)
