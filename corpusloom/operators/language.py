@@ -1,4 +1,4 @@
-"""Language identification by function words, and the gates and choices that rest on it."""
+"""Language identification, learned or by function words, and the gates and choices that rest on it."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.langid import UNKNOWN, LanguageModel
 
-UNKNOWN = "und"
 # Frequent function words by language, in the order in which ties are settled. Callers may pass tables of their own.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for it with as was on are by this be at from or not have which you an were they but their all",
@@ -24,11 +24,14 @@ EVALUATED = {
 }
 
 
-def language_of(text: Column, table: dict[str, str] | None = None) -> Column:
-    """The language whose function words are most frequent in the first line that is not blank; 'und' if there are none.
+def language_of(text: Column, table: LanguageModel | dict[str, str] | None = None) -> Column:
+    """The language of the first line that is not blank, by a learned model (see langid.fit_languages()).
 
+    Without a model it is the language whose function words (``table``) are most frequent there; 'und' if there are none.
     Null and blank texts are 'und'; ties go to the language named first.
     """
+    if isinstance(table, LanguageModel):
+        return table.language_of(text)
     table = table or FUNCTION_WORDS
     line = F.get(F.split(T.strip(F.coalesce(text, F.lit(""))), "\n"), F.lit(0))
     tokens = T.words(F.regexp_replace(F.lower(line), "[.,;:!?]", ""))
@@ -47,7 +50,7 @@ def _literals(words: str) -> Column:
     return F.array(*[F.lit(w) for w in words.split()])
 
 
-def is_language(text: Column, language: str | Column, table: dict[str, str] | None = None) -> Column:
+def is_language(text: Column, language: str | Column, table: LanguageModel | dict[str, str] | None = None) -> Column:
     """Whether the text is in the language."""
     return language_of(text, table) == language
 
@@ -58,16 +61,16 @@ def evaluated(df: DataFrame, benchmark: str, target: str = "tgt") -> DataFrame:
     return df if names is None else df.where(F.col(target).isin(names))
 
 
-def tied_choice(df: DataFrame, a: str, b: str, language: str, key: str, seed: int = 122) -> DataFrame:
+def tied_choice(df: DataFrame, a: str, b: str, language: str, key: str, seed: int = 122, table: LanguageModel | dict[str, str] | None = None) -> DataFrame:
     """Add choice: the candidate that alone is in the language, otherwise either of them by a coin, the md5 of (seed, key)."""
     coin = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 1), 16, 10).cast("int") % 2
-    rows = df.withColumns({"_a": is_language(F.col(a), language), "_b": is_language(F.col(b), language)})
+    rows = df.withColumns({"_a": is_language(F.col(a), language, table), "_b": is_language(F.col(b), language, table)})
     fair = F.when(coin == 0, F.col(a)).otherwise(F.col(b))
     return rows.withColumn("choice", F.when(F.col("_a") & ~F.col("_b"), F.col(a)).when(F.col("_b") & ~F.col("_a"), F.col(b)).otherwise(fair)).drop("_a", "_b")
 
 
-def best_in_language(df: DataFrame, group: str, pos: str, text: str, language: str, quality: Column) -> DataFrame:
+def best_in_language(df: DataFrame, group: str, pos: str, text: str, language: str, quality: Column, table: LanguageModel | dict[str, str] | None = None) -> DataFrame:
     """The candidate with the highest quality among those in the language per group (quality counts as 0 for others); the earliest of several."""
-    weighed = F.when(is_language(F.col(text), language), quality).otherwise(F.lit(0.0))
+    weighed = F.when(is_language(F.col(text), language, table), quality).otherwise(F.lit(0.0))
     best = df.groupBy(group).agg(F.max_by(F.struct(pos, text), F.struct(weighed.alias("w"), (-F.col(pos)).alias("p"))).alias("b"))
     return best.select(group, F.col(f"b.{pos}").alias(pos), F.col(f"b.{text}").alias(text))

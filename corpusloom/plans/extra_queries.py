@@ -8,6 +8,7 @@ from corpusloom.functions import prompts as PR
 from corpusloom.functions import text as T
 from corpusloom.operators import gates as G
 from corpusloom.operators import judging as J
+from corpusloom.operators import langid as LI
 from corpusloom.operators import language as L
 from corpusloom.operators import retriever as R
 from corpusloom.operators import similarity as S
@@ -31,53 +32,96 @@ def query(sql: str):
     return add
 
 
-def language_sql(text: str) -> str:
-    """The language of a text, as L.language_of has it."""
+def _codes_sql(text: str) -> str:
+    """Code points of a text as the language model sees it."""
+    plain = f"trim(regexp_replace(lower(coalesce({text}, '')), '{LI.NO_LETTERS}', ' ', 'g'))"
+    return f"list_transform(string_split(CASE WHEN {plain} = '' THEN '' ELSE ' ' || {plain} || ' ' END, ''), lambda x: unicode(x))"
+
+
+def _grams_sql(keys: str, rows: str) -> str:
+    """keys and bucket of every trigram of rows (keys, c: code points)."""
+    gram = f"((c[i] * {LI.BASE} + c[i + 1]) * {LI.BASE} + c[i + 2]) % {LI.BUCKETS}"
+    return f"SELECT {keys}, unnest(list_transform(range(1, len(c) - 1), lambda i: {gram})) AS bucket FROM ({rows})"
+
+
+def model_sql(rows: str) -> str:
+    """CTEs of the model learned from the documents in ``rows``."""
+    return f"""lid_counts AS (SELECT lang, bucket, count(*) AS n FROM ({_grams_sql('lang', f"SELECT lang, {_codes_sql('text')} AS c FROM {rows} WHERE lang IS NOT NULL")}) GROUP BY ALL),
+lid_totals AS (SELECT lang, sum(n) AS total FROM lid_counts GROUP BY lang)"""
+
+
+def identified_sql(name: str, source: str, text: str) -> str:
+    """CTEs of which the last, ``name``, has k and language of the rows (k, text) of ``source``."""
     line = f"string_split({strip_sql(f'coalesce({text}, {chr(39)}{chr(39)})')}, chr(10))[1]"
-    words = f"list_filter(regexp_split_to_array(regexp_replace(lower({line}), '[.,;:!?]', '', 'g'), '{WS}+'), lambda x: x <> '')"
-    named = lambda w: "[" + ", ".join(f"'{x}'" for x in w.split()) + "]"
-    counts = ", ".join(f"len(list_filter({words}, lambda x: list_contains({named(w)}, x)))" for w in L.FUNCTION_WORDS.values())
-    names = named(" ".join(L.FUNCTION_WORDS))
-    return f"CASE WHEN list_max([{counts}]) = 0 THEN 'und' ELSE ({names})[list_position([{counts}], list_max([{counts}]))] END"
+    weight = f"CAST(round({LI.SCALE} * ln((coalesce(w.n, 0) + 1) / CAST(t.total + {LI.BUCKETS} AS DOUBLE))) AS BIGINT)"
+    return f"""{name}_grams AS MATERIALIZED ({_grams_sql('k', f"SELECT k, {_codes_sql(line)} AS c FROM {source}")}),
+{name}_sums AS (SELECT g.k, t.lang, sum({weight}) AS s, count(*) AS n, count(w.n) AS known
+  FROM {name}_grams g CROSS JOIN lid_totals t LEFT JOIN lid_counts w ON w.lang = t.lang AND w.bucket = g.bucket GROUP BY g.k, t.lang),
+{name}_best AS (SELECT * FROM {name}_sums QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, lang) = 1),
+{name} AS (SELECT a.k, CASE WHEN 2 * b.known >= b.n THEN b.lang ELSE 'und' END AS language FROM {source} a LEFT JOIN {name}_best b USING (k))"""
+
+
+def model(spark, sf):
+    """What all documents teach about their languages."""
+    return LI.fit_languages(docs(spark, sf))
+
 
+DOCS_K = f"{model_sql('documents')}, src AS (SELECT doc_id AS k, text FROM documents), {identified_sql('lid', 'src', 'text')}"
+PAIRS_K = f"""{PAIRS}, {model_sql('documents')}, src AS (SELECT pair_id AS k, source AS text FROM p), tgt AS (SELECT pair_id AS k, target AS text FROM p),
+{identified_sql('a', 'src', 'text')}, {identified_sql('b', 'tgt', 'text')}"""
 
-@query(f"SELECT doc_id, {language_sql('text')} AS language FROM documents")
+
+@query(f"WITH {DOCS_K} SELECT k AS doc_id, language FROM lid")
 def lang_id(spark, sf):
-    return docs(spark, sf).select("doc_id", L.language_of(F.col("text")).alias("language"))
+    return docs(spark, sf).select("doc_id", L.language_of(F.col("text"), model(spark, sf)).alias("language"))
+
+
+HELD_OUT = "substring(md5('lid|' || CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2')"
+
 
+@query(f"""
+WITH known AS (SELECT * FROM documents WHERE NOT {HELD_OUT}), {model_sql('known')},
+src AS (SELECT doc_id AS k, text, lang FROM documents WHERE {HELD_OUT} AND lang IS NOT NULL), {identified_sql('lid', 'src', 'text')}
+SELECT src.lang, count(*) AS n, CAST(sum(CASE WHEN lid.language = src.lang THEN 1 ELSE 0 END) AS BIGINT) AS n_right FROM src JOIN lid USING (k) GROUP BY src.lang
+""")
+def lang_id_held_out(spark, sf):
+    return LI.held_out_accuracy(docs(spark, sf), "doc_id")
 
-@query(f"SELECT doc_id FROM documents WHERE {language_sql('text')} = 'en' AND length(text) >= 40")
+
+@query(f"WITH {DOCS_K} SELECT doc_id FROM documents JOIN lid ON k = doc_id WHERE language = 'en' AND length(text) >= 40")
 def source_gate_lid(spark, sf):
     """The source gate, with the language identified from the text."""
-    return G.source_gate(docs(spark, sf), L.is_language(F.col("text"), "en")).select("doc_id")
+    return G.source_gate(docs(spark, sf), L.is_language(F.col("text"), "en", model(spark, sf))).select("doc_id")
 
 
-@query(f"WITH {PAIRS} SELECT pair_id FROM p WHERE {language_sql('target')} = 'en' AND length(target) >= 40 AND ends_with({strip_sql('target')}, '.')")
+@query(f"WITH {PAIRS_K} SELECT pair_id FROM p JOIN b ON b.k = pair_id WHERE b.language = 'en' AND length(target) >= 40 AND ends_with({strip_sql('target')}, '.')")
 def bt_gate_lid(spark, sf):
     """The gate on translations, with the language identified from the text."""
-    return G.translation_gate(pairs(spark, sf), L.is_language(F.col("target"), "en"), "target").select("pair_id")
+    return G.translation_gate(pairs(spark, sf), L.is_language(F.col("target"), "en", model(spark, sf)), "target").select("pair_id")
 
 
-@query(f"WITH {PAIRS} SELECT pair_id FROM p WHERE {strip_sql('target')} <> '' AND {language_sql('source')} <> 'de' AND {language_sql('target')} = 'en'")
+@query(f"WITH {PAIRS_K} SELECT pair_id FROM p JOIN a ON a.k = pair_id JOIN b ON b.k = pair_id WHERE {strip_sql('target')} <> '' AND a.language <> 'de' AND b.language = 'en'")
 def premise_gate_lid(spark, sf):
-    p = pairs(spark, sf)
-    return G.premise_gate(p, "target", L.is_language(F.col("target"), "en"), L.is_language(F.col("source"), "de")).select("pair_id")
+    p, m = pairs(spark, sf), model(spark, sf)
+    return G.premise_gate(p, "target", L.is_language(F.col("target"), "en", m), L.is_language(F.col("source"), "de", m)).select("pair_id")
 
 
 @query(f"""
-WITH {PAIRS}, l AS (SELECT pair_id, source, target, {language_sql('source')} = 'en' AS a, {language_sql('target')} = 'en' AS b, CAST(('0x' || substring(md5('122|' || CAST(pair_id AS VARCHAR)), 1, 1)) AS INTEGER) % 2 AS coin FROM p)
+WITH {PAIRS_K}, l AS (SELECT pair_id, source, target, a.language = 'en' AS a, b.language = 'en' AS b, CAST(('0x' || substring(md5('122|' || CAST(pair_id AS VARCHAR)), 1, 1)) AS INTEGER) % 2 AS coin
+  FROM p JOIN a ON a.k = pair_id JOIN b ON b.k = pair_id)
 SELECT pair_id, md5(CASE WHEN a AND NOT b THEN source WHEN b AND NOT a THEN target WHEN coin = 0 THEN source ELSE target END) AS choice FROM l
 """)
 def tied_ensemble(spark, sf):
-    return L.tied_choice(pairs(spark, sf), "source", "target", "en", "pair_id").select("pair_id", F.md5("choice").alias("choice"))
+    return L.tied_choice(pairs(spark, sf), "source", "target", "en", "pair_id", table=model(spark, sf)).select("pair_id", F.md5("choice").alias("choice"))
 
 
 @query(f"""
-WITH {CANDS}, r AS (SELECT g, pos, text, row_number() OVER (PARTITION BY g ORDER BY CASE WHEN {language_sql('text')} = 'en' THEN length(text) ELSE 0 END DESC, pos) AS r FROM c)
+WITH {CANDS}, {model_sql('documents')}, src AS (SELECT g * 1000 + pos AS k, text FROM c), {identified_sql('lid', 'src', 'text')},
+r AS (SELECT g, pos, text, row_number() OVER (PARTITION BY g ORDER BY CASE WHEN language = 'en' THEN length(text) ELSE 0 END DESC, pos) AS r FROM c JOIN lid ON k = g * 1000 + pos)
 SELECT g, pos, text FROM r WHERE r = 1
 """)
 def language_ensemble(spark, sf):
-    return L.best_in_language(candidates(spark, sf), "g", "pos", "text", "en", F.length("text").cast("double"))
+    return L.best_in_language(candidates(spark, sf), "g", "pos", "text", "en", F.length("text").cast("double"), model(spark, sf))
 
 
 @query("""
