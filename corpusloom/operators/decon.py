@@ -42,7 +42,8 @@ def contamination(df: DataFrame, index: DataFrame, id_column: str = "doc_id", te
     """
     rows = _long_enough(df, text_column, n).select(id_column, F.explode(_hashed(T.normalised_tokens(F.col(text_column)), n)).alias("gram"))
     found = rows.join(index, "gram").select(id_column, "ngram", item)
-    said = df.select(id_column, F.concat(F.lit(" "), F.array_join(T.normalised_tokens(F.col(text_column)), " "), F.lit(" ")).alias("_said"))
+    met = df.join(found.select(id_column).distinct(), id_column, "left_semi")  # only texts that met an item are tokenised again
+    said = met.select(id_column, F.concat(F.lit(" "), F.array_join(T.normalised_tokens(F.col(text_column)), " "), F.lit(" ")).alias("_said"))
     hits = found.join(said, id_column).where(F.contains("_said", F.concat(F.lit(" "), F.col("ngram"), F.lit(" "))))
     return hits.groupBy(id_column).agg(F.min(F.struct("ngram", item)).alias("hit")).select(id_column, "hit.ngram", f"hit.{item}")
 

@@ -4,23 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-IGNORED = -100
+from corpusloom.operators.numbering import running
 
+IGNORED = -100
 
-def offsets(df: DataFrame, order: str, size: Column, width: int = 4096) -> DataFrame:
-    """Add offset, the running total of ``size`` over all rows before, in the order of an integer column.
 
-    Totals of ranges of ``width`` ids are summed first (one small row each), so no task orders more than a range.
-    """
-    rows = df.withColumn("_size", size.cast("long")).withColumn("_range", F.floor(F.col(order) / width))
-    totals = rows.groupBy("_range").agg(F.sum("_size").alias("_total"))
-    before = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0))).select("_range", "_start")
-    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(starts, "_range")
-    return placed.withColumn("offset", F.col("_start") + F.col("_inside")).drop("_size", "_range", "_start", "_inside")
+def offsets(df: DataFrame, order: str, size: Column) -> DataFrame:
+    """Add offset, the running total of ``size`` over all rows before, in the order of a column."""
+    return running(df, [order], size, "_number", "offset").drop("_number")
 
 
 def packed(df: DataFrame, order: str, tokens: str, block: int, keep_tail: bool = False) -> DataFrame:

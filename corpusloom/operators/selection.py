@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.numbering import percentile
+
 
 def turn(seed: int | str, *ids: str) -> Column:
     """The seeded order of rows."""
@@ -13,10 +15,14 @@ def turn(seed: int | str, *ids: str) -> Column:
 
 
 def above_percentile(df: DataFrame, score: str, percent: float, by: list[str] | None = None) -> DataFrame:
-    """Rows whose score is greater than the interpolated percentile; null scores never are."""
-    cut = df.groupBy(*(by or [])).agg(F.percentile(score, F.lit(percent / 100)).alias("_cut"))
-    joined = df.join(cut, by) if by else df.crossJoin(cut)  # one row
-    return joined.where(F.col(score) > F.col("_cut")).drop("_cut")
+    """Rows whose score is greater than the interpolated percentile; null scores never are.
+
+    Over the whole table the percentile comes from counts of narrowing ranges; within groups (``by``) from the distinct values of each.
+    """
+    if not by:
+        return df.where(F.col(score) > F.lit(percentile(df, score, percent / 100)).cast("double"))
+    cut = df.groupBy(*by).agg(F.percentile(score, F.lit(percent / 100)).alias("_cut"))
+    return df.join(cut, by).where(F.col(score) > F.col("_cut")).drop("_cut")
 
 
 def _first(df: DataFrame, n: int, by: list[str] | None, *order: Column) -> DataFrame:

@@ -12,10 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.numbering import running, use_shared_checkpoints
+
 PLACES = 6
 
 
@@ -234,7 +236,7 @@ def random_k(queries: DataFrame, pool: DataFrame, k: int, seed: int) -> DataFram
 
     Items are numbered in order of id and found by number; queries and items never meet as a product.
     """
-    numbered = pool.select("item_id").withColumn("number", F.row_number().over(Window.orderBy("item_id")).cast("long") - 1)
+    numbered = running(pool.select("item_id"), ["item_id"]).select("item_id", "number")
     n = numbered.agg(F.count(F.lit(1)).alias("n"))
     start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "query_id")), 1, 8), 16, 10).cast("long")
     asked = queries.select("query_id", start.alias("start")).crossJoin(n).where("n > 0")  # one row
@@ -326,15 +328,6 @@ def near_pairs(df: DataFrame, tokens: str, tau: float, by: str, id_column: str =
     return scored.where(2 * F.col("lcs") > tau * (F.col("m") + F.col("n"))).select("a", "b", "f")
 
 
-def use_shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder of spark.checkpoint.dir; only a session of local mode has one of our own without it."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(named or "/tmp/checkpoints/corpusloom-core")
-
-
 def greedy_kept(df: DataFrame, pairs: DataFrame, id_column: str = "doc_id", max_rounds: int | None = None) -> DataFrame:
     """Rows that stay if each row in order of id is dropped when an earlier kept row is near it.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from corpusloom.operators.numbering import running
+
 PARAGRAPHS = T.StructType([T.StructField("text", T.StringType()), T.StructField("topic", T.StringType())])
 TRANSLATIONS = T.StructType(
     [
@@ -163,8 +165,8 @@ def line_benchmark(spark: SparkSession, folder: str, code: str, splits: tuple[st
 
 def buffered_shuffle(df: DataFrame, order: str, size: int, seed: int) -> DataFrame:
     """Add turn: rows in order, shuffled within buffers of ``size`` neighbours by the md5 of (seed, row), as a stream of bounded memory can be."""
-    at = F.row_number().over(Window.orderBy(order)) - 1
-    placed = df.withColumn("_buffer", F.floor(at / size)).withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(order).cast("string"))))
+    placed = running(df, [order], number="_number", before="_before")
+    placed = placed.withColumn("_buffer", F.floor(F.col("_number") / size)).drop("_number", "_before").withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(order).cast("string"))))
     inside = F.row_number().over(Window.partitionBy("_buffer").orderBy("_key", order)) - 1
     return placed.withColumn("turn", (F.col("_buffer") * size + inside).cast("long")).drop("_buffer", "_key")
 
@@ -193,9 +195,10 @@ def curated_benchmark(pairs: DataFrame, benchmark: DataFrame, side: str) -> Data
 
 def contexts(rows: DataFrame, order: str, text: str = "context") -> DataFrame:
     """row_id, text of a reading-comprehension table, where each context stands once per run of questions on it."""
-    w = Window.orderBy(order)
-    changed = rows.withColumn("_before", F.lag(text).over(w)).where(F.col("_before").isNull() | (F.col("_before") != F.col(text)))
-    return changed.select(F.col(order).alias("row_id"), F.col(text).alias("text"))
+    placed = running(rows.select(F.col(order).alias("row_id"), F.col(text).alias("text")), ["row_id"])
+    ahead = placed.select((F.col("number") + 1).alias("number"), F.xxhash64("text").alias("_hash"), F.col("text").isNull().alias("_null"))
+    met = placed.join(ahead, "number", "left")
+    return met.where(F.col("_hash").isNull() | F.col("_null") | (F.col("text").isNotNull() & (F.col("_hash") != F.xxhash64("text")))).select("row_id", "text")
 
 
 def sentence_pairs(corpus: DataFrame, languages: list[str], codes: dict[str, str], src: str = "English") -> DataFrame:
