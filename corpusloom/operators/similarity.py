@@ -245,23 +245,64 @@ def random_k(queries: DataFrame, pool: DataFrame, k: int, seed: int) -> DataFram
     return draws.select("query_id", "pos", number.alias("number")).join(numbered, "number").select("query_id", "item_id", "pos")
 
 
-def _keys(id_column: str, by: str):
-    """A row for every token: its hash, repeats told apart by their number."""
+ORDERED = 1 << 18  # most frequent tokens whose order goes to every task: 4 MB
+BITS = 2048  # of a text's signature
+
+
+def _numbered_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all tokens (repeats within a text told apart by their number), the text of each, and the texts' sizes."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    flat = np.asarray(column.flatten())
+    order = np.lexsort((flat, owner))
+    own = flat[order]
+    first = np.ones(len(own), bool)
+    first[1:] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])  # owners are in order already
+    nth = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
+    return own ^ (nth * np.int64(0x5851F42D4C957F2D)), owner, sizes
+
+
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, n = np.unique(_numbered_tokens(batch["t"])[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+
+def _profiles(tau: float, frequent: np.ndarray, place: np.ndarray):
+    """Prefix and signature of every text, in place of its tokens (the last column); rare tokens come first, by their hash, then frequent ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                keys, owner, m = _numbered_tokens(part["t"])
+                at = np.minimum(np.searchsorted(frequent, keys), max(0, len(frequent) - 1))
+                weight = np.where(frequent[at] == keys, place[at], 0) if len(frequent) else np.zeros(len(keys), np.int64)
+                order = np.lexsort((keys, weight, owner))
+                keys, begin = keys[order], np.cumsum(m) - m
+                rank = np.arange(len(keys)) - begin[owner] + 1
+                as_long = m - np.floor(tau * m / (2 - tau)).astype(np.int64)  # too few others are left for the overlap with the shortest partner
+                kept = rank <= as_long[owner]
+                bits = np.zeros((len(m), BITS), bool)
+                bits[owner, ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)).astype(np.int64)] = True
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(as_long)]), pa.int32()), pa.array(keys[kept]))
+                signature = pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(m, pa.int32()), prefix, signature], names=[*part.schema.names[:-1], "m", "prefix", "signature"])
+
+    return run
+
+
+def _can_share(tau: float):
+    """Pairs whose signatures leave room for the overlap: bits that only one side has are tokens that the other has not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pc.list_value_length(batch["t"]).to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = np.repeat(np.arange(batch.num_rows), sizes)
-            flat = np.asarray(batch["t"].flatten())
-            order = np.lexsort((flat, owner))
-            own = flat[order]
-            first = np.ones(len(own), bool)
-            first[1:] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])  # owners are in order already
-            nth = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [batch[id_column].take(take), batch[by].take(take), pa.array(sizes[owner], pa.int32()), pa.array(own ^ (nth * np.int64(0x5851F42D4C957F2D)))], names=[id_column, by, "m", "key"]
-            )
+            n = batch.num_rows
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(n, BITS // 64) for c in ("sx", "sy"))
+            m_x, m_y = (batch[c].to_numpy().astype(np.int64) for c in ("m", "n"))
+            most = np.minimum(m_x - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m_y - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            keep = pa.array(2 * most > tau * (m_x + m_y))
+            yield pa.RecordBatch.from_arrays([batch["x"].filter(keep), batch["y"].filter(keep)], names=["x", "y"])
 
     return run
 
@@ -270,27 +311,33 @@ def overlap_candidates(df: DataFrame, tokens: str, tau: float, by: str, id_colum
     """Pairs (a < b) of one group whose common-subsequence F score can exceed tau; no such pair is lost.
 
     F > tau needs a token overlap over tau * (m + n) / 2. A text's rarest tokens (repeats numbered) form its prefix, of a length that leaves too few
-    others for that overlap with the shortest possible partner, so such pairs share a prefix token. The overlap itself is then counted.
+    others for that overlap with the shortest possible partner, so such pairs share a prefix token; any one order of all tokens will do. They meet by token and class of
+    length, which divides what a frequent token joins, and the planner splits what is still large. Signatures of fixed size then bound the overlap, and only
+    pairs that pass move their tokens, whose overlap is counted.
     """
-    base = df.where(F.size(tokens) > 0).select(id_column, by, F.transform(tokens, lambda w: F.xxhash64(w)).alias("t"), F.size(tokens).alias("m"))
+    use_shared_checkpoints(df.sparkSession)
+    base = df.where((F.size(tokens) > 0) & F.col(by).isNotNull()).select(id_column, by, F.transform(tokens, lambda w: F.xxhash64(w)).alias("t"))
+    counts = base.select("t").mapInArrow(_token_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "key").limit(ORDERED).select("key").toArrow()["key"].to_numpy()  # bounded
+    turn = np.argsort(top)
     kinds = f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, `{by}` {df.schema[by].dataType.simpleString()}"
-    rows = base.mapInArrow(_keys(id_column, by), f"{kinds}, m int, key long")
-    freq = rows.groupBy(by, "key").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    # tokens that no other text of the group has come first in a text's order, and find no partner
-    placed = rows.join(freq, [by, "key"]).withColumn("late", F.row_number().over(Window.partitionBy(id_column).orderBy(F.desc("freq"), F.desc("key"))))
-    placed = placed.withColumn("rank", F.col("m") - F.col("late") + 1)
+    profiles = base.mapInArrow(_profiles(tau, top[turn], len(top) - turn), f"{kinds}, m int, prefix array<long>, signature binary").checkpoint()
+    heads = profiles.select(id_column, by, "m", F.posexplode("prefix").alias("rank", "key")).withColumn("rank", F.col("rank") + 1)
+    length = F.floor(F.log(F.col("m")) / F.lit(float(np.log((2 - tau) / tau))))  # a pair's classes are equal or neighbours
     # against longer partners a text needs an overlap over tau * m, so a shorter prefix will do on that side
-    as_short = F.col("m") - F.floor(tau * F.col("m"))
-    as_long = F.col("m") - F.floor(tau * F.col("m") / (2 - tau))
-    heads = placed.where(F.col("rank") <= as_long).select(id_column, by, "m", "key", "rank", (F.col("rank") <= as_short).alias("short"))
-    other = heads.select(F.col(id_column).alias("y"), by, F.col("m").alias("n"), "key", F.col("rank").alias("rank_y"))
-    longer = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col(id_column) < F.col("y")))
-    near = F.col("short") & longer & (F.col("m") >= F.lit(tau / (2 - tau)) * F.col("n"))
+    short = heads.where(F.col("rank") <= F.col("m") - F.floor(tau * F.col("m"))).select(F.col(id_column).alias("x"), by, "m", "key", "rank", length.alias("class"))
+    other = heads.select(F.col(id_column).alias("y"), by, F.col("m").alias("n"), "key", F.col("rank").alias("rank_y"), F.explode(F.array(length, length - 1)).alias("class"))
+    longer = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("y")))
+    near = longer & (F.col("m") >= F.lit(tau / (2 - tau)) * F.col("n"))
     # what can still be common from this token on, in the order of rarity
     reach = 2 * (1 + F.least(F.col("m") - F.col("rank"), F.col("n") - F.col("rank_y"))) + 2 * F.least(F.col("rank"), F.col("rank_y")) - 2 > tau * (F.col("m") + F.col("n"))
-    pairs = heads.join(other, [by, "key"]).where(near & reach).select(F.col(id_column).alias("x"), "y").distinct()
+    pairs = short.join(other, [by, "key", "class"]).where(near & reach).select("x", "y").distinct()
+    signed = profiles.select(id_column, "m", "signature")
+    told = pairs.join(signed.toDF("x", "m", "sx"), "x").join(signed.toDF("y", "n", "sy"), "y")
+    id_kind = df.schema[id_column].dataType.simpleString()
+    open_pairs = told.select("x", "y", "m", "n", "sx", "sy").mapInArrow(_can_share(tau), f"x {id_kind}, y {id_kind}").checkpoint()
     bags = base.select(id_column, F.col("t").alias("bag"))
-    met = pairs.join(bags.toDF("x", "bag_x"), "x").join(bags.toDF("y", "bag_y"), "y")
+    met = open_pairs.join(bags.toDF("x", "bag_x"), "x").join(bags.toDF("y", "bag_y"), "y")
     return with_overlap(met, "bag_x", "bag_y").where(2 * F.col("common") > tau * (F.size("bag_x") + F.size("bag_y"))).select(
         F.least("x", "y").alias("a"),
         F.greatest("x", "y").alias("b"),
