@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.store import frugal, small_batches, stage
+from corpusloom.llm.store import frugal, plain, small_batches, stage
 
 LEAF = 48
 FOUND = "query_row long, query_id long, row long, vec_id long, score long"
@@ -175,9 +175,9 @@ def top_k_inner_product(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of every query against all other rows.
 
-    ``vectors`` has vec_id and embedding; ``is_query`` is a condition on its columns.
+    ``vectors`` has vec_id and embedding; ``is_query`` is a condition on these two. Other columns are ignored, whatever their names.
     """
-    base = vectors.select("vec_id", quantised(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    base = plain(vectors, "vec_id", "embedding").select("vec_id", quantised(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     base = base.where(F.col("v").isNotNull() & F.col("vec_id").isNotNull()).withColumn("dim", F.size("v"))
     base = stage(base.withColumn("row", F.monotonically_increasing_id()), "ball-vectors")
     sizes = {r["dim"]: r["n"] for r in base.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -58,7 +58,7 @@ def test_empty_table(spark):
 
 def test_names_that_clash_ties_and_repeated_rows(spark):
     rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (5, None), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [0.5, 0.5, 9.0])]
-    odd = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as v", "2 as dim", "3 as shard", "4 as `row`", "5 as asks", "6 as `a.b`")
+    odd = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as v", "2 as dim", "3 as shard", "4 as `row`", "5 as asks", "6 as `a.b`", "7 as VEC_ID", "8 as Embedding")
     got = top_k_inner_product(odd, F.col("vec_id") % 100 == 0, k=3)
     want = [(100, 1, 2, 1024 * 1024), (100, 2, 3, 1024 * 1024), (100, 3, 100, 1024 * 1024)]
     assert sorted(map(tuple, got.collect())) == sorted(want * 2)  # each of the two equal rows asks, and finds the other
