@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,28 +72,133 @@ def dense_top_k(queries: DataFrame, pool: DataFrame, k: int, exclude_self: bool
     return top_k(met, "query_id", "item_id", "score", k)
 
 
+BLOCK = 64  # items of one block of postings
+SHARD_TOKENS = 4_000_000
+SHARD_ITEMS = 1 << 16
+ASKED = 1 << 20  # query terms of one block of queries
+
+
+class BlockPostings:
+    """Postings of a shard's items by term, in blocks of items of like length; every term's blocks know the largest gain in them."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, gain: np.ndarray, n_items: int, n_terms: int):
+        order = np.lexsort((row, term))
+        self.row, self.gain, term = row[order], gain[order], term[order]
+        self.n_items, self.n_blocks = n_items, -(-n_items // BLOCK)
+        key = term * self.n_blocks + self.row // BLOCK
+        self.begin = np.flatnonzero(np.diff(key, prepend=-1))  # of each (term, block)
+        self.end = np.append(self.begin[1:], len(key))
+        self.block = key[self.begin] % max(1, self.n_blocks)
+        self.most = np.maximum.reduceat(self.gain, self.begin) if len(key) else np.zeros(0)
+        self.first = np.searchsorted(term[self.begin], np.arange(n_terms + 1))  # of each term, into begin
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, k: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The k best items that have one of the terms, their scores, and how many blocks were scored; ties go to the smaller rank.
+
+        Blocks are taken by falling bound, twice as many each time, until no bound that is left reaches the k-th score.
+        """
+        own = [slice(self.first[t], self.first[t + 1]) for t in terms]
+        bound, has = np.zeros(self.n_blocks), np.zeros(self.n_blocks, bool)
+        for s, w in zip(own, weights, strict=True):
+            bound[self.block[s]] += max(w, 0.0) * self.most[s]
+            has[self.block[s]] = True
+        todo = np.flatnonzero(has)
+        todo = todo[np.argsort(-bound[todo], kind="stable")]
+        score, met, taken = np.zeros(self.n_items), np.zeros(self.n_items, bool), np.zeros(self.n_blocks, bool)
+        found, values, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while done < len(todo) and (len(found) < k or bound[todo[done]] >= values[-1] - 10.0**-PLACES):
+            taken[:] = False
+            taken[todo[done : done + step]] = True
+            for s, w in zip(own, weights, strict=True):
+                mine = np.flatnonzero(taken[self.block[s]]) + s.start
+                sizes = self.end[mine] - self.begin[mine]
+                at = np.repeat(self.begin[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                score[self.row[at]] += w * self.gain[at]
+                met[self.row[at]] = True
+            new = np.flatnonzero(met & np.repeat(taken, BLOCK)[: self.n_items])
+            found, values = np.append(found, new), np.append(values, np.round(score[new], PLACES))
+            order = np.lexsort((rank[found], -values))[:k]
+            found, values, done, step = found[order], values[order], done + step, step * 2
+        return found, values, min(done, len(todo))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item_id, number of tokens (null if there are none to count), distinct tokens, their counts."""
+    for batch in batches:
+        terms, counts, sizes = [], [], []
+        for tokens in batch["tokens"].to_pylist():
+            own = Counter(t for t in tokens or () if t is not None)
+            terms.append(list(own))
+            counts.append(list(own.values()))
+            sizes.append(None if tokens is None else len(tokens))
+        columns = [batch["item_id"], pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["item_id", "dl", "terms", "tf"])
+
+
 def bm25_top_k(queries: DataFrame, pool: DataFrame, k: int, k1: float = 1.5, b: float = 0.7, okapi: bool = False, epsilon: float = 0.25, delta: float = 0.0) -> DataFrame:
-    """query_id, item_id, score, pos. ``queries`` has query_id, tokens; ``pool`` has item_id, tokens.
+    """query_id, item_id, score, pos. ``queries`` has query_id, tokens; ``pool`` has item_id (each once), tokens.
 
     score = sum over query tokens (repeats count) of idf * tf * (k1 + 1 if okapi else 1) / (tf + k1 * (1 - b + b * dl / avgdl)), with
     idf = ln(max(1, (N - df + 0.5) / (df + 0.5))); okapi: ln of the plain ratio, and epsilon * mean idf where that is negative. ``delta`` is added to
     the share of every term that an item has, which keeps long items from losing it all.
+
+    The pool is read once and kept as counts of tokens. Queries, with the idf of their terms, meet the shards of the pool; in each, postings lie in blocks with their largest gains, and blocks that cannot reach
+    the k-th score are passed over. Only k rows per query and shard leave a task; pairs of queries and items that share a word are never a table.
+    Items that share none of a query's tokens are not found; null and empty token arrays find and are found by nothing, but count in N.
     """
-    post = pool.select("item_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = pool.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))  # one row
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(stats)
-    ratio = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    use_shared_checkpoints(pool.sparkSession)
+    kinds = {name: frame.schema[name].dataType.simpleString() for name, frame in (("query_id", queries), ("item_id", pool))}
+    counted = pool.select("item_id", "tokens").mapInArrow(_counted, f"item_id {kinds['item_id']}, dl long, terms array<string>, tf array<long>").checkpoint()
+    n, avgdl, total = counted.agg(F.count(F.lit(1)), F.avg("dl"), F.sum("dl")).first()
+    words = queries.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    shards = max(pool.sparkSession.sparkContext.defaultParallelism, -(-n // SHARD_ITEMS), -(-(total or 0) // SHARD_TOKENS))
+    blocks = max(1, -(-words // ASKED))
+
+    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ratio = (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)
     if okapi:
         plain = df.withColumn("plain", F.log(ratio))
-        mean = plain.agg(F.avg("plain").alias("mean"))
+        mean = plain.agg(F.avg("plain").alias("mean"))  # one row
         idf = plain.crossJoin(mean).withColumn("idf", F.when(F.col("plain") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("plain")))
     else:
         idf = df.withColumn("idf", F.log(F.greatest(F.lit(1.0), ratio)))
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = asked.join(idf.select("term", "idf", "avgdl"), "term").join(post, "term")
-    gain = F.col("tf") * F.lit(k1 + 1 if okapi else 1.0) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * (gain + F.lit(delta))), PLACES).alias("score"))
-    return top_k(scored, "query_id", "item_id", "score", k)
+    weighed = asked.join(idf.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    q = weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    p = counted.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    scale = k1 + 1 if okapi else 1.0
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_id", "item_id", "score"]
+        right = right.sort_by("dl")
+        ids, asking = right["item_id"].combine_chunks(), left["query_id"].combine_chunks()
+        known = left["term"].combine_chunks().dictionary_encode()
+        terms, tf = right["terms"].combine_chunks(), right["tf"].combine_chunks()
+        sizes = np.array(pc.fill_null(pc.list_value_length(terms), 0))
+        code = pc.index_in(terms.flatten(), value_set=known.dictionary)
+        keep = np.array(pc.is_valid(code), bool)
+        row, count = np.repeat(np.arange(len(ids)), sizes)[keep], np.array(tf.flatten(), np.float64)[keep]
+        dl = np.array(pc.fill_null(right["dl"], 0), np.float64)[row]
+        gain = count * scale / (count + k1 * (1 - b + b * dl / avgdl)) + delta if len(row) else np.zeros(0)
+        postings = BlockPostings(row, np.array(code.drop_null(), np.int64), gain, len(ids), len(known.dictionary))
+        rank = np.empty(len(ids), np.int64)
+        rank[np.array(pc.sort_indices(ids), np.int64)] = np.arange(len(ids))
+        of = asking.dictionary_encode()
+        order = np.argsort(np.array(of.indices), kind="stable")
+        term, weight = np.array(known.indices, np.int64)[order], np.array(left["weight"], np.float64)[order]
+        ends = np.searchsorted(np.array(of.indices)[order], np.arange(len(of.dictionary) + 1))
+        asker, item, score = [], [], []
+        for i, (lo, hi) in enumerate(itertools.pairwise(ends.tolist())):
+            found, values, _ = postings.best(term[lo:hi], weight[lo:hi], k, rank)
+            asker.append(np.full(len(found), i))
+            item.append(found)
+            score.append(values)
+        if not asker:
+            return pa.table([asking.slice(0, 0), ids.slice(0, 0), pa.array([], pa.float64())], names=names)
+        return pa.table([of.dictionary.take(pa.array(np.concatenate(asker))), ids.take(pa.array(np.concatenate(item).astype(np.int64))), pa.array(np.concatenate(score))], names=names)
+
+    met = q.groupBy("shard", "block").cogroup(p.groupBy("shard", "block")).applyInArrow(meet, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double")
+    return top_k(met, "query_id", "item_id", "score", k)
 
 
 def lcs_length(a: Column, b: Column) -> Column:
