@@ -39,37 +39,141 @@ def top_k(scored: DataFrame, query: str, item: str, score: str, k: int) -> DataF
     return best.withColumn("pos", F.count(F.lit(1)).over(Window.partitionBy(query)) - F.col("_r") + 1).drop("_r")
 
 
-def dense_top_k(queries: DataFrame, pool: DataFrame, k: int, exclude_self: bool = False, block: int = 1024) -> DataFrame:
-    """query_id, item_id, score, pos by cosine. ``queries`` has query_id, q; ``pool`` has item_id, v.
+MOST_PIVOTS = 2048
+SHARD_VECTORS = 8192
+DRAWN = 4
+
+
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of length 1 as rows; zero vectors stay zero."""
+    rows = np.array(column.to_pylist(), np.float64)
+    norm = np.linalg.norm(rows, axis=1, keepdims=True) if len(rows) else 1.0
+    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+
+def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(rows @ pivots.T, -1.0, 1.0))
+
+
+def _spread(rows: np.ndarray, wanted: int) -> np.ndarray:
+    """At most ``wanted`` of the rows, each the farthest from those before it; fewer if all others are copies of them."""
+    chosen = [0]
+    near = rows @ rows[0]
+    while len(chosen) < wanted:
+        at = int(near.argmin())
+        if near[at] > 1 - 1e-9:
+            break
+        chosen.append(at)
+        near = np.maximum(near, rows @ rows[at])
+    return rows[chosen]
+
 
-    Queries are dealt into blocks and meet the pool's shards; each meeting is one matrix product, and only its k best leave it.
+class Regions:
+    """A pool of vectors dealt to the nearest of a bounded number of its own vectors; every region knows the largest angle of its rows to its pivot.
+
+    The angle of a query to a row is at least its angle to the pivot less the row's: a region whose largest angle leaves it below a query's k-th score
+    holds none of its neighbours. Zero vectors are at no angle, so the region they fall in counts as all directions. Regions of more than
+    ``SHARD_VECTORS`` rows, such as many copies of a vector, are split by hash. Pivots are spread over ``DRAWN`` rows for each, drawn by hash; every row has a region.
     """
-    n_q, n_p = queries.count(), pool.count()
-    blocks, shards = max(1, -(-n_q // block)), max(1, -(-n_p // 8192))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    p = pool.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    schema = "query_id long, item_id long, score double"
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        rows = np.array(column.to_pylist(), np.float64)
-        norm = np.linalg.norm(rows, axis=1, keepdims=True)
-        return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+    def __init__(self, pool: DataFrame, n: int):
+        use_shared_checkpoints(pool.sparkSession)
+        wanted = 1 if n <= SHARD_VECTORS else min(MOST_PIVOTS, max(-(-n // SHARD_VECTORS), int(n**0.5) // 4))
+        rows = pool.where("v is not null").select("item_id", "v")
+        drawn = rows.orderBy(F.xxhash64("v"), "item_id").limit(DRAWN * wanted).collect()  # at most DRAWN * MOST_PIVOTS vectors
+        self.pivots = _spread(_unit(pa.array([list(r.v) for r in drawn], pa.list_(pa.float64()))), wanted) if drawn else np.zeros((0, 1))
+        pivots = self.pivots
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    unit = _unit(batch["v"])
+                    angle = _angles(unit, pivots)
+                    at = angle.argmin(axis=1)
+                    far = np.where(unit.any(axis=1), angle[np.arange(len(at)), at], np.pi)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array(far)], names=["item_id", "v", "region", "far"])
+
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+        self.rows = rows.mapInArrow(assign, f"{kinds}, region int, far double").checkpoint()
+        found = self.rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # one row per pivot
+        self.size, self.far = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+        for r in found:
+            self.size[r.region], self.far[r.region] = r.n, r.far
+        self.parts = np.maximum(1, -(-self.size // SHARD_VECTORS))
+
+    def visits(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, q, region: the regions of the highest bounds that together have k rows; with a column ``kth``, all others that may beat it (null: all others)."""
+        pivots, size, far, second = self.pivots, self.size, self.far, "kth" in queries.columns
+        kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in ("query_id", "q"))
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows or not len(pivots):
+                    continue
+                bound = np.cos(np.maximum(0.0, _angles(_unit(batch["q"]), pivots) - far))
+                order = np.argsort(-bound, axis=1, kind="stable")
+                ahead = np.cumsum(size[order], axis=1) - size[order]  # rows of the regions before
+                first = np.zeros(bound.shape, bool)
+                np.put_along_axis(first, order, ahead < k, axis=1)
+                if second:
+                    kth = np.array(pc.fill_null(batch["kth"], -np.inf), np.float64)
+                    first = ~first & (bound >= kth[:, None] - 10.0**-PLACES)
+                at, region = np.nonzero(first & (size > 0))
+                taken = batch.select(["query_id", "q"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(region.astype(np.int32))], names=["query_id", "q", "region"])
+
+        return queries.mapInArrow(choose, f"{kinds}, region int")
+
+
+def _meet_regions(visits: DataFrame, regions: Regions, k: int, exclude_self: bool, block: int) -> DataFrame:
+    """query_id, item_id, score: the k best rows of every visited part of a region for each visiting query."""
+    spark = visits.sparkSession
+    asking = visits.groupBy("region").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per pivot
+    sides = [(r.region, int(regions.parts[r.region]), -(-r.n // block)) for r in asking]
+    deal = [F.broadcast(spark.createDataFrame(sides, "region int, parts int, blocks int")) for _ in range(2)]  # at most MOST_PIVOTS rows
+    q = visits.join(deal[0], "region").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    p = regions.rows.select("item_id", "v", "region").join(deal[1], "region").withColumn("part", F.pmod(F.xxhash64("item_id"), "parts").cast("int"))
+    p = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    schema = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c, frame in (("query_id", visits), ("item_id", regions.rows))) + ", score double"
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids_q, ids_p = left["query_id"].to_numpy(), right["item_id"].to_numpy()
-        s = np.round(matrix(left["q"]) @ matrix(right["v"]).T, PLACES)
-        if exclude_self:
-            s[ids_q[:, None] == ids_p[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ids_p, s.shape), -s), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(ids_q)), order.shape[1])
-        cols = order.ravel()
-        ok = s[rows, cols] > -np.inf
-        return pa.table({"query_id": ids_q[rows][ok], "item_id": ids_p[cols][ok], "score": s[rows, cols][ok]})
-
-    met = q.groupBy("shard", "block").cogroup(p.groupBy("shard", "block")).applyInArrow(meet, schema)
-    return top_k(met, "query_id", "item_id", "score", k)
+        asking, ids = left["query_id"].combine_chunks(), right["item_id"].combine_chunks()
+        ids_q, ids_p = asking.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
+        rows = cols = np.zeros(0, np.int64)
+        scores = np.zeros(0)
+        if len(ids_q) and len(ids_p):
+            s = np.round(_unit(left["q"]) @ _unit(right["v"]).T, PLACES)
+            if exclude_self:
+                s[ids_q[:, None] == ids_p[None, :]] = -np.inf
+            order = np.lexsort((np.broadcast_to(ids_p, s.shape), -s), axis=1)[:, :k]
+            rows, cols = np.repeat(np.arange(len(ids_q)), order.shape[1]), order.ravel()
+            ok = s[rows, cols] > -np.inf
+            rows, cols = rows[ok], cols[ok]
+            scores = s[rows, cols]
+        return pa.table([asking.take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(scores)], names=["query_id", "item_id", "score"])
+
+    keys = ("region", "part", "block")
+    return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(meet, schema)
+
+
+def dense_top_k(queries: DataFrame, pool: DataFrame, k: int, exclude_self: bool = False, block: int = 1024) -> DataFrame:
+    """query_id, item_id, score, pos by cosine, exact. ``queries`` has query_id (each once), q; ``pool`` has item_id (each once), v; null vectors take no part.
+
+    The pool is dealt into regions around pivots. Every query first meets the regions of its highest bounds, and then, with the k-th score it found
+    there, only those that may still hold a better row. A meeting of a block of queries and a part of a region is one matrix product, and only its k
+    best leave it.
+    """
+    least = k + (1 if exclude_self else 0)
+    regions = Regions(pool, pool.count())
+    asked = queries.where("q is not null").select("query_id", "q")
+    first = _meet_regions(regions.visits(asked, least), regions, k, exclude_self, block)
+    if len(regions.pivots) < 2:  # every query has met every row
+        return top_k(first, "query_id", "item_id", "score", k)
+    first = first.checkpoint()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
+    kth = first.withColumn("_r", rank).where(F.col("_r") == k).select("query_id", F.col("score").alias("kth"))
+    second = _meet_regions(regions.visits(asked.join(kth, "query_id", "left"), least), regions, k, exclude_self, block)
+    return top_k(first.unionByName(second), "query_id", "item_id", "score", k)
 
 
 BLOCK = 64  # items of one block of postings
