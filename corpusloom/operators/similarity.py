@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -226,17 +227,40 @@ class BlockPostings:
         return found, values, min(done, len(todo))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """item_id, number of tokens (null if there are none to count), distinct tokens, their counts."""
-    for batch in batches:
-        terms, counts, sizes = [], [], []
-        for tokens in batch["tokens"].to_pylist():
-            own = Counter(t for t in tokens or () if t is not None)
-            terms.append(list(own))
-            counts.append(list(own.values()))
-            sizes.append(None if tokens is None else len(tokens))
-        columns = [batch["item_id"], pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["item_id", "dl", "terms", "tf"])
+FILTER_BITS = 1 << 23
+SLICE = 256  # rows whose tokens are Python objects at one time
+
+
+def _asked_filter(asked: DataFrame) -> np.ndarray:
+    """One bit for the hash of every term that some query asks: a table of FILTER_BITS bits, whatever the queries."""
+    at = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FILTER_BITS))
+    words = asked.select(at.alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 31 AS INT)))").alias("bits"))
+    out = np.zeros(FILTER_BITS // 32, np.int64)
+    for batch in words.toLocalIterator():
+        out[batch["w"]] = batch["bits"]
+    return out
+
+
+def _asked_counts(filter_: np.ndarray):
+    """item_id, number of tokens (null if there are none to count), distinct tokens that may be asked, their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
+                terms, counts, sizes = [], [], []
+                for tokens in batch["tokens"]:
+                    own = Counter(t for t in tokens.as_py() or () if t is not None)
+                    at = np.fromiter((zlib.crc32(t.encode()) % FILTER_BITS for t in own), np.int64, len(own))
+                    kept = (filter_[at >> 5] >> (at & 31)) & 1
+                    asked = [t for t, ok in zip(own, kept.tolist(), strict=True) if ok]
+                    terms.append(asked)
+                    counts.append([own[t] for t in asked])
+                    sizes.append(len(tokens) if tokens.is_valid else None)
+                columns = [batch["item_id"], pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["item_id", "dl", "terms", "tf"])
+
+    return run
 
 
 def bm25_top_k(queries: DataFrame, pool: DataFrame, k: int, k1: float = 1.5, b: float = 0.7, okapi: bool = False, epsilon: float = 0.25, delta: float = 0.0) -> DataFrame:
@@ -246,19 +270,16 @@ def bm25_top_k(queries: DataFrame, pool: DataFrame, k: int, k1: float = 1.5, b:
     idf = ln(max(1, (N - df + 0.5) / (df + 0.5))); okapi: ln of the plain ratio, and epsilon * mean idf where that is negative. ``delta`` is added to
     the share of every term that an item has, which keeps long items from losing it all.
 
-    The pool is read once and kept as counts of tokens. Queries, with the idf of their terms, meet the shards of the pool; in each, postings lie in blocks with their largest gains, and blocks that cannot reach
+    The pool's items keep only tokens that may be asked (a filter of fixed size). Queries, with the idf of their terms, meet the shards of the pool; in each, postings lie in blocks with their largest gains, and blocks that cannot reach
     the k-th score are passed over. Only k rows per query and shard leave a task; pairs of queries and items that share a word are never a table.
     Items that share none of a query's tokens are not found; null and empty token arrays find and are found by nothing, but count in N.
     """
-    use_shared_checkpoints(pool.sparkSession)
-    kinds = {name: frame.schema[name].dataType.simpleString() for name, frame in (("query_id", queries), ("item_id", pool))}
-    counted = pool.select("item_id", "tokens").mapInArrow(_counted, f"item_id {kinds['item_id']}, dl long, terms array<string>, tf array<long>").checkpoint()
-    n, avgdl, total = counted.agg(F.count(F.lit(1)), F.avg("dl"), F.sum("dl")).first()
+    n, avgdl, total = pool.agg(F.count(F.lit(1)), F.avg(F.size("tokens")), F.sum(F.size("tokens"))).first()
     words = queries.agg(F.sum(F.size("tokens"))).first()[0] or 0
     shards = max(pool.sparkSession.sparkContext.defaultParallelism, -(-n // SHARD_ITEMS), -(-(total or 0) // SHARD_TOKENS))
     blocks = max(1, -(-words // ASKED))
 
-    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = pool.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ratio = (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)
     if okapi:
         plain = df.withColumn("plain", F.log(ratio))
@@ -269,6 +290,9 @@ def bm25_top_k(queries: DataFrame, pool: DataFrame, k: int, k1: float = 1.5, b:
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighed = asked.join(idf.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     q = weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    kinds = {name: frame.schema[name].dataType.simpleString() for name, frame in (("query_id", queries), ("item_id", pool))}
+    may = _asked_counts(_asked_filter(asked.select("term")))
+    counted = pool.select("item_id", "tokens").mapInArrow(may, f"item_id {kinds['item_id']}, dl long, terms array<string>, tf array<long>").where(F.size("terms") > 0)
     p = counted.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     scale = k1 + 1 if okapi else 1.0
 
