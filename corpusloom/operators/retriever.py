@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
+from corpusloom.functions.stemming import stemmer
 from corpusloom.operators import similarity as S
 from corpusloom.operators.inference import Backend, EchoBackend, embed
 
@@ -17,32 +18,24 @@ from corpusloom.operators.inference import Backend, EchoBackend, embed
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
 
-STEM = [("ies$", "y"), ("(ss|sh|ch|x)es$", "$1"), ("([a-z]{2}[^su])s$", "$1"), ("([a-z]{3})(ing|ed)$", "$1")]  # one after the other
+def word_runs(text: Column) -> Column:
+    """Lower-case runs of two letters, digits and underscores or more, without English stop words; none in a null text."""
+    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
+    return F.filter(runs, lambda x: ~x.isin(STOP_WORDS))
 
 
-def light_stem(word: Column) -> Column:
-    """An English word without a plural or verb ending: -ies, -es after a sibilant, -s, -ing, -ed; words of three letters or fewer stay."""
-    cut = word
-    for pattern, instead in STEM:
-        cut = F.regexp_replace(cut, pattern, instead)
-    return F.when(F.length(word) > 3, cut).otherwise(word)
+def index_tokens(text: Column) -> Column:
+    """Lower-case words between blanks; none in a null text."""
+    return T.words(F.lower(F.coalesce(text, F.lit(""))))
 
 
-def index_tokens(text: Column, stop_words: list[str] | None = None, stem: Callable[[Column], Column] | None = None) -> Column:
-    """Lower-case words without stop words, stemmed if asked for."""
-    t = T.words(F.lower(F.coalesce(text, F.lit(""))))
-    if stop_words:
-        t = F.filter(t, lambda x: ~x.isin(stop_words))
-    return F.transform(t, stem) if stem else t
-
-
-def structural_top_k(parts: DataFrame, pool: DataFrame, k: int, n_parts: int) -> DataFrame:
+def structural_top_k(parts: DataFrame, pool: DataFrame, k: int, n_parts: int, find: Callable[[DataFrame, DataFrame, int], DataFrame] = S.bm25_top_k, said: str = "tokens") -> DataFrame:
     """query_id, item_id, pos: items found by BM25 for each part of a query, dealt in turn, each once; the k last in order of likeness (pos k is the best).
 
-    ``parts`` has query_id, part, tokens; every part asks for 2 * ceil(k / n_parts) items.
+    ``parts`` has query_id, part and, as ``find`` wants it of queries and pool, tokens or another column; every part asks for 2 * ceil(k / n_parts) items.
     """
-    keyed = parts.select(F.xxhash64("query_id", "part").alias("query_id"), F.col("query_id").alias("whole"), "part", "tokens")
-    found = S.bm25_top_k(keyed.select("query_id", "tokens"), pool, 2 * math.ceil(k / n_parts))
+    keyed = parts.select(F.xxhash64("query_id", "part").alias("query_id"), F.col("query_id").alias("whole"), "part", said)
+    found = find(keyed.select("query_id", said), pool, 2 * math.ceil(k / n_parts))
     best_first = Window.partitionBy("query_id").orderBy(F.desc("pos"))
     ranked = found.withColumn("rank", F.row_number().over(best_first)).join(keyed.select("query_id", "whole", "part"), "query_id")
     once = ranked.groupBy(F.col("whole").alias("query_id"), "item_id").agg(F.min(F.struct("rank", "part")).alias("b"))
@@ -56,24 +49,28 @@ class Retriever:
     """Demonstrations from a pool of (item_id, text) by a kind of likeness, named by what its name contains.
 
     'structural' together with 'bm25s' (parts of a query are looked up one by one), 'bm25s', 'rank_bm25', 'random', 'lcs' or 'subsequence', 'histogram' (labels of words), and
-    anything else by embeddings. query() takes (query_id, text), or (query_id, part, text) for 'structural', and returns query_id, item_id, pos
+    anything else by embeddings; with a ``language``, 'bm25s' compares stems of word runs. query() takes (query_id, text), or (query_id, part, text) for 'structural', and returns query_id, item_id, pos
     with the most similar last.
     """
 
-    def __init__(self, kind: str, pool: DataFrame, seed: int = 122, factory: Callable[[], Backend] = EchoBackend, label: Callable[[Column], Column] | None = None, stop_words: list[str] | None = None, stem: Callable[[Column], Column] | None = None):
+    def __init__(self, kind: str, pool: DataFrame, seed: int = 122, factory: Callable[[], Backend] = EchoBackend, label: Callable[[Column], Column] | None = None, language: str | None = None):
         if "structural" in kind and "bm25s" not in kind:
             raise ValueError("structural retrieval needs bm25s")
         self.kind, self.pool, self.seed, self.factory = kind, pool, seed, factory
         self.label = label or (lambda w: F.substring(w, 1, 1))
-        self.tokens = lambda c: index_tokens(c, stop_words, stem)
+        self.stem = stemmer(language) if language else None
 
     def query(self, queries: DataFrame, k: int) -> DataFrame:
         q, p = queries, self.pool
-        tokens = lambda df, name: df.select(name, self.tokens(F.col("text")).alias("tokens"))
+        tokens = lambda df, name: df.select(name, index_tokens(F.col("text")).alias("tokens"))
         if "structural" in self.kind:
             n_parts = q.agg(F.max("part")).first()[0] or 1
-            return structural_top_k(q.select("query_id", "part", self.tokens(F.col("text")).alias("tokens")), tokens(p, "item_id"), k, n_parts)
-        if "bm25s" in self.kind:
+            if self.stem:
+                return structural_top_k(q.select("query_id", "part", "text"), p.select("item_id", "text"), k, n_parts, self._by_stems, "text")
+            return structural_top_k(q.select("query_id", "part", index_tokens(F.col("text")).alias("tokens")), tokens(p, "item_id"), k, n_parts)
+        if "bm25s" in self.kind and self.stem:
+            found = self._by_stems(q, p, k)
+        elif "bm25s" in self.kind:
             found = S.bm25_top_k(tokens(q, "query_id"), tokens(p, "item_id"), k)
         elif "rank_bm25" in self.kind:
             found = S.bm25_top_k(tokens(q, "query_id"), tokens(p, "item_id"), k, b=0.75, okapi=True)
@@ -88,5 +85,8 @@ class Retriever:
             found = S.dense_top_k(v.select("query_id", F.col("embedding").alias("q")), w.select("item_id", F.col("embedding").alias("v")), k)
         return found.select("query_id", "item_id", F.col("pos").cast("long").alias("pos"))
 
+    def _by_stems(self, queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+        return S.bm25_stems_top_k(queries, pool, word_runs, self.stem, k)
+
     def _labels(self, df: DataFrame, name: str) -> DataFrame:
         return df.select(name, F.explode(T.words(F.col("text"))).alias("w")).select(name, self.label(F.col("w")).alias("label"))

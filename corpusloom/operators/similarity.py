@@ -9,7 +9,7 @@ import heapq
 import itertools
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -288,13 +288,43 @@ def bm25_top_k(queries: DataFrame, pool: DataFrame, k: int, k1: float = 1.5, b:
     else:
         idf = df.withColumn("idf", F.log(F.greatest(F.lit(1.0), ratio)))
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    item = pool.schema["item_id"].dataType.simpleString()
+    may = _asked_counts(_asked_filter(asked.select("term")))
+    counted = pool.select("item_id", "tokens").mapInArrow(may, f"item_id {item}, dl long, terms array<string>, tf array<long>").where(F.size("terms") > 0)
+    return _meet_postings(asked, idf, counted, shards, blocks, avgdl, k, k1, b, k1 + 1 if okapi else 1.0, delta)
+
+
+def bm25_stems_top_k(queries: DataFrame, pool: DataFrame, words: Callable[[Column], Column], stem: Callable[[Column], Column], k: int, k1: float = 1.5, b: float = 0.7) -> DataFrame:
+    """bm25_top_k over the stems of ``words`` of a text: ``queries`` has query_id, text; ``pool`` has item_id (each once), text.
+
+    Each distinct word is stemmed once, and of the pool only words with a stem that is asked for are counted by item; an item's length is its number of words.
+    """
+    said = pool.select("item_id", words(F.col("text")).alias("words"))
+    asking = queries.select("query_id", F.explode(words(F.col("text"))).alias("word"))
+    n, avgdl, total = said.agg(F.count(F.lit(1)), F.avg(F.size("words")), F.sum(F.size("words"))).first()
+    spark = pool.sparkSession
+    use_shared_checkpoints(spark)
+    both = asking.select("word", F.lit(True).alias("asked")).union(said.select(F.explode("words").alias("word"), F.lit(False)))
+    stems = both.groupBy("word").agg(F.max("asked").alias("asked")).select("word", "asked", stem(F.col("word")).alias("term")).checkpoint()
+    forms = stems.join(stems.where("asked").select("term").distinct(), "term", "left_semi").select("word", "term")
+    met = said.select("item_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("word")).join(forms, "word")
+    by_term = met.groupBy("item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    pairs = by_term.groupBy("item_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("pairs"))  # at most the asked terms of one item
+    counted = pairs.select("item_id", "dl", F.col("pairs.term").alias("terms"), F.col("pairs.tf").alias("tf")).checkpoint()
+    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.withColumn("idf", F.log(F.greatest(F.lit(1.0), (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))))
+    asked = asking.join(stems.where("asked"), "word").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    shards = max(spark.sparkContext.defaultParallelism, -(-n // SHARD_ITEMS), -(-(total or 0) // SHARD_TOKENS))
+    blocks = max(1, -(-(asked.agg(F.sum("qtf")).first()[0] or 0) // ASKED))
+    return _meet_postings(asked, idf, counted, shards, blocks, avgdl or 1.0, k, k1, b, 1.0, 0.0)
+
+
+def _meet_postings(asked: DataFrame, idf: DataFrame, counted: DataFrame, shards: int, blocks: int, avgdl: float, k: int, k1: float, b: float, scale: float, delta: float) -> DataFrame:
+    """The k best items: ``asked`` has query_id, term, qtf; ``idf`` term, idf; ``counted`` item_id, dl and the terms of an item with their tf."""
     weighed = asked.join(idf.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     q = weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    kinds = {name: frame.schema[name].dataType.simpleString() for name, frame in (("query_id", queries), ("item_id", pool))}
-    may = _asked_counts(_asked_filter(asked.select("term")))
-    counted = pool.select("item_id", "tokens").mapInArrow(may, f"item_id {kinds['item_id']}, dl long, terms array<string>, tf array<long>").where(F.size("terms") > 0)
+    kinds = {name: frame.schema[name].dataType.simpleString() for name, frame in (("query_id", asked), ("item_id", counted))}
     p = counted.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scale = k1 + 1 if okapi else 1.0
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "item_id", "score"]

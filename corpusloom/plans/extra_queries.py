@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import prompts as PR
+from corpusloom.functions import stemming as ST
 from corpusloom.functions import text as T
 from corpusloom.operators import gates as G
 from corpusloom.operators import judging as J
@@ -163,16 +164,68 @@ def evaluated_runs(spark, sf):
     return L.evaluated(runs, "tico")
 
 
-def stem_sql(word: str) -> str:
-    cut = word
-    for pattern, instead in R.STEM:
-        cut = f"regexp_replace({cut}, '{pattern}', '{instead.replace('$', chr(92))}')"
-    return f"CASE WHEN length({word}) > 3 THEN {cut} ELSE {word} END"
-
-
 LOWER = WORDS.replace("text", "lower(text)")
 STOPS = "[" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "]"
-STEMMED = f"list_transform(list_filter({LOWER}, lambda x: NOT list_contains({STOPS}, x)), lambda x: {stem_sql('x')})"
+
+
+def stems_sql(source: str) -> str:
+    """CTEs for the English stems of the distinct words w of ``source``: stems(w, stem)."""
+    v, c = "[aeiouy]", "[^aeiouy]"
+    short = f"(^{v}{c}|{c}{v}[^aeiouywxY])$"
+    listed = lambda words: ", ".join(f"'{w}'" for w in words.split())
+
+    def cases(name: str, before: str, endings: dict[str, tuple[str, str]]) -> str:
+        """A step: endings, each with its condition on the head h and what then takes the place of the word."""
+        e = f"regexp_extract(s, '({'|'.join(' '.join(endings).split())})$')"
+        when = " ".join(f"WHEN e IN ({listed(k)}) THEN CASE WHEN {ok} THEN {new} ELSE s END" for k, (ok, new) in endings.items())
+        return f"""{name}_e AS (SELECT *, {e} AS e, left(s, length(s) - length({e})) AS h FROM {before}),
+{name} AS (SELECT w, r1, r2, CASE {when} ELSE s END AS s FROM {name}_e)"""
+
+    in1 = lambda put: ("length(h) >= r1", f"h || '{put}'")
+    in2 = lambda put: ("length(h) >= r2", f"h || '{put}'")
+    undone = f"""CASE WHEN regexp_matches(h, '(at|bl|iz)$') THEN h || 'e' WHEN regexp_matches(h, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(h, length(h) - 1)
+  WHEN length(h) <= r1 AND regexp_matches(h, '{short}') THEN h || 'e' ELSE h END"""
+    region = lambda text, extra="": f"regexp_extract({text}, '^(?:{extra}.*?{v}{c})')"
+    where = lambda start, found: f"CASE WHEN {found} = '' THEN length(s) ELSE {start} + length({found}) END"
+    whole = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ST.EN_WHOLE.items())
+    steps = [
+        cases("s1a", "s0", {
+            "sses": ("true", "h || 'ss'"), "ied ies": ("true", "h || CASE WHEN length(h) > 1 THEN 'i' ELSE 'ie' END"), "us ss": ("true", "s"),
+            "s": (f"regexp_matches(h, '{v}.+$')", "h")}),
+        cases("s1b", "s1a", {"eed eedly": in1("ee"), "ed edly ing ingly": (f"regexp_matches(h, '{v}')", undone)}),
+        cases("s1c", "s1b", {"y Y": (f"regexp_matches(h, '.{c}$')", "h || 'i'")}),
+        cases("s2", "s1c", {
+            "tional": in1("tion"), "enci": in1("ence"), "anci": in1("ance"), "abli": in1("able"), "entli": in1("ent"), "izer ization": in1("ize"),
+            "ational ation ator": in1("ate"), "alism aliti alli": in1("al"), "fulness fulli": in1("ful"), "ousli ousness": in1("ous"), "iveness iviti": in1("ive"),
+            "biliti bli": in1("ble"), "ogi": ("length(h) >= r1 AND h LIKE '%l'", "h || 'og'"), "lessli": in1("less"),
+            "li": ("length(h) >= r1 AND regexp_matches(h, '[cdeghkmnrt]$')", "h")}),
+        cases("s3", "s2", {"tional": in1("tion"), "ational": in1("ate"), "alize": in1("al"), "icate iciti ical": in1("ic"), "ful ness": in1(""), "ative": in2("")}),
+        cases("s4", "s3", {"al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize": in2(""), "ion": ("length(h) >= r2 AND regexp_matches(h, '[st]$')", "h")}),
+        cases("s5", "s4", {"e": (f"length(h) >= r2 OR length(h) >= r1 AND NOT regexp_matches(h, '{short}')", "h"), "l": ("length(h) >= r2 AND h LIKE '%l'", "h")}),
+    ]
+    return f"""vocabulary AS (SELECT DISTINCT w FROM ({source})),
+marked AS (SELECT w, regexp_replace(regexp_replace(regexp_replace(w, '^''', ''), '^y', 'Y'), '({v})y', '\\1Y', 'g') AS s FROM vocabulary WHERE length(w) > 2),
+first_region AS (SELECT *, {where("0", region("s", "gener|commun|arsen|"))} AS r1 FROM marked),
+regions AS (SELECT *, {where("r1", region("substr(s, r1 + 1)"))} AS r2 FROM first_region),
+s0 AS (SELECT w, r1, r2, regexp_replace(s, '(''s''|''s|'')$', '') AS s FROM regions),
+{", ".join(steps)},
+stems AS (SELECT vocabulary.w, CASE vocabulary.w {whole} ELSE CASE WHEN s1a.s IN ({listed(" ".join(ST.EN_KEPT))}) THEN s1a.s ELSE replace(coalesce(s5.s, vocabulary.w), 'Y', 'y') END END AS stem
+  FROM vocabulary LEFT JOIN s1a ON s1a.w = vocabulary.w LEFT JOIN s5 ON s5.w = vocabulary.w)"""
+
+
+RUNS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({STOPS}, x))"
+
+
+@query(f"""
+WITH said AS (SELECT unnest({RUNS}) AS w FROM documents), {stems_sql("SELECT w FROM said")},
+n AS (SELECT w, count(*) AS n FROM said GROUP BY w)
+SELECT stem, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_words, min(w) AS first_word FROM n JOIN stems USING (w) GROUP BY stem
+""")
+def stemmed_vocabulary(spark, sf):
+    """English stems of all words of documents: how often, and of how many words. Words are counted before they are stemmed, so each is stemmed once."""
+    counted = docs(spark, sf).select(F.explode(R.word_runs(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    stems = counted.select("w", "n", ST.english_stem(F.col("w")).alias("stem"))
+    return stems.groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_words"), F.min("w").alias("first_word"))
 
 
 def ranked_sql(pool: str, asked: str, k: int) -> str:
@@ -189,14 +242,17 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 
 @query(f"""
-WITH {ranked_sql(f"SELECT doc_id AS item_id, {STEMMED} AS t FROM documents", f"SELECT item_id AS query_id, {STEMMED} AS t FROM benchmark", 5)}
+WITH pool_words AS (SELECT doc_id AS item_id, unnest({RUNS}) AS w FROM documents), asked_words AS (SELECT item_id AS query_id, unnest({RUNS}) AS w FROM benchmark),
+{stems_sql("SELECT w FROM pool_words UNION ALL SELECT w FROM asked_words")}, stemmed AS (SELECT item_id, list(stem) AS t FROM pool_words JOIN stems USING (w) GROUP BY item_id),
+{ranked_sql("SELECT doc_id AS item_id, coalesce(t, []) AS t FROM documents LEFT JOIN stemmed ON item_id = doc_id",
+            "SELECT query_id, list(stem) AS t FROM asked_words JOIN stems USING (w) GROUP BY query_id", 5)}
 SELECT query_id, item_id, count(*) OVER (PARTITION BY query_id) - r + 1 AS pos FROM best
 """)
 def bm25_stemmed(spark, sf):
-    """BM25 over stems without stop words, by the retriever's name."""
+    """BM25 over English stems without stop words, by the retriever's name."""
     pool = docs(spark, sf).select(F.col("doc_id").alias("item_id"), "text")
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.Retriever("bm25s", pool, stop_words=R.STOP_WORDS, stem=R.light_stem).query(q, 5)
+    return R.Retriever("bm25s", pool, language="english").query(q, 5)
 
 
 PARTS = f"(SELECT item_id, unnest([1, 2, 3]) AS part, {LOWER} AS w FROM benchmark)"
