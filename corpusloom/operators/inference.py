@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.numbering import use_shared_checkpoints
+
 
 @dataclass(frozen=True)
 class Sampling:
@@ -85,6 +87,52 @@ def generate(df: DataFrame, prompt: str, factory: Callable[[], Backend] = EchoBa
     return asked.mapInArrow(run, "prompt string, prompt_hash string, candidates array<string>")
 
 
+def generate_resumable(
+    df: DataFrame, prompt: str, ledger: str, factory: Callable[[], Backend] = EchoBackend, sampling: Sampling = Sampling(), wave: int = 100_000, passes: int = 2
+) -> DataFrame:
+    """prompt, candidates array<string>, error: distinct prompts with the answers of a ledger, which grows until all are answered.
+
+    ``ledger`` is a folder that driver and executors share; its rows are keyed by the hash of prompt and settings, so a run that stops, or another one with
+    the same prompts, asks only for what it lacks. Requests go out in waves of about ``wave``, each committed to the ledger before the next one: a lost
+    executor repeats its tasks of one wave. A batch that fails in spite of its retries costs no other batch: its rows say why and are asked again
+    in the next pass; what is still without an answer after ``passes`` keeps null candidates and its last error. Null prompts are not asked. A request that was answered
+    twice, by a task that ran twice, has the smaller answer.
+    """
+    spark = df.sparkSession
+    use_shared_checkpoints(spark)
+    key = F.sha2(F.concat(F.lit(f"{sampling}\n"), F.col("prompt")), 256)
+    asked = df.select(F.col(prompt).alias("prompt")).where(F.col("prompt").isNotNull()).distinct().withColumn("request", key).checkpoint()
+    kinds = "request string, candidates array<string>, error string, tried long"
+    spark.createDataFrame([], kinds).write.mode("append").parquet(ledger)
+    known = lambda: spark.read.schema(kinds).parquet(ledger)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        backend = factory()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, sampling.batch_size):
+                part = batch.slice(lo, sampling.batch_size)
+                prompts, error = part["prompt"].to_pylist(), None
+                try:
+                    answers = _retried(lambda prompts=prompts: backend.generate(prompts, sampling), sampling.retries)
+                except Exception as e:  # a backend may raise anything; the ledger says what
+                    answers, error = [None] * len(prompts), f"{type(e).__name__}: {e}"
+                columns = [part["request"], pa.array(answers, pa.list_(pa.string())), pa.array([error] * len(prompts), pa.string()), pa.array([time.time_ns()] * len(prompts), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["request", "candidates", "error", "tried"])
+
+    for _ in range(passes):
+        open_ = asked.join(known().where("candidates IS NOT NULL"), "request", "left_anti")
+        n = open_.count()
+        if not n:
+            break
+        waves = -(-n // wave)
+        for w in range(waves):
+            mine = open_.where(F.pmod(F.xxhash64("request"), F.lit(waves)) == w).select("request", "prompt")
+            mine.mapInArrow(run, kinds).write.mode("append").parquet(ledger)
+    told = known().groupBy("request").agg(F.min("candidates").alias("candidates"), F.max(F.struct("tried", "error")).alias("last"))
+    error = F.when(F.col("candidates").isNull(), F.col("last.error")).alias("error")
+    return asked.join(told, "request", "left").select("prompt", "candidates", error)
+
+
 def embed(df: DataFrame, text: str, factory: Callable[[], Backend] = EchoBackend) -> DataFrame:
     """Add embedding array<float>."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import prompts as PR
 from corpusloom.functions import stemming as ST
 from corpusloom.functions import text as T
 from corpusloom.operators import gates as G
+from corpusloom.operators import inference as I
 from corpusloom.operators import judging as J
 from corpusloom.operators import langid as LI
 from corpusloom.operators import language as L
 from corpusloom.operators import retriever as R
 from corpusloom.operators import similarity as S
+from corpusloom.operators.numbering import use_shared_checkpoints
 from corpusloom.plans import self_instruct as SI
 from corpusloom.plans.search_queries import CANDS, bm25_sql, candidates
 from corpusloom.plans.select_queries import PAIRS, pairs, table
@@ -400,3 +404,20 @@ def self_instruct_round(spark, sf):
     return mixed.select("prompt_id", "language", F.size("examples").alias("n"), F.md5(SI.list_prompt(F.col("language"), F.col("examples"))).alias("prompt"))
 
 
+@query(f"""
+WITH p AS (SELECT doc_id, regexp_replace('Translate:' || chr(10) || text, '{WS}+$', '') AS prompt FROM documents)
+SELECT p.doc_id, md5(regexp_extract(prompt, '[^\\n]*$')) AS answer, labels.doc_id IS NOT NULL AS resumed FROM p LEFT JOIN (SELECT DISTINCT doc_id FROM labels) labels USING (doc_id)
+WHERE prompt IS NOT NULL
+""")
+def resumed_generation(spark, sf):
+    """A prompt for every document, of which those with labels were answered by a run that stopped: the ledger answers them, the others are asked."""
+    use_shared_checkpoints(spark)
+    ledger = f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}"
+    prompts = docs(spark, sf).select("doc_id", F.concat(F.lit("Translate:\n"), F.col("text")).alias("prompt"))
+    early = prompts.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    before = I.generate_resumable(early, "prompt", ledger)
+    after = I.generate_resumable(prompts, "prompt", ledger)
+    answer = F.md5(F.get("candidates", F.lit(0)).cast("binary")).alias("answer")
+    known = before.where("candidates IS NOT NULL").select("prompt", F.lit(True).alias("known"))
+    marked = prompts.join(early.select("doc_id", F.lit(True).alias("early")), "doc_id", "left").join(after, "prompt").join(known, "prompt", "left")
+    return marked.select("doc_id", answer, F.coalesce(F.col("early") & F.col("known"), F.lit(False)).alias("resumed"))
