@@ -25,12 +25,16 @@ def new_paragraphs(seeds: DataFrame, kept: DataFrame, prompt: Column, n: int, fa
     joined = asked.join(answers.select("prompt", F.get("candidates", F.lit(0)).alias("answer")), "prompt")
     items = joined.select("language", "topic", F.explode(T.numbered_items(F.col("answer"), F.lit(n))).alias("text"))
     clean = G.repetition_gates(items.withColumn("text", T.without_placeholders(T.flattened(F.col("text")))))
-    old = kept.select("language", F.lit(None).cast("string").alias("topic"), "text", F.lit(0).alias("new"))
-    both = old.unionByName(clean.withColumn("new", F.lit(1)))
+    S.use_shared_checkpoints(kept.sparkSession)
+    fresh = clean.groupBy("language", "text").agg(F.min("topic").alias("topic"), F.lit(1).alias("new")).checkpoint()
+    old = kept.select("language", "text", F.lit(None).cast("string").alias("topic"), F.lit(0).alias("new"))
     # what is kept already comes first; new rows follow in md5 order
-    ranked = both.withColumn("doc_id", F.concat(F.col("new").cast("string"), F.md5(F.concat_ws("|", "language", "text"))))
-    ranked = ranked.dropDuplicates(["language", "text"]).withColumn("t", T.ascii_tokens(F.col("text")))
-    return S.greedy_unlike(ranked, "t", tau, "language").where("new = 1").select("language", "topic", "text")
+    ranked = old.unionByName(fresh).withColumn("doc_id", F.concat(F.col("new").cast("string"), F.md5(F.concat_ws("|", "language", "text"))))
+    unlike = S.greedy_unlike(ranked.withColumn("t", T.ascii_tokens(F.col("text"))), "t", tau, "language").where("new = 1").select("language", "topic", "text")
+    # rows without tokens or language are near nothing: only those that equal a kept one go
+    told = F.coalesce(F.col("language").isNotNull() & F.lower("text").rlike("[a-z0-9]"), F.lit(False))
+    mute = kept.where(~told).select(F.col("language").alias("l"), F.col("text").alias("x")).distinct()
+    return unlike.join(mute, F.col("language").eqNullSafe(F.col("l")) & F.col("text").eqNullSafe(F.col("x")), "left_anti")
 
 
 def run_rounds(seeds: DataFrame, kept: DataFrame, make_prompt: Callable[[int], Column], n: int, wanted: int, most_empty: int = 50, save: Callable[[DataFrame], DataFrame] | None = None, factory: Callable[[], Backend] = EchoBackend) -> DataFrame:

@@ -436,3 +436,14 @@ def test_pairs_that_share_only_frequent_tokens_are_never_shuffled(spark):
     before = _shuffled(spark)
     assert SIM.greedy_unlike(df, "t", 0.7, "g").count() == len(rows)
     assert _shuffled(spark) - before < 4 * sum(len(w) + 1 for _, _, t in rows for w in t)
+
+
+def test_a_round_drops_equal_rows_even_without_tokens(spark):
+    class Same(I.EchoBackend):
+        def generate(self, prompts, sampling):
+            return [["1. ¿¿¿ ¡¡¡ ñññ éééé àààà\n2. one two three four five"] for _ in prompts]
+
+    seeds = spark.createDataFrame([("en", "cats"), ("en", "dogs")], "language string, topic string")
+    for kept, left in (("¿¿¿ ¡¡¡ ñññ éééé àààà", "one two three four five"), ("one two three four five", "¿¿¿ ¡¡¡ ñññ éééé àààà")):
+        out = rounds.new_paragraphs(seeds, spark.createDataFrame([("en", kept)], "language string, text string"), F.col("topic"), 2, Same).collect()
+        assert [(r.topic, r.text) for r in out] == [("cats", left)]
