@@ -309,3 +309,16 @@ def test_toxicity_learns_alike_twice():
     texts, marks = [t for _, t in rows], np.array([bool(x) for _, x in labels])
     a, b = train(texts, marks), train(texts, marks)
     assert (a.table == b.table).all() and (a.slopes == b.slopes).all() and (a.slopes >= 0).all()
+
+
+def test_every_segment_of_a_large_corpus_is_learned_from(spark, monkeypatch):
+    texts, seen = ["one two three four " * 45_000] * 31, []  # over 24 MB
+
+    def counted(segments, *args):
+        seen.append(sum(len(r.hashes) // 8 for r in segments.select("hashes").collect()))
+        raise StopIteration
+
+    monkeypatch.setattr(lm_scores, "train_attention", counted)
+    with pytest.raises(StopIteration):
+        score_texts(frame(spark, list(enumerate(texts))), F.lit(True))
+    assert seen == [31 * -(-4 * 45_000 // lm_scores.SEGMENT)]
