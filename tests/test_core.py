@@ -447,3 +447,13 @@ def test_a_round_drops_equal_rows_even_without_tokens(spark):
     for kept, left in (("¿¿¿ ¡¡¡ ñññ éééé àààà", "one two three four five"), ("one two three four five", "¿¿¿ ¡¡¡ ñññ éééé àààà")):
         out = rounds.new_paragraphs(seeds, spark.createDataFrame([("en", kept)], "language string, text string"), F.col("topic"), 2, Same).collect()
         assert [(r.topic, r.text) for r in out] == [("cats", left)]
+
+
+def test_a_round_shuffles_little_of_what_is_kept(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(300)], k=120)) for _ in range(1200)]
+    kept = spark.createDataFrame([("en", t) for t in texts], "language string, text string")
+    seeds = spark.createDataFrame([("en", "cats"), ("en", "dogs")], "language string, topic string")
+    before = _shuffled(spark)
+    assert len(rounds.new_paragraphs(seeds, kept, F.col("topic"), 2, Numbered).collect()) >= 2
+    assert _shuffled(spark) - before < 4 * sum(map(len, texts))
