@@ -322,3 +322,24 @@ def test_every_segment_of_a_large_corpus_is_learned_from(spark, monkeypatch):
     with pytest.raises(StopIteration):
         score_texts(frame(spark, list(enumerate(texts))), F.lit(True))
     assert seen == [31 * -(-4 * 45_000 // lm_scores.SEGMENT)]
+
+
+def test_a_large_share_takes_as_many_steps_as_half_of_it(monkeypatch):
+    steps = []
+    monkeypatch.setattr(attention, "gradient", lambda flat, y, opens, rows: (steps.append(len(rows)), (0.0, np.zeros_like(flat)))[1])
+    flat = attention.start(np.ones(attention.SLOTS))
+    for n, most in ((540 * 192, 540), (540 * 384, 540), (350 * 20, 350)):
+        steps.clear()
+        attention.train(flat, np.zeros((n, 1)), np.zeros(n, bool), np.arange(n), 0.01)
+        assert sum(steps) == n and len(steps) == most
+
+
+def test_gradient_of_far_logits_is_finite():
+    y, opens, _ = attention.to_blocks(np.arange(1, 60), np.array([0, 59]))
+    flat = attention.start(np.ones(attention.SLOTS))
+    plain = attention.gradient(flat, y, opens, np.arange(len(y)))
+    for name, by in (("bc", 500), ("bk", -500), ("far", 500)):  # all alike, so probabilities stay as they are
+        moved = flat.copy()
+        attention.unpack(moved)[name][:] += by
+        loss, g = attention.gradient(moved, y, opens, np.arange(len(y)))
+        assert loss == pytest.approx(plain[0], rel=1e-3) and g == pytest.approx(plain[1], abs=1e-4)
