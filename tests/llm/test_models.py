@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from corpusloom.llm import attention, lm_scores
+from corpusloom.llm import attention, lm_scores, store
 from corpusloom.llm.lm_scores import score_texts
 from corpusloom.llm.toxicity import DECAY, SCALE, TOP, Model, _subsequences, fit_toxicity, score_toxicity, train, units
 from corpusloom.llm.words import buffers
@@ -343,3 +343,11 @@ def test_gradient_of_far_logits_is_finite():
         attention.unpack(moved)[name][:] += by
         loss, g = attention.gradient(moved, y, opens, np.arange(len(y)))
         assert loss == pytest.approx(plain[0], rel=1e-3) and g == pytest.approx(plain[1], abs=1e-4)
+
+
+def test_scoring_keeps_no_files_of_words_and_segments(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(store, "shared_dir", lambda spark: str(tmp_path))
+    rows = [(i, t) for i, t in lm_rows() if i is not None]
+    got = score_texts(frame(spark, rows), F.lit(True), blocks=600)
+    assert got.count() == len(rows)
+    assert {p.parent.name for p in tmp_path.rglob("*.parquet")} & {"kind=0", "kind=1", "kind=2", "kind=3"} == {"kind=0", "kind=3"}
